@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe_transducer import op6_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .fingerprints import op9_fingerprints
+from .secret_scan import op3_secret_scan
 from .url_filter import op7_url_filter
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
+    "op9_fingerprints": op9_fingerprints,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL = {"op10_exact_dedup": OP10_SQL}

@@ -71,10 +71,9 @@ def model(counted: DataFrame) -> DataFrame:
     Each order adds its counts to PRIOR times the shorter order's probability; a context that was
     never seen has no counts and so falls back to the longest one that was.
     """
-    out = counted.select("gram")
-    symbols = counted.select(F.right("gram", F.lit(1)).alias("c")).distinct().agg(F.count("*").alias("v"))
-    total = counted.agg(F.sum("a").alias("ta"), F.sum("r").alias("tr")).crossJoin(symbols)  # one row by one row
-    out = out.crossJoin(F.broadcast(total)).withColumn("pa", 1 / F.col("v")).withColumn("pr", 1 / F.col("v"))
+    symbols = counted.agg(F.countDistinct(F.right("gram", F.lit(1)))).first()[0]
+    even = F.lit(1.0 / max(1, symbols))
+    out = counted.select("gram", even.alias("pa"), even.alias("pr"))
     for k in range(ORDER):
         part = counted.groupBy(F.right("gram", F.lit(k + 1)).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
         context = part.groupBy(F.substring("g", 1, k).alias("x")).agg(F.sum("a").alias("xa"), F.sum("r").alias("xr"))
