@@ -6,9 +6,11 @@ from .bpe_transducer import op6_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprints import op9_fingerprints
 from .secret_scan import op3_secret_scan
+from .simhash import op1_simhash
 from .url_filter import op7_url_filter
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_secret_scan": op3_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
