@@ -6,6 +6,7 @@ from .bpe_transducer import op6_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprints import op9_fingerprints
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .mixing import op4_mix_sources
 from .rule_quality import op8_rule_quality
 from .secret_scan import op3_secret_scan
 from .simhash import op1_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_mix_sources": op4_mix_sources,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_rule_quality": op8_rule_quality,
