@@ -10,6 +10,7 @@ from .mixing import op4_mix_sources
 from .rule_quality import op8_rule_quality
 from .secret_scan import op3_secret_scan
 from .simhash import op1_simhash
+from .token_files import op5_token_files
 from .url_filter import op7_url_filter
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_rule_quality": op8_rule_quality,
