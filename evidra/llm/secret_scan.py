@@ -36,7 +36,7 @@ def _found(text: Column, hint: Column, pattern: str, value_group: int, least: in
     Each match is taken with the text since the match before it, so that the lengths of these
     pieces add up to places; a failing match still uses up its text.
     """
-    whole = F.lit(rf"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")  # \G: after the last match no other start is tried
     take = lambda g: F.regexp_extract_all(text, whole, F.lit(g))
     rows = F.zip_with(take(0), F.zip_with(take(2), take(value_group), lambda h, v: F.struct(h.alias("hit"), F.length(v).alias("n"))), lambda p, x: F.struct(F.length(p).alias("size"), x["hit"].alias("hit"), x["n"].alias("n")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
