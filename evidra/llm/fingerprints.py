@@ -119,7 +119,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = in_lexicon(rows, KEY, codes(F.col("text")), lexicon(docs, text_col, low, high))
     copies = rows.groupBy(*KEY).count()
     got = sets.join(copies, KEY).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
-    return got.select(F.when(~F.col("none"), F.col("id0")).alias("id"), fingerprint(of_mark(F.col("set"), 0)).alias("fingerprint"))
+    got = got.withColumn("c", of_mark(F.col("set"), 0))
+    return got.select(F.when(~F.col("none"), F.col("id0")).alias("id"), fingerprint(F.col("c")).alias("fingerprint"))
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +153,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.unhex(F.sha2(F.col("edited").cast("binary"), 256))
     both = with_edits(docs).select(*KEY, "copies", "next0", "next_none", "next_h", F.length("text").cast("long").alias("n"), sha.alias("sha"), marked.alias("marked"))
     sets = in_lexicon(both, KEY, F.col("marked"), words, "copies", "next0", "next_none", "next_h", "n", "sha")
-    done = cut(sets.withColumn("f", fingerprint(of_mark(F.col("set"), 0))).withColumn("fe", fingerprint(of_mark(F.col("set"), 1))).drop("set"))
+    # the sorted codes are columns of their own: all subsets of a fingerprint read them
+    sets = sets.withColumn("c", of_mark(F.col("set"), 0)).withColumn("ce", of_mark(F.col("set"), 1)).drop("set")
+    done = cut(sets.withColumn("f", fingerprint(F.col("c"))).withColumn("fe", fingerprint(F.col("ce"))).drop("c", "ce"))
     of_next = done.select(F.col("id0").alias("i"), F.col("none").alias("o"), F.col("h").alias("g"), F.col("f").alias("fn"))
     got = done.join(of_next, (F.col("next0") == F.col("i")) & (F.col("next_none") == F.col("o")) & (F.col("next_h") == F.col("g")))
     got = got.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("copies"))))
