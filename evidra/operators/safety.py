@@ -1,0 +1,124 @@
+"""Untrusted text: instructions to a reader, hidden characters, secrets and personal data, framing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from evidra.functions.text import excerpt
+
+# Rule, severity and pattern of text that tries to instruct its reader.
+INJECTION_RULES = (
+    ("ignore-previous", "high", r"(?i)\b(ignore|disregard|forget|override)\s+(all\s+|any\s+)?(previous|prior|earlier|above|preceding|system)\s+(instruction|prompt|rule|direction|context|message)s?\b"),
+    ("new-instructions", "high", r"(?i)\b(new|updated|revised|actual|real)\s+(instruction|prompt|system\s+prompt|directive)s?\s*[:：]"),
+    ("role-injection", "high", r"(?im)^\s*(system|assistant|user|developer|human)\s*[:：]\s*"),
+    ("chat-template-marker", "high", r"(?i)<\|(im_start|im_end|system|user|assistant|endoftext)\|>|\[/?INST\]|<<SYS>>"),
+    ("xml-role-tag", "medium", r"(?i)</?(system|assistant|human|user)>"),
+    ("exfiltrate-secret", "high", r"(?i)\b(send|post|upload|transmit|exfiltrate|leak|email|curl|fetch)\b[^.\n]{0,60}\b(api[\s_-]?key|token|secret|credential|password|\.env|private[\s_-]?key)\b"),
+    ("instructed-tool-use", "high", r"(?i)\b(you\s+must|you\s+should|please)\s+(now\s+)?(run|execute|call|invoke|install|download\s+and\s+run)\b"),
+    ("shell-exec-directive", "high", r"(?i)\b(execute|run)\s+the\s+following\s+(command|script|code)\b"),
+    ("claimed-authority", "medium", r"(?i)\b(as\s+(the\s+)?(system|admin|administrator|developer)|on\s+behalf\s+of\s+(the\s+)?(system|admin))\b"),
+    ("jailbreak-persona", "medium", r"(?i)\b(DAN\s+mode|developer\s+mode|jailbreak|do\s+anything\s+now|without\s+(any\s+)?restrictions?)\b"),
+    ("urgency-override", "medium", r"(?i)\b(urgent|critical|immediately)\b[^.\n]{0,40}\b(override|bypass|ignore|disable)\b"),
+    ("ai-directed", "high", r"(?i)\b(if\s+you\s+are\s+an?\s+(ai|llm|language\s+model|assistant|agent)|attention\s*[:：]?\s*(ai|llm|assistant|agent)|note\s+to\s+(ai|llm|assistant|agent))\b"),
+    ("prompt-boundary-escape", "medium", r"(?i)(```|~~~)\s*\n?\s*(system|ignore|new\s+instruction)"),
+)
+# Characters that are not seen.
+HIDDEN = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{FEFF}\x{00AD}\x{E0000}-\x{E007F}]"
+# What is replaced, by which mark; the whole match, or all after its first group.
+REDACTIONS = (
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[PRIVATE_KEY]"),
+    ("access-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[ACCESS_KEY]"),
+    ("host-token", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}\b", "[HOST_TOKEN]"),
+    ("service-key", r"\bsk-[A-Za-z0-9_-]{20,}\b", "[SERVICE_KEY]"),
+    ("chat-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}\b", "[CHAT_TOKEN]"),
+    ("signed-token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "[SIGNED_TOKEN]"),
+    ("assignment", r"(?i)((?:api_?key|secret|token|password|passwd)[\"']?\s*[:=]\s*[\"']?)[A-Za-z0-9+/_.=-]{12,}", "$1[SECRET]"),
+    ("e-mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    ("ip-address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP]"),
+)
+PER_RULE = 50
+
+
+def injection_counts(text: Column) -> dict[str, Column]:
+    return {name: F.least(F.regexp_count(text, F.lit(p)), F.lit(PER_RULE)) for name, _, p in INJECTION_RULES}
+
+
+def hidden_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(HIDDEN))
+
+
+def injection_risk(high: Column, total: Column) -> Column:
+    return F.when(high >= 2, "high").when((high == 1) | (total >= 4), "medium").otherwise("low")
+
+
+def scan(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, a count for each rule, hidden, n_high, n_findings, risk."""
+    counts = injection_counts(F.col(text))
+    severity = {n: s for n, s, _ in INJECTION_RULES}
+    col = {n: "n_" + n.replace("-", "_") for n in counts}
+    got = rows.select(key, *[c.cast("long").alias(col[n]) for n, c in counts.items()], hidden_count(F.col(text)).cast("long").alias("hidden"))
+    add = lambda names: sum((F.col(col[n]) for n in names), F.lit(0).cast("long"))
+    got = got.withColumn("n_high", add([n for n in counts if severity[n] == "high"])).withColumn("n_findings", add(counts))
+    return got.withColumn("risk", injection_risk(F.col("n_high"), F.col("n_findings")))
+
+
+def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pattern, severity, offset, excerpt) of each finding, PER_RULE of a rule at most; offsets count characters.
+
+    Pieces that each end with a match add up to its place, so that no Python is needed.
+    """
+    out = []
+    for name, severity, pattern in INJECTION_RULES:
+        inline = pattern.replace("(?i)", "").replace("(?im)", "")
+        flags = "(?ims)" if "(?im)" in pattern else "(?is)"
+        whole = F.lit(rf"{flags}\G(.*?)({inline})")
+        pieces, hits = F.regexp_extract_all(text, whole, F.lit(0)), F.regexp_extract_all(text, whole, F.lit(2))
+        both = F.slice(F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h"))), 1, PER_RULE)
+        none = F.expr("cast(array() as array<struct<at:int,size:int>>)")
+        spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + x["p"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["p"] - x["h"]).alias("at"), x["h"].alias("size")))).alias("out")))["out"]
+        out.append(F.transform(F.when(F.col(text).rlike(pattern), spans).otherwise(none), _named(name, severity)))
+    found = rows.select(key, text, F.explode(F.concat(*out)).alias("f"))
+    return found.select(key, "f.pattern", "f.severity", F.col("f.at").alias("offset"), excerpt(F.col(text), F.col("f.at") + 1, F.col("f.size")).alias("excerpt"))
+
+
+def _named(name: str, severity: str):
+    return lambda x: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), x["at"].alias("at"), x["size"].alias("size"))
+
+
+def defang(text: Column) -> Column:
+    """Hidden characters go, and what matches a rule gives way to the rule's name."""
+    got = F.regexp_replace(text, HIDDEN, "")
+    for name, _, pattern in INJECTION_RULES:
+        got = F.regexp_replace(got, pattern, f"[{name}]")
+    return got
+
+
+def redact(text: Column) -> Column:
+    for _, pattern, mark in REDACTIONS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
+def redaction_counts(text: Column) -> dict[str, Column]:
+    """How often each mark stands in redacted text."""
+    return {n: (F.regexp_count(text, F.lit(m.replace("$1", "").replace("[", r"\[").replace("]", r"\]")))).cast("long") for n, _, m in REDACTIONS}
+
+
+def framed(text: Column, source: str) -> Column:
+    """Text between marks that it can't close itself."""
+    safe = F.replace(text, F.lit("<<<"), F.lit("< < <"))
+    return F.concat(F.lit(f"<<<untrusted {source}\n"), safe, F.lit("\n<<<end"))
+
+
+def sanitised(text: Column, budget: int, source: str = "text") -> Column:
+    """Redacted; withheld at high risk, else defanged, cut at a line to the budget, and framed."""
+    from evidra.functions.text import estimate_tokens
+    from evidra.operators.pool import keep_lines
+
+    clean = redact(text)
+    high = sum((F.least(F.regexp_count(clean, F.lit(p)), F.lit(PER_RULE)) for _, s, p in INJECTION_RULES if s == "high"), F.lit(0))
+    safe = defang(clean)
+    kept = keep_lines(safe, budget, lambda line: F.greatest(F.lit(1).cast("long"), estimate_tokens(line)))["kept"]
+    short = F.array_join(F.slice(F.split(safe, "\n"), 1, kept.cast("int")), "\n")
+    return F.when(high >= 2, framed(F.lit("[withheld]"), source)).otherwise(framed(short, source))
