@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from evidra.plans import ranking
+
+QUERIES: dict = {**ranking.QUERIES}
+SQL: dict[str, str] = {**ranking.SQL}
