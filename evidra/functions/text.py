@@ -53,7 +53,7 @@ def contains_phrase(stemmed_text: Column, stemmed_phrase: Column) -> Column:
 
 def phrase_position(stemmed_text: Column, stemmed_phrase: Column) -> Column:
     """Number of words before the first place of the phrase, or null."""
-    at = F.locate(F.concat(F.lit(" "), stemmed_phrase, F.lit(" ")), F.concat(F.lit(" "), stemmed_text, F.lit(" ")))
+    at = F.position(F.concat(F.lit(" "), stemmed_phrase, F.lit(" ")), F.concat(F.lit(" "), stemmed_text, F.lit(" ")))
     before = F.substring(F.concat(F.lit(" "), stemmed_text), F.lit(1), at)
     return F.when((at > 0) & (F.length(stemmed_phrase) > 0), F.length(before) - F.length(F.replace(before, F.lit(" "))) - 1)
 

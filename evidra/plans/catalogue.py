@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.plans import ranking
+from evidra.plans import content, ranking
 
-QUERIES: dict = {**ranking.QUERIES}
-SQL: dict[str, str] = {**ranking.SQL}
+QUERIES: dict = {**ranking.QUERIES, **content.QUERIES}
+SQL: dict[str, str] = {**ranking.SQL, **content.SQL}
