@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.text import dice, plain_name
+from evidra.operators.lineage import cut
 
 
 def star_links(rows: DataFrame, key: Column, entity: str, reason: str) -> DataFrame:
@@ -50,7 +51,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) ->
         near = both.join(labels, F.col("y") == F.col("v")).groupBy("x").agg(F.min("label").alias("least"))
         lower = labels.join(near, F.col("v") == F.col("x")).select("v", "label", F.least("label", "least").alias("low"))
         jump = lower.select(F.col("v").alias("w"), F.col("low").alias("jump"))
-        new = lower.join(jump, F.col("low") == F.col("w")).select("v", "label", F.least("low", "jump").alias("new")).checkpoint()
+        new = lower.join(jump, F.col("low") == F.col("w")).select("v", "label", F.least("low", "jump").alias("new"))
+        new = cut(new)
         labels = new.select("v", F.col("new").alias("label"))
         if not new.filter("new < label").limit(1).count():
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.plans import content, ranking
+from evidra.plans import content, ranking, relations
 
-QUERIES: dict = {**ranking.QUERIES, **content.QUERIES}
-SQL: dict[str, str] = {**ranking.SQL, **content.SQL}
+QUERIES: dict = {**ranking.QUERIES, **content.QUERIES, **relations.QUERIES}
+SQL: dict[str, str] = {**ranking.SQL, **content.SQL, **relations.SQL}
