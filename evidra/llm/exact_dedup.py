@@ -38,8 +38,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = BitFilter(heads, "n", "p", bits=filter_bits).mark(headed, "s2").withColumn("s", F.col("s1") & F.col("s2"))
     full = F.unhex(F.sha2("norm", 256))
     hashed = cut(left.select("id", "s", (full if digest_all else F.when(F.col("s"), full)).alias("digest")))
-    groups = hashed.filter("s").groupBy("digest").agg(F.min("id").alias("keep"), F.count("*").alias("size")).filter("size > 1")
-    joined = hashed.withColumn("k", F.when(F.col("s"), F.col("digest"))).join(groups.withColumnRenamed("digest", "k"), "k", "left")
+    # Cut before the join: both sides are then dealt anew, and AQE may split a hot group.
+    groups = cut(hashed.filter("s").groupBy(F.col("digest").alias("k")).agg(F.min("id").alias("keep"), F.count("*").alias("size")).filter("size > 1"))
+    alone = F.unhex(F.hex(F.xxhash64("id")))  # shorter than a digest: matches none, and spreads the rows that have none
+    joined = hashed.withColumn("k", F.when(F.col("s"), F.col("digest")).otherwise(alone)).join(groups, "k", "left")
     grouped = F.col("size").isNotNull()
     return joined.select(
         "id",
