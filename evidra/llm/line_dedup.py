@@ -11,7 +11,10 @@ from .common import BitFilter, cut, documents
 #: A run counts as repeated if it has this many words.
 MIN_WORDS = 10
 _KEY = ["_none", "_id", "_h"]
-_PLACE = F.struct(*_KEY, "i")
+
+
+def _place() -> Column:
+    return F.struct(*_KEY, "i")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,7 +41,7 @@ def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     A class's size and first place are summed before they are dealt; the classes are cut before
     the join, so that both sides are dealt anew and AQE may split a class that many rows share.
     """
-    classes = rows.groupBy(*by).agg(F.min(_PLACE).alias(name), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    classes = rows.groupBy(*by).agg(F.min(_place()).alias(name), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     classes = cut(classes.withColumnsRenamed({c: f"_c{k}" for k, c in enumerate(by)}))
     match = None
     for k, c in enumerate(by):
@@ -59,7 +62,7 @@ def prefix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     while length * 2 <= depth:
         ahead = Window.partitionBy(*_KEY).orderBy("i").rangeBetween(length, length)
         # without a partner a suffix pairs with itself, so it is alone and no null is dealt to one task
-        rows = rows.withColumn("x", F.coalesce(f"r{k}", _PLACE)).withColumn("y", F.coalesce(F.first(f"r{k}").over(ahead), F.struct(*_KEY, (-1 - F.col("i")).alias("i"))))
+        rows = rows.withColumn("x", F.coalesce(f"r{k}", _place())).withColumn("y", F.coalesce(F.first(f"r{k}").over(ahead), F.struct(*_KEY, (-1 - F.col("i")).alias("i"))))
         rows = cut(_ranked(rows, ["x", "y"], f"r{k + 1}").drop("x", "y"))
         length, k = length * 2, k + 1
     return rows
@@ -92,7 +95,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ok = (F.size("run") >= size) & least & head.isNotNull() & tail.isNotNull()
         runs.append(F.when(ok, F.struct(F.lit(size).alias("size"), head.alias("head"), tail.alias("tail"), F.transform(F.slice("run", 1, size), lambda s: s["at"]).alias("at"))))
     found = rows.select(*_KEY, "i", F.explode(F.array_compact(F.array(*runs))).alias("w")).select(*_KEY, "i", "w.*")
-    later = _ranked(cut(found), ["size", "head", "tail"], "first").filter(F.col("first").isNotNull() & (F.col("first") != _PLACE))
+    later = _ranked(cut(found), ["size", "head", "tail"], "first").filter(F.col("first").isNotNull() & (F.col("first") != _place()))
     return later.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("drop"))
 
 
