@@ -156,16 +156,16 @@ def _split(hot: DataFrame, left: list[list[int]], distance: int) -> tuple[DataFr
 
     Two members within distance agree on one of these parts at least.
     """
-    after, masks = [], []
-    for bits in left:
-        pieces = [list(x) for x in np.array_split(bits, distance + 1)]
-        for piece in pieces:
-            masks.append(_signed(sum(1 << int(b) for b in piece)))
-            after.append([b for b in bits if b not in set(map(int, piece))])
-    table = F.array(*[F.lit(m).cast("bigint") for m in masks])
-    rows = hot.select("path", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("j"))
-    rows = rows.withColumn("at", F.col("path") * (distance + 1) + F.col("j"))
-    key = F.xxhash64("key", F.col("fp").bitwiseAND(F.element_at(table, F.col("at") + 1)))
+    table, after = [], []
+    for r in hot.select("path").distinct().collect():  # paths are parts of parts: few, whatever the number of rows
+        bits = left[r["path"]]
+        for piece in np.array_split(bits, distance + 1):
+            taken = set(map(int, piece))
+            table.append((r["path"], len(after), _signed(sum(1 << b for b in taken))))
+            after.append([b for b in bits if b not in taken])
+    masks = F.broadcast(hot.sparkSession.createDataFrame(table, "of int, at int, mask long"))
+    rows = hot.join(masks, F.col("path") == F.col("of"))
+    key = F.xxhash64("key", F.col("fp").bitwiseAND(F.col("mask")))
     return rows.select(F.col("at").alias("path"), key.alias("key"), "fp", "own"), after
 
 
