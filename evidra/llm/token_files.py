@@ -10,6 +10,7 @@ set of checkpoints at which decoding may start.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import uuid
@@ -23,45 +24,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, id_text, shared_dir, small_batches
+from .words import LazyWordIds
 
 MAGIC = b"EVRANS1\n"
 LANES, SCALE_BITS, LOW = 32, 18, np.uint64(1 << 31)
 #: A block ends with the first document that fills it; so many blocks are coded side by side.
 BLOCK_TOKENS, TOGETHER = 16384, 64
-MAX_PIECES = 300_000
 ABSENT = -(1 << 63)
 
 # ---------------------------------------------------------------- tokenizing
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is seen, else the next from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {b: chr(b) for b in seen}
+    out.update({b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(seen)))})
+    return out
+
+
 class Tokens:
-    """Ids by the tokenizers library; pieces that its pattern parts are encoded once and remembered.
+    """Little-endian 32-bit ids by the tokenizers library; words are encoded by it once and remembered.
 
-    A piece on its own is parted no further and is encoded as it is within its text, so ids are those of
-    the whole text.
+    A word of letters, with the space before it and one mark after it or not, is one match of the
+    pattern (two with the mark): these go straight to the library's model, others through all of it.
     """
 
-    def __init__(self, model: str, pattern: str):
-        import regex
+    def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.find, self.memo = regex.compile(pattern).findall, {}
+        self.model = self.tokenizer.model
+        self.letters = {ord(chr(b)): c for b, c in byte_letters().items()}
+        self.marks = {m: self._whole(m) for m in ".,;:!?"}
+        self.words = LazyWordIds(self._word, self._whole, most=150_000)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1], b"")
+        bare = word[:-1] if mark else word
+        if not bare.lstrip(" ").isalpha() or max(bare) > "\u024f":
+            return self._whole(word)
+        ids = [t.id for t in self.model.tokenize(bare.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids) + mark
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        pieces = [self.find(t) for t in texts]
-        new = list(set().union(*pieces).difference(self.memo))
-        if len(self.memo) + len(new) > MAX_PIECES:
-            self.memo = {}
-            new = list(set().union(*pieces))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[piece] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        return list(map(self.words, texts))
+
+
+_made: dict = {}
+
+
+def _tokens(model: str) -> Tokens:
+    """One for each Python worker: later tasks know the words of earlier ones."""
+    key = zlib.crc32(model.encode())
+    if key not in _made:
+        _made[key] = Tokens(model)
+    return _made[key]
 
 
 def _pack(ids: bytes) -> bytes:
@@ -207,7 +229,7 @@ def _index(uri: str) -> dict:
     return json.loads(_read(uri, size - 12 - n, n))
 
 
-def tokenize(docs: DataFrame, model: str, pattern: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, model: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary) in ascending order of id (nulls first, equal ids by text): each partition before the next."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -215,14 +237,17 @@ def tokenize(docs: DataFrame, model: str, pattern: str, end: int, id_col: str =
         data = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, tail = Tokens(data.value, pattern), struct.pack("<I", end)
+        tokens, tail = _tokens(data.value), struct.pack("<I", end)
+        gc.disable()  # words hold no cycles, and there are enough of them to make each collection slow
         for batch in batches:
             ids = [_pack(x + tail) for x in tokens(batch.column(1).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], names=["id", "ids", "h"])
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        gc.enable()
 
+    # dealt as texts: the ranges are found by a pass over the ids, not by encoding everything twice
     rows = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, h long")
-    return cut(got.repartitionByRange("id", "h").sortWithinPartitions("id", "h"))
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    return cut(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary"))
 
 
 def write_tokens(tokens: DataFrame, folder: str, symbols: int) -> DataFrame:
@@ -234,8 +259,7 @@ def write_tokens(tokens: DataFrame, folder: str, symbols: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(symbols, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(_unpack(x), minlength=symbols)
+            total += np.bincount(np.concatenate([_unpack(x) for x in batch.column(0).to_pylist()]), minlength=symbols)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["s", "n"])
 
@@ -304,43 +328,44 @@ def read_tokens(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame
         before += n
     shared = spark.sparkContext.broadcast(_read(f"{folder}/table.bin"))
 
-    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Checkpoints at which decoding may start: TOGETHER blocks at a time."""
         for batch in batches:
             for part, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                index = _index(f"{folder}/part-{part:05d}.evt")
-                sizes = np.array([x[2] for x in index], np.int64)
-                firsts = start + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                cols = [pa.array([part] * len(index), pa.int32()), *(pa.array([x[k] for x in index], pa.int64()) for k in range(4)), pa.array(firsts)]
-                yield pa.record_batch(cols, names=["part", "at", "size", "n", "crc", "start"])
+                index = np.array(_index(f"{folder}/part-{part:05d}.evt"), np.int64)
+                firsts = start + np.cumsum(index[:, 2]) - index[:, 2]
+                runs = [np.column_stack((index, firsts))[k : k + TOGETHER] for k in range(0, len(index), TOGETHER)]
+                yield pa.record_batch([pa.array([part] * len(runs), pa.int32()), pa.array([r.ravel().tolist() for r in runs], pa.list_(pa.int64()))], names=["part", "blocks"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in batches:
-            todo = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[3])
-            for k in range(0, len(todo), TOGETHER):
-                some = todo[k : k + TOGETHER]
+            for part, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = np.array(blocks, np.int64).reshape(-1, 5)
+                data = _read(f"{folder}/part-{part:05d}.evt", int(rows[0, 0]), int(rows[-1, 0] + rows[-1, 1] - rows[0, 0]))
                 heads, coded = [], []
-                for part, at, size, *_ in some:
-                    data = _read(f"{folder}/part-{part:05d}.evt", at, size)
-                    n = struct.unpack_from("<I", data)[0]
-                    heads.append((np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n)))
-                    coded.append(data[4 + 12 * n :])
+                for at, size, *_ in (rows - [rows[0, 0], 0, 0, 0, 0]).tolist():
+                    n = struct.unpack_from("<I", data, at)[0]
+                    heads.append((np.frombuffer(data, "<i8", n, at + 4), np.frombuffer(data, "<u4", n, at + 4 + 8 * n)))
+                    coded.append(data[at + 4 + 12 * n : at + size])
                 ids, firsts, out = [], [], []
-                for (_, _, _, _, crc, start), (docs, sizes), symbols in zip(some, heads, coder.decode(coded, [x[3] for x in some]), strict=True):
+                for (_, _, _, crc, start), (docs, sizes), symbols in zip(rows.tolist(), heads, coder.decode(coded, rows[:, 2].tolist()), strict=True):
                     raw = symbols.astype("<u4").tobytes()
                     if zlib.crc32(raw) != crc:
                         raise ValueError("a block's checksum differs")
                     ends = np.cumsum(sizes.astype(np.int64))
-                    ids += [None if i == ABSENT else int(i) for i in docs]
+                    ids += [None if i == ABSENT else i for i in docs.tolist()]
                     firsts += (start + ends - sizes).tolist()
-                    out += [raw[4 * a : 4 * b] for a, b in zip(ends - sizes, ends, strict=True)]
+                    out += [raw[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(out, pa.binary())], names=["id", "start", "ids"])
 
     if not starts:
         return spark.createDataFrame([], "id long, start long, ids binary")
-    files = spark.createDataFrame(starts, "part int, start long").repartition("part")
-    blocks = cut(files.mapInArrow(list_blocks, "part int, at long, size long, n long, crc long, start long"))
-    return blocks.repartition(F.xxhash64("part", "at")).mapInArrow(read, "id long, start long, ids binary")
+    files = spark.createDataFrame(starts, "part int, start long").repartition(len(starts), "part")
+    runs = cut(files.mapInArrow(list_runs, "part int, blocks array<bigint>"))
+    # by number, so that runs aren't put together by the few bytes that they are before they are read
+    deal = max(1, -(-before // (4 * TOGETHER * BLOCK_TOKENS)))
+    return runs.repartition(deal, F.xxhash64("part", F.col("blocks")[0])).mapInArrow(read, "id long, start long, ids binary")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +373,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    tokens = tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 0)
+    tokens = tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0)
     parts = write_tokens(tokens, folder, 50257)
     got = read_tokens(spark, folder, parts)
     return got.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

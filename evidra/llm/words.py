@@ -71,3 +71,47 @@ class WordIds:
             if len(self.young[k]) > MAX_WORDS:
                 self.old[k], self.young[k] = self.young[k], dict(self.first[k])
         return out
+
+
+class Odd(Exception):
+    """White space for which the rule doesn't hold."""
+
+
+class _Words(dict):
+    """Packed ids of words; a new word is encoded when it is first asked for. Two generations of most words at most."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str, most: int):
+        super().__init__()
+        self.encode, self.before, self.most, self.old = encode, before, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.split() != [word]:
+                raise Odd
+            ids = self.encode(self.before + word)
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+class LazyWordIds:
+    """As WordIds, for encoders of single words that are quick: nothing is gathered before.
+    """
+
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], by_word: bool = True, most: int = 250_000):
+        self.whole, self.by_word, self.line_end = whole, by_word, whole("\n")
+        self.at_start, self.after_space = _Words(word, "", most // 4), _Words(word, " ", most)
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.by_word:
+            first, then = self.at_start.__getitem__, self.after_space.__getitem__
+            try:
+                return self.line_end.join([first(ws[0]) + b"".join(map(then, ws[1:])) for ws in [x.split(" ") for x in text.split("\n")]])
+            except Odd:
+                pass
+        return self.whole(text)
