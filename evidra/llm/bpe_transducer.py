@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, small_batches
-from .words import PATTERN, WordIds
+from .words import MAX_WORDS, PATTERN, WordIds
 
 #: Memoised pieces and states are dropped and built anew beyond these counts, so memory stays bounded.
 MAX_PIECES, MAX_STATES, MAX_PAIRS = 150_000, 200_000, 400_000
@@ -33,8 +33,8 @@ class Transducer:
     written or, where no token may start there any more, those after it that aren't sure yet. States and moves are made when first met.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memory: float = 1.0):
+        self.ranks, self.most_states, self.most_pairs = ranks, MAX_STATES * memory, MAX_PAIRS * memory
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.open = {k[:i] for k in ranks for i in range(1, len(k))}
         self.pairs: dict[int, bool] = {}
@@ -104,7 +104,7 @@ class Transducer:
         key = left << 24 | right
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > MAX_PAIRS:
+            if len(self.pairs) > self.most_pairs:
                 self.pairs.clear()
             get, got = self.ranks.get, True
             others = self.spine(right, 0)
@@ -157,7 +157,7 @@ class Transducer:
         return self._state(pending[used:], tuple(later), common), tuple(out)
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most_states:
             self._reset()
         state, out, moves = self.start, [], self.moves
         for byte in piece:
@@ -183,15 +183,16 @@ class Encoder:
     order, so that those with a common start find its states at hand.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: float = 1.0):
         import regex
 
-        self.find, self.machine = regex.compile(pattern).findall, Transducer(ranks)
+        self.find, self.machine = regex.compile(pattern).findall, Transducer(ranks, memory)
         self.pieces: dict[str, bytes] = {}
-        self.words = WordIds(lambda words: list(map(self._whole, words)), self._whole, pattern == PATTERN)
+        self.most_pieces = MAX_PIECES * memory
+        self.words = WordIds(lambda words: list(map(self._whole, words)), self._whole, pattern == PATTERN, int(MAX_WORDS * memory))
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > MAX_PIECES:
+        if len(self.pieces) > self.most_pieces:
             self.pieces.clear()
         found = self.machine.encode(piece.encode())
         ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
@@ -285,11 +286,11 @@ def _lists(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
 
 
-def _tables(spark: SparkSession, vocabulary: str):
+def _tables(spark: SparkSession, vocabulary: str, memory: float = 1.0):
     """(encoder, decoder) makers for a Python worker, from the file (about 1 MB), which the driver reads and broadcasts."""
     with open(vocabulary, "rb") as file:
         data = spark.sparkContext.broadcast(file.read())
-    encoder = lambda pattern: _once(("encoder", vocabulary, pattern), lambda: Encoder(parse_ranks(data.value), pattern))
+    encoder = lambda pattern: _once(("encoder", vocabulary, pattern, memory), lambda: Encoder(parse_ranks(data.value), pattern, memory))
     decoder = lambda: _once(("decoder", vocabulary), lambda: Utf8Machine({v: k for k, v in parse_ranks(data.value).items()}))
     return encoder, decoder
 
@@ -332,11 +333,14 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, text): encode, then decode of the ids alone, in one Python pass; rows as for encode."""
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memory: float = 1.0) -> DataFrame:
+    """(id, ids, text): encode, then decode of the ids alone, in one Python pass; rows as for encode.
+
+    memory scales what a Python worker remembers (about 400 MB at 1) and keeps after its task.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    encoder, decoder = _tables(spark, vocabulary)
+    encoder, decoder = _tables(spark, vocabulary, memory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, machine = encoder(pattern), decoder()

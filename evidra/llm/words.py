@@ -34,42 +34,45 @@ class WordIds:
     many(strings) encodes strings in sorted order, whole(text) a whole text.
     """
 
-    def __init__(self, many: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], by_word: bool = True):
-        self.many, self.whole, self.by_word = many, whole, by_word
+    def __init__(self, many: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], by_word: bool = True, most: int = MAX_WORDS):
+        self.many, self.whole, self.by_word, self.most = many, whole, by_word, most
         self.line_end = whole("\n")
-        self.first = [{"": b""}, {"": whole(" ")}]  # at a line's start, after a space
-        self.young, self.old = [dict(x) for x in self.first], [{}, {}]
+        self.young: list[dict[str, bytes | None]] = [{}, {}]  # at a line's start, after a space; None: the rule doesn't hold
+        self.old: list[dict[str, bytes | None]] = [{}, {}]
 
     def _meet(self, words: set[str], spaced: int) -> None:
         young, old = self.young[spaced], self.old[spaced]
         new = []
         for w in words:
-            ids = old.get(w)
-            if ids is None:
+            if w in old:
+                young[w] = old[w]
+            elif w.split() == [w]:
                 new.append(w)
-            else:
-                young[w] = ids
+            else:  # empty, or with other white space in it
+                young[w] = None
         new.sort()
         young.update(zip(new, self.many([" " + w for w in new] if spaced else new), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for some in chunks(texts):
-            out += self._some(some)
+            out += self._some(some) if self.by_word else map(self.whole, some)
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_word and len(t.split()) == t.count(" ") + t.count("\n") + 1 for t in texts]
-        lines = [[x.split(" ") for x in t.split("\n")] if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
         self._meet({ws[0] for x in lines for ws in x}.difference(self.young[0]), 0)
         self._meet(set().union(*(ws[1:] for x in lines for ws in x)).difference(self.young[1]), 1)
         head, tail, end = self.young[0].__getitem__, self.young[1].__getitem__, self.line_end
         out = []
-        for text, ok, x in zip(texts, plain, lines, strict=True):
-            out.append(end.join([head(ws[0]) + b"".join(map(tail, ws[1:])) for ws in x]) if ok else self.whole(text) if text else b"")
+        for text, x in zip(texts, lines, strict=True):
+            try:
+                out.append(end.join([head(ws[0]) + b"".join(map(tail, ws[1:])) for ws in x]))
+            except TypeError:  # a word without ids
+                out.append(self.whole(text) if text else b"")
         for k in (0, 1):
-            if len(self.young[k]) > MAX_WORDS:
-                self.old[k], self.young[k] = self.young[k], dict(self.first[k])
+            if len(self.young[k]) > self.most:
+                self.old[k], self.young[k] = self.young[k], {}
         return out
 
 
@@ -80,16 +83,17 @@ class Odd(Exception):
 class _Words(dict):
     """Packed ids of words; a new word is encoded when it is first asked for. Two generations of most words at most."""
 
-    def __init__(self, encode: Callable[[str], bytes], before: str, most: int):
+    def __init__(self, encode: Callable[[str], bytes], line_end: bytes, most: int):
         super().__init__()
-        self.encode, self.before, self.most, self.old = encode, before, most, {}
+        self.encode, self.line_end, self.most, self.old = encode, line_end, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if word.split() != [word]:
+            bare = word[1:] if word[:1] == "\n" else word
+            if bare.split() != [bare]:
                 raise Odd
-            ids = self.encode(self.before + word)
+            ids = self.encode(" " + bare) if bare is word else self.line_end + self.encode(bare)
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
@@ -98,20 +102,18 @@ class _Words(dict):
 
 
 class LazyWordIds:
-    """As WordIds, for encoders of single words that are quick: nothing is gathered before.
-    """
+    """As WordIds, for encoders of single words that are quick: nothing is gathered before."""
 
-    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], by_word: bool = True, most: int = 250_000):
-        self.whole, self.by_word, self.line_end = whole, by_word, whole("\n")
-        self.at_start, self.after_space = _Words(word, "", most // 4), _Words(word, " ", most)
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], most: int):
+        self.word, self.whole = word, whole
+        self.words = _Words(word, whole("\n"), most)
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.by_word:
-            first, then = self.at_start.__getitem__, self.after_space.__getitem__
-            try:
-                return self.line_end.join([first(ws[0]) + b"".join(map(then, ws[1:])) for ws in [x.split(" ") for x in text.split("\n")]])
-            except Odd:
-                pass
-        return self.whole(text)
+        """A word after a line end keeps it in front, so that one look-up gives both."""
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            if first.split() != [first]:
+                raise Odd
+            return self.word(first) + b"".join(map(self.words.__getitem__, rest))
+        except Odd:
+            return self.whole(text) if text else b""
