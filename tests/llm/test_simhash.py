@@ -58,7 +58,7 @@ def test_rows_equal_brute_force(spark):
     assert sorted(((r["id"], r["fp"], r["component"]) for r in got), key=str) == sorted(((i, p, least.get(labels[p])) for i, p in prints), key=str)
 
 
-@pytest.mark.parametrize("bucket", [48, 1024])
+@pytest.mark.parametrize("bucket", [150])
 def test_no_link_is_lost_however_hot_the_buckets(spark, bucket):
     """A dense ball of near copies, chains, and scattered values; small buckets make hot ones split again and again."""
     rng = random.Random(bucket)
