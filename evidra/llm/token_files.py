@@ -28,8 +28,8 @@ from .words import LazyWordIds
 
 MAGIC = b"EVRANS1\n"
 LANES, SCALE_BITS, LOW = 32, 18, np.uint64(1 << 31)
-#: A block ends with the first document that fills it; so many blocks are coded side by side.
-BLOCK_TOKENS, TOGETHER = 16384, 64
+#: A block ends with the first document that fills it; so many blocks are at hand, and so many of like length are coded side by side.
+BLOCK_TOKENS, TOGETHER, ABREAST = 16384, 384, 128
 ABSENT = -(1 << 63)
 
 # ---------------------------------------------------------------- tokenizing
@@ -44,7 +44,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Tokens:
-    """Little-endian 32-bit ids by the tokenizers library; words are encoded by it once and remembered.
+    """Packed ids (16 bits each where the vocabulary fits, else 32) by the tokenizers library; words are encoded by it once and remembered.
 
     A word of letters, with the space before it and one mark after it or not, is one match of the
     pattern (two with the mark): these go straight to the library's model, others through all of it.
@@ -55,21 +55,30 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
+        self.model = self.tokenizer.model.tokenize
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.form = "H" if self.kind.itemsize == 2 else "I"
         self.letters = {ord(chr(b)): c for b, c in byte_letters().items()}
+        self.space = self.letters[32]
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
-        self.words = LazyWordIds(self._word, self._whole, most=150_000)
+        self.words = LazyWordIds(self._word, self._whole, 600_000)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
         mark = self.marks.get(word[-1], b"")
         bare = word[:-1] if mark else word
-        if not bare.lstrip(" ").isalpha() or max(bare) > "\u024f":
+        spaced = bare[:1] == " "
+        letters = bare[1:] if spaced else bare
+        if not letters.isalpha():
             return self._whole(word)
-        ids = [t.id for t in self.model.tokenize(bare.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids) + mark
+        if not letters.isascii():
+            if max(letters) > "\u024f":
+                return self._whole(word)
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model(self.space + letters if spaced else letters)]
+        return struct.pack(f"<{len(ids)}{self.form}", *ids) + mark
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return list(map(self.words, texts))
@@ -86,13 +95,11 @@ def _tokens(model: str) -> Tokens:
     return _made[key]
 
 
-def _pack(ids: bytes) -> bytes:
-    """Ids of one document for the way from task to task: two bytes each where they fit, deflated lightly."""
+def _pack(ids: bytes, width: int) -> bytes:
+    """Ids of one document for the way from task to task, deflated lightly."""
     import zstandard
 
-    wide = np.frombuffer(ids, "<u4")
-    small = not len(wide) or int(wide.max()) < 65536
-    return (b"2" if small else b"4") + zstandard.ZstdCompressor(level=1).compress(wide.astype("<u2").tobytes() if small else ids)
+    return str(width).encode() + zstandard.ZstdCompressor(level=1).compress(ids)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -122,20 +129,38 @@ def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
     return freq.astype(np.uint32)
 
 
+def _alike(sizes: list[int]) -> Iterator[list[int]]:
+    """Places in sizes, ABREAST at a time, those of like size together."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for at in range(0, len(order), ABREAST):
+        yield order[at : at + ABREAST]
+
+
 class Coder:
     def __init__(self, freq: np.ndarray, bits: int = SCALE_BITS):
-        self.bits, self.freq = np.uint64(bits), freq.astype(np.uint64)
-        self.first = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
-        self.limit = self.freq << np.uint64(31 - bits + 32)
+        self.bits, self.freq = np.uint64(bits), freq.astype(np.uint32)
+        self.first = (np.cumsum(freq, dtype=np.int64) - freq).astype(np.uint32)
+        self.symbol = np.append(np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64)), np.uint32(0))  # the last: for tables without a symbol
+        self.room = np.uint64(31 - bits + 32)
         self.mask = np.uint64((1 << bits) - 1)
 
-    def _laid(self, sizes: list[int]) -> tuple[int, np.ndarray]:
-        return -(-max(sizes) // LANES), np.array(sizes)
-
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(blocks)
+        for some in _alike([len(b) for b in blocks]):
+            for k, coded in zip(some, self._encode([blocks[k] for k in some]), strict=True):
+                out[k] = coded
+        return out
+
+    def decode(self, coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+        out: list = [None] * len(coded)
+        for some in _alike(lengths):
+            for k, symbols in zip(some, self._decode([coded[k] for k in some], [lengths[k] for k in some]), strict=True):
+                out[k] = symbols
+        return out
+
+    def _encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         """States and words of each block; blocks go side by side, from their last symbol to the first."""
-        steps, sizes = self._laid([max(1, len(b)) for b in blocks])
+        steps = -(-max([1, *map(len, blocks)]) // LANES)
         symbols = np.zeros((steps, len(blocks), LANES), np.uint32)
         for k, b in enumerate(blocks):
             flat = np.zeros(steps * LANES, np.uint32)
@@ -148,16 +173,16 @@ class Coder:
         for t in range(steps - 1, -1, -1):
             live = t * LANES + lane < lengths[:, None]
             s = symbols[t]
-            f = np.where(live, self.freq[s], np.uint64(1))
-            out = live & (x >= self.limit[s])
+            f = np.where(live, self.freq[s], np.uint32(1)).astype(np.uint64)
+            out = live & (x >= f << self.room)
             sent[t], words[t] = out, x.astype(np.uint32)
             y = np.where(out, x >> np.uint64(32), x)
             q = y // f
             x = np.where(live, (q << self.bits) + (y - q * f) + self.first[s], x)
         return [x[k].astype("<u8").tobytes() + words[:, k][sent[:, k]].astype("<u4").tobytes() for k in range(len(blocks))]
 
-    def decode(self, coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-        steps, _ = self._laid([max(1, n) for n in lengths])
+    def _decode(self, coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+        steps = -(-max([1, *lengths]) // LANES)
         size = np.array(lengths)[:, None]
         x = np.stack([np.frombuffer(c[: 8 * LANES], "<u8") for c in coded]).astype(np.uint64)
         streams = [np.frombuffer(c[8 * LANES :], "<u4") for c in coded]
@@ -237,10 +262,11 @@ def tokenize(docs: DataFrame, model: str, end: int, id_col: str = "doc_id", text
         data = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, tail = _tokens(data.value), struct.pack("<I", end)
+        tokens = _tokens(data.value)
+        tail, width = np.array([end], tokens.kind).tobytes(), tokens.kind.itemsize
         gc.disable()  # words hold no cycles, and there are enough of them to make each collection slow
         for batch in batches:
-            ids = [_pack(x + tail) for x in tokens(batch.column(1).to_pylist())]
+            ids = [_pack(x + tail, width) for x in tokens(batch.column(1).to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
         gc.enable()
 
@@ -364,7 +390,7 @@ def read_tokens(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame
     files = spark.createDataFrame(starts, "part int, start long").repartition(len(starts), "part")
     runs = cut(files.mapInArrow(list_runs, "part int, blocks array<bigint>"))
     # by number, so that runs aren't put together by the few bytes that they are before they are read
-    deal = max(1, -(-before // (4 * TOGETHER * BLOCK_TOKENS)))
+    deal = max(1, -(-before // (TOGETHER * BLOCK_TOKENS)))
     return runs.repartition(deal, F.xxhash64("part", F.col("blocks")[0])).mapInArrow(read, "id long, start long, ids binary")
 
 
