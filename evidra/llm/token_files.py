@@ -170,9 +170,18 @@ class Coder:
         lane = np.arange(LANES)
         x = np.full((len(blocks), LANES), LOW, np.uint64)
         sent, words = np.zeros((steps, len(blocks), LANES), bool), np.zeros((steps, len(blocks), LANES), np.uint32)
+        shortest = int(lengths.min())
         for t in range(steps - 1, -1, -1):
-            live = t * LANES + lane < lengths[:, None]
             s = symbols[t]
+            if (t + 1) * LANES <= shortest:  # all lanes have a symbol here
+                f = self.freq[s].astype(np.uint64)
+                out = np.greater_equal(x, f << self.room, out=sent[t])
+                words[t] = x
+                y = np.where(out, x >> np.uint64(32), x)
+                q = y // f
+                x = (q << self.bits) + (y - q * f) + self.first[s]
+                continue
+            live = t * LANES + lane < lengths[:, None]
             f = np.where(live, self.freq[s], np.uint32(1)).astype(np.uint64)
             out = live & (x >= f << self.room)
             sent[t], words[t] = out, x.astype(np.uint32)
@@ -191,12 +200,19 @@ class Coder:
         ends = at + np.array([len(s) for s in streams])
         out = np.zeros((steps, len(coded), LANES), np.uint32)
         lane = np.arange(LANES)
+        shortest = min(lengths)
         for t in range(steps):
-            live = t * LANES + lane < size
             low = x & self.mask
             s = self.symbol[low.astype(np.int64)]
             out[t] = s
             y = self.freq[s] * (x >> self.bits) + low - self.first[s]
+            if (t + 1) * LANES <= shortest:
+                need = y < LOW
+                where = at[:, None] + np.cumsum(need, axis=1) - 1
+                x = np.where(need, (y << np.uint64(32)) | words[np.where(need, where, 0)], y)
+                at = where[:, -1] + 1
+                continue
+            live = t * LANES + lane < size
             need = live & (y < LOW)
             where = at[:, None] + np.cumsum(need, axis=1) - 1
             more = words[np.where(need, where, 0)]
