@@ -68,12 +68,12 @@ def content_terms(text: Column, stop: tuple[str, ...], least: int = 3, most: int
     return F.slice(F.array_distinct(kept), 1, most)
 
 
-def loosely_in(term: Column, body: Column) -> Column:
+def loosely_in(term: Column, body: Column, squashed: Column | None = None) -> Column:
     """Term in body: as it is, without separators from four letters on, or without a plural s."""
     squash = lambda c: F.regexp_replace(c, r"[\s_.\-]+", "")
     return (
         F.contains(body, term)
-        | ((F.length(squash(term)) >= 4) & F.contains(squash(body), squash(term)))
+        | ((F.length(squash(term)) >= 4) & F.contains(squash(body) if squashed is None else squashed, squash(term)))
         | (F.endswith(term, F.lit("s")) & (F.length(term) > 3) & F.contains(body, F.regexp_replace(term, "s$", "")))
     )
 

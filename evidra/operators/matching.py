@@ -74,8 +74,8 @@ def coverage(requirements: DataFrame, requirement: str, text: str, corpora: Data
     """
     wanted = requirements.select(F.col(requirement).alias("requirement"), content_terms(F.col(text), STOP).alias("terms")).filter(F.size("terms") > 0)
     lists = wanted.agg(F.array_sort(F.collect_list(F.struct("requirement", "terms"))).alias("all"))
-    rows = corpora.select(entity, F.lower(body).alias("body"), F.col(weight).alias("w")).join(F.broadcast(lists))  # one row
-    rows = rows.select(entity, "body", "w", F.explode("all").alias("x")).select(entity, "w", F.col("x.requirement").alias("requirement"), F.col("x.terms").alias("terms"), F.filter("x.terms", lambda t: loosely_in(t, F.col("body"))).alias("found"))
+    rows = corpora.select(entity, F.lower(body).alias("body"), F.regexp_replace(F.lower(body), r"[\s_.\-]+", "").alias("squashed"), F.col(weight).alias("w")).join(F.broadcast(lists))  # one row
+    rows = rows.select(entity, "body", "squashed", "w", F.explode("all").alias("x")).select(entity, "w", F.col("x.requirement").alias("requirement"), F.col("x.terms").alias("terms"), F.filter("x.terms", lambda t: loosely_in(t, F.col("body"), F.col("squashed"))).alias("found"))
     got = rows.groupBy(entity, "requirement").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("covered"), F.max(F.size("terms")).alias("terms"),
         F.max(F.when(F.size("found") > 0, F.col("w")).otherwise(0)).alias("best"), F.max("w").alias("reliable"),
