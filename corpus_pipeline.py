@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import bpe_transducer, line_dedup, mixing, rule_quality, simhash
+from evidra.llm import bpe_transducer, line_dedup, mixing, near_sets, rule_quality
 from evidra.llm.common import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id (rows that share it and its text stay together)."""
-    groups = simhash.near_duplicates(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more): the one with the least id (rows that share it and its text stay together)."""
+    groups = near_sets.near_duplicates(docs)
     kept = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 

@@ -20,17 +20,22 @@ PLAN_SAMPLE = 2000
 ROW_COST = 40.0
 
 
-def simhash(text: str, words_per: int = SHINGLE) -> int:
-    """Signed 64 bits: bit b is set if over half the shingle hashes have it; 0 without a word."""
+def shingle_hashes(text: str, words_per: int = SHINGLE) -> np.ndarray:
+    """A hash for each shingle, repeated ones too; of all words, if fewer; none without a word."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone are lower-cased, ASCII white space alone splits
     if not words:
-        return 0
+        return np.array([], np.uint64)
     last = max(1, len(words) - words_per + 1)
     shingles = map(b" ".join, zip(*(words[i : i + last] for i in range(words_per)), strict=True)) if len(words) >= words_per else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64, last)
+    return np.fromiter((digest(s, 42) for s in shingles), np.uint64, last)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64 bits: bit b is set if over half the hashes have it; 0 without a hash."""
+    last = len(hashes)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, last, 65536):
         ones += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -38,6 +43,11 @@ def simhash(text: str, words_per: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def simhash(text: str, words_per: int = SHINGLE) -> int:
+    """Signed 64 bits: bit b is set if over half the shingle hashes have it; 0 without a word."""
+    return fingerprint(shingle_hashes(text, words_per))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) for every row of docs."""
     small_batches(docs.sparkSession)
