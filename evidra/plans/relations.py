@@ -60,13 +60,21 @@ def concurrency_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis.models(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", rules)
 
 
-def family_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts joined by sharing a plain name and brand, or a size and price; families by the least part."""
-    part = table(spark, sf_dir, "part").filter("p_size <= 3")
+def _part_families(part: DataFrame) -> DataFrame:
     keys = part.select("p_partkey", F.concat_ws("|", F.lit("n"), "p_brand", "p_name").alias("k")).union(part.select("p_partkey", F.concat_ws("|", F.lit("s"), "p_size", "p_type", "p_brand")))
     return synthesis.families(keys, "p_partkey", "k").groupBy("family").agg(F.count("*").alias("members"))
 
 
+def family_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of size 3 or less alone, as its SQL has it, joined by sharing a name and brand, or a size, type and brand; families by the least part."""
+    return _part_families(table(spark, sf_dir, "part").filter("p_size <= 3"))
+
+
+def family_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same families over all parts."""
+    return _part_families(table(spark, sf_dir, "part"))
+
+
 def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers within two steps of the first five, over the parts that they share with their first customers' orders."""
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
@@ -130,7 +138,7 @@ def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_copy_clusters, name_clusters, dice_similarity, fork_fold, overlapping_dependencies, version_conflicts, naming_conflicts, concurrency_models, family_components, bounded_bfs,
+    exact_copy_clusters, name_clusters, dice_similarity, fork_fold, overlapping_dependencies, version_conflicts, naming_conflicts, concurrency_models, family_components, family_components_whole, bounded_bfs,
     minimal_set, constraint_filter, alternatives_topk, verification_checks, verification_confidence, shared_selection, build_order,
 )}
 
@@ -166,6 +174,11 @@ SQL = {
         r as (select v as origin, v as reached from k union select origin, b from r join e on a = reached),
         f as (select origin, min(reached) as family from r group by 1)
         select family, count(*) as members from f group by 1""",
+    "family_components_whole": """with recursive k as (select p_partkey as v, 'n|' || p_brand || '|' || p_name as k from part union all select p_partkey, 's|' || p_size || '|' || p_type || '|' || p_brand from part),
+        e as (select distinct a.v as a, b.v as b from k a join k b on a.k = b.k),
+        r as (select v as origin, v as reached from k union select origin, b from r join e on a = reached),
+        f as (select origin, min(reached) as family from r group by 1)
+        select family, count(*) as members from f group by 1""",
     "bounded_bfs": """with recursive i as (select distinct l_suppkey, l_partkey from lineitem), h as (select l_partkey, min(l_suppkey) as hub from i group by 1),
         e as (select distinct hub as src, l_suppkey as dst from i join h using (l_partkey) where l_suppkey <> hub),
         f as (select src, dst from e qualify row_number() over (partition by src order by dst) <= 6),

@@ -28,3 +28,8 @@ def test_entry(spark):
 def test_plans_stay_in_the_jvm_without_products(spark, sf_dir, name):
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_families_cover_all_parts(spark, sf_dir):
+    got = catalogue.QUERIES["family_components_whole"](spark, sf_dir).collect()
+    assert sum(r["members"] for r in got) == spark.read.parquet(f"{sf_dir}/part.parquet").count()
