@@ -43,19 +43,28 @@ def description_key(text: str, over: int = 40) -> Column:
     return F.when(F.length(clean) > over, F.sha2(clean, 256))
 
 
-def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(v, label): the least member of each component. Labels spread over links and jump to their own label's label."""
+def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(v, label): the least member of each component.
+
+    Each round a class hooks to the least label that any of its members sees; hooks are followed
+    to their ends by halving, until no class sees a lesser one. Two rounds leave half the classes
+    at most, whatever the order of ids.
+    """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct().persist()
-    labels = both.groupBy(F.col("x").alias("v")).agg(F.least(F.col("x"), F.min("y")).alias("label"))
-    for _ in range(rounds):
+    labels = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.col("x"), F.min("y")).alias("label")))
+    while True:
         near = both.join(labels, F.col("y") == F.col("v")).groupBy("x").agg(F.min("label").alias("least"))
-        lower = labels.join(near, F.col("v") == F.col("x")).select("v", "label", F.least("label", "least").alias("low"))
-        jump = lower.select(F.col("v").alias("w"), F.col("low").alias("jump"))
-        new = lower.join(jump, F.col("low") == F.col("w")).select("v", "label", F.least("low", "jump").alias("new"))
-        new = cut(new)
-        labels = new.select("v", F.col("new").alias("label"))
-        if not new.filter("new < label").limit(1).count():
+        seen = labels.join(near, F.col("v") == F.col("x")).groupBy("label").agg(F.min(F.least("label", "least")).alias("to"))
+        hooks = cut(seen)
+        if not hooks.filter("to < label").limit(1).count():
             break
+        while True:
+            ends = hooks.select(F.col("label").alias("w"), F.col("to").alias("end"))
+            ahead = cut(hooks.join(ends, F.col("to") == F.col("w")).select("label", "to", "end"))
+            hooks = ahead.select("label", F.col("end").alias("to"))
+            if not ahead.filter("end < to").limit(1).count():
+                break
+        labels = cut(labels.join(hooks, "label").select("v", F.col("to").alias("label")))
     both.unpersist()
     return labels
 

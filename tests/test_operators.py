@@ -85,6 +85,15 @@ def test_components_of_random_links_equal_union_find(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_long_paths_are_one_component_in_few_rounds(spark, monkeypatch):
+    cuts, plain = [], clusters.cut
+    monkeypatch.setattr(clusters, "cut", lambda df: cuts.append(1) or plain(df))
+    path = [*range(1, 101), 0]  # the least id is at the far end
+    got = clusters.connected(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")).collect()
+    assert {(r["v"], r["label"]) for r in got} == {(v, 0) for v in path}
+    assert len(cuts) < 3 * 12
+
+
 def test_archived_original_yields_to_a_live_fork(spark):
     rows = spark.createDataFrame([("g", "old", True, 10, 20000, False), ("g", "live", False, 10, 300, True)], "g string, e string, archived boolean, days int, stars long, fork boolean")
     rows = rows.withColumn("s", clusters.representative_score(*map(F.col, ("archived", "days", "stars", "fork"))))
