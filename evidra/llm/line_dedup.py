@@ -57,7 +57,7 @@ def prefix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     which doubles the length. Suffixes with equal rank r_k are one interval of the suffix array
     with a common prefix of 2**k lines; a null rank has no other suffix in its interval.
     """
-    rows = _ranked(lines, ["a", "b"], "r0").filter(F.col("r0").isNotNull()).drop("a", "b")
+    rows = _ranked(lines, ["a", "b"], "r0").filter(F.col("r0").isNotNull()).drop("a", "b").distinct()  # repeated rows are one document
     length, k = 1, 0
     while length * 2 <= depth:
         ahead = Window.partitionBy(*_KEY).orderBy("i").rangeBetween(length, length)

@@ -78,3 +78,11 @@ def test_empty_table(spark):
 
 def test_query_equals_sql(spark, sf_dir):
     assert spark_rows(registry.QUERIES["op2_line_dedup"](spark, sf_dir)) == sql_rows(registry.SQL["op2_line_dedup"], sf_dir)
+
+
+def test_passages_of_short_lines_in_repeated_rows(spark):
+    passage = "\n".join(f"short line number {k}" for k in range(15))
+    rows = [(1, passage + "\nend of one", None, "s", 0)] + [(2, "start of two\n" + passage, None, "s", 0)] * 3
+    got = line_dedup.dedup_lines(R.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"], r["_removed"]) for r in got) == brute(rows, 10)
+    assert [r["_removed"] for r in got if r["doc_id"] == 2] == [15] * 3
