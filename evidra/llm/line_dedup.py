@@ -1,4 +1,4 @@
-"""Line dedup: ranks of line sequences by prefix doubling; later copies of repeated runs go."""
+"""Line dedup: intervals of the suffix array over line ids, by prefix doubling; later copies of maximal repeated runs go."""
 
 from __future__ import annotations
 
@@ -10,93 +10,148 @@ from .common import BitFilter, cut, documents
 
 #: A run counts as repeated if it has this many words.
 MIN_WORDS = 10
-_KEY = ["_none", "_id", "_h"]
+#: A document: nulls last, then id, then hash of the text.
+KEY = ["none", "id", "h"]
+_BLANKS = " \t\n\x0b\x0c\r"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _place() -> Column:
-    return F.struct(*_KEY, "i")
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the columns of the document's key: nulls last, id, hash of the text."""
-    return docs.withColumns({"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col), F.lit(0)), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    zero = F.lit(0).cast(docs.schema[id_col].dataType)
+    return [F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), zero).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, i, at, a, b, words): the lines that aren't blank, numbered i, at their place in the text, as 128-bit ids."""
-    line = lambda x: F.rtrim(F.regexp_replace(x, r"[\x09-\x0D]+$", ""))
-    rows = _keyed(docs, id_col, text_col).select(*_KEY, F.filter(F.transform(_lines(F.col(text_col)), lambda x, p: F.struct(p.alias("at"), line(x).alias("line"))), lambda s: s["line"].rlike(r"[^\x20\x09-\x0D]")).alias("all"))
-    rows = rows.select(*_KEY, F.posexplode("all").alias("i", "x"))
-    words = F.regexp_count("x.line", F.lit(r"[^\x20\x09-\x0D]+"))
-    return rows.select(*_KEY, "i", F.col("x.at").alias("at"), F.xxhash64("x.line").alias("a"), F.xxhash64(F.lit("line"), F.col("x.line")).alias("b"), words.alias("words"))
-
+def _full(line: Column) -> Column:
+    """Whether a line isn't blank; the first character mostly tells."""
+    return (F.ascii(line) > 32) | line.rlike(_WORD)
 
-def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """rows with a rank of the class they form by those columns: the place of its first member, null if it has one member.
 
-    A class's size and first place are summed before they are dealt; the classes are cut before
-    the join, so that both sides are dealt anew and AQE may split a class that many rows share.
+def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, i, a, b, words): the lines that aren't blank, numbered i, without white space at their end, as 128-bit ids."""
+    lines = docs.select(*_key(docs, id_col, text_col), F.posexplode(F.filter(_lines(F.col(text_col)), _full)).alias("i", "raw"))
+    spaced = F.col("raw").endswith(" ")
+    for c in _BLANKS[1:]:
+        spaced = spaced | F.col("raw").endswith(c)
+    lines = lines.withColumn("line", F.when(spaced, F.rtrim("raw", F.lit(_BLANKS))).otherwise(F.col("raw")))
+    return lines.select(*KEY, "i", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), F.regexp_count("line", F.lit(_WORD + "+")).alias("words"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(key, d) of each document in rows: the place of its first line if all documents stand one after another, in order of
+    their keys, with a free place after each. Ranges of keys are summed on their own; one total a range reaches the driver."""
+    rooms = rows.groupBy(*KEY).agg((F.max("i") + 2).cast("long").alias("room")).repartitionByRange(*KEY)
+    rooms = cut(rooms.withColumn("range", F.spark_partition_id()))
+    before, at = [], 0
+    for r in sorted(rooms.groupBy("range").agg(F.sum("room").alias("room")).collect()):
+        before.append((r["range"], at))
+        at += r["room"]
+    before = rows.sparkSession.createDataFrame(before, "range int, base long")
+    inside = F.sum("room").over(Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1))
+    return rooms.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "range").select(*KEY, (F.col("base") + F.col("inside")).alias("d"))
+
+
+def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose class by those columns has several places, with r, the first of these: the rank of their interval.
+
+    The extreme places of a class are found before it is dealt; the classes are cut before the
+    join, so that both sides are dealt anew and AQE may split a class that many rows share.
     """
-    classes = rows.groupBy(*by).agg(F.min(_place()).alias(name), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    classes = cut(classes.withColumnsRenamed({c: f"_c{k}" for k, c in enumerate(by)}))
-    match = None
+    classes = rows.groupBy(*by).agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low <> high")
+    classes = cut(classes.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(by)], "low"))
+    match = F.lit(True)
     for k, c in enumerate(by):
-        part = F.col(c) == F.col(f"_c{k}")
-        match = part if match is None else match & part
-    return rows.join(classes, match, "left").drop(*[f"_c{k}" for k in range(len(by))])
+        match = match & (F.col(c) == F.col(f"c{k}"))
+    return rows.join(classes, match).select(*[c for c in rows.columns if c not in by], F.col("low").alias("r"))
 
 
-def prefix_ranks(lines: DataFrame, depth: int) -> DataFrame:
-    """The suffixes whose first line is repeated, with r0, r1, ...: ranks by their first 1, 2, 4, ... depth lines.
+def prefix_doubling(lines: DataFrame) -> list[DataFrame]:
+    """Level k holds (p, d, r) for each suffix p that shares its first 2**k lines with another: r is the first such suffix.
 
-    A round pairs each suffix's rank with that of the suffix as many lines on and ranks the pairs,
-    which doubles the length. Suffixes with equal rank r_k are one interval of the suffix array
-    with a common prefix of 2**k lines; a null rank has no other suffix in its interval.
+    Suffixes of one rank are one interval of the suffix array. A round pairs each suffix's rank
+    with that of the suffix 2**k lines on and ranks the pairs; the last level is the first
+    without an interval, so runs of any length are ranked.
+    """
+    levels = [lines]
+    while not levels[-1].isEmpty():
+        length = 1 << (len(levels) - 1)
+        ahead = Window.partitionBy("d").orderBy("p").rangeBetween(length, length)
+        paired = levels[-1].select("p", "d", F.col("r").alias("x"), F.first("r").over(ahead).alias("y")).filter("y is not null")
+        levels.append(cut(ranked(paired, ["x", "y"])))
+    return levels[:-1] or levels
+
+
+def longest_copies(levels: list[DataFrame]) -> DataFrame:
+    """(p, d, first, size): each suffix that shares lines with an earlier one, with the most lines that it so shares and the
+    earliest suffix that shares them. Rows of one (first, size) are, with first, an interval of that longest common prefix.
+
+    A suffix starts in the longest interval of 2**k lines of which it isn't the first. A round,
+    with lengths falling by half, parts each interval by the rank of what follows the common
+    prefix: who isn't the first of its part goes on with the part's prefix. The first of a part
+    speaks for it in the interval, so a suffix is not the first in one interval at most and rows never grow.
     """
-    rows = _ranked(lines, ["a", "b"], "r0").filter(F.col("r0").isNotNull()).drop("a", "b").distinct()  # repeated rows are one document
-    length, k = 1, 0
-    while length * 2 <= depth:
-        ahead = Window.partitionBy(*_KEY).orderBy("i").rangeBetween(length, length)
-        # without a partner a suffix pairs with itself, so it is alone and no null is dealt to one task
-        rows = rows.withColumn("x", F.coalesce(f"r{k}", _place())).withColumn("y", F.coalesce(F.first(f"r{k}").over(ahead), F.struct(*_KEY, (-1 - F.col("i")).alias("i"))))
-        rows = cut(_ranked(rows, ["x", "y"], f"r{k + 1}").drop("x", "y"))
-        length, k = length * 2, k + 1
+    later = None
+    for k, level in enumerate(levels):
+        some = level.filter("r <> p").select("p", F.struct(F.lit(1 << k).cast("long").alias("size"), F.col("r").alias("first"), "d").alias("top"))
+        later = some if later is None else later.union(some)
+    rows = cut(later.groupBy("p").agg(F.max("top").alias("top")).select("p", "top.d", "top.first", "top.size"))
+    for k in range(len(levels) - 2, -1, -1):
+        live, rest = rows.filter(F.col("size") >= 2 << k), rows.filter(F.col("size") < 2 << k)
+        firsts = live.select("first", "size").distinct().select(F.col("first").alias("p"), F.lit(-1).cast("long").alias("d"), "first", "size")
+        after = levels[k].select(F.col("p").alias("q"), F.col("r").alias("y"))
+        parted = cut(live.select("p", "d", "first", "size").union(firsts).join(after, F.col("p") + F.col("size") == F.col("q"), "left").drop("q"))
+        parts = parted.filter("y is not null").groupBy("first", "size", "y").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low <> high")
+        parts = cut(parts.select(F.col("first").alias("f"), F.col("size").alias("s"), F.col("y").alias("z"), "low"))
+        told = parted.filter("p <> first").join(parts, (F.col("first") == F.col("f")) & (F.col("size") == F.col("s")) & (F.col("y") == F.col("z")), "left")
+        on = F.coalesce(F.col("low") < F.col("p"), F.lit(False))
+        told = told.select("p", "d", F.when(on, F.col("low")).otherwise(F.col("first")).alias("first"), (F.col("size") + F.when(on, 1 << k).otherwise(0)).alias("size"))
+        rows = cut(told.union(rest.select("p", "d", "first", "size")))
     return rows
 
 
-def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, drop array<int>): the places of lines in later copies of repeated runs of min_words or more.
+def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, runs array<struct(start, stop)>): which lines that aren't blank (numbered, stop exclusive, runs apart and in order) are later copies.
 
-    A line goes if and only if a run of whole lines around it has the words and occurs earlier (in
-    order of id, then place). Of such runs those are enough that fall short without their first or
-    without their last line: they have min_words lines at most, so ranks of that depth decide
-    all runs, however long. A run of L lines is told by the ranks of its first and its last 2**k
-    lines, 2**k <= L < 2**(k+1).
+    Of all runs of whole lines that occur before (in order of key, then place) those are taken
+    that no longer one holds; they count if they have min_words. Runs that meet are one.
     """
-    lines = cut(sequences(docs, id_col, text_col))
-    depth = 1 << (max(1, min_words).bit_length() - 1)
-    rows = prefix_ranks(lines, depth)
-    levels = depth.bit_length()
-    item = F.struct("i", "at", "words", *[f"r{k}" for k in range(levels)])
-    ahead = Window.partitionBy(*_KEY).orderBy("i").rowsBetween(0, min_words - 1)
-    rows = rows.withColumn("run", F.collect_list(item).over(ahead))
-    rows = rows.withColumn("run", F.filter("run", lambda s, j: s["i"] == F.col("i") + j))
-    runs = []
-    for size in range(1, min_words + 1):
-        k = size.bit_length() - 1
-        total = F.aggregate(F.slice("run", 1, size), F.lit(0), lambda t, s: t + s["words"])
-        first, last = F.col("run")[0]["words"], F.get("run", F.lit(size - 1))["words"]
-        least = (total >= min_words) & ((total - first < min_words) | (total - last < min_words))
-        head, tail = F.col(f"r{k}"), F.get("run", F.lit(size - (1 << k)))[f"r{k}"]
-        ok = (F.size("run") >= size) & least & head.isNotNull() & tail.isNotNull()
-        runs.append(F.when(ok, F.struct(F.lit(size).alias("size"), head.alias("head"), tail.alias("tail"), F.transform(F.slice("run", 1, size), lambda s: s["at"]).alias("at"))))
-    found = rows.select(*_KEY, "i", F.explode(F.array_compact(F.array(*runs))).alias("w")).select(*_KEY, "i", "w.*")
-    later = _ranked(cut(found), ["size", "head", "tail"], "first").filter(F.col("first").isNotNull() & (F.col("first") != _place()))
-    return later.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("drop"))
+    rows = cut(sequences(docs, id_col, text_col))
+    often = rows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
+    rows = BitFilter(often, "a", "b", bits=1 << 25).mark(rows, "hit").filter("hit").drop("hit").dropDuplicates([*KEY, "i"])  # repeated rows are one document
+    rows = cut(rows)
+    places = cut(starts(rows))
+    lines = rows.join(places, KEY).select((F.col("d") + F.col("i")).alias("p"), "d", "a", "b", "words")
+    ordered = Window.partitionBy("d").orderBy("p")
+    lines = cut(ranked(lines, ["a", "b"]).withColumn("upto", F.sum("words").over(ordered)))
+    copies = longest_copies(prefix_doubling(lines.select("p", "d", "r")))
+
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    runs = copies.select("p", "d", (F.col("p") + F.col("size")).alias("stop"))
+    runs = runs.withColumn("reach", F.max("stop").over(before)).filter("reach is null or stop > reach")
+    head = lines.select(F.col("p").alias("p1"), (F.col("upto") - F.col("words")).alias("less"))
+    last = lines.select(F.col("p").alias("p2"), "upto")
+    runs = runs.join(head, F.col("p") == F.col("p1")).join(last, F.col("stop") - 1 == F.col("p2")).filter(F.col("upto") - F.col("less") >= min_words)
+    runs = runs.withColumn("apart", F.coalesce(F.col("p") > F.max("stop").over(before), F.lit(True)).cast("int"))
+    runs = runs.withColumn("island", F.sum("apart").over(ordered)).groupBy("d", "island").agg(F.min("p").alias("p"), F.max("stop").alias("stop"))
+    runs = runs.groupBy("d").agg(F.array_sort(F.collect_list(F.struct((F.col("p") - F.col("d")).cast("int").alias("start"), (F.col("stop") - F.col("d")).cast("int").alias("stop")))).alias("runs"))
+    return runs.join(places, "d").select(*KEY, "runs")
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """text without the lines of runs; the blank ones among them stay."""
+
+    def rest(lines: Column, full: Column) -> Column:
+        part = lambda low, high: F.slice(lines, low + 1, high - low)
+        after = lambda r: F.get(full, r["stop"] - 1) + 1
+        piece = lambda r, k: F.concat(part(F.when(k > 0, after(F.get(runs, k - 1))).otherwise(0), F.get(full, r["start"])), F.filter(part(F.get(full, r["start"]), after(r)), lambda x: ~_full(x)))
+        return F.array_join(F.concat(F.flatten(F.transform(runs, piece)), part(after(F.element_at(runs, -1)), F.size(lines))), "\n")
+
+    # arrays of one element bind what would else be made anew for each run
+    places = lambda lines: F.array_compact(F.transform(lines, lambda x, k: F.when(_full(x), k)))
+    return F.transform(F.array(_lines(text)), lambda lines: F.transform(F.array(places(lines)), lambda full: rest(lines, full))[0])[0]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -108,18 +163,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text has no lines and stays null; null ids come after all others; rows with the same id
     and text are one document and get the same result; an empty table gives an empty result;
-    other columns pass through (a column _removed is replaced; _none, _id, _h, _hit and drop are
-    taken).
+    other columns pass through, whatever their names (a column _removed is replaced).
     """
-    drops = cut(repeated_places(docs, id_col, text_col, min_words).withColumnsRenamed({k: f"{k}2" for k in _KEY}))
-    keyed = _keyed(docs.drop("_removed"), id_col, text_col)
-    marked = BitFilter(drops.select(*[F.col(f"{k}2").alias(k) for k in _KEY]), *_KEY).mark(keyed, "_hit")
-    kept = F.filter(F.transform(_lines(F.col(text_col)), lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda s: ~F.array_contains("drop", s["p"]))
-    joined = marked.filter("_hit").join(drops, [F.col(k) == F.col(f"{k}2") for k in _KEY], "left")
-    text = F.when(F.size("drop") > 0, F.array_join(F.transform(kept, lambda s: s["x"]), "\n")).otherwise(F.col(text_col))
-    changed = joined.withColumn("_removed", F.when(F.col("drop").isNotNull(), F.size("drop")).otherwise(0)).withColumn(text_col, text)
-    same = marked.filter("not _hit").withColumn("_removed", F.lit(0))
-    return same.select(*docs.drop("_removed").columns, "_removed").unionByName(changed.select(*docs.drop("_removed").columns, "_removed"))
+    runs = cut(maximal_runs(docs, id_col, text_col, min_words))
+    names = [c for c in docs.columns if c != "_removed"]
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), *_key(docs, id_col, text_col))
+    marked = BitFilter(runs, *KEY).mark(rows, "hit")
+    found = marked.filter("hit").join(runs, KEY, "left")
+    text = F.when(F.col("runs").isNotNull(), _without(F.col("row")[text_col], F.col("runs"))).otherwise(F.col("row")[text_col])
+    gone = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0))
+    changed = found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], gone.alias("_removed"))
+    return marked.filter("not hit").select(*[F.col("row")[c].alias(c) for c in names], F.lit(0).alias("_removed")).unionByName(changed)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
