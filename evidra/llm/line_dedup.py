@@ -69,18 +69,18 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def prefix_doubling(lines: DataFrame) -> list[DataFrame]:
-    """Level k holds (p, d, r) for each suffix p that shares its first 2**k lines with another: r is the first such suffix.
+    """Level k holds (p, d, n, r) for each suffix p that shares its first n = 2**k lines with another: r is the first such suffix.
 
     Suffixes of one rank are one interval of the suffix array. A round pairs each suffix's rank
-    with that of the suffix 2**k lines on and ranks the pairs; the last level is the first
-    without an interval, so runs of any length are ranked.
+    with that of the suffix n lines on and ranks the pairs; the last level is the first without an
+    interval, so runs of any length are ranked. Lengths are columns: every round is the same
+    plan, whose code is made once.
     """
-    levels = [lines]
+    levels = [lines.withColumn("n", F.lit(1).cast("long"))]
+    step = Window.partitionBy("d", F.col("p") % F.col("n")).orderBy("p")
     while not levels[-1].isEmpty():
-        length = 1 << (len(levels) - 1)
-        ahead = Window.partitionBy("d").orderBy("p").rangeBetween(length, length)
-        paired = levels[-1].select("p", "d", F.col("r").alias("x"), F.first("r").over(ahead).alias("y")).filter("y is not null")
-        levels.append(cut(ranked(paired, ["x", "y"])))
+        paired = levels[-1].select("p", "d", (2 * F.col("n")).alias("n"), (F.lead("p").over(step) == F.col("p") + F.col("n")).alias("near"), F.col("r").alias("x"), F.lead("r").over(step).alias("y"))
+        levels.append(cut(ranked(paired.filter("near").drop("near"), ["x", "y"])))
     return levels[:-1] or levels
 
 
@@ -88,27 +88,28 @@ def longest_copies(levels: list[DataFrame]) -> DataFrame:
     """(p, d, first, size): each suffix that shares lines with an earlier one, with the most lines that it so shares and the
     earliest suffix that shares them. Rows of one (first, size) are, with first, an interval of that longest common prefix.
 
-    A suffix starts in the longest interval of 2**k lines of which it isn't the first. A round,
-    with lengths falling by half, parts each interval by the rank of what follows the common
-    prefix: who isn't the first of its part goes on with the part's prefix. The first of a part
-    speaks for it in the interval, so a suffix is not the first in one interval at most and rows never grow.
+    A suffix starts in the longest interval of n lines of which it isn't the first. A round, with
+    n falling by half, parts each longer interval by the rank of what follows the common prefix:
+    who isn't the first of its part goes on with the part's prefix. The first of a part speaks
+    for it in the interval, so a suffix is not the first in one interval at most and rows never grow.
     """
     later = None
-    for k, level in enumerate(levels):
-        some = level.filter("r <> p").select("p", F.struct(F.lit(1 << k).cast("long").alias("size"), F.col("r").alias("first"), "d").alias("top"))
+    for level in levels:
+        some = level.filter("r <> p").select("p", F.struct(F.col("n").alias("size"), F.col("r").alias("first"), "d").alias("top"))
         later = some if later is None else later.union(some)
-    rows = cut(later.groupBy("p").agg(F.max("top").alias("top")).select("p", "top.d", "top.first", "top.size"))
-    for k in range(len(levels) - 2, -1, -1):
-        live, rest = rows.filter(F.col("size") >= 2 << k), rows.filter(F.col("size") < 2 << k)
-        firsts = live.select("first", "size").distinct().select(F.col("first").alias("p"), F.lit(-1).cast("long").alias("d"), "first", "size")
-        after = levels[k].select(F.col("p").alias("q"), F.col("r").alias("y"))
-        parted = cut(live.select("p", "d", "first", "size").union(firsts).join(after, F.col("p") + F.col("size") == F.col("q"), "left").drop("q"))
+    rows = cut(later.groupBy("p").agg(F.max("top").alias("top")).select("p", "top.d", "top.first", "top.size", F.lit(1 << len(levels)).cast("long").alias("n")))
+    for level in reversed(levels[:-1]):
+        rows = rows.withColumn("n", F.shiftright("n", 1))  # twice the level's n: intervals of so many lines or more are parted
+        live, rest = rows.filter(F.col("size") >= F.col("n")), rows.filter(F.col("size") < F.col("n"))
+        firsts = live.select("first", "size", "n").distinct().select(F.col("first").alias("p"), F.lit(-1).cast("long").alias("d"), "first", "size", "n")
+        after = level.select(F.col("p").alias("q"), F.col("r").alias("y"))
+        parted = cut(live.select("p", "d", "first", "size", "n").union(firsts).join(after, F.col("p") + F.col("size") == F.col("q"), "left").drop("q"))
         parts = parted.filter("y is not null").groupBy("first", "size", "y").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low <> high")
         parts = cut(parts.select(F.col("first").alias("f"), F.col("size").alias("s"), F.col("y").alias("z"), "low"))
         told = parted.filter("p <> first").join(parts, (F.col("first") == F.col("f")) & (F.col("size") == F.col("s")) & (F.col("y") == F.col("z")), "left")
         on = F.coalesce(F.col("low") < F.col("p"), F.lit(False))
-        told = told.select("p", "d", F.when(on, F.col("low")).otherwise(F.col("first")).alias("first"), (F.col("size") + F.when(on, 1 << k).otherwise(0)).alias("size"))
-        rows = cut(told.union(rest.select("p", "d", "first", "size")))
+        told = told.select("p", "d", F.when(on, F.col("low")).otherwise(F.col("first")).alias("first"), (F.col("size") + F.when(on, F.shiftright("n", 1)).otherwise(0)).alias("size"), "n")
+        rows = cut(told.union(rest.select("p", "d", "first", "size", "n")))
     return rows
 
 
@@ -120,7 +121,7 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = cut(sequences(docs, id_col, text_col))
     often = rows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
-    rows = BitFilter(often, "a", "b", bits=1 << 25).mark(rows, "hit").filter("hit").drop("hit").dropDuplicates([*KEY, "i"])  # repeated rows are one document
+    rows = BitFilter(often, "a", "b", bits=1 << 24).mark(rows, "hit").filter("hit").drop("hit").dropDuplicates([*KEY, "i"])  # repeated rows are one document
     rows = cut(rows)
     places = cut(starts(rows))
     lines = rows.join(places, KEY).select((F.col("d") + F.col("i")).alias("p"), "d", "a", "b", "words")
