@@ -16,15 +16,14 @@ _ACCESS = r"AKIA[A-Z0-9]+"
 _HEX = r"[0-9a-f]+"
 #: Runs of 20 or more characters of keys, with a digit and a letter among them.
 _CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character class of a candidate (the first that fits), window length, least bits per character.
 CLASSES = ((r"^[0-9a-fA-F]+$", 16, 2.8), (r"^[A-Z0-9]+$", 20, 3.4), (r"^[A-Za-z0-9]+$", 20, 3.6), (r".", 20, 3.8))
-#: What looks random but is public: UUIDs, placeholders, names made of words, paths, rulers.
+#: What looks random but is public: UUIDs, placeholders, names made of words, paths, rulers. Groups that repeat are possessive, so that long strings need no stack.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|placeholder|changeme|dummy|your[-_]|xxxx|0123456789|1234567890|abcdef",
-    r"^(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)+(?:[A-Za-z]*[0-9]{0,4})$",
-    r"^(?:[0-9]+[-_/+=])*[0-9]+$",
+    r"^(?:[A-Za-z]++[0-9]{0,4}+[-_/+=]++)++[A-Za-z]*+[0-9]{0,4}+$",
+    r"^(?:[0-9]++[-_/+=])*+[0-9]++$",
     r"(.)\1{7}",
 )
 _UNIT = 1_000_000
@@ -53,29 +52,56 @@ def _found(text: Column, hint: Column, pattern: str, value_group: int, least: in
 def _windows(hit: Column, size: int, least: float) -> Column:
     """struct(low, high): the first and last window of size characters with the least entropy, or nulls.
 
-    One pass: each step adds the entering character and takes away the leaving one, and changes
-    the sum of c * log2(c) by those two counts only (in integer millionths, so it never drifts).
+    A character that enters and one that leaves each change the window's sum of c * log2(c) by
+    their own counts only, which are those among the last size characters; the sum goes from
+    window to window (in integer millionths, so it never drifts). The work is in proportion to
+    the string's length times size.
     """
     g = F.array(*[F.lit(round(c * math.log2(c) * _UNIT) if c else 0).cast("bigint") for c in range(size + 2)])
     limit = round((math.log2(size) - least) * size * _UNIT)
-    code = lambda at: F.instr(F.lit(_ALPHABET), F.substring(hit, at, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("c"), F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
-
-    def step(state: Column, at: Column) -> Column:
-        enters, leaves = code(at), F.when(at > size, code(at - size)).otherwise(0)
-        e = F.element_at(state["c"], enters)
-        added = state["s"] + F.element_at(g, e + 2) - F.element_at(g, e + 1)
-        one = F.transform(state["c"], lambda c, i: c + (i + 1 == enters).cast("int"))
-        left = F.when(leaves > 0, F.element_at(one, leaves)).otherwise(0)
-        s = F.when(leaves > 0, added - F.element_at(g, left + 1) + F.element_at(g, left)).otherwise(added)
-        c = F.transform(one, lambda c, i: c - (i + 1 == leaves).cast("int"))
-        good = (at >= size) & (s <= limit)
-        return F.struct(c.alias("c"), s.alias("s"), F.when(good & state["low"].isNull(), at - size).otherwise(state["low"]).alias("low"), F.when(good, at).otherwise(state["high"]).alias("high"))
-
-    last = F.aggregate(F.sequence(F.lit(1), F.length(hit)), zero, step)
+    none = F.lit(None).cast("int")
+
+    def change(codes: Column):
+        def at(x: Column, k: Column) -> Column:
+            last = F.slice(codes, F.greatest(k - size, F.lit(0)) + 1, F.least(k, F.lit(size)))
+            gone = F.get(codes, k - size)
+            enters = F.size(F.filter(last, lambda y: y == x))
+            leaves = F.size(F.filter(last, lambda y: y == gone)) + (x == gone).cast("int")
+            return F.get(g, enters + 1) - F.get(g, enters) + F.when(k >= size, F.get(g, leaves - 1) - F.get(g, leaves)).otherwise(0)
+
+        return at
+
+    def step(state: Column, x: Column) -> Column:
+        s = state["s"] + x["by"]
+        good = (x["k"] >= size - 1) & (s <= limit)
+        return F.struct(s.alias("s"), F.when(good & state["low"].isNull(), x["k"] + 1 - size).otherwise(state["low"]).alias("low"), F.when(good, x["k"] + 1).otherwise(state["high"]).alias("high"))
+
+    codes = F.transform(F.split(hit, ""), F.ascii)
+    # an array of one element binds the codes, which would else be made anew for each character
+    changes = F.transform(F.array(codes), lambda c: F.transform(c, lambda x, k: F.struct(change(c)(x, k).alias("by"), k.alias("k"))))[0]
+    last = F.aggregate(changes, F.struct(F.lit(0).cast("bigint").alias("s"), none.alias("low"), none.alias("high")), step)
     return F.struct(last["low"].alias("low"), last["high"].alias("high"))
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that touch no base span, by two passes in order of place: over what began before, then over what begins within."""
+    item = lambda x, rank, hit: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), hit.alias("hit"))
+    items = F.array_sort(F.concat(F.transform(base, lambda x: item(x, 0, F.lit(None).cast("string"))), F.transform(spans, lambda x: item(x, 1, x["hit"]))))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,hit:string>>)")
+
+    def forth(state: Column, x: Column) -> Column:
+        ends = F.when(x["rank"] == 0, F.greatest(state["at"], x["end"])).otherwise(state["at"])
+        return F.struct(ends.alias("at"), F.when((x["rank"] == 0) | (state["at"] <= x["start"]), F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out"))
+
+    def back(state: Column, x: Column) -> Column:
+        begins = F.when(x["rank"] == 0, x["start"]).otherwise(state["at"])
+        return F.struct(begins.alias("at"), F.when((x["rank"] == 1) & (state["at"] >= x["end"]), F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out"))
+
+    some = F.aggregate(items, F.struct(F.lit(0).alias("at"), none.alias("out")), forth)["out"]
+    free = F.aggregate(F.reverse(some), F.struct(F.lit(2**31 - 1).alias("at"), none.alias("out")), back)["out"]
+    return F.transform(F.when((F.size(base) > 0) & (F.size(spans) > 0), free).otherwise(F.transform(spans, lambda x: item(x, 1, x["hit"]))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+
+
 def _random_part(hit: Column) -> Column:
     """struct(low, high) of a candidate by its class; nulls if it is allowed or nowhere random enough."""
     none = F.struct(F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
@@ -116,8 +142,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.withColumn(kind, F.transform(spans, _tagged(kind)))
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
     rows = rows.withColumn("candidates", _found(text, text.rlike(_CANDIDATE), _CANDIDATE, 2, 20))
-    free = F.filter("candidates", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    parts = F.transform(free, lambda x: F.struct(x["start"].alias("at"), _random_part(x["hit"]).alias("part")))
+    parts = F.transform(_apart(F.col("candidates"), F.col("base")), lambda x: F.struct(x["start"].alias("at"), _random_part(x["hit"]).alias("part")))
     parts = F.filter(parts, lambda x: x["part"]["low"].isNotNull())
     random = F.transform(F.transform(parts, lambda x: F.struct((x["at"] + x["part"]["low"]).alias("start"), (x["at"] + x["part"]["high"]).alias("end"))), _tagged("entropy"))
     random = F.when(F.size("candidates") > 0, random).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)"))
