@@ -16,8 +16,6 @@ BROADCAST_TERMS = 400_000
 #: Random subsets of the lexicon: FAMILIES at each rate 2**-2 ... 2**-9. Dense ones suit short texts, sparse ones long texts.
 RATES, FAMILIES = tuple(range(2, 10)), 4
 SUBSETS = len(RATES) * FAMILIES
-#: Ordered pieces of about this many ids find each document's next one.
-PIECE_ROWS, MAX_PIECES = 20_000, 4096
 
 
 def terms(text: Column) -> Column:
@@ -64,12 +62,12 @@ def fingerprint(sorted_codes: Column) -> Column:
     return F.transform(subsets, lambda s: F.when(F.size(s) > 0, (F.pmod(F.xxhash64(s), F.lit(65535)) + 1).cast("int")).otherwise(0))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that either holds a term of; equal fingerprints have 1."""
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Share of equal hashes among the subsets that either holds a term of; 1 for equal texts, 0 for others without a term."""
     pair = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     either = F.size(F.filter(pair, lambda p: (p["x"] != 0) | (p["y"] != 0)))
     both = F.size(F.filter(pair, lambda p: (p["x"] != 0) & (p["x"] == p["y"])))
-    return F.when(a == b, 1.0).when((either > 0), both / either).otherwise(0.0)
+    return F.when(same, 1.0).when(either > 0, both / either).otherwise(0.0)
 
 
 def written(a: Column) -> Column:
@@ -79,22 +77,19 @@ def written(a: Column) -> Column:
 def next_in_order(keys: DataFrame) -> DataFrame:
     """keys (distinct id, h; more columns pass) with next_id, next_h: the next pair by id, then h; the first after the last.
 
-    Ids are dealt into pieces of equal width, each ordered on its own; the first pair of the next
-    piece (at most MAX_PIECES + 2 rows) closes each one. Null ids come last.
+    Keys are dealt into ranges by their quantiles, whatever the gaps between ids, each ordered on
+    its own; the first pair of the next range closes each one. One pair a range reaches the driver.
+    Null ids come last.
     """
-    least, most, n = keys.agg(F.min("id").cast("double"), F.max("id").cast("double"), F.count("*")).first()
-    low, pieces = least or 0.0, max(1, min(MAX_PIECES, n // PIECE_ROWS))
-    width = max(((most or 0.0) - low) / pieces, 1e-300)
-    piece = F.coalesce(F.least(F.floor((F.col("id").cast("double") - low) / width), F.lit(pieces)).cast("int"), F.lit(pieces + 1))
-    dealt = keys.withColumn("piece", piece)
     pair = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
-    led = dealt.withColumn("next", F.lead(pair).over(Window.partitionBy("piece").orderBy(pair)))
-    firsts = dealt.groupBy("piece").agg(F.min(pair).alias("first"))
-    ring = Window.orderBy("piece")
-    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = firsts.select("piece", F.coalesce(F.lead("first").over(ring), F.first("first").over(every)).alias("end"))
-    got = led.join(F.broadcast(ends), "piece").withColumn("next", F.coalesce("next", "end"))
-    return got.select(*keys.columns, F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
+    dealt = cut(keys.repartitionByRange(F.col("id").isNull(), F.col("id"), F.col("h")).withColumn("range", F.spark_partition_id()))
+    firsts = sorted((r["range"], r["id"], r["h"]) for r in dealt.groupBy("range").agg(F.min(pair).alias("first")).select("range", "first.id", "first.h").collect())
+    closing = [(here[0], *after[1:]) for here, after in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    kind = keys.schema["id"].dataType.simpleString()
+    ends = F.broadcast(keys.sparkSession.createDataFrame(closing, f"range int, end_id {kind}, end_h long"))
+    led = dealt.withColumn("next", F.lead(pair).over(Window.partitionBy("range").orderBy(pair))).join(ends, "range")
+    here = F.col("next").isNotNull()
+    return led.select(*keys.columns, F.when(here, F.col("next.id")).otherwise(F.col("end_id")).alias("next_id"), F.when(here, F.col("next.h")).otherwise(F.col("end_h")).alias("next_h"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,12 +142,17 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents its own fingerprint and its edited text's, and the likeness to that and to the next document's.
+
+    Null text is empty; rows with the same id and text are one document, which comes as often as
+    it has rows; after the last document comes the first (a table of one document: itself).
+    """
     docs = documents(spark, sf_dir)
     words = lexicon(docs)
     marked = F.concat(codes(F.col("text")), F.transform(codes(F.col("edited")), lambda c: c.bitwiseOR(F.lit(1))))
     sha = F.unhex(F.sha2(F.col("edited").cast("binary"), 256))
-    both = with_edits(docs).select(*KEY, "copies", "next0", "next_none", "next_h", F.length("text").cast("long").alias("n"), sha.alias("sha"), marked.alias("marked"))
-    sets = in_lexicon(both, KEY, F.col("marked"), words, "copies", "next0", "next_none", "next_h", "n", "sha")
+    both = with_edits(docs).select(*KEY, "copies", "next0", "next_none", "next_h", F.length("text").cast("long").alias("n"), sha.alias("sha"), (F.xxhash64("edited") == F.col("h")).alias("same"), marked.alias("marked"))
+    sets = in_lexicon(both, KEY, F.col("marked"), words, "copies", "next0", "next_none", "next_h", "n", "sha", "same")
     # the sorted codes are columns of their own: all subsets of a fingerprint read them
     sets = sets.withColumn("c", of_mark(F.col("set"), 0)).withColumn("ce", of_mark(F.col("set"), 1)).drop("set")
     done = cut(sets.withColumn("f", fingerprint(F.col("c"))).withColumn("fe", fingerprint(F.col("ce"))).drop("c", "ce"))
@@ -165,6 +165,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("sha")).alias("edited_sha256"),
         written(F.col("f")).alias("fingerprint"),
         written(F.col("fe")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("fe")).alias("near_edited"),
-        likeness(F.col("f"), F.col("fn")).alias("near_next"),
+        likeness(F.col("f"), F.col("fe"), F.col("same")).alias("near_edited"),
+        likeness(F.col("f"), F.col("fn"), F.col("h") == F.col("next_h")).alias("near_next"),
     )
