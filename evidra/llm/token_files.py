@@ -54,7 +54,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.form = "H" if self.kind.itemsize == 2 else "I"
@@ -81,7 +81,8 @@ class Tokens:
         return struct.pack(f"<{len(ids)}{self.form}", *ids) + mark
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.words, texts))
+        """A text that holds an added token's string is encoded whole: the library makes it that token."""
+        return [self._whole(t) if any(x in t for x in self.added) else self.words(t) for t in texts]
 
 
 _made: dict = {}

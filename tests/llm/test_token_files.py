@@ -17,13 +17,13 @@ MODEL = P.path("byte_bpe_50k.json")
 
 def wanted(rows):
     tokenizer = Tokenizer.from_file(MODEL)
-    tokenizer.encode_special_tokens = True
     return [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t, *_ in rows]
 
 
 def test_words_give_the_ids_of_whole_texts():
     rng = random.Random(2)
     texts = [t or "" for _, t, *_ in R.documents()] + ["".join(rng.choice(["a", " ", "\n", "b.", "\t", "\u00a0", "'s", "9", "É"]) for _ in range(30)) for _ in range(300)]
+    texts += ["end <|endoftext|> of text", "<|endoftext|>", "a<|endoftext|>\n<|endoftext|>b", "<|endoftext |>"]
     tokens = T.Tokens(open(MODEL, encoding="utf-8").read())
     for _ in range(2):
         assert [np.frombuffer(x, tokens.kind).tolist() + [0] for x in tokens(texts)] == [ids for _, ids in wanted([(0, t) for t in texts])]
