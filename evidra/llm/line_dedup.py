@@ -65,7 +65,7 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     match = F.lit(True)
     for k, c in enumerate(by):
         match = match & (F.col(c) == F.col(f"c{k}"))
-    return rows.join(classes, match).select(*[c for c in rows.columns if c not in by], F.col("low").alias("r"))
+    return rows.join(classes.hint("merge"), match).select(*[c for c in rows.columns if c not in by], F.col("low").alias("r"))
 
 
 def prefix_doubling(lines: DataFrame) -> list[DataFrame]:
@@ -106,7 +106,7 @@ def longest_copies(levels: list[DataFrame]) -> DataFrame:
         parted = cut(live.select("p", "d", "first", "size", "n").union(firsts).join(after, F.col("p") + F.col("size") == F.col("q"), "left").drop("q"))
         parts = parted.filter("y is not null").groupBy("first", "size", "y").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low <> high")
         parts = cut(parts.select(F.col("first").alias("f"), F.col("size").alias("s"), F.col("y").alias("z"), "low"))
-        told = parted.filter("p <> first").join(parts, (F.col("first") == F.col("f")) & (F.col("size") == F.col("s")) & (F.col("y") == F.col("z")), "left")
+        told = parted.filter("p <> first").join(parts.hint("merge"), (F.col("first") == F.col("f")) & (F.col("size") == F.col("s")) & (F.col("y") == F.col("z")), "left")
         on = F.coalesce(F.col("low") < F.col("p"), F.lit(False))
         told = told.select("p", "d", F.when(on, F.col("low")).otherwise(F.col("first")).alias("first"), (F.col("size") + F.when(on, F.shiftright("n", 1)).otherwise(0)).alias("size"), "n")
         rows = cut(told.union(rest.select("p", "d", "first", "size", "n")))
@@ -124,7 +124,7 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = BitFilter(often, "a", "b", bits=1 << 24).mark(rows, "hit").filter("hit").drop("hit").dropDuplicates([*KEY, "i"])  # repeated rows are one document
     rows = cut(rows)
     places = cut(starts(rows))
-    lines = rows.join(places, KEY).select((F.col("d") + F.col("i")).alias("p"), "d", "a", "b", "words")
+    lines = rows.join(places.hint("merge"), KEY).select((F.col("d") + F.col("i")).alias("p"), "d", "a", "b", "words")
     ordered = Window.partitionBy("d").orderBy("p")
     lines = cut(ranked(lines, ["a", "b"]).withColumn("upto", F.sum("words").over(ordered)))
     copies = longest_copies(prefix_doubling(lines.select("p", "d", "r")))
@@ -138,7 +138,7 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs.withColumn("apart", F.coalesce(F.col("p") > F.max("stop").over(before), F.lit(True)).cast("int"))
     runs = runs.withColumn("island", F.sum("apart").over(ordered)).groupBy("d", "island").agg(F.min("p").alias("p"), F.max("stop").alias("stop"))
     runs = runs.groupBy("d").agg(F.array_sort(F.collect_list(F.struct((F.col("p") - F.col("d")).cast("int").alias("start"), (F.col("stop") - F.col("d")).cast("int").alias("stop")))).alias("runs"))
-    return runs.join(places, "d").select(*KEY, "runs")
+    return runs.join(places.hint("merge"), "d").select(*KEY, "runs")
 
 
 def _without(text: Column, runs: Column) -> Column:
@@ -170,7 +170,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c != "_removed"]
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), *_key(docs, id_col, text_col))
     marked = BitFilter(runs, *KEY).mark(rows, "hit")
-    found = marked.filter("hit").join(runs, KEY, "left")
+    found = marked.filter("hit").join(runs.hint("merge"), KEY, "left")
     text = F.when(F.col("runs").isNotNull(), _without(F.col("row")[text_col], F.col("runs"))).otherwise(F.col("row")[text_col])
     gone = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0))
     changed = found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], gone.alias("_removed"))
