@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, id_text, shared_dir, small_batches
-from .words import LazyWordIds
+from .words import BulkWordIds
 
 MAGIC = b"EVRANS1\n"
 LANES, SCALE_BITS, LOW = 32, 18, np.uint64(1 << 31)
@@ -57,11 +58,12 @@ class Tokens:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.form = "H" if self.kind.itemsize == 2 else "I"
+        form = "H" if self.kind.itemsize == 2 else "I"
+        self.packs = [struct.Struct(f"<{n}{form}").pack for n in range(32)]
         self.letters = {ord(chr(b)): c for b, c in byte_letters().items()}
         self.space = self.letters[32]
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
-        self.words = LazyWordIds(self._word, self._whole, 600_000)
+        self.words = BulkWordIds(self._word, self._whole, 600_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
@@ -73,16 +75,22 @@ class Tokens:
         letters = bare[1:] if spaced else bare
         if not letters.isalpha():
             return self._whole(word)
+        if mark and spaced and (known := self.words.words.known(letters)):
+            return known + mark
         if not letters.isascii():
             if max(letters) > "\u024f":
                 return self._whole(word)
             letters = letters.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model(self.space + letters if spaced else letters)]
-        return struct.pack(f"<{len(ids)}{self.form}", *ids) + mark
+        return (self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else np.array(ids, self.kind).tobytes()) + mark
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.StringArray) -> list[bytes]:
         """A text that holds an added token's string is encoded whole: the library makes it that token."""
-        return [self._whole(t) if any(x in t for x in self.added) else self.words(t) for t in texts]
+        out = self.words(texts)
+        for x in self.added:
+            for k in np.flatnonzero(pc.match_substring(texts, x).to_numpy(zero_copy_only=False)).tolist():
+                out[k] = self._whole(texts[k].as_py())
+        return out
 
 
 _made: dict = {}
@@ -96,17 +104,35 @@ def _tokens(model: str) -> Tokens:
     return _made[key]
 
 
-def _pack(ids: bytes, width: int) -> bytes:
-    """Ids of one document for the way from task to task, deflated lightly."""
+def _zstd():
+    """A light compressor and its decompressor, one for each Python worker."""
     import zstandard
 
-    return str(width).encode() + zstandard.ZstdCompressor(level=1).compress(ids)
+    if "zstd" not in _made:
+        _made["zstd"] = (zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor())
+    return _made["zstd"]
+
+
+def _pack(ids: bytes, width: int) -> bytes:
+    """Ids of one document for the way from task to task, deflated lightly."""
+    return str(width).encode() + _zstd()[0].compress(ids)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
+    return np.frombuffer(_zstd()[1].decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype(np.uint32)
+
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype(np.uint32)
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold so many bytes: words that come again are looked up less often."""
+    some, held = [], 0
+    for batch in batches:
+        some.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, held = [], 0
+    if held:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
 # ---------------------------------------------------------------- the coder
@@ -272,7 +298,10 @@ def _index(uri: str) -> dict:
 
 
 def tokenize(docs: DataFrame, model: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary) in ascending order of id (nulls first, equal ids by text): each partition before the next."""
+    """(id, ids binary, counts binary) in ascending order of id (nulls first, equal ids by text): each partition before the next.
+
+    A partition ends with a row that has nothing but counts: how often each symbol comes in it.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     with open(model, encoding="utf-8") as file:
@@ -282,32 +311,39 @@ def tokenize(docs: DataFrame, model: str, end: int, id_col: str = "doc_id", text
         tokens = _tokens(data.value)
         tail, width = np.array([end], tokens.kind).tobytes(), tokens.kind.itemsize
         gc.disable()  # words hold no cycles, and there are enough of them to make each collection slow
-        for batch in batches:
-            ids = [_pack(x + tail, width) for x in tokens(batch.column(1).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        counts = np.zeros(tokens.tokenizer.get_vocab_size(), np.int64)
+        kind = None
+        for batch in _gathered(batches):
+            ids, kind = [x + tail for x in tokens(batch.column(1))], batch.column(0).type
+            counts += np.bincount(np.frombuffer(b"".join(ids), tokens.kind), minlength=len(counts))
+            yield pa.record_batch([batch.column(0), pa.array([_pack(x, width) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "counts"])
         gc.enable()
+        if kind is not None:
+            yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([_zstd()[0].compress(counts.astype("<i8").tobytes())], pa.binary())], names=["id", "ids", "counts"])
 
     # dealt as texts: the ranges are found by a pass over the ids, not by encoding everything twice
     rows = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
-    return cut(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary"))
+    return cut(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, counts binary"))
 
 
 def write_tokens(tokens: DataFrame, folder: str, symbols: int) -> DataFrame:
-    """Writes tokens (id, ids, in order) to folder; (part, n_tokens) of each part file, one for each partition with rows.
+    """Writes tokens (as tokenize gives them) to folder; (part, n_tokens) of each part file, one for each partition with rows.
 
-    Frequencies are counted over all tokens; a row for each symbol reaches the driver, which writes the table.
+    Frequencies are those of all tokens; a row for each symbol reaches the driver, which writes the table.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(symbols, np.int64)
         for batch in batches:
-            total += np.bincount(np.concatenate([_unpack(x) for x in batch.column(0).to_pylist()]), minlength=symbols)
+            for x in batch.column(0).to_pylist():
+                some = np.frombuffer(_zstd()[1].decompress(x), "<i8")
+                total[: len(some)] += some
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["s", "n"])
 
     counts = np.zeros(symbols, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.filter("counts is not null").select("counts").mapInArrow(count, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
         counts[r["s"]] = r["n"]
     table = _table(scaled(counts))
     _write(f"{folder}/table.bin", table)
@@ -355,7 +391,7 @@ def write_tokens(tokens: DataFrame, folder: str, symbols: int) -> DataFrame:
             _write(f"{folder}/part-{part:05d}.evt", b"".join(out) + foot + struct.pack("<I", len(foot)) + MAGIC)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([total], pa.int64())], names=["part", "n_tokens"])
 
-    return cut(tokens.select("id", "ids").mapInArrow(write, "part int, n_tokens long"))
+    return cut(tokens.filter("counts is null").select("id", "ids").mapInArrow(write, "part int, n_tokens long"))
 
 
 def read_tokens(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words remembered in each of two generations, apart for words at a line's start and after a space.
 MAX_WORDS = 250_000
 #: Characters of texts that are taken apart at once.
@@ -76,24 +80,22 @@ class WordIds:
         return out
 
 
-class Odd(Exception):
-    """White space for which the rule doesn't hold."""
-
-
 class _Words(dict):
-    """Packed ids of words; a new word is encoded when it is first asked for. Two generations of most words at most."""
+    """Packed ids of words, None where the rule doesn't hold; a new word is encoded when it is first asked for. Two generations of most words at most."""
 
     def __init__(self, encode: Callable[[str], bytes], line_end: bytes, most: int):
         super().__init__()
         self.encode, self.line_end, self.most, self.old = encode, line_end, most, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def known(self, word: str) -> bytes | None:
+        return self.get(word) or self.old.get(word)
+
+    def __missing__(self, word: str) -> bytes | None:
         ids = self.old.get(word)
         if ids is None:
             bare = word[1:] if word[:1] == "\n" else word
-            if bare.split() != [bare]:
-                raise Odd
-            ids = self.encode(" " + bare) if bare is word else self.line_end + self.encode(bare)
+            if bare.split() == [bare]:
+                ids = self.encode(" " + bare) if bare is word else self.line_end + self.encode(bare)
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
@@ -101,19 +103,32 @@ class _Words(dict):
         return ids
 
 
-class LazyWordIds:
-    """As WordIds, for encoders of single words that are quick: nothing is gathered before."""
+class BulkWordIds:
+    """As WordIds, for Arrow arrays of texts: the library splits them and tells their distinct words, each of which is looked up once an array."""
 
     def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], most: int):
         self.word, self.whole = word, whole
         self.words = _Words(word, whole("\n"), most)
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, texts: pa.StringArray) -> list[bytes]:
         """A word after a line end keeps it in front, so that one look-up gives both."""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        try:
-            if first.split() != [first]:
-                raise Odd
-            return self.word(first) + b"".join(map(self.words.__getitem__, rest))
-        except Odd:
-            return self.whole(text) if text else b""
+        if not len(texts):
+            return []
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        ids = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        at = coded.indices.to_numpy()
+        odd = np.array([x is None for x in ids])[at]
+        odd[starts[:-1]] = False  # the first word has no space before it and is judged apart
+        odds = np.concatenate(([0], np.cumsum(odd)))
+        taken = pa.array([x or b"" for x in ids], pa.binary()).take(coded.indices)
+        ends, data = np.frombuffer(taken.buffers()[1], np.int32), memoryview(taken.buffers()[2] or b"")
+        out = []
+        for k, first in enumerate(parts.values.take(pa.array(starts[:-1])).to_pylist()):
+            a, b = int(starts[k]), int(starts[k + 1])
+            if odds[a] == odds[b] and first.split() == [first]:
+                out.append(self.word(first) + bytes(data[ends[a + 1] : ends[b]]))
+            else:
+                text = texts[k].as_py()
+                out.append(self.whole(text) if text else b"")
+        return out

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -26,7 +27,7 @@ def test_words_give_the_ids_of_whole_texts():
     texts += ["end <|endoftext|> of text", "<|endoftext|>", "a<|endoftext|>\n<|endoftext|>b", "<|endoftext |>"]
     tokens = T.Tokens(open(MODEL, encoding="utf-8").read())
     for _ in range(2):
-        assert [np.frombuffer(x, tokens.kind).tolist() + [0] for x in tokens(texts)] == [ids for _, ids in wanted([(0, t) for t in texts])]
+        assert [np.frombuffer(x, tokens.kind).tolist() + [0] for x in tokens(pa.array(texts))] == [ids for _, ids in wanted([(0, t) for t in texts])]
 
 
 @pytest.mark.parametrize("sizes", [[1], [0], [31, 32, 33], [5000, 1, 0, 70], [40000]])
