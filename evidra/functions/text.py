@@ -82,11 +82,15 @@ def coverage(found: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(found, wanted)) / F.size(wanted)).otherwise(0.0)
 
 
-def plain_name(name: Column, prefixes: tuple[str, ...] = ("lib", "go", "js", "py", "node", "react", "android"), suffixes: tuple[str, ...] = ("js", "py", "lib", "library", "sdk", "kt", "go", "rs")) -> Column:
-    """A name without separators, one prefix and one suffix; never empty unless the name has no letters or digits."""
-    bare = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
-    cut = F.regexp_replace(bare, f"^(?:{'|'.join(prefixes)})(?=.)", "")
-    return F.regexp_replace(cut, f"(?<=.)(?:{'|'.join(suffixes)})$", "")
+# What may stand before and after a name.
+PREFIXES = ("awesome", "simple", "easy", "my", "the", "go", "py", "js", "ts", "kt")
+SUFFIXES = ("lib", "library", "sdk", "kit", "android", "ios", "js", "ts", "kt", "py", "go", "java", "swift", "demo", "example", "sample", "clone", "fork", "mirror")
+
+
+def plain_name(name: Column) -> Column:
+    """A name without separators, one prefix and one suffix; it may be empty."""
+    bare = F.regexp_replace(F.lower(name), "[-_.]", "")
+    return F.regexp_replace(F.regexp_replace(bare, f"^(?:{'|'.join(PREFIXES)})", ""), f"(?:{'|'.join(SUFFIXES)})$", "")
 
 
 def bigrams(name: Column) -> Column:
@@ -106,11 +110,41 @@ def topic(label: Column) -> Column:
     return F.regexp_replace(normalise(label), " ", "-")
 
 
+def topic_or_null(label: Column) -> Column:
+    """A topic of 3 to 35 characters, or null."""
+    dashed = topic(label)
+    return F.when(F.length(dashed).between(3, 35), dashed)
+
+
+def capability_label(feature: Column, label: Column, capability: Column) -> Column:
+    """Whether a feature's text is only the name of a capability."""
+    low = F.lower(F.trim(feature))
+    return (low == F.lower(label)) | (low == F.replace(F.lower(capability), F.lit("-"), F.lit(" ")))
+
+
+# Words that a query leaves out of a requirement.
+QUERY_STOP = ("the", "a", "an", "and", "or", "of", "for", "to", "in", "on", "with", "is", "are", "be", "it", "its", "when", "where", "that", "this", "supports", "support", "handles", "handle", "provides", "provide", "must", "should")
+
+
+def compact_requirement(text: Column) -> Column:
+    """The first four words of three letters or more that say something; null if there is none."""
+    kept = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*QUERY_STOP))
+    return F.nullif(F.array_join(F.slice(kept, 1, 4), " "), F.lit(""))
+
+
+def digest(text: Column) -> Column:
+    """32-bit FNV-1a over the characters, in base 36, six digits at most."""
+    step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619, F.lit(1 << 32))
+    value = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
+    return F.left(F.lower(F.conv(value.cast("string"), 10, 36)), F.lit(6))
+
+
 def slug(text: Column, most: int = 40) -> Column:
-    """A stable id: the dashed words, and past most characters a checksum in place of the rest."""
+    """A stable id: the dashed words, and past most characters those that fit and a digest of all."""
     full = topic(text)
-    tail = F.lower(F.conv(F.crc32(text.cast("binary")).cast("string"), 10, 36))
-    return F.when(F.length(full) <= most, full).otherwise(F.concat(F.rtrim(F.lit("-"), F.left(full, F.lit(most - 8))), F.lit("-"), tail))
+    cut = F.left(full, F.lit(most - 8))
+    head = F.regexp_replace(F.when(F.contains(cut, F.lit("-")), F.regexp_extract(cut, "^(.*)-", 1)).otherwise(cut), "-+$", "")
+    return F.when(full == "", "feature").when(F.length(full) <= most, full).otherwise(F.concat(F.when(head == "", cut).otherwise(head), F.lit("-"), digest(full)))
 
 
 def dependency_stem(name: Column) -> Column:
@@ -121,16 +155,37 @@ def major_version(version: Column) -> Column:
     return F.nullif(F.regexp_extract(version, r"(\d+)", 1), F.lit(""))
 
 
-def identity_keys(ecosystem: Column, name: Column) -> Column:
-    """Keys two dependencies share if they belong to one family."""
-    parts = F.split(F.lower(name), ":")
-    group, artifact = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    deep = F.slice(F.split(group, "[.]"), 1, 3)
-    maven = F.array(F.concat(F.lit("group:"), group), F.when(F.size(deep) == 3, F.concat(F.lit("group:"), F.array_join(deep, "."))), F.concat(F.lit("stem:"), F.element_at(F.split(artifact, "-"), 1)))
-    scope = F.nullif(F.regexp_extract(F.lower(name), "^@([^/]+)/", 1), F.lit(""))
-    stem_key = F.concat(F.lit("stem:"), F.element_at(F.split(dependency_stem(name), "[-_.]"), 1))
-    other = F.array(F.concat(F.lit("scope:"), scope), F.when(F.length(stem_key) >= 8, stem_key))
-    return F.array_compact(F.array_distinct(F.when(artifact.isNotNull() & ecosystem.isin("maven", "gradle"), maven).otherwise(other)))
+def dependency_name(name: Column) -> Column:
+    """The name that dependencies are compared by: after the last colon, or without a scope."""
+    low = F.lower(name)
+    return F.when(F.contains(low, F.lit(":")), F.element_at(F.split(low, ":"), -1)).otherwise(F.regexp_replace(low, "^@[^/]+/", ""))
+
+
+# Keys of libraries that are made to be used together.
+COMPLEMENTARY = {
+    "slf4j": ("logback", "log4j", "ch.qos.logback", "org.apache.logging.log4j"), "logback": ("slf4j", "org.slf4j"), "log4j": ("slf4j", "org.slf4j"),
+    "org.slf4j": ("logback", "log4j", "ch.qos.logback"), "ch.qos.logback": ("slf4j", "org.slf4j"),
+}
+
+
+def identity_keys(name: Column, partners: bool = True) -> Column:
+    """Keys two dependencies share if they belong to one family; with partners also those of what each is made to be used with."""
+    low = F.lower(F.trim(name))
+    none = F.lit(None).cast("string")
+    tail = F.split(F.substring(low, F.lit(6), F.length(low)), "[.]")
+    catalog = F.array(F.element_at(tail, 1), F.when(F.size(tail) > 1, F.array_join(tail, ".")))
+    parts = F.split(low, ":")
+    group, artifact = F.element_at(parts, 1), F.get(parts, F.lit(1))
+    deep, stem_ = F.split(group, "[.]"), F.element_at(F.split(artifact, "[-_]"), 1)
+    coordinates = F.array(group, F.when(F.size(deep) > 2, F.array_join(F.slice(deep, 1, 3), ".")), F.when(F.length(stem_) >= 3, stem_))
+    word = F.element_at(F.split(low, "[-_]"), 1)
+    other = F.array(F.when(word == "", low).otherwise(word), none)
+    keys = F.when(low.startswith("libs."), catalog).when(F.contains(low, F.lit(":")), coordinates).when(low.startswith("@"), F.array(F.element_at(F.split(low, "/"), 1), none)).otherwise(other)
+    keys = F.array_distinct(F.array_compact(keys))
+    if not partners:
+        return keys
+    also = F.flatten(F.transform(keys, lambda k: F.coalesce(*[F.when(k == a, F.array(*map(F.lit, bs))) for a, bs in COMPLEMENTARY.items()], F.expr("cast(array() as array<string>)"))))
+    return F.array_distinct(F.concat(keys, also))
 
 
 def estimate_tokens(text: Column, kind: str = "prose") -> Column:
@@ -162,6 +217,48 @@ def path_is_safe(path: Column) -> Column:
     return path.isNotNull() & ~path.rlike(r"^/|^[A-Za-z]:|(?:^|[/\\])\.\.(?:[/\\]|$)|\x00") & (F.length(path) > 0)
 
 
+def safe_path(path: Column) -> Column:
+    """A path inside a repository in its plain form (no . or empty parts, .. resolved, forward slashes), or null: empty, absolute, with a drive or a zero byte, or leading out."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
+
+    def step(out: Column, p: Column) -> Column:
+        back = (p == "..") & (F.size(out) > 0) & (F.coalesce(F.get(out, F.size(out) - 1), F.lit("..")) != "..")
+        return F.when(back, F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p)))
+
+    plain = F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/")
+    bad = path.isNull() | (path == "") | F.contains(path, F.lit("\x00")) | path.rlike(r"^[/\\]|^[A-Za-z]:[/\\]")
+    return F.when(~bad & ~plain.rlike(r"^\.\.(/|$)"), F.when(plain == "", ".").otherwise(plain))
+
+
+def valid_sha(text: Column) -> Column:
+    return text.rlike("^[0-9a-fA-F]{7,40}$")
+
+
+def valid_ref(text: Column) -> Column:
+    return text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,200}$") & ~F.contains(text, F.lit("..")) & ~text.endswith("/")
+
+
+def looks_like_test(name: Column) -> Column:
+    return name.rlike("(?i)^(test|it|should|when|given)|(test|spec)$")
+
+
+def describe_test(name: Column) -> Column:
+    """A test's name as a sentence."""
+    clean = F.trim(F.regexp_replace(split_identifier(name), r"^(test|it|should|when|given)\s+", ""))
+    return F.when(clean != "", F.concat(F.upper(F.left(clean, F.lit(1))), F.substring(clean, F.lit(2), F.length(clean)))).otherwise(name)
+
+
+def key_parts(key: Column) -> Column:
+    """struct(namespace, version, subject) of a cache key, or null."""
+    return F.when(key.rlike("^[^:]*:[^:]*:"), F.struct(F.substring_index(key, ":", 1).alias("namespace"), F.element_at(F.split(key, ":"), 2).alias("version"), F.regexp_extract(key, "(?s)^[^:]*:[^:]*:(.*)$", 1).alias("subject")))
+
+
+def repository_key(namespace: Column, name: Column, commit: Column, ref: Column, version: str = "v1") -> Column:
+    """A key pinned to a commit, else to a ref, else marked as unpinned."""
+    pin = F.when(commit.isNotNull(), F.concat(F.lit("@"), commit)).when(ref.isNotNull(), F.concat(F.lit("@ref:"), ref)).otherwise("@unpinned")
+    return F.concat(namespace, F.lit(f":{version}:"), F.lower(name), pin)
+
+
 def path_is_sensitive(path: Column) -> Column:
     name = F.element_at(F.split(F.lower(path), "/"), -1)
     return name.rlike(r"^\.env(\..*)?$|^id_(rsa|dsa|ecdsa|ed25519)$|\.(pem|key|p12|pfx|keystore|jks)$|^\.(npmrc|netrc|pgpass)$|^credentials(\.json)?$") & ~name.rlike(r"\.(example|sample|template)$")

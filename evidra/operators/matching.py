@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from evidra.functions.text import contains_phrase, content_terms, loosely_in, phrase_position, stem_phrase, topic
+from evidra.functions.text import contains_phrase, content_terms, phrase_position, stem_phrase, topic
+from evidra.operators.lineage import cut, numbered
 
 # Words that part a sentence's head from what qualifies it, and words without content.
-QUALIFIERS = ("with", "for", "using", "via", "that", "which", "including", "plus", "and")
+QUALIFIERS = ("with", "that", "which", "supporting", "support", "including", "include", "featuring", "having", "plus", "and", "or")
 STOP = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "has", "have", "its", "can", "able", "support", "supports")
 
 
+#: Tables of so many rows or fewer are broadcast.
+SMALL = 20_000
+
+
+def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """rows, to be broadcast if they are few; their number is looked at."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def phrase_matches(texts: DataFrame, key: str, text: str, triggers: DataFrame, capability: str = "capability", trigger: str = "trigger") -> DataFrame:
     """(key, capability, hits, position): triggers found as whole stemmed words; triggers is a table of a vocabulary's size.
 
-    The trigger table is a parameter. Each text is stemmed once and compared in one array column,
-    so nothing is shuffled but the matches.
+    The trigger table is a parameter. While it has few rows each text is stemmed once and compared
+    in one array column, so nothing is shuffled but the matches; beyond that, triggers meet the
+    texts that hold their first word by an equal join.
     """
     stems = triggers.select(F.col(capability).alias("c"), stem_phrase(F.col(trigger)).alias("t")).distinct().filter("t <> ''")
-    lists = stems.agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("all"))
-    rows = texts.select(key, stem_phrase(F.col(text)).alias("s")).join(F.broadcast(lists))  # one row
-    found = F.filter("all", lambda x: contains_phrase(F.col("s"), x["t"]))
-    hits = rows.select(key, "s", F.explode(found).alias("x")).select(key, F.col("x.c").alias("capability"), phrase_position(F.col("s"), F.col("x.t")).alias("p"))
+    rows = texts.select(key, stem_phrase(F.col(text)).alias("s"))
+    if stems.limit(SMALL + 1).count() <= SMALL:
+        lists = stems.agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("all"))
+        found = F.filter("all", lambda x: contains_phrase(F.col("s"), x["t"]))
+        met = rows.join(F.broadcast(lists)).select(key, "s", F.explode(found).alias("x")).select(key, "s", "x.c", "x.t")  # one row
+    else:
+        worded = rows.select(key, "s", F.explode(F.array_distinct(F.split("s", " "))).alias("w"))
+        met = worded.join(stems.withColumn("w", F.element_at(F.split("t", " "), 1)), "w").filter(contains_phrase(F.col("s"), F.col("t")))
+    hits = met.select(key, F.col("c").alias("capability"), phrase_position(F.col("s"), F.col("t")).alias("p"))
     return hits.groupBy(key, "capability").agg(F.count("*").alias("hits"), F.min("p").alias("position"))
 
 
@@ -34,15 +49,18 @@ def head_end(text: Column) -> Column:
     return F.coalesce(F.get(at, F.lit(0)), F.size(ws))
 
 
-def closure(edges: DataFrame, src: str, dst: str, depth: int) -> DataFrame:
-    """(origin, reached, steps): everything within depth steps, the fewest steps of each; cycles end by themselves."""
-    step = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
-    out = step.select(F.col("s").alias("origin"), F.col("d").alias("reached"), F.lit(1).cast("long").alias("steps"))
-    wave = out
-    for k in range(2, depth + 1):
+def closure(edges: DataFrame, src: str, dst: str, depth: int | None = None) -> DataFrame:
+    """(origin, reached, steps): everything reachable (within depth steps if given), the fewest steps of each; cycles end by themselves."""
+    step = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    wave = step.select(F.col("s").alias("origin"), F.col("d").alias("reached"))
+    out, k = wave.withColumn("steps", F.lit(1).cast("long")), 1
+    while depth is None or k < depth:
+        k += 1
         wave = wave.join(step, F.col("reached") == F.col("s")).select("origin", F.col("d").alias("reached")).distinct()
-        wave = wave.join(out.select("origin", "reached"), ["origin", "reached"], "left_anti").withColumn("steps", F.lit(k).cast("long"))
-        out = out.unionByName(wave)
+        wave = cut(wave.join(out.select("origin", "reached"), ["origin", "reached"], "left_anti"))
+        if wave.isEmpty():
+            break
+        out = out.unionByName(wave.withColumn("steps", F.lit(k).cast("long")))
     return out
 
 
@@ -55,7 +73,7 @@ def primary(matches: DataFrame, key: str, narrows: DataFrame, head: DataFrame) -
     rows = matches.join(head, key).withColumn("inside", F.col("position") < F.col("head_end"))
     some = rows.groupBy(key).agg(F.max("inside").alias("any"))
     rows = rows.join(some, key).filter("inside or not any")
-    wide = rows.select(key, F.col("capability").alias("narrow")).join(F.broadcast(narrows), "narrow").select(key, F.col("wide").alias("capability"))
+    wide = rows.select(key, F.col("capability").alias("narrow")).join(small(narrows), "narrow").select(key, F.col("wide").alias("capability"))
     left = rows.join(wide, [key, "capability"], "left_anti")
     return left.groupBy(key).agg(F.max_by("capability", F.struct("position", "hits", "capability")).alias("capability"))
 
@@ -70,17 +88,22 @@ def coverage(requirements: DataFrame, requirement: str, text: str, corpora: Data
 
     weight is a corpus's reliability in hundredths. Evidenced: half the terms and a corpus of 30 or
     more, or a term of five letters in one of 85 or more. With no corpus of 55 or more what isn't
-    found is unknown, else absent. Requirements are a short list and are broadcast; bodies stay in place.
+    found is unknown, else absent. Requirements are a short list (one row); each body is read once
+    for all their terms, and only terms that it holds are dealt.
     """
     wanted = requirements.select(F.col(requirement).alias("requirement"), content_terms(F.col(text), STOP).alias("terms")).filter(F.size("terms") > 0)
-    lists = wanted.agg(F.array_sort(F.collect_list(F.struct("requirement", "terms"))).alias("all"))
-    rows = corpora.select(entity, F.lower(body).alias("body"), F.regexp_replace(F.lower(body), r"[\s_.\-]+", "").alias("squashed"), F.col(weight).alias("w")).join(F.broadcast(lists))  # one row
-    rows = rows.select(entity, "body", "squashed", "w", F.explode("all").alias("x")).select(entity, "w", F.col("x.requirement").alias("requirement"), F.col("x.terms").alias("terms"), F.filter("x.terms", lambda t: loosely_in(t, F.col("body"), F.col("squashed"))).alias("found"))
-    got = rows.groupBy(entity, "requirement").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("covered"), F.max(F.size("terms")).alias("terms"),
-        F.max(F.when(F.size("found") > 0, F.col("w")).otherwise(0)).alias("best"), F.max("w").alias("reliable"),
-        F.max(F.exists("found", lambda t: F.length(t) >= 5) & (F.col("w") >= 85)).alias("distinctive"),
-    )
+    each = wanted.select("requirement", F.explode("terms").alias("t"))
+    squash = lambda c: F.regexp_replace(c, r"[\s_.\-]+", "")
+    forms = F.struct("t", F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t"))).alias("squashed"), F.when(F.endswith("t", F.lit("s")) & (F.length("t") > 3), F.regexp_replace("t", "s$", "")).alias("one"))
+    lists = each.select("t").distinct().agg(F.array_sort(F.collect_list(forms)).alias("all"))
+    names = wanted.agg(F.array_sort(F.collect_list(F.struct("requirement", F.size("terms").alias("terms")))).alias("all"))
+    bodies = corpora.select(entity, F.lower(body).alias("body"), squash(F.lower(body)).alias("squashed"), F.col(weight).alias("w")).join(F.broadcast(lists))  # one row
+    held = lambda x: F.contains("body", x["t"]) | F.coalesce(F.contains("squashed", x["squashed"]), F.lit(False)) | F.coalesce(F.contains("body", x["one"]), F.lit(False))
+    found = bodies.select(entity, "w", F.explode(F.transform(F.filter("all", held), lambda x: x["t"])).alias("t")).groupBy(entity, "t").agg(F.max("w").alias("w"))
+    found = found.join(small(each), "t").groupBy(entity, "requirement").agg(F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive"))
+    got = corpora.groupBy(entity).agg(F.max(weight).alias("reliable")).join(F.broadcast(names))  # one row
+    got = got.select(entity, "reliable", F.explode("all").alias("x")).select(entity, "reliable", "x.requirement", "x.terms").join(found, [entity, "requirement"], "left")
+    got = got.withColumns({"covered": F.coalesce("covered", F.lit(0)), "best": F.coalesce("best", F.lit(0)), "distinctive": F.coalesce("distinctive", F.lit(False))})
     seen = ((2 * F.col("covered") >= F.col("terms")) & (F.col("best") >= 30)) | F.col("distinctive")
     status = F.when(seen, "evidenced").when(F.col("reliable") < 55, "unknown").otherwise("absent")
     return got.select(entity, "requirement", F.col("covered").cast("long").alias("covered"), F.col("terms").cast("long").alias("terms"), F.col("best").cast("long").alias("best"), status.alias("status"))
@@ -132,4 +155,4 @@ def build_order(tasks: DataFrame, edges: DataFrame, key: str, priority: str, dep
         up = step.join(levels.withColumnsRenamed({"k": "needs", "level": "below"}), "needs").groupBy("k").agg((F.max("below") + 1).alias("up"))
         levels = levels.join(up, "k", "left").select("k", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
     got = tasks.join(levels.withColumnRenamed("k", key), key)
-    return got.withColumn("place", F.row_number().over(Window.orderBy("level", F.desc(priority), key)).cast("long"))
+    return numbered(got, [F.col("level").asc(), F.col(priority).desc(), F.col(key).asc()], "place")

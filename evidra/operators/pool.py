@@ -71,3 +71,13 @@ def keep_lines(text: Column, budget: int, tokens) -> Column:
         return F.struct(F.when(fits, after).otherwise(s["used"]).alias("used"), F.when(fits, s["kept"] + 1).otherwise(s["kept"]).alias("kept"), (~fits).alias("full"))
 
     return F.aggregate(lines, start, step)
+
+
+def truncated(text: Column, budget: int, kind: str = "prose") -> Column:
+    """text if it fits the budget of tokens; else its first whole lines that do and a mark; a first line that doesn't is cut by characters."""
+    from evidra.functions.text import estimate_tokens
+
+    mark = F.lit("\n… [truncated]")
+    kept = keep_lines(text, budget, lambda line: estimate_tokens(F.concat(line, F.lit("\n")), kind))["kept"].cast("int")
+    cut = F.when(kept > 0, F.array_join(F.slice(F.split(text, "\n"), F.lit(1), kept), "\n")).otherwise(F.left(text, F.lit(max(1, budget * (3 if kind == "code" else 4)))))
+    return F.when(estimate_tokens(text, kind) <= budget, text).otherwise(F.concat(cut, mark))
