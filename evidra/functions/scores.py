@@ -25,7 +25,7 @@ def _hits(terms: Column, body: Column) -> Column:
 def feature_relevance(terms: Column, topics: Column, name: Column, body: Column, products: Column, excluded: Column) -> Column:
     """Terms met in topics, name and body; a named product that is missing, or only in the body, and excluded words take from it."""
     joined = F.array_join(topics, " ")
-    points = F.least(F.lit(TOPIC_MOST), TOPIC_HIT * _hits(terms, joined)) + F.least(F.lit(NAME_MOST), NAME_HIT * _hits(terms, name)) + F.least(F.lit(BODY_MOST), BODY_HIT * _hits(terms, F.coalesce(F.left(body, F.lit(20000)), F.lit(""))))
+    points = F.least(F.lit(TOPIC_MOST), TOPIC_HIT * _hits(terms, joined)) + F.least(F.lit(NAME_MOST), NAME_HIT * _hits(terms, name)) + F.least(F.lit(BODY_MOST), BODY_HIT * _hits(terms, F.coalesce(body, F.lit(""))))
     declared = F.lower(F.concat_ws(" ", joined, name))
     wanted = F.size(products) > 0
     told = F.exists(products, lambda p: F.contains(declared, F.lower(p)))
@@ -54,8 +54,10 @@ def _as(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)).cast("double")
 
 
-def implementation_quality(ci: Column, releases: Column, docs: Column, contributing: Column, changelog: Column) -> Column:
-    return clamp01(0.30 * _as(ci) + 0.25 * F.least(F.lit(1.0), releases / 5.0) + 0.20 * _as(docs) + 0.10 * _as(contributing) + 0.15 * _as(changelog))
+def implementation_quality(ci: Column, releases: Column, docs: Column, contributing: Column, changelog: Column, readme: Column | None = None) -> Column:
+    """CI, five releases, documentation (a readme alone is half of it), a guide, a changelog. Releases that weren't counted are null and make the whole unmeasured."""
+    told = F.greatest(_as(docs), 0.5 * _as(readme)) if readme is not None else _as(docs)
+    return clamp01(0.30 * _as(ci) + 0.25 * F.least(F.lit(1.0), releases / 5.0) + 0.20 * told + 0.10 * _as(contributing) + 0.15 * _as(changelog))
 
 
 def test_evidence(has_tests: Column, files: Column) -> Column:
@@ -86,21 +88,61 @@ def completeness_penalty(satisfied: Column, decidable: Column) -> Column:
     return F.when((satisfied == 0) & (decidable >= 5), 0.45).when((satisfied == 0) & (decidable >= 3), 0.55).otherwise(1.0)
 
 
+def completeness_axis(satisfied: Column, undetermined: Column, total: Column) -> Column:
+    """struct(value, confidence) of a checklist: the share of what could be decided; null if nothing could."""
+    decidable = total - undetermined
+    return F.when((total > 0) & (decidable > 0), F.struct(clamp01(satisfied / decidable).alias("value"), clamp01(0.4 + 0.5 * (decidable / total)).alias("confidence")))
+
+
+def architecture_axis(fit: Column) -> Column:
+    """struct(value, confidence) of how well the structure fits; null if it wasn't measured."""
+    return F.when(fit.isNotNull(), F.struct(clamp01(fit).alias("value"), F.lit(0.7).alias("confidence")))
+
+
+def surface_axis(surface: Column) -> Column:
+    return F.when(surface.isNotNull(), F.struct(clamp01(surface["score"]).alias("value"), F.lit(0.75).alias("confidence")))
+
+
+def reusability_axis(assessed: Column) -> Column:
+    """struct(value, confidence); an unknown kind is no measurement."""
+    return F.when(assessed["kind"] != "unknown", F.struct(assessed["score"].alias("value"), assessed["confidence"].alias("confidence")))
+
+
 def ramp_down(x: Column, low: float, high: float) -> Column:
-    """1 up to low, 0 from high on."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (high - x) / (high - low)))
+    """1 up to low, 0 from high on, at two digits between."""
+    return F.when(x <= low, 1.0).when(x >= high, 0.0).otherwise(half_up(1 - (x - low) / (high - low), 2))
+
+
+# Frameworks that code is hard to take out of.
+HEAVY = ("spring", "hibernate", "angular", "nestjs", "rails", "django", "laravel", "unity")
+
+
+def coupling(dependencies: Column, target: Column, mean_depth: Column, heavy: tuple[str, ...] = HEAVY) -> Column:
+    """0 to 1: heavy frameworks that the target doesn't use, containers that put objects together, deep folders."""
+    deps, own = F.transform(dependencies, F.lower), F.transform(target, F.lower)
+    used = sum((F.when(F.exists(deps, _holds(fw)) & ~F.exists(own, _either(fw)), 0.3).otherwise(0.0) for fw in heavy), F.lit(0.0))
+    wired = F.when(F.exists(deps, lambda d: d.rlike("dagger|hilt|guice|inversify|tsyringe")), 0.15).otherwise(0.0)
+    return half_up(F.least(F.lit(1.0), used + wired + F.when(mean_depth > 6, 0.15).otherwise(0.0)), 2)
+
+
+def _holds(word: str):
+    return lambda d: F.contains(d, F.lit(word))
+
+
+def _either(word: str):
+    return lambda t: F.contains(t, F.lit(word)) | F.contains(F.lit(word), t)
 
 
 def integration_surface(symbols: Column, dependencies: Column, points: Column, config: Column, coupling: Column) -> Column:
-    """struct(score, effort): how little there is to connect; coupling is 0 (none) to 1."""
-    score = clamp01(0.22 * ramp_down(symbols, 6, 40) + 0.24 * ramp_down(dependencies, 2, 20) + 0.16 * ramp_down(points, 1, 10) + 0.10 * ramp_down(config, 0, 8) + 0.28 * (1 - coupling))
-    effort = F.when(score >= 0.85, "trivial").when(score >= 0.68, "small").when(score >= 0.45, "moderate").when(score >= 0.25, "large").otherwise("very-large")
-    return F.struct(score.alias("score"), effort.alias("effort"))
+    """struct(score, difficulty): how little there is to connect; coupling is 0 (none) to 1."""
+    score = half_up(0.22 * ramp_down(symbols, 6, 40) + 0.24 * ramp_down(dependencies, 2, 20) + 0.16 * ramp_down(points, 1, 10) + 0.10 * ramp_down(config, 0, 8) + 0.28 * (1 - coupling), 2)
+    difficulty = F.when(score >= 0.85, "trivial").when(score >= 0.68, "low").when(score >= 0.45, "medium").when(score >= 0.25, "high").otherwise("very-high")
+    return F.struct(score.alias("score"), difficulty.alias("difficulty"))
 
 
 def size_proxy(size_kb: Column) -> Column:
     """Symbols to expect of a code base of that size."""
-    return F.when(size_kb.isNull(), 12).when(size_kb <= 500, 8).when(size_kb <= 5000, 15).when(size_kb <= 50000, 30).otherwise(50)
+    return F.when(size_kb.isNull() | (size_kb == 0), 12).when(size_kb < 500, 8).when(size_kb < 5000, 15).when(size_kb < 50000, 30).otherwise(50)
 
 
 def reuse(licence_ok: Column, licence_known: Column, abandoned: Column, kind: Column, kind_confidence: Column, copyleft: Column, open_source: Column, stack: Column, architecture: Column, licence: Column) -> Column:
@@ -124,15 +166,30 @@ def reusability(library_points: Column, application_points: Column, signals: Col
     """struct(kind, score, confidence): one side has to have twice the points of the other."""
     none = (library_points == 0) & (application_points == 0)
     kind = F.when(none, "unknown").when(library_points >= 2 * application_points, "library").when((application_points >= 2 * library_points) & example, "example").when(application_points >= 2 * library_points, "application").otherwise("mixed")
-    score = F.when(kind == "library", 1.0).when(kind == "mixed", 0.6).when(kind == "application", 0.2).when(kind == "example", 0.15).otherwise(0.5)
+    score = F.when(kind == "library", 1.0).when(kind == "mixed", 0.6).when(kind == "example", 0.2).when(kind == "application", 0.15).otherwise(0.5)
     confidence = F.when(signals == 0, 0.1).otherwise(F.least(F.lit(0.9), 0.35 + 0.15 * signals))
     return F.struct(kind.alias("kind"), score.alias("score"), half_up(confidence, 2).alias("confidence"))
 
 
 def readme_quality(readme: Column) -> Column:
-    """What a readme covers: length, headings, code, installation, usage, links."""
+    """What a readme covers: length, code, how to install and to use it, structure; null is no readme."""
     has = lambda p: readme.rlike(p).cast("double")
-    return F.when(readme.isNull() | (F.length(readme) == 0), 0.0).otherwise(clamp01(0.25 * F.least(F.lit(1.0), F.length(readme) / 3000.0) + 0.15 * has(r"(?m)^#{1,3}\s") + 0.2 * has("```") + 0.2 * has(r"(?i)\binstall") + 0.15 * has(r"(?i)\b(usage|example|getting started)\b") + 0.05 * has(r"https?://")))
+    points = (
+        0.2 * (F.length(readme) > 400).cast("double") + 0.15 * (F.length(readme) > 2000).cast("double") + 0.25 * has("```")
+        + 0.2 * has(r"(?i)#{1,3}\s*(install|installation|getting started|setup|quick ?start)") + 0.15 * has(r"(?i)#{1,3}\s*(usage|example|api|documentation)")
+        + 0.05 * (F.regexp_count(readme, F.lit(r"(?m)^#{1,6}\s")) >= 3).cast("double")
+    )
+    return F.when(readme.isNull() | (readme == ""), 0.0).otherwise(clamp01(points))
+
+
+def quality_score(tests: Column, ci: Column, readme: Column, docs: Column, changelog: Column, contributing: Column, releases: Column, stars: Column, days: Column, archived: Column) -> Column:
+    """0 to 100, whole: tests, CI, readme, documents, releases; popularity adds ten at most; age and archives take away."""
+    points = (
+        F.when(tests > 0, F.least(F.lit(25), 10 + tests)).otherwise(0) + 15 * _as(ci) + 15 * readme + 8 * _as(docs) + 5 * _as(changelog) + 2 * _as(contributing)
+        + F.least(F.lit(10), releases) + F.least(F.lit(10.0), 2.5 * F.log10(stars + 1))
+        + F.when(archived, -25).when(days <= 90, 10).when(days <= 365, 5).when(days > 730, -10).otherwise(0)
+    )
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(points + 0.5))).cast("long")
 
 
 def difficulty(efforts: Column, penalty: Column) -> Column:
@@ -141,21 +198,66 @@ def difficulty(efforts: Column, penalty: Column) -> Column:
     return F.when(total <= 1, "trivial").when(total <= 3, "easy").when(total <= 6, "moderate").when(total <= 10, "hard").otherwise("very-hard")
 
 
-def strategy(reuse_value: Column, foundational: Column, unrecognised: Column) -> Column:
-    return F.when(unrecognised, "search-and-assess").when(reuse_value == "high", F.when(foundational, "adopt-library").otherwise("reuse-implementation")).when(reuse_value == "medium", "adapt-implementation").otherwise("build-in-house")
+# Words of a name that tell what shape of thing a symbol is.
+ROLE = r"(?i)\b(manager|coordinator|controller|service|engine|worker|handler|queue|scheduler|client|repository|store|session|policy|strategy|state|machine)\b"
+TEST_PLACE = r"(?i)(^|/)(test|tests|spec|specs|__tests__|androidTest|testing)/|(^|/)(test_[^/]+|[^/]+_test)\.\w+$|\.(test|spec)\.\w+$"
+# Files that implement nothing, and names that are infrastructure, each with the reason, the first that fits.
+NOISE_PATHS = (
+    (r"(?i)(^|/)\.github/", "CI configuration, not implementation"),
+    (r"(?i)(^|/)\.(gitlab-ci|circleci|travis|drone)", "CI configuration, not implementation"),
+    (r"(?i)\.(ya?ml|json|toml|ini|cfg|conf|lock|properties|gradle|xml|plist)$", "configuration file, not implementation"),
+    (r"(?i)(^|/)(docs?|documentation|website|examples?|samples?|demos?|fixtures?|benchmarks?)/", "documentation or example, not implementation"),
+    (r"(?i)\.(md|rst|txt|adoc|html|css|scss)$", "documentation or markup, not implementation"),
+    (r"(?i)(^|/)(node_modules|vendor|third_party|dist|build|target|\.venv)/", "vendored or generated code"),
+    (r"(?i)(^|/)(sample|samples|sampleapp|demo|demos|example|examples|playground)([A-Z]|/|$)", "sample or demo module, not the library"),
+    (r"(?i)(^|/)[A-Za-z]*(Strings|Constants?|Consts?|Messages|ErrorCodes|Keys|Defaults)\.\w+$", "string/constant table, not behaviour"),
+    (TEST_PLACE, "test file — retrieved separately as test evidence"),
+)
+NOISE_NAMES = (
+    (r"(?i)\b(logger|logging|log)\b", "logging infrastructure"), (r"(?i)\b(analytics|telemetry|tracking|metrics)\b", "analytics/telemetry"), (r"(?i)\b(mapper|converter|adapter|dto|transformer)\b", "data mapping boilerplate"),
+    (r"(?i)\b(constants?|config|settings|properties)\b", "configuration constants"), (r"(?i)\b(util|utils|helper|helpers|extensions?)\b", "generic utilities"), (r"(?i)\b(exception|error)\b", "error type"),
+    (r"^(get|set|is|has)[A-Z]", "accessor"), (r"(?i)\b(builder|factory)\b", "construction boilerplate"),
+)
+
+
+def _role(name: Column) -> Column:
+    from evidra.functions.text import split_identifier
+
+    return split_identifier(name).rlike(ROLE)
+
+
+def noise(name: Column, path: Column, kind: Column) -> Column:
+    """Why a symbol is no implementation, or null. What its path says stands; what its name says doesn't if the name has a role, but for logging and tracking."""
+    from evidra.functions.text import split_identifier
+
+    words = split_identifier(name)
+    always = words.rlike(r"(?i)\b(logger|logging|analytics|telemetry|tracking)\b")
+    named = F.coalesce(*[F.when((name if p.startswith("^") else words).rlike(p), why) for p, why in NOISE_NAMES])
+    constant = kind.isin("constant", "enum") | name.rlike("^[A-Z0-9_]{6,}$")
+    return F.coalesce(
+        *[F.when(path.rlike(p), why) for p, why in NOISE_PATHS],
+        F.when(constant & ~_role(name), "constant or enum value — names a thing, does not implement one"),
+        F.when(~_role(name) | always, named),
+    )
+
+
+def structural_bonus(name: Column, path: Column, kind: Column) -> Column:
+    return (
+        F.when(_role(name), 0.15).otherwise(0.0) + F.when(kind.isin("class", "interface"), 0.1).otherwise(0.0) - F.when(kind.isin("constant", "enum"), 0.3).otherwise(0.0) - F.when(name.rlike("^[A-Z0-9_]{6,}$"), 0.3).otherwise(0.0)
+        - F.when(path.rlike("(?i)(^|/)(test|tests|spec|__tests__|androidTest)/"), 0.45).otherwise(0.0) - F.when(path.rlike("(?i)(^|/)(example|examples|sample|samples|demo)/"), 0.35).otherwise(0.0)
+    )
 
 
-def symbol_score(terms: Column, name: Column, purpose: Column, path: Column, signature: Column, kind: Column) -> Column:
-    """Terms met as a word of the name, in it, in purpose, path and signature; what kind of symbol it is, and where."""
+def symbol_score(terms: Column, name: Column, purpose: Column, path: Column, signature: Column, kind: Column, relevance: Column | None = None) -> Column:
+    """Each term of three letters or more counts once, where it is found first: as a word of the name, in it, in purpose, path or signature; then what kind of symbol it is, and where. A relevance that an index gives counts 0.7."""
     from evidra.functions.text import split_identifier
 
     words = F.split(split_identifier(name), " ")
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
 
     def worth(t: Column) -> Column:
-        return F.when(F.array_contains(words, t), 0.35).when(F.contains(low(name), t), 0.25).otherwise(0.0) + F.when(F.contains(low(purpose), t), 0.12).otherwise(0.0) + F.when(F.contains(low(path), t), 0.10).otherwise(0.0) + F.when(F.contains(low(signature), t), 0.06).otherwise(0.0)
+        return F.when(F.length(t) < 3, 0.0).when(F.array_contains(words, t), 0.35).when(F.contains(low(name), t), 0.25).when(F.contains(low(purpose), t), 0.12).when(F.contains(low(path), t), 0.10).when(F.contains(low(signature), t), 0.06).otherwise(0.0)
 
-    met = F.aggregate(terms, F.lit(0.0), lambda s, t: s + worth(F.lower(t)))
-    shape = F.when(kind.isin("class", "interface"), 0.1).when(kind.isin("constant", "enum"), -0.3).otherwise(0.0) + F.when(name.rlike("(Manager|Service|Repository|Controller|Handler|Worker|Engine)$"), 0.15).otherwise(0.0) - F.when(name.rlike("^[A-Z][A-Z0-9_]+$"), 0.3).otherwise(0.0)
-    place = F.when(low(path).rlike("(^|/)(tests?|androidtest|__tests__|spec)/|[._]test[.]|test[.][a-z]+$"), -0.45).when(low(path).rlike("(^|/)(examples?|samples?|demo)/"), -0.35).otherwise(0.0)
-    return clamp01(met + shape + place)
+    bonus = structural_bonus(name, path, kind)
+    own = clamp01(F.aggregate(terms, F.lit(0.0), lambda s, t: s + worth(F.lower(t))) + bonus)
+    return own if relevance is None else F.when(relevance > 0, clamp01(relevance * 0.7 + bonus * 0.3)).otherwise(own)
