@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.text import dice, plain_name
+from evidra.functions.text import bigrams, dice, plain_name
 from evidra.operators.lineage import cut
 
 
@@ -23,10 +23,22 @@ def fork_links(rows: DataFrame, entity: str, parent: str) -> DataFrame:
 
 
 def dice_links(rows: DataFrame, entity: str, block: list[str], name: str, over: float = 0.85) -> DataFrame:
-    """(a, b, score): pairs of a block with like names. Distinct names are paired, not entities: a name's entities share its class."""
+    """(a, b, score): pairs of a block with like names. Distinct names are paired, not entities: a name's entities share its class.
+
+    Only names that share a piece of their prefix meet: two names with more than over of their n and
+    m pieces in common share more than over / (2 - over) of the longer one's, so in any one order of
+    all pieces each has a common one among its first n - ceil(n * over / (2 - over)) + 1. Pieces that
+    come again in a name are numbered, and rare ones come first by their hash.
+    """
     names = rows.groupBy(*block, F.lower(name).alias("name")).agg(F.min(entity).alias("entity"))
-    right = names.withColumnsRenamed({"name": "name2", "entity": "entity2"})
-    pairs = names.join(right, block).filter(F.col("name") < F.col("name2"))
+    pieces = bigrams(F.col("name"))
+    numbered = F.transform(pieces, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pieces, 1, i), lambda q: q == p)).cast("string")))
+    sorted_ = F.transform(F.array_sort(F.transform(numbered, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p")))), lambda x: x["p"])
+    share = over / (2 - over)
+    first = F.slice(sorted_, F.lit(1), (F.size(sorted_) - F.ceil(F.size(sorted_) * share - 1e-9) + 1).cast("int"))
+    keyed = names.withColumn("piece", F.explode(first))
+    right = keyed.withColumnsRenamed({"name": "name2", "entity": "entity2"})
+    pairs = keyed.join(right, [*block, "piece"]).filter(F.col("name") < F.col("name2")).drop("piece").distinct()
     # |A and B| can't exceed the shorter: names of too different length are out before they are compared
     a, b = F.length("name") - 1, F.length("name2") - 1
     pairs = pairs.filter(2 * F.least(a, b) > over * (a + b)).withColumn("score", dice(F.col("name"), F.col("name2")))
@@ -70,12 +82,38 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def representative_score(archived: Column, days: Column, stars: Column, fork: Column) -> Column:
-    """Live and recent before popular; forks last among equals."""
-    recency = F.when(days <= 30, 100).when(days <= 180, 60).when(days <= 365, 25).otherwise(0)
-    return F.when(archived, -1000).otherwise(0) + recency + 8 * F.log10(stars + 1) - F.when(fork, 15).otherwise(0)
+    """Live and recent before popular, forks a little behind; an archive is last, whatever else it is."""
+    recency = F.when(days <= 90, 100).when(days <= 365, 60).when(days <= 730, 25).otherwise(0)
+    return F.when(archived, -1000.0).otherwise(recency + 8 * F.log10(stars + 1) - F.when(fork, 15).otherwise(0))
 
 
 def representatives(members: DataFrame, group: str, entity: str, score: str) -> DataFrame:
     """(group, representative, members): the best member of each group, the least id among equals."""
     best = F.min(F.struct((-F.col(score)).alias("s"), F.col(entity).alias("e")))
     return members.groupBy(group).agg(best.alias("m"), F.count("*").alias("members")).select(group, F.col("m.e").alias("representative"), "members")
+
+
+def folded(rows: DataFrame, over: float = 0.85) -> DataFrame:
+    """(id, cluster, representative, members, kept): near-duplicates folded into one of them.
+
+    rows (id, owner, name, parent, is_fork, archived, days, stars, description), names in lower
+    case, days since the last push (null: long ago). Linked are a fork and its parent, equal names, names
+    that are equal without affixes, like names of one owner (Dice over), and equal long descriptions. A cluster
+    is all that such links join; its best member stays, the least id among equals. A name that is
+    nothing but affixes is like no other.
+    """
+    links = _forks(rows).union(star_links(rows, F.col("name"), "id", "copy")).union(star_links(rows, plain_key("name"), "id", "name")).union(star_links(rows, description_key("description"), "id", "description"))
+    own = rows.groupBy("owner", "name").agg(F.min("id").alias("entity"))
+    alike = dice_links(own, "entity", ["owner"], "name", over)
+    links = cut(links.union(alike.select(F.col("entity").alias("a"), F.col("entity2").alias("b"), F.lit("owner").alias("reason"))))
+    named = connected(links).select(F.col("v").alias("id"), F.col("label").alias("cluster"))
+    score = representative_score(F.col("archived"), F.coalesce("days", F.lit(3650)), F.col("stars"), F.col("is_fork"))
+    scored = cut(rows.join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"), score.alias("score")))
+    best = representatives(scored, "cluster", "id", "score")
+    return scored.join(best, "cluster").select("id", "cluster", "representative", "members", (F.col("id") == F.col("representative")).alias("kept"))
+
+
+def _forks(rows: DataFrame) -> DataFrame:
+    """(a, b, reason): forks whose parent is there."""
+    forks = rows.filter(F.col("is_fork") & F.col("parent").isNotNull()).select(F.col("parent").alias("a"), F.col("id").alias("b"))
+    return forks.join(rows.select(F.col("id").alias("a")), "a").filter("a <> b").select("a", "b", F.lit("fork").alias("reason"))

@@ -26,25 +26,25 @@ LEADING = r"^((build|create|add|implement|support|need|want|it needs|a|an|the)\s
 
 
 def unrecognised(requirements: DataFrame, key: str, text: str, units: DataFrame, vocabulary: DataFrame, most: int = 8) -> DataFrame:
-    """(key, fragment): pieces of a requirement of 4 to 60 plain characters that no trigger is in and less than half of whose stems the found capabilities' words cover; the first most."""
-    fragments = requirements.select(key, F.posexplode(F.split(F.col(text), FRAGMENTS)).alias("at", "raw"))
+    """(key, fragment), from units (_key, unit): pieces of a requirement of 4 to 60 plain characters that no trigger is in and less than half of whose stems the found capabilities' words cover; the first most."""
+    fragments = requirements.select(F.col(key).alias("_key"), F.posexplode(F.split(F.col(text), FRAGMENTS)).alias("at", "raw"))
     clean = F.trim(F.regexp_replace(F.lower(F.trim("raw")), LEADING, ""))
-    fragments = fragments.select(key, "at", clean.alias("fragment")).filter(F.length("fragment").between(4, 60) & F.col("fragment").rlike("^[a-z][a-z0-9 /_-]*$"))
-    fragments = fragments.groupBy(key, "fragment").agg(F.min("at").alias("at"))
+    fragments = fragments.select("_key", "at", clean.alias("fragment")).filter(F.length("fragment").between(4, 60) & F.col("fragment").rlike("^[a-z][a-z0-9 /_-]*$"))
+    fragments = fragments.groupBy("_key", "fragment").agg(F.min("at").alias("at"))
     known = phrase_matches(fragments.select("fragment").distinct(), "fragment", "fragment", exploded(vocabulary, "triggers", "trigger").withColumnRenamed("id", "capability"))
     fragments = fragments.join(known.select("fragment").distinct(), "fragment", "left_anti")
-    said = vocabulary.select("id", F.explode(F.concat(F.array("label"), "checklist", "search_terms", "triggers")).alias("t")).select("id", F.explode(F.split(stem_phrase(F.col("t")), " ")).alias("stem")).distinct()
-    covered = units.select(key, F.col("id")).join(small(said), "id").select(key, "stem").distinct()
-    stems = fragments.select(key, "fragment", "at", F.explode_outer(F.filter(F.split(stem_phrase(F.col("fragment")), " "), lambda w: F.length(w) >= 3)).alias("stem"))
-    got = stems.join(covered.withColumn("in", F.lit(1)), [key, "stem"], "left").groupBy(key, "fragment", "at").agg(F.count("stem").alias("n"), F.count("in").alias("known"))
+    said = vocabulary.select(F.col("id").alias("unit"), F.explode(F.concat(F.array("label"), "checklist", "search_terms", "triggers")).alias("t")).select("unit", F.explode(F.split(stem_phrase(F.col("t")), " ")).alias("stem")).distinct()
+    covered = units.join(small(said), "unit").select("_key", "stem").distinct()
+    stems = fragments.select("_key", "fragment", "at", F.explode_outer(F.filter(F.split(stem_phrase(F.col("fragment")), " "), lambda w: F.length(w) >= 3)).alias("stem"))
+    got = stems.join(covered.withColumn("in", F.lit(1)), ["_key", "stem"], "left").groupBy("_key", "fragment", "at").agg(F.count("stem").alias("n"), F.count("in").alias("known"))
     got = got.filter((F.col("n") == 0) | (2 * F.col("known") < F.col("n")))
-    return got.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("at", "fragment"))).filter(F.col("_n") <= most).select(key, "fragment")
+    return got.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("at", "fragment"))).filter(F.col("_n") <= most).select(F.col("_key").alias(key), "fragment")
 
 
 def decompose(requirements: DataFrame, key: str, text: str, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units, primary, unrecognised) of each requirement.
 
-    units (key, id, name, implied, hits, priority, place): capabilities whose triggers are in the
+    units (key, unit, name, implied, hits, priority, place): capabilities whose triggers are in the
     text, and all that these imply, however far; the most urgent first, then by name. primary
     (key, capability) is what the text is mainly about, unrecognised (key, fragment) what nothing covers.
     """
@@ -52,13 +52,13 @@ def decompose(requirements: DataFrame, key: str, text: str, vocabulary: DataFram
     found = phrase_matches(requirements, key, text, triggers)
     reach = closure(exploded(vocabulary, "implies", "needs"), "id", "needs").select(F.col("origin").alias("capability"), "reached")
     implied = found.select(key, "capability").join(small(reach), "capability").select(key, F.col("reached").alias("capability")).distinct().join(found.select(key, "capability"), [key, "capability"], "left_anti")
-    units = found.select(key, F.col("capability").alias("id"), F.lit(False).alias("implied"), "hits").union(implied.select(key, "capability", F.lit(True), F.lit(0).cast("long")))
-    facts = vocabulary.select("id", F.col("label").alias("name"), "reuse", "foundational")
-    units = units.join(small(facts), "id").withColumn("priority", unit_priority(F.col("foundational"), F.col("reuse"), F.col("implied"), F.col("hits")).cast("long"))
-    units = units.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("priority"), "name")).cast("long")).select(key, "id", "name", "implied", "hits", "priority", "place")
+    units = found.select(key, F.col("capability").alias("unit"), F.lit(False).alias("implied"), "hits").union(implied.select(key, "capability", F.lit(True), F.lit(0).cast("long")))
+    facts = vocabulary.select(F.col("id").alias("unit"), F.col("label").alias("name"), "reuse", "foundational")
+    units = units.join(small(facts), "unit").withColumn("priority", unit_priority(F.col("foundational"), F.col("reuse"), F.col("implied"), F.col("hits")).cast("long"))
+    units = units.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("priority"), "name")).cast("long")).select(key, "unit", "name", "implied", "hits", "priority", "place")
     narrows = exploded(vocabulary, "narrows", "wide").select(F.col("id").alias("narrow"), "wide")
     main = primary(found, key, narrows, requirements.select(key, head_end(F.col(text)).alias("head_end")))
-    return units, main, unrecognised(requirements, key, text, units, vocabulary)
+    return units, main, unrecognised(requirements, key, text, units.select(F.col(key).alias("_key"), "unit"), vocabulary)
 
 
 # Capabilities that libraries solve, and those whose approach is to be studied.
@@ -82,19 +82,19 @@ def rationale(name: Column, chosen: Column) -> Column:
 
 
 def plan(units: DataFrame, key: str, vocabulary: DataFrame, total: int | None = None, library: tuple[str, ...] = LIBRARY_SHAPED, algorithm: tuple[str, ...] = ALGORITHM_SHAPED) -> DataFrame:
-    """(key, id, name, strategy, priority, share, queries): what is worth a search, with its share of the budget in hundredths and its number of queries (one at least; total, or three a task, by weight, half up).
+    """(key, unit, name, strategy, priority, share, queries): what is worth a search, with its share of the budget in hundredths and its number of queries (one at least; total, or three a task, by weight, half up).
 
     Units to build from scratch have strategy build-from-scratch and no share. Weights are
     priority times the strategy's weight, at least 50 thousandths.
     """
-    rows = units.join(small(vocabulary.select("id", "reuse")), "id", "left").withColumn("strategy", strategy(F.col("id"), F.col("reuse"), library, algorithm))
+    rows = units.join(small(vocabulary.select(F.col("id").alias("unit"), "reuse")), "unit", "left").withColumn("strategy", strategy(F.col("unit"), F.col("reuse"), library, algorithm))
     weight = F.greatest(F.lit(50), F.col("priority") * F.coalesce(*[F.when(F.col("strategy") == s, w) for s, w in WEIGHT.items()]))
     rows = rows.withColumn("w", F.when(F.col("strategy") != "build-from-scratch", weight).cast("long"))
     all_ = Window.partitionBy(key)
     rows = rows.withColumn("sum", F.sum("w").over(all_)).withColumn("budget", F.lit(total).cast("long") if total else 3 * F.count("w").over(all_))
     share = F.floor((200 * F.col("w") + F.col("sum")) / (2 * F.col("sum"))).cast("long")
     queries = F.greatest(F.lit(1), F.floor((2 * F.col("w") * F.col("budget") + F.col("sum")) / (2 * F.col("sum")))).cast("long")
-    return rows.select(key, "id", "name", "strategy", "priority", share.alias("share"), F.when(F.col("w").isNotNull(), queries).alias("queries"))
+    return rows.select(key, "unit", "name", "strategy", "priority", share.alias("share"), F.when(F.col("w").isNotNull(), queries).alias("queries"))
 
 
 def topological(tasks: DataFrame, group: str, key: str, priority: str, needs: str) -> DataFrame:
@@ -242,11 +242,11 @@ def chosen_in_order(tasks: DataFrame, key: str, priority: str, place: str, most:
 
 def composite(units: DataFrame, key: str, main: DataFrame, vocabulary: DataFrame, most: int = 12, heads: int = 2) -> DataFrame:
     """(key, id, capabilities, checklist): one task for a requirement: the main capability's checklist, then the first items of the others'."""
-    lists = small(vocabulary.select("id", "checklist"))
-    rows = units.join(main.select(key, F.col("capability").alias("main")), key).join(lists, "id").withColumn("first", F.col("id") == F.col("main"))
-    item = F.struct((~F.col("first")).alias("late"), "place", F.when(F.col("first"), F.col("checklist")).otherwise(F.slice("checklist", 1, heads)).alias("list"), "id")
+    lists = small(vocabulary.select(F.col("id").alias("unit"), "checklist"))
+    rows = units.join(main.select(key, F.col("capability").alias("main")), key).join(lists, "unit").withColumn("first", F.col("unit") == F.col("main"))
+    item = F.struct((~F.col("first")).alias("late"), "place", F.when(F.col("first"), F.col("checklist")).otherwise(F.slice("checklist", 1, heads)).alias("list"), "unit")
     got = rows.groupBy(key, "main").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    return got.select(key, F.col("main").alias("id"), F.transform("all", lambda x: x["id"]).alias("capabilities"), ordered_union(most, F.flatten(F.transform("all", lambda x: x["list"]))).alias("checklist"))
+    return got.select(key, F.col("main").alias("id"), F.transform("all", lambda x: x["unit"]).alias("capabilities"), ordered_union(most, F.flatten(F.transform("all", lambda x: x["list"]))).alias("checklist"))
 
 
 def covers(text: Column, phrase: Column) -> Column:

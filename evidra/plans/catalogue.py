@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.plans import content, ranking, relations
+from evidra.plans import axes, content, names, ranking, reads, relations, tasks
 
-QUERIES: dict = {**ranking.QUERIES, **content.QUERIES, **relations.QUERIES}
-SQL: dict[str, str] = {**ranking.SQL, **content.SQL, **relations.SQL}
+QUERIES: dict = {**ranking.QUERIES, **content.QUERIES, **relations.QUERIES, **reads.QUERIES, **names.QUERIES, **axes.QUERIES, **tasks.QUERIES}
+SQL: dict[str, str] = {**ranking.SQL, **content.SQL, **relations.SQL, **reads.SQL, **names.SQL, **axes.SQL, **tasks.SQL}
