@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
 from evidra.operators import clusters, graph, synthesis
+from evidra.plans import names
 from evidra.plans.ranking import _EVIDENCE_SQL, WEIGHTS, supplier_evidence
 from evidra.operators import evidence as ev
 from evidra.sources.tables import table
@@ -142,7 +143,7 @@ QUERIES = {f.__name__: f for f in (
     minimal_set, constraint_filter, alternatives_topk, verification_checks, verification_confidence, shared_selection, build_order,
 )}
 
-_PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), '^(lib|go|js|py|node|react|android)(.)', '\\2'), '(.)(js|py|lib|library|sdk|kt|go|rs)$', '\\1')"
+_PLAIN = names._PLAIN.format("p_name")
 _GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
 _TIMES = "len(list_filter({0}, lambda y: y = x))"
 _VIOLATION = "case when s_acctbal < 0 then 'negative balance' when n_regionkey = 4 then 'excluded region' when s_acctbal < 1000 then 'small' end"
