@@ -25,9 +25,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) a folder of this machine."""
+    """The folder all executors share: spark.checkpoint.dir, or (unset, and all on one machine, as in tests) a folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="evidra-checkpoints-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(where)

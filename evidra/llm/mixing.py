@@ -83,9 +83,16 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
 
     A null source is a source of its own; null texts have no tokens, and documents without tokens
     come with the block that they are in; null ids are kept; rows with the same id and text are
-    drawn together; an empty table gives an empty result; other columns pass through (_src, _u,
-    _block and those named above are taken).
+    drawn together; an empty table gives an empty result; other columns pass through, whatever
+    their names (those named above are replaced).
     """
+    added = ["_tokens", "_weight", "_epoch", "_slot"]
+    names = [c for c in docs.columns if c not in added]
+    if any(c.startswith("_") or c in ("end", "room") for c in names):  # names that are used below: other ones meanwhile
+        safe = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+        at = {c: f"c{k}" for k, c in enumerate(names)}
+        got = mix(safe, at[source_col], at[id_col], at[text_col], entropy_share, max_repeats, budget_share, seed)
+        return got.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *added)
     src = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     placed = docs.withColumn("_src", src).withColumn("_u", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("_tokens", token_count(F.col(text_col)))
     narrow = cut(placed.select("_src", "_u", "_tokens"))
@@ -121,8 +128,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     counts = sources.select("_src", "_blocks")
     got = placed.join(counts, "_src").withColumn("_block", block).drop("_blocks").join(table, ["_src", "_block"])
     got = got.filter(F.col("end").isNull() | ((F.col("_u") <= F.col("end")) & (F.col("end") > least)))
-    keep = [c for c in docs.columns if c not in ("_tokens", "_weight", "_epoch", "_slot")]
-    return got.select(*keep, "_tokens", "_weight", "_epoch", "_slot")
+    return got.select(*names, *added)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

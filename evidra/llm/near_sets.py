@@ -19,7 +19,7 @@ SAMPLE, OFTEN, MOST = 2000, 3, 100000
 
 
 def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, frequent: np.ndarray | None = None) -> DataFrame:
-    """(id, v, fp, n, h) for every row of (id, text): hash and size of the set of shingles, SimHash, and the set's hashes.
+    """(id, t, v, fp, n, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, and the set's hashes.
 
     With least only the prefix: of two sets that are so similar, the first n - ceil(least * n) + 1
     hashes share one, whatever the order; frequent hashes come last in it.
@@ -44,10 +44,10 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
                 sets.append(own)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([np.array([], np.uint64), *sets]).astype(np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array(np.array(vs, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))]
-            yield pa.record_batch(columns, names=["id", "v", "fp", "n", "h"])
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(vs, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))]
+            yield pa.record_batch(columns, names=["id", "t", "v", "fp", "n", "h"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v bigint, fp bigint, n int, h array<bigint>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t bigint, v bigint, fp bigint, n int, h array<bigint>")
 
 
 def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
@@ -62,14 +62,14 @@ def alike(rows: DataFrame, one: DataFrame, pairs: DataFrame, width: int, least:
     """Those of pairs (a, b) whose sets have the similarity. The sets are made again, of the texts that pairs name."""
     wanted = cut(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
     ids = wanted.join(one.select("v", "least"), "v").select(F.col("least").alias("id"))
-    texts = BitFilter(ids, "id").mark(rows, "_hit").filter("_hit").select("id", "text")
+    texts = BitFilter(ids, "id").mark(rows, "_hit").filter("_hit").select("id", "text", "t")
     sets = shingle_sets(texts, width).select("v", "h").join(wanted, "v", "left_semi").dropDuplicates(["v"])
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b")
     return cut(both.filter(F.size(F.array_intersect("ha", "hb")) * sum(least) >= least[0] * (F.size("ha") + F.size("hb"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(id, component) for every row of docs; component is the least id reachable over pairs of that Jaccard similarity or more.
+    """(id, t, component) for every row of docs: its id, the xxhash64 of its text, and the least id reachable over pairs of that Jaccard similarity or more.
 
     Equal sets are one vertex (texts without a word are equal; texts of fewer words than a shingle
     have one of all words). First come few pairs: SimHash links, and each set with the least one
@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text counts as empty; null ids are kept and are larger than any other; repeated rows give
     repeated rows; an empty table gives an empty result; further columns are not read.
     """
-    rows = id_text(docs, id_col, text_col)
+    rows = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     signed = cut(shingle_sets(rows, width, least, frequent_shingles(rows, width)))
     one = cut(signed.groupBy("v").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
     tokens = signed.select("v", "n", F.posexplode("h").alias("pos", "h"))
@@ -112,4 +112,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = cut(one.select("v", "least").join(labels, F.col("v") == F.col("w"), "left").select("v", "least", F.coalesce("label", "v").alias("label")))
     smallest = cut(told.groupBy("label").agg(F.min("least").alias("component")))
     named = cut(told.join(smallest, "label").select(F.col("v").alias("w"), "component"))
-    return signed.select("id", "v").join(named, F.col("v") == F.col("w")).select("id", "component")
+    return signed.select("id", "t", "v").join(named, F.col("v") == F.col("w")).select("id", "t", "component")

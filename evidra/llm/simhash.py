@@ -229,6 +229,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
         if hot.limit(1).count() == 0:
             break
         rows, left = _split(hot, left, distance)
+    else:
+        raise ValueError("buckets don't end: a larger bucket is needed")
     return cut(found.distinct())
 
 

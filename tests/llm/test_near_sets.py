@@ -68,5 +68,12 @@ def test_the_stage_drops_edited_copies(spark, sf_dir):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, R.frame(spark, rows), sf_dir).collect()) == [1, 3]
 
 
+def test_texts_under_one_id_are_judged_on_their_own(spark, sf_dir):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words), "en", "s", 0), (5, " ".join(words[::-1]), "en", "s", 0), (5, " ".join(words) + " end", "en", "s", 0), (7, None, None, None, None), (7, "", None, None, 0), (None, "", None, None, 0)]
+    got = [tuple(r)[:2] for r in corpus_pipeline.near_copies(spark, R.clashing(R.frame(spark, rows)), sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(1, rows[0][1]), (5, rows[1][1]), (7, None), (7, "")], key=str)
+
+
 def test_empty_table(spark):
     assert near_sets.near_duplicates(R.frame(spark, [])).count() == 0

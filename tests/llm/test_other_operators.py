@@ -187,6 +187,66 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(R.frame(spark, [])).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of integers (4 bytes), longs and strings in turn; nulls are passed over."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_mix(rows, share, repeats, budget):
+    """By the words of mix(): which (id, epoch, slot) are drawn."""
+    seed = ("i", mixing.SEED)
+    docs = [(i, "null" if s is None else f"={s}", spark_hash(seed, ("l", i), ("s", t)), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _, s, _ in rows]
+    have = Counter()
+    for _, s, _, n in docs:
+        have[s] += n
+    total = sum(have.values())
+    shares = {s: n / total for s, n in have.items()}
+    weights = mixing.weights_at(shares, mixing.bisect_power(shares, share, repeats, budget))
+    spend = mixing.budgets(dict(have), weights, int(total * budget))
+    out = []
+    for s, n in have.items():
+        blocks, full, rest = max(1, -(-n // mixing.BLOCK_TOKENS)), spend[s] // n, spend[s] % n
+        inside = defaultdict(list)
+        for i, src, u, k in docs:
+            if src == s:
+                inside[u % blocks].append((u, i, k))
+        for epoch in range(full + 1):
+            left = rest
+            for slot, block in enumerate(sorted(inside, key=lambda b, e=epoch: (spark_hash(seed, ("s", s), ("l", e), ("l", b)), b))):
+                size = sum(k for *_, k in inside[block])
+                if epoch < full or size <= left:
+                    out += [(i, epoch, slot) for _, i, _ in inside[block]]
+                    left -= size
+                    if epoch == full and left <= 0:
+                        break
+                    continue
+                for u in sorted({u for u, *_ in inside[block]}):
+                    same = [(i, k) for v, i, k in inside[block] if v == u]
+                    if sum(k for _, k in same) > left:
+                        break
+                    left -= sum(k for _, k in same)
+                    out += [(i, epoch, slot) for i, _ in same]
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("share,repeats,budget", [(0.99, 3.0, 1.0), (0.9, 4.0, 2.5)])
+def test_drawn_rows_equal_plain_python(spark, monkeypatch, share, repeats, budget):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 400)
+    rng = random.Random(3)
+    rows = [(k, R.prose(rng, rng.randint(1, 60)), None, rng.choice("aaaaaaabbc") if k % 9 else None, 0) for k in range(300)]
+    got = mixing.mix(R.clashing(R.frame(spark, rows)).withColumn("end", F.lit(1)).withColumn("_block", F.lit(2)), entropy_share=share, max_repeats=repeats, budget_share=budget)
+    assert sorted((r["doc_id"], r["_epoch"], r["_slot"]) for r in got.collect()) == plain_mix(rows, share, repeats, budget) and got.first()["_block"] == 2
+
+
 URLS = [("https://a.org/x", "allow", "org/"), ("HTTP://EXAMPLE.org/es/1", "block", "example.org/es/"), ("https://b.example.org/en/12?x#y", "block", "example.org/en/1"), ("https://b.example.org/en/2", "allow", "org/"),
         ("https://z.com/fr/a", "allow", "com/fr/"), ("https://z.com/de/a", "block", "com/de/"), ("https://org", None, None), ("https://myorg/x", None, None), ("no scheme/org/x", None, None), (None, None, None), ("", None, None), ("https://ex.net#a/b://c", None, None)]
 
@@ -204,6 +264,77 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(rows.limit(0)).count() == 0
 
 
+def plain_urls(urls):
+    """By the words of filter_urls(): (score, verdict) of each url."""
+    import zlib
+
+    order, prior = url_filter.ORDER, url_filter.PRIOR
+
+    def rule(url):
+        if not url or "://" not in url:
+            return None
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    def pieces(url):
+        text = (url or "").split("://", 1)[-1].lower() if "://" in (url or "") else (url or "").lower()
+        text = "^" * (order - 1) + re.sub(r"[^a-z0./?#=&%_:\-]", "~", re.sub("[0-9]", "0", text)) + "$"
+        return [text[k : k + order] for k in range(len(text) - order + 1)]
+
+    held = lambda u: zlib.crc32((u or "").encode()) % 5 == 0
+    counts = {"allow": Counter(), "block": Counter()}
+    every = set()
+    for u in urls:
+        every.update(pieces(u))
+        if rule(u) and not held(u):
+            counts[rule(u)].update(pieces(u))
+    symbols = len({g[-1] for g in every})
+    sums = {v: [Counter() for _ in range(order + 1)] for v in counts}
+    for v, c in counts.items():
+        for g, n in c.items():
+            for k in range(order):
+                sums[v][k][g[order - 1 - k :]] += n
+    contexts = {v: [Counter() for _ in range(order)] for v in counts}
+    for v in counts:
+        for k in range(order):
+            for g, n in sums[v][k].items():
+                contexts[v][k][g[:k]] += n
+
+    def chance(v, g):
+        p = 1 / symbols
+        for k in range(order):
+            part = g[order - 1 - k :]
+            p = (sums[v][k][part] + prior * p) / (contexts[v][k][part[:k]] + prior)
+        return p
+
+    weight = {g: round(math.log(chance("allow", g) / chance("block", g)) * url_filter.UNIT) for g in every}
+    score = {u: sum(weight[g] for g in pieces(u)) / len(pieces(u)) / url_filter.UNIT for u in urls}
+    test = [(max(-1000, min(1000, math.floor(score[u] * 100))), rule(u)) for u in urls if held(u) and rule(u)]
+    best = max((sum(a >= x and v == "allow" for a, v in test) / sum(v == "allow" for _, v in test) + sum(a < x and v == "block" for a, v in test) / sum(v == "block" for _, v in test)) for x in range(-1001, 1002))
+    return {u: (score[u], rule(u)) for u in urls}, best, test
+
+
+def test_url_models_equal_plain_python(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh0123-_") for _ in range(rng.randint(1, 8)))
+    urls = [f"{rng.choice(('https', 'HTTP'))}://{word()}.{rng.choice(('org/', 'example.org/es/', 'com/fr/', 'com/de/', 'net/'))}{word()}" for _ in range(150)] + ["", "é//x", "no scheme"]
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(900, None)], "page_id long, url string")
+    want, best, test = plain_urls([*urls, ""])
+    got = url_filter.filter_urls(rows).collect()
+    for r in got:
+        score, decided = want[r["url"] or ""]
+        assert math.isclose(r["score"], score, abs_tol=2e-6) and (decided is None or r["verdict"] == decided)
+    free = [(r["score"], r["verdict"]) for r in got if r["rule"] is None]
+    level = min((s for s, v in free if v == "allow"), default=9.0)
+    assert all((s >= level) == (v == "allow") for s, v in free)  # one threshold parts them
+    chosen = url_filter.threshold(url_filter.filter_urls(rows).withColumn("held", F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(5)) == 0).withColumn("hit", F.when(F.col("rule").isNotNull(), F.struct("rule", "verdict")))) * 100
+    told = sum(a >= chosen and v == "allow" for a, v in test) / sum(v == "allow" for _, v in test) + sum(a < chosen and v == "block" for a, v in test) / sum(v == "block" for _, v in test)
+    assert math.isclose(told, best)
+
+
 def test_url_models_tell_held_out_rules_apart(spark):
     got = registry.QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01")
     rows = got.filter("rule is not null").collect()
@@ -223,6 +354,27 @@ def test_rules_compile_to_what_they_say(spark):
     assert np.allclose(got, want[:80], atol=1e-6)
 
 
+def plain_statistics(text):
+    import regex
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    n, c = max(1, len(words)), max(1, len(text))
+    found = lambda p, t=text: len(regex.findall(p, t))
+    return [
+        len(text), len(words), sum(map(len, words)) / n, len(set(words)) / n, sum(len(w) > 14 for w in words) / n, len(lines), len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)), found("[0-9]") / c, found(r"\p{Lu}") / c,
+        found(r"[#$%&*+/<=>@\\^_`|~{}\[\]]") / c, found("[,;:'\"()-]") / c, found("[.!?]") / n, found(r"(?<!\p{L})(?:" + "|".join(rule_quality._FUNCTION_WORDS.split()) + r")(?!\p{L})", text.lower()) / n, found(r"[^\x00-\x7F]") / c, found(r"(.)\1\1") / c,
+        sum(bool(regex.match(r"\p{Lu}{2,}", w)) for w in words) / n, sum(len(w) == 1 for w in words) / n,
+    ]
+
+
+def test_statistics_equal_plain_python(spark):
+    texts = [t or "" for _, t, *_ in R.documents()] + ["The END, of 3 aaaa!? [x] de la", "\n\n a \n", "ÉÉ über"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    for r in rule_quality.measured(rows, "text").collect():
+        assert np.allclose([r["_s"][n] for n in rule_quality.STATISTICS], plain_statistics(texts[r["k"]])), texts[r["k"]]
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in registry.QUERIES["op8_rule_quality"](spark, sf).collect()}
