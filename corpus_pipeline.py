@@ -16,7 +16,12 @@ LEAST_QUALITY = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects; it learns from labelled rows that aren't held out."""
+    """Without the documents that the classifier rejects; it learns from labelled rows that aren't held out.
+
+    Null texts count as empty and are scored like any text; rows with the same text go or stay
+    together; labels without a document or a value teach nothing, and without any label every
+    document scores 0.5 and stays; an empty table gives an empty result.
+    """
     model = rule_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rule_quality.scored(docs, model).filter(F.col("_score") >= LEAST_QUALITY).select(*COLUMNS)
 
@@ -28,19 +33,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8 or more): the one with the least id (rows that share it and its text stay together)."""
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more): the one with the least id.
+
+    Of several texts under that id in one group the one with the least hash stays; another text under
+    the id that is like nothing of the group is judged on its own. Rows with the same id and text stay
+    together; null texts are empty ones; null ids come last.
+    """
     groups = near_sets.near_duplicates(docs)
-    kept = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
+    kept = groups.groupBy("component").agg(least.alias("m")).select(F.col("m.id").alias("_id"), F.col("m.t").alias("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weights of their source draw them."""
+    """Documents as often as the weights of their source draw them; a null source is one of its own, null texts have no tokens, rows with the same id and text are drawn together, an empty table gives an empty result."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): token ids of each document, and the text that they decode to."""
+    """(doc_id, n_tokens, ids, text): token ids of each document, and the text that they decode to; a null text has none and decodes to the empty one, each row is encoded, an empty table gives an empty result."""
     import public_tokenizers
 
     got = bpe_transducer.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memory=0.2)  # beside what the other stages take
