@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Drops what earlier rounds left: shuffle files and cut tables go when the driver has collected their handles, which it else does when its memory is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BitFilter, cut, documents
+from .common import BitFilter, cut, documents, sweep
 
 #: A run counts as repeated if it has this many words.
 MIN_WORDS = 10
+#: After so many rounds what they left is swept out.
+SWEEP = 3
 #: A document: nulls last, then id, then hash of the text.
 KEY = ["none", "id", "h"]
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -81,6 +83,8 @@ def prefix_doubling(lines: DataFrame) -> list[DataFrame]:
     while not levels[-1].isEmpty():
         paired = levels[-1].select("p", "d", (2 * F.col("n")).alias("n"), (F.lead("p").over(step) == F.col("p") + F.col("n")).alias("near"), F.col("r").alias("x"), F.lead("r").over(step).alias("y"))
         levels.append(cut(ranked(paired.filter("near").drop("near"), ["x", "y"])))
+        if len(levels) % SWEEP == 0:
+            sweep(lines.sparkSession)
     return levels[:-1] or levels
 
 
@@ -98,7 +102,9 @@ def longest_copies(levels: list[DataFrame]) -> DataFrame:
         some = level.filter("r <> p").select("p", F.struct(F.col("n").alias("size"), F.col("r").alias("first"), "d").alias("top"))
         later = some if later is None else later.union(some)
     rows = cut(later.groupBy("p").agg(F.max("top").alias("top")).select("p", "top.d", "top.first", "top.size", F.lit(1 << len(levels)).cast("long").alias("n")))
-    for level in reversed(levels[:-1]):
+    for k, level in enumerate(reversed(levels[:-1]), 1):
+        if k % SWEEP == 0:
+            sweep(rows.sparkSession)
         rows = rows.withColumn("n", F.shiftright("n", 1))  # twice the level's n: intervals of so many lines or more are parted
         live, rest = rows.filter(F.col("size") >= F.col("n")), rows.filter(F.col("size") < F.col("n"))
         firsts = live.select("first", "size", "n").distinct().select(F.col("first").alias("p"), F.lit(-1).cast("long").alias("d"), "first", "size", "n")
