@@ -93,18 +93,20 @@ def representatives(members: DataFrame, group: str, entity: str, score: str) ->
     return members.groupBy(group).agg(best.alias("m"), F.count("*").alias("members")).select(group, F.col("m.e").alias("representative"), "members")
 
 
-def folded(rows: DataFrame, over: float = 0.85) -> DataFrame:
+def folded(rows: DataFrame, over: float = 0.85, block: str | None = None) -> DataFrame:
     """(id, cluster, representative, members, kept): near-duplicates folded into one of them.
 
     rows (id, owner, name, parent, is_fork, archived, days, stars, description), names in lower
     case, days since the last push (null: long ago). Linked are a fork and its parent, equal names, names
     that are equal without affixes, like names of one owner (Dice over), and equal long descriptions. A cluster
     is all that such links join; its best member stays, the least id among equals. A name that is
-    nothing but affixes is like no other.
+    nothing but affixes is like no other. With block only rows of the same block are linked.
     """
-    links = _forks(rows).union(star_links(rows, F.col("name"), "id", "copy")).union(star_links(rows, plain_key("name"), "id", "name")).union(star_links(rows, description_key("description"), "id", "description"))
-    own = rows.groupBy("owner", "name").agg(F.min("id").alias("entity"))
-    alike = dice_links(own, "entity", ["owner"], "name", over)
+    blocks = [block] if block else []
+    within = lambda key: F.when(key.isNotNull(), F.concat_ws("|", *blocks, key))
+    links = _forks(rows).union(star_links(rows, within(F.col("name")), "id", "copy")).union(star_links(rows, within(plain_key("name")), "id", "name")).union(star_links(rows, within(description_key("description")), "id", "description"))
+    own = rows.groupBy(*blocks, "owner", "name").agg(F.min("id").alias("entity"))
+    alike = dice_links(own, "entity", [*blocks, "owner"], "name", over)
     links = cut(links.union(alike.select(F.col("entity").alias("a"), F.col("entity2").alias("b"), F.lit("owner").alias("reason"))))
     named = connected(links).select(F.col("v").alias("id"), F.col("label").alias("cluster"))
     score = representative_score(F.col("archived"), F.coalesce("days", F.lit(3650)), F.col("stars"), F.col("is_fork"))

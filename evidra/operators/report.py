@@ -14,10 +14,12 @@ def limitations(degradations: DataFrame, most: int = 5) -> tuple[list[str], int]
 
 
 def table(df: DataFrame, columns: list[str], most: int = 50) -> str:
-    """Left-aligned columns of the first rows."""
-    rows = [columns] + [["" if v is None else str(v) for v in r] for r in df.select(*columns).limit(most).collect()]
+    """Left-aligned columns of the first rows; a last line says if there are more."""
+    found = df.select(*columns).limit(most + 1).collect()
+    rows = [columns] + [["" if v is None else str(v) for v in r] for r in found[:most]]
     widths = [max(len(r[k]) for r in rows) for k in range(len(columns))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)
+    lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows]
+    return "\n".join(lines + ["…"] * (len(found) > most))
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ INJECTION_RULES = (
     ("exfiltrate-secret", "high", r"(?i)\b(send|post|upload|transmit|exfiltrate|leak|email|curl|fetch)\b[^.\n]{0,60}\b(api[\s_-]?key|token|secret|credential|password|\.env|private[\s_-]?key)\b"),
     ("instructed-tool-use", "high", r"(?i)\b(you\s+must|you\s+should|please)\s+(now\s+)?(run|execute|call|invoke|install|download\s+and\s+run)\b"),
     ("shell-exec-directive", "high", r"(?i)\b(execute|run)\s+the\s+following\s+(command|script|code)\b"),
-    ("claimed-authority", "medium", r"(?i)\b(as\s+(the\s+)?(system|admin|administrator|developer)|on\s+behalf\s+of\s+(the\s+)?(system|admin))\b"),
+    ("claimed-authority", "medium", r"(?i)\b(as\s+(the\s+)?(system|admin|administrator|developer|openai|anthropic)|on\s+behalf\s+of\s+(the\s+)?(system|admin))\b"),
     ("jailbreak-persona", "medium", r"(?i)\b(DAN\s+mode|developer\s+mode|jailbreak|do\s+anything\s+now|without\s+(any\s+)?restrictions?)\b"),
     ("urgency-override", "medium", r"(?i)\b(urgent|critical|immediately)\b[^.\n]{0,40}\b(override|bypass|ignore|disable)\b"),
     ("ai-directed", "high", r"(?i)\b(if\s+you\s+are\s+an?\s+(ai|llm|language\s+model|assistant|agent)|attention\s*[:：]?\s*(ai|llm|assistant|agent)|note\s+to\s+(ai|llm|assistant|agent))\b"),
@@ -86,11 +86,47 @@ def _named(name: str, severity: str):
     return lambda x: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), x["at"].alias("at"), x["size"].alias("size"))
 
 
-def defang(text: Column) -> Column:
-    """Hidden characters go, and what matches a rule gives way to the rule's name."""
+# Marks of a conversation that extracted text has no use for, and the line heads that imitate one.
+MARKERS = (r"(?i)<\|(im_start|im_end|system|user|assistant|endoftext)\|>", r"(?i)\[/?INST\]|<<SYS>>|<</SYS>>")
+ROLE_TAG, ROLE_HEAD = r"(?i)</?(system|assistant|human|user)>", r"(?im)^(\s*)(system|assistant|user|developer|human)(\s*)[:：]"
+
+
+def imperatives() -> list[tuple[str, str]]:
+    """(name, pattern) of the rules whose words are taken apart: the high ones that aren't marks themselves."""
+    return [(n, p) for n, severity, p in INJECTION_RULES if severity == "high" and n not in ("chat-template-marker", "role-injection")]
+
+
+def _stripped(text: Column, marker: str, tag: str) -> Column:
     got = F.regexp_replace(text, HIDDEN, "")
-    for name, _, pattern in INJECTION_RULES:
-        got = F.regexp_replace(got, pattern, f"[{name}]")
+    for pattern in MARKERS:
+        got = F.regexp_replace(got, pattern, marker)
+    return F.regexp_replace(F.regexp_replace(got, ROLE_TAG, tag), ROLE_HEAD, "$1$2$3․")
+
+
+def substituted(text: Column, pattern: str, mark) -> Column:
+    """text with each match replaced by what mark makes of it."""
+    flags = "(?ims)" if pattern.startswith("(?im)") else "(?is)"
+    inside = pattern.removeprefix("(?im)").removeprefix("(?i)")
+    whole = F.lit(rf"{flags}\G(.*?)({inside})")
+    befores, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
+    done = F.aggregate(F.regexp_extract_all(text, whole, F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
+    new = F.concat(F.array_join(F.zip_with(befores, hits, lambda b, h: F.concat(b, mark(h))), ""), F.substring(text, done + 1, F.length(text)))
+    return F.when(text.rlike(pattern), new).otherwise(text)
+
+
+def defang(text: Column) -> Column:
+    """A field: hidden characters and marks go, line heads lose their colon, and what instructs gives way to the rule's name."""
+    got = _stripped(text, "⟦removed⟧", "⟦removed⟧")
+    for name, pattern in imperatives():
+        got = F.regexp_replace(got, pattern, f"⟦removed: {name}⟧")
+    return got
+
+
+def neutralised(text: Column) -> Column:
+    """A longer text: as defang, but what instructs stays readable between brackets, on one line, 80 characters at most."""
+    got = _stripped(text, "⟦marker-removed⟧", "⟦tag-removed⟧")
+    for _, pattern in imperatives():
+        got = substituted(got, pattern, lambda h: F.concat(F.lit("⟦neutralised: "), F.left(F.regexp_replace(h, r"\s+", " "), F.lit(80)), F.lit("⟧")))
     return got
 
 
@@ -118,7 +154,7 @@ def sanitised(text: Column, budget: int, source: str = "text") -> Column:
 
     clean = redact(text)
     high = sum((F.least(F.regexp_count(clean, F.lit(p)), F.lit(PER_RULE)) for _, s, p in INJECTION_RULES if s == "high"), F.lit(0))
-    safe = defang(clean)
+    safe = neutralised(clean)
     kept = keep_lines(safe, budget, lambda line: F.greatest(F.lit(1).cast("long"), estimate_tokens(line)))["kept"]
     short = F.array_join(F.slice(F.split(safe, "\n"), 1, kept.cast("int")), "\n")
     return F.when(high >= 2, framed(F.lit("[withheld]"), source)).otherwise(framed(short, source))

@@ -11,7 +11,10 @@ from evidra.plans.literals import values
 from evidra.plans.reads import _at, _pick
 from evidra.sources.tables import table
 
-N = F.col("p_size")
+
+def _n() -> Column:
+    return F.col("p_size")
+
 
 
 def _whole(c: Column) -> Column:
@@ -20,18 +23,18 @@ def _whole(c: Column) -> Column:
 
 def quality_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axes of a part as a repository, in hundredths: its size stands for what is counted."""
-    yes = lambda k: N % k == 0
-    checklist = sc.completeness_axis(N % 4, N % 3, N % 8)
-    fit = sc.architecture_axis(F.when(yes(2), N / 50.0))
+    yes = lambda k: _n() % k == 0
+    checklist = sc.completeness_axis(_n() % 4, _n() % 3, _n() % 8)
+    fit = sc.architecture_axis(F.when(yes(2), _n() / 50.0))
     return table(spark, sf_dir, "part").select(
-        "p_partkey", _whole(sc.implementation_quality(yes(2), N % 7, yes(3), yes(5), yes(4), F.lit(True))).alias("quality"), _whole(sc.test_evidence(N > 5, N)).alias("tests"), _whole(sc.documentation((N % 11) / 10.0, yes(3), yes(4))).alias("documentation"),
-        _whole(sc.popularity(F.col("p_partkey"))).alias("popularity"), _whole(sc.dependency_simplicity(N)).alias("simplicity"), _whole(checklist["value"]).alias("completeness"), _whole(checklist["confidence"]).alias("sure"), _whole(fit["value"]).alias("fit"),
+        "p_partkey", _whole(sc.implementation_quality(yes(2), _n() % 7, yes(3), yes(5), yes(4), F.lit(True))).alias("quality"), _whole(sc.test_evidence(_n() > 5, _n())).alias("tests"), _whole(sc.documentation((_n() % 11) / 10.0, yes(3), yes(4))).alias("documentation"),
+        _whole(sc.popularity(F.col("p_partkey"))).alias("popularity"), _whole(sc.dependency_simplicity(_n())).alias("simplicity"), _whole(checklist["value"]).alias("completeness"), _whole(checklist["confidence"]).alias("sure"), _whole(fit["value"]).alias("fit"),
     )
 
 
 def surface_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    surface = sc.integration_surface(N, N % 25, N % 12, N % 9, (N % 5) / 10.0)
-    kind = sc.reusability(N % 4, N % 3, N % 3, N % 2 == 0)
+    surface = sc.integration_surface(_n(), _n() % 25, _n() % 12, _n() % 9, (_n() % 5) / 10.0)
+    kind = sc.reusability(_n() % 4, _n() % 3, _n() % 3, _n() % 2 == 0)
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", surface.alias("s"), kind.alias("k"))
     return rows.select("p_partkey", _whole(sc.surface_axis(F.col("s"))["value"]).alias("surface"), F.col("s.difficulty").alias("difficulty"), F.col("k.kind").alias("kind"), _whole(sc.reusability_axis(F.col("k"))["value"]).alias("reusability"), _whole(sc.reusability_axis(F.col("k"))["confidence"]).alias("sure"), sc.size_proxy(F.col("p_size") * 2000).cast("long").alias("proxy"))
 
@@ -39,7 +42,7 @@ def surface_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relevance_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark-like terms against parts: type as topic, name as name, brand as body."""
     arr = lambda *xs: F.array(*map(F.lit, xs))
-    value = sc.feature_relevance(arr("brown", "steel", "tiny", "prom", "brand"), F.array("p_type"), F.col("p_name"), F.concat(F.col("p_brand"), F.lit(" acme")), F.array(_pick(N, "acme", "brown", "zzz")), F.array(_pick(N, "red", "qqq")))
+    value = sc.feature_relevance(arr("brown", "steel", "tiny", "prom", "brand"), F.array("p_type"), F.col("p_name"), F.concat(F.col("p_brand"), F.lit(" acme")), F.array(_pick(_n(), "acme", "brown", "zzz")), F.array(_pick(_n(), "red", "qqq")))
     return table(spark, sf_dir, "part").select("p_partkey", _whole(value).alias("relevance"))
 
 
@@ -55,21 +58,21 @@ def stack_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reuse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = _pick(N, "library", "application", "mixed", "library", "unknown")
-    got = sc.reuse(N % 11 != 0, N % 7 != 0, N % 13 == 0, kind, F.lit(0.5), N % 17 == 0, F.lit(False), N / 50.0, (50 - N) / 50.0, F.lit(0.9))
+    kind = _pick(_n(), "library", "application", "mixed", "library", "unknown")
+    got = sc.reuse(_n() % 11 != 0, _n() % 7 != 0, _n() % 13 == 0, kind, F.lit(0.5), _n() % 17 == 0, F.lit(False), _n() / 50.0, (50 - _n()) / 50.0, F.lit(0.9))
     return table(spark, sf_dir, "part").select("p_partkey", got.alias("r")).select("p_partkey", F.col("r.verdict").alias("verdict"), _whole(F.col("r.confidence")).alias("confidence"))
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yes = lambda k: N % k == 0
-    readme = F.concat(F.repeat(F.lit("# Install\n```x```\n## Usage\n### More\n"), N % 3), F.repeat(F.lit("words "), 40 * (N % 9)))
+    yes = lambda k: _n() % k == 0
+    readme = F.concat(F.repeat(F.lit("# Install\n```x```\n## Usage\n### More\n"), _n() % 3), F.repeat(F.lit("words "), 40 * (_n() % 9)))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", sc.readme_quality(readme).alias("readme"))
-    return rows.select("p_partkey", _whole(F.col("readme")).alias("readme"), sc.quality_score(N % 30, yes(2), F.col("readme"), yes(3), yes(4), yes(5), N % 12, F.col("p_partkey"), N * 20, yes(9)).alias("score"))
+    return rows.select("p_partkey", _whole(F.col("readme")).alias("readme"), sc.quality_score(_n() % 30, yes(2), F.col("readme"), yes(3), yes(4), yes(5), _n() % 12, F.col("p_partkey"), _n() * 20, yes(9)).alias("score"))
 
 
 def fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the names of a brand's parts fit a few terms, and how far tests named so are about them."""
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), _pick(N, "", " Manager", " Queue")))).alias("names"))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), _pick(_n(), "", " Manager", " Queue")))).alias("names"))
     terms = F.array(*map(F.lit, ("steel", "Brown", "tiny", "abc", "qqqq")))
     return rows.select("p_brand", _whole(verifying.architecture_fit(F.col("names"), terms)).alias("fit"), _whole(verifying.feature_test_confidence(terms, F.size("names") % 3, F.slice("names", 1, 4), F.array_join("names", " "))).alias("tests"))
 

@@ -25,17 +25,22 @@ MULTIPLIER = {"DIRECT_REUSE": 100, "ADAPT": 95, "REFERENCE_ONLY": 75, "DO_NOT_US
 def search(queries: DataFrame, repos: DataFrame, per_query: int = 100) -> DataFrame:
     """(task, ord, query, full_name, rank): repositories that hold all terms of a query, the most starred first.
 
-    queries (task, ord, query) is short and broadcast; each repository's text is read once. A
-    query that finds nothing is tried again without its last term, twice at most.
+    queries (task, ord, query) go against all repositories in blocks of a bounded size, a block a
+    reading of the text. A query that finds nothing is tried again without its last term, twice at most.
     """
     wanted = matching.relaxed(queries, "query").select("task", "ord", "query", "drop", F.split("variant", " ").alias("terms"))
-    lists = wanted.groupBy().agg(F.collect_list(F.struct("task", "ord", "query", "drop", "terms")).alias("all"))
+    blocks = -(-max(1, wanted.count()) // matching.SMALL)
     text = F.lower(F.concat_ws(" ", "full_name", "description", F.array_join("topics", " ")))
-    rows = repos.select("full_name", "stars", text.alias("text")).join(F.broadcast(lists))  # one row
-    hit = F.filter("all", lambda q: F.forall(q["terms"], lambda t: F.contains(F.col("text"), F.lower(F.regexp_replace(t, "^topic:", "")))))
-    found = rows.select("full_name", "stars", F.explode(hit).alias("q")).select("full_name", "stars", "q.task", "q.ord", "q.query", "q.drop")
+    found = None
+    for k in range(blocks):
+        own = wanted.filter(F.pmod(F.xxhash64("task", "ord", "drop"), F.lit(blocks)) == k)
+        lists = own.groupBy().agg(F.collect_list(F.struct("task", "ord", "query", "drop", "terms")).alias("all"))
+        rows = repos.select("full_name", "stars", text.alias("text")).join(F.broadcast(lists))  # one row
+        hit = F.filter("all", lambda q: F.forall(q["terms"], lambda t: F.contains(F.col("text"), F.lower(F.regexp_replace(t, "^topic:", "")))))
+        part = rows.select("full_name", "stars", F.explode(hit).alias("q")).select("full_name", "stars", "q.task", "q.ord", "q.query", "q.drop")
+        found = part if found is None else found.union(part)
     least = found.groupBy("task", "ord").agg(F.min("drop").alias("drop"))
-    found = found.join(F.broadcast(least), ["task", "ord", "drop"])
+    found = found.join(matching.small(least), ["task", "ord", "drop"])
     order = Window.partitionBy("task", "ord").orderBy(F.desc("stars"), "full_name")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_query).select("task", "ord", "query", "full_name", "rank")
 
@@ -51,18 +56,15 @@ def pool(hits: DataFrame, size: int, least_share: int = 3) -> DataFrame:
 
 
 def fold(candidates: DataFrame, as_of: Column) -> DataFrame:
-    """candidates (task, full_name, ... of repos) without those folded into another of the same task: forks, equal plain names, equal descriptions."""
-    keyed = candidates.withColumn("e", F.concat_ws("|", "task", "full_name")).withColumn("up", F.concat_ws("|", "task", "parent"))
-    short = F.element_at(F.split("full_name", "/"), 2)
-    by_name = keyed.withColumn("short", short)
-    links = clusters.fork_links(keyed.withColumn("up", F.when(F.col("parent").isNotNull(), F.col("up"))), "e", "up")
-    links = links.unionByName(clusters.star_links(by_name, F.concat("task", F.lit("|"), clusters.plain_key("short")), "e", "name"))
-    links = links.unionByName(clusters.star_links(keyed, F.concat("task", F.lit("|"), clusters.description_key("description")), "e", "description"))
-    groups = clusters.connected(links).select(F.col("v").alias("e"), F.col("label").alias("cluster"))
-    days = F.datediff(as_of, F.col("pushed_at").cast("date"))
-    scored = keyed.join(groups, "e", "left").withColumn("cluster", F.coalesce("cluster", "e")).withColumn("s", clusters.representative_score(F.col("archived"), days, F.col("stars"), F.col("is_fork")))
-    best = clusters.representatives(scored, "cluster", "e", "s").select(F.col("representative").alias("e"), F.col("members").alias("folded"))
-    return candidates.withColumn("e", F.concat_ws("|", "task", "full_name")).join(best, "e").drop("e")
+    """candidates (task, full_name, ... of repos) without those folded into another of the same task, with folded, the size of each one's cluster."""
+    keyed = candidates.withColumn("id", F.concat_ws("|", "task", "full_name"))
+    parts = F.split(F.lower("full_name"), "/")
+    rows = keyed.select(
+        "id", "task", F.element_at(parts, 1).alias("owner"), F.element_at(parts, 2).alias("name"), F.when(F.col("parent").isNotNull(), F.concat_ws("|", "task", "parent")).alias("parent"), "is_fork", "archived",
+        F.datediff(as_of, F.col("pushed_at").cast("date")).alias("days"), "stars", "description",
+    )
+    best = clusters.folded(rows, block="task").filter("kept").select("id", F.col("members").alias("folded"))
+    return keyed.join(best, "id").drop("id")
 
 
 def hundredths(x: Column) -> Column:
@@ -72,7 +74,7 @@ def hundredths(x: Column) -> Column:
 def cheap(candidates: DataFrame, tasks: DataFrame, as_of: Column) -> DataFrame:
     """candidates with the axes that a repository's own columns give; the others are null."""
     none = F.expr("cast(array() as array<string>)")
-    rows = candidates.join(F.broadcast(tasks), "task")
+    rows = candidates.join(matching.small(tasks), "task")
     terms = content_terms(F.col("requirement"), matching.STOP, 4, 12)
     days = lambda c: F.datediff(as_of, F.col(c).cast("date"))
     kind = licences.category(licences.normal_spdx(F.col("license_spdx")))
@@ -90,45 +92,63 @@ def cheap(candidates: DataFrame, tasks: DataFrame, as_of: Column) -> DataFrame:
 
 
 def enrich(short: DataFrame, files: DataFrame) -> DataFrame:
-    """The shortlist with the axes that its files give; files of other repositories are not read past the join."""
-    names = F.broadcast(short.select("full_name").distinct())
-    own = files.join(names, "full_name", "left_semi")
+    """The shortlist with the axes that its files give; files of other repositories are not read past the join.
+
+    Documentation is measured where files have a content, quality where repositories have releases.
+    """
+    own = files.join(matching.small(short.select("full_name").distinct()), "full_name", "left_semi")
     q = profiles.quality(own, "full_name", "path")
+    readme = F.lit(None).cast("double")
+    if "content" in files.columns:
+        texts = own.filter(F.col("path").rlike(r"(?i)^readme(\.|$)")).groupBy("full_name").agg(F.min_by("content", "path").alias("_readme"))
+        q = q.join(texts, "full_name", "left")
+        readme = F.when(F.col("has_readme"), scores.readme_quality(F.col("_readme"))).otherwise(0.0)
+    releases = F.col("releases") if "releases" in short.columns else F.lit(None).cast("long")
     got = short.join(q, "full_name", "left")
     seen = F.col("files").isNotNull()
-    quality = scores.implementation_quality(F.col("has_ci"), F.lit(0), F.col("has_docs"), F.col("has_contributing"), F.col("has_changelog"))
     made = {
-        "implementationQuality": (quality, 80), "testEvidence": (scores.test_evidence(F.col("test_files") > 0, F.col("test_files")), 85),
-        "documentation": (scores.documentation(F.col("has_readme").cast("double") * 0.8, F.col("has_docs"), F.col("has_changelog")), 70),
+        "implementationQuality": (scores.implementation_quality(F.col("has_ci"), releases, F.col("has_docs"), F.col("has_contributing"), F.col("has_changelog"), F.col("has_readme")), 75),
+        "testEvidence": (scores.test_evidence(F.col("test_files") > 0, F.col("test_files")), 80), "documentation": (scores.documentation(readme, F.col("has_docs"), F.col("has_changelog")), 70),
     }
     for axis, (value, sure) in made.items():
-        got = got.withColumn(axis, F.when(seen, hundredths(value))).withColumn(f"{axis}_confidence", F.when(seen, sure).otherwise(0))
+        got = got.withColumn(axis, F.when(seen, hundredths(value))).withColumn(f"{axis}_confidence", F.when(F.col(axis).isNotNull(), sure).otherwise(0))
     return got.drop(*[c for c in q.columns if c != "full_name"])
 
 
-def totals(wide: DataFrame) -> DataFrame:
-    """wide with total, confidence and unmeasured of each (task, full_name)."""
+def totals(wide: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """wide with total, confidence and unmeasured of each (task, full_name); what is measured elsewhere (task, full_name, axis, value, confidence, in hundredths) comes before an axis of wide."""
     keyed = wide.withColumn("_e", F.struct("task", "full_name"))
-    got = evidence.rank_totals(evidence.melt(keyed, "_e", list(WEIGHTS)), "_e", WEIGHTS)
+    rows = evidence.melt(keyed, "_e", list(WEIGHTS))
+    if measured is not None:
+        own = measured.select(F.struct("task", "full_name").alias("_e"), "axis", F.col("value").cast("long").alias("_v"), F.col("confidence").alias("_c"))
+        rows = rows.join(own, ["_e", "axis"], "left").select("_e", "axis", F.coalesce("_v", "value").alias("value"), F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.col("confidence")).alias("confidence"))
+    got = evidence.rank_totals(rows, "_e", WEIGHTS)
     return wide.join(got.select("_e.*", "total", "confidence", "unmeasured"), ["task", "full_name"])
 
 
-def discover(tasks: DataFrame, queries: DataFrame, repos: DataFrame, files: DataFrame, as_of: str, size: int = 40, deep: int = 5, least: int = 35) -> DataFrame:
+def discover(tasks: DataFrame, queries: DataFrame, repos: DataFrame, files: DataFrame, as_of: str, size: int = 40, deep: int = 5, least: int = 35, measured: DataFrame | None = None) -> DataFrame:
     """Ranked candidates of each task: (task, rank, full_name, tier, total, confidence, verdict, unmeasured, discovered_via, folded).
 
     tasks (task, requirement, target_language), queries (task, ord, query), repos and files as in
-    the survey's data model. Assessed rows come before those that were not looked into.
+    the survey's data model; measured has axes that are known from elsewhere (a checklist's
+    completeness, how well an architecture fits, how much there is to connect). An axis that nothing measures stays
+    unmeasured, and a gate whose input is unknown stays open. Assessed rows come before those that
+    were not looked into.
     """
     clock = F.lit(as_of).cast("date")
     found = pool(search(queries, repos), size).join(repos, "full_name")
-    scored = totals(cheap(fold(found, clock), tasks, clock))
+    scored = totals(cheap(fold(found, clock), tasks, clock), measured)
     order = Window.partitionBy("task").orderBy(F.desc("total"), "full_name")
     scored = scored.withColumn("shortlisted", F.row_number().over(order) <= deep).drop("total", "confidence", "unmeasured")
     short = enrich(scored.filter("shortlisted"), files)
-    both = totals(short.unionByName(scored.filter("not shortlisted")))
+    both = totals(short.unionByName(scored.filter("not shortlisted")), measured)
     old = F.datediff(clock, F.col("pushed_at").cast("date")) > 730
     kind = F.col("licence_kind")
-    verdict = scores.reuse(licences.compatible(kind, "closed") != "false", ~kind.isin("unknown", "none"), old | F.col("archived"), F.lit("library"), F.lit(0.5), kind.isin("strong-copyleft", "network-copyleft"), F.lit(False), F.col("stackMatch") / 100.0, F.lit(0.6), F.coalesce(F.col("licenseCompatibility") / 100.0, F.lit(0.0)))["verdict"]
+    fit = F.lit(None).cast("double")
+    if measured is not None:
+        fits = measured.filter("axis = 'architectureMatch'").select("task", "full_name", (F.col("value") / 100.0).alias("_fit"))
+        both, fit = both.join(fits, ["task", "full_name"], "left"), F.col("_fit")
+    verdict = scores.reuse(licences.compatible(kind, "closed") != "false", ~kind.isin("unknown", "none"), old | F.col("archived"), F.lit(None).cast("string"), F.lit(None).cast("double"), kind.isin("strong-copyleft", "network-copyleft"), F.lit(False), F.col("stackMatch") / 100.0, fit, F.coalesce(F.col("licenseCompatibility") / 100.0, F.lit(0.0)))["verdict"]
     both = both.withColumn("verdict", F.when(F.col("shortlisted"), verdict))
     both = both.withColumn("total", evidence.gated(F.col("total"), [(F.col("verdict") == v, p) for v, p in MULTIPLIER.items() if p < 100]))
     both = both.withColumn("tier", F.when(F.col("shortlisted"), 0).otherwise(1)).filter((F.col("total") >= least) | F.col("shortlisted"))

@@ -1,14 +1,18 @@
 """A Spark data source for interned table text: a compact form in which tools return rows.
 
-    @66=src/main/java/
-    #table repos(repo:string,symbols:int,loadable:bool)
-    @66App,12,true
-    "a,b",3,false
-
-`@n=` lines name prefixes; a value that starts with the longest known @n has it put in its place.
-A schema line opens a table; its rows follow as comma-separated values, quoted where needed. Rows
-come out as (table, row, column, value, kind), so that files with different tables fit one schema;
-`typed()` gives one table its own columns.
+    #MUNCH/1 tool=list enc=utf8
+    @6=src/
+    @66=src/main/
+    count=2 __stypes=count:int __tables=t:repos:repo|symbols|loadable:str|int|bool
+    t,@66App,12,T
+    t,"a,b",3,F
+
+`@n=` lines name texts, which may themselves hold earlier ones; wherever a value holds @n the longest
+known number is put in its place. A line of name=value pairs gives scalars, their kinds and the tables
+(tag:name:columns:kinds, parted by semicolons); a line that begins with a tag is a row of its table,
+with values quoted where needed. Rows come out as (table, row, column, value, kind), scalars under
+the table "", so that files with different tables fit one schema; `typed()` gives one table its own columns.
+Text that doesn't begin with the head has no rows, and lines that fit nothing are passed over.
 """
 
 from __future__ import annotations
@@ -17,31 +21,74 @@ import csv
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-_KINDS = {"int": "long", "long": "long", "float": "double", "double": "double", "bool": "boolean", "string": "string"}
+_KINDS = {"int": "long", "long": "long", "float": "double", "double": "double", "bool": "boolean", "str": "string", "string": "string"}
+_PAIR = r"""(\w+)=("[^"]*"|'[^']*'|[^\s]*)"""
+
+
+def expanded(value: str, known: dict[str, str]) -> str:
+    """value with the longest known number after each @ replaced by its text."""
+
+    def put(m: re.Match) -> str:
+        size = next((n for n in range(len(m[1]), 0, -1) if m[1][:n] in known), 0)
+        return known[m[1][:size]] + m[1][size:] if size else m[0]
+
+    return re.sub(r"@(\d+)", put, value)
+
+
+def pairs_of(text: str) -> dict[str, str]:
+    return {k: v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v for k, v in re.findall(_PAIR, text)}
 
 
 def rows_of(text: str):
-    """(table, row, column, value, kind) of each cell; lines that fit nothing are passed over."""
-    prefixes: dict[str, str] = {}
-    table, columns, n = None, [], 0
-    for line in text.splitlines():
-        if m := re.match(r"^@(\w+)=(.*)$", line):
-            prefixes[m[1]] = m[2]
-        elif m := re.match(r"^#table\s+(\w+)\((.*)\)\s*$", line):
-            table, n = m[1], 0
-            columns = [(c.split(":")[0].strip(), (c.split(":") + ["string"])[1].strip()) for c in m[2].split(",") if c.strip()]
-        elif table and line.strip():
-            cells = next(csv.reader(io.StringIO(line)))
-            for (name, kind), cell in zip(columns, cells, strict=False):
-                if cell.startswith("@"):
-                    known = max((k for k in prefixes if cell[1:].startswith(k)), key=len, default=None)
-                    cell = prefixes[known] + cell[1 + len(known) :] if known is not None else cell
-                yield table, n, name, cell, kind
-            n += 1
+    """(table, row, column, value, kind) of each cell; an empty value has no cell."""
+    lines = re.split(r"\r?\n", text.strip())
+    if not lines[0].startswith("#MUNCH/"):
+        return
+    known: dict[str, str] = {}
+    tables: dict[str, tuple[str, list[str], list[str]]] = {}
+    count: dict[str, int] = {}
+    for line in map(str.strip, lines[1:]):
+        if m := re.match(r"^@(\d+)=(.*)$", line):
+            known[m[1]] = expanded(m[2], known)
+        elif "__tables=" in line or "__stypes=" in line or re.match(r"^\w+=[^,]*$", line):
+            found = pairs_of(line)
+            for group in found.pop("__tables", "").split(";"):
+                tag, name, columns, kinds = (group.split(":") + [""] * 4)[:4]
+                if tag.strip() and columns:
+                    tables[tag.strip()] = (name.strip(), columns.split("|"), kinds.split("|"))
+            kind = dict(p.split(":") for p in found.pop("__stypes", "").split(",") if p.count(":") == 1)
+            for k, v in found.items():
+                yield "", 0, k, v, kind.get(k, "str")
+        elif line.partition(",")[0] in tables and "," in line:
+            tag, _, rest = line.partition(",")
+            name, columns, kinds = tables[tag]
+            n = count[tag] = count.get(tag, -1) + 1
+            for k, (column, cell) in enumerate(zip(columns, next(csv.reader(io.StringIO(rest))), strict=False)):
+                if cell:
+                    yield name, n, column.strip(), expanded(cell, known), kinds[k].strip() if k < len(kinds) else "str"
+
+
+def attributes(text: Column) -> Column:
+    """map<string,string> of name=value pairs; quotes around a value go, the last of equal names counts."""
+    names, found = F.regexp_extract_all(text, F.lit(_PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(_PAIR), F.lit(2))
+    bare = F.transform(found, lambda v: F.when(v.rlike("""^(".*"|'.*')$"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
+    both = F.arrays_zip(names.alias("k"), bare.alias("v"))
+    last = F.filter(both, lambda x, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == x["k"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+
+def python_counts(text: Column) -> Column:
+    """map<string,long> of what a Python dictionary of counts says; null for what is none."""
+    form = F.lit(r"'([^']+)'\s*:\s*(\d+)")
+    names = F.regexp_extract_all(text, form, F.lit(1))
+    counts = F.transform(F.regexp_extract_all(text, form, F.lit(2)), lambda x: x.cast("long"))
+    both = F.arrays_zip(names.alias("k"), counts.alias("v"))
+    last = F.filter(both, lambda x, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == x["k"]))
+    return F.when(F.size(names) > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))))
 
 
 class _Reader(DataSourceReader):
@@ -88,4 +135,5 @@ def typed(cells: DataFrame, table: str, columns: dict[str, str], key: list[str]
     rows = cells.filter(F.col("table") == table)
     made = [F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
     got = rows.groupBy(*key).agg(*made)
-    return got.select(*key, *[F.expr(f"try_cast({c} as {_KINDS[k]})").alias(c) for c, k in columns.items()])
+    flag = lambda c: F.when(F.col(c).isNotNull(), F.col(c).isin("T", "true", "1")).alias(c)
+    return got.select(*key, *[flag(c) if k == "bool" else F.expr(f"try_cast({c} as {_KINDS[k]})").alias(c) for c, k in columns.items()])

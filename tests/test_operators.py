@@ -128,7 +128,7 @@ def test_injection_is_found_counted_and_defanged(spark):
     found = safety.findings(rows, "k", "t").orderBy("offset").collect()
     assert all(HOSTILE[r["offset"] :].lower().startswith(("please now run", "ignore all", "send the api")) for r in found) and len(found) >= 3
     clean = rows.select("k", safety.defang(F.col("t")).alias("t")).filter("k = 1").first()["t"]
-    assert "[ignore-previous]" in clean and "\u200b" not in clean
+    assert "⟦removed: ignore-previous⟧" in clean and "\u200b" not in clean
     framed = rows.select("k", safety.sanitised(F.col("t"), 50).alias("t")).filter("k = 1").first()["t"]
     assert "[withheld]" in framed and "previous" not in framed
 
@@ -170,19 +170,65 @@ def test_conflicts(spark):
     assert {r["m"]: r["family"] for r in fams.collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
-def test_minimal_set_keeps_a_connected_core_within_the_budget(spark):
-    names = ["Manager", "Queue", "Worker", "Resume", "Retry", "Test", "Big"]
-    score = [0.9, 0.5, 0.3, 0.3, 0.26, 0.9, 0.4]
-    rows = [("r", n, s, 2000 if n == "Big" else 100, n == "Test") for n, s in zip(names, score, strict=True)] + [("other", "One", 0.1, 10, False)]
-    edges = [("r", "Manager", n, 0) for n in ("Worker", "Big", "Test")] + [("r", "Worker", "Resume", 0), ("r", "Resume", "Retry", 0)]
-    got = graph.minimal_set(spark.createDataFrame(rows, "repo string, id string, score double, cost long, noise boolean"), spark.createDataFrame(edges, "repo string, src string, dst string, kind_ord int"), core=8).collect()
-    assert {r["id"]: r["role"] for r in got} == {"Manager": "seed", "Queue": "seed", "Worker": "core", "Big": "supporting", "Test": "excluded", "Resume": "core", "Retry": "excluded", "One": "excluded"}
+def plain_minimal_set(rows, edges, budget=1200, core=8):
+    """One repo at a time, in plain steps: rows (id, score, cost, noise, dir)."""
+    by = {r[0]: r for r in rows}
+    ranked = sorted((r for r in rows if not r[3]), key=lambda r: (-r[1], r[0]))
+    seeds, role, value, left = [r for r in ranked if r[1] >= 0.45][:4], {}, {}, budget
+    if not seeds:
+        return {i: "core" if i in [r[0] for r in ranked if r[1] > 0.15][: min(5, core)] else "excluded" for i in by}
+
+    def admit(i, name):
+        nonlocal left
+        if sum(x in ("seed", "core") for x in role.values()) < core and by[i][2] <= left:
+            role[i], left = name, left - by[i][2]
+            return True
+        return False
+
+    for r in seeds:
+        if not admit(r[0], "seed"):
+            break
+    dirs, wave = {r[4] for r in seeds}, list(role)
+    seen = set(wave)
+    for _ in range(2):
+        if sum(x in ("seed", "core") for x in role.values()) >= core:
+            break
+        near = {d for s, d in edges if s in wave} - seen
+        seen |= near
+        level = sorted((-min(1.0, round(by[i][1] + (0.08 if by[i][4] in dirs else 0), 2)), i) for i in near if i in by and not by[i][3])
+        wave = []
+        for score, i in level:
+            if -score >= 0.25 and admit(i, "core"):
+                wave.append(i)
+            else:
+                role[i] = "supporting"
+    if sum(x in ("seed", "core") for x in role.values()) < min(3, core):
+        for r in ranked:
+            if r[0] not in role and r[1] >= 0.25:
+                admit(r[0], "core")
+    return {i: role.get(i, "excluded") for i in by}
+
+
+def test_minimal_sets_equal_plain_steps(spark):
+    rng = random.Random(8)
+    repos = {}
+    for k in range(25):
+        n = rng.randint(1, 30)
+        rows = [(f"s{i:02}", round(rng.random() * rng.choice((0.4, 1.0)), 2), rng.choice((50, 100, 300, 900)), rng.random() < 0.2, rng.choice("ab")) for i in range(n)]
+        repos[f"r{k}"] = (rows, {(f"s{rng.randrange(n):02}", f"s{rng.randrange(n + 1):02}") for _ in range(rng.randint(0, 2 * n))})
+    symbols = spark.createDataFrame([(r, *x) for r, (rows, _) in repos.items() for x in rows], "repo string, id string, score double, cost long, noise boolean, dir string")
+    edges = spark.createDataFrame([(r, *e, 0) for r, (_, es) in repos.items() for e in es], "repo string, src string, dst string, kind_ord int")
+    got = defaultdict(dict)
+    for r in graph.minimal_set(symbols, edges).collect():
+        got[r["repo"]][r["id"]] = r["role"]
+    for r, (rows, es) in repos.items():
+        assert got[r] == plain_minimal_set(rows, es), r
 
 
 FILES = [
     ("package.json", '{"dependencies": {"a": "^1.0"}, "devDependencies": {"b": "2"}}'), ("x/package.json", "{broken"),
     ("build.gradle", 'implementation "com.sq:okhttp:4.9"\ntestImplementation("j:unit:5")\nclasspath "g:p:$v"\n'), ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${x}</version><scope>test</scope></dependency>"),
-    ("requirements.txt", "flask==2.0\n# note\nnumpy>=1.2\n"), ("go.mod", "module m\nrequire github.com/a/b v1.2.0\n github.com/c/d v0.1.0 // indirect\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\n[dev-dependencies]\nx = { version = "0.2" }\n'),
+    ("requirements.txt", "flask==2.0\n# note\nnumpy>=1.2\n"), ("go.mod", "module m\nrequire github.com/a/b v1.2.0\nrequire (\n github.com/c/d v0.1.0 // indirect\n)\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\n[dev-dependencies]\nx = { version = "0.2" }\n'),
     ("readme.md", "nothing"), ("pyproject.toml", '[project]\ndependencies = [\n "httpx>=0.2",\n "rich"\n]\n'),
 ]
 
@@ -192,14 +238,14 @@ def test_manifests(spark):
     rows = {(r["path"], r["name"]): (r["version"], r["scope"], r["inferred"]) for r in got}
     assert rows["package.json", "a"] == ("^1.0", "runtime", False) and rows["package.json", "b"][1] == "dev"
     assert rows["build.gradle", "com.sq:okhttp"] == ("4.9", "runtime", False) and rows["build.gradle", "j:unit"][1] == "test" and rows["build.gradle", "g:p"] == (None, "build", True)
-    assert rows["pom.xml", "g:a"] == (None, "test", True)
-    assert rows["requirements.txt", "flask"][0] == "2.0" and rows["requirements.txt", "numpy"][0] == "1.2"
+    assert rows["pom.xml", "g:a"] == ("${x}", "test", True)
+    assert rows["requirements.txt", "flask"][0] == "==2.0" and rows["requirements.txt", "numpy"][0] == ">=1.2"
     assert rows["go.mod", "github.com/a/b"] == ("v1.2.0", "runtime", False) and rows["go.mod", "github.com/c/d"][1] == "optional"
-    assert rows["Cargo.toml", "serde"] == ("1.0", "runtime", False) and rows["Cargo.toml", "x"] == ("0.2", "test", False)
+    assert rows["Cargo.toml", "serde"] == ("1.0", "runtime", False) and rows["Cargo.toml", "x"] == ("0.2", "dev", False)
     assert ("pyproject.toml", "httpx") in rows and ("pyproject.toml", "rich") in rows
     assert not [k for k in rows if k[0] in ("x/package.json", "readme.md")]
 
 
 def test_manifest_listing(spark):
     files = spark.createDataFrame([("r", 0, "a/b/c/d/pom.xml"), ("r", 1, "node_modules/x/package.json"), ("r", 2, "a/go.mod"), ("r", 3, "package.json"), ("r", 4, "x.py")], "g string, o int, path string")
-    assert [r["path"] for r in manifests.find_manifests(files, "g", "path", "o").collect()] == ["package.json", "a/go.mod"]
+    assert [r["path"] for r in manifests.find_manifests(files, "g", "path", "o").orderBy("place").collect()] == ["package.json", "a/go.mod"]

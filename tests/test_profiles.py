@@ -3,10 +3,13 @@ from __future__ import annotations
 from evidra.operators import profiles, report
 
 
+RULES = (("clean", r"(^|/)domain/", 1.0, True), ("clean", r"(^|/)data/", 1.0, True), ("mvc", r"(^|/)controllers?/", 1.0, True), ("mvc", r"(^|/)models?/", 1.0, True))
+
+
 def test_kinds_need_their_required_rules(spark):
     rows = [("a", "src/domain/x.kt"), ("a", "src/data/y.kt"), ("b", "src/domain/x.kt"), ("c", "app/controllers/a.rb"), ("c", "app/models/b.rb"), ("d", "x.py")]
     files = spark.createDataFrame(rows, "e string, path string")
-    got = {r["e"]: (r["kind"], r["points"]) for r in profiles.detect(files, "e", "path", profiles.ARCHITECTURE).collect()}
+    got = {r["e"]: (r["kind"], r["points"]) for r in profiles.detect(files, "e", "path", RULES).collect()}
     assert got == {"a": ("clean", 2.0), "c": ("mvc", 2.0)}
 
 
@@ -16,7 +19,7 @@ def test_quality_tests_and_directories(spark):
     q = profiles.quality(files, "e", "path").first()
     assert q["has_ci"] and q["has_readme"] and not q["has_docs"] and q["test_files"] == 1
     t = profiles.tests(files, "e", "path", "content").first()
-    assert t["frameworks"] == ["pytest"] and t["edge_cases"] == ["timeout"]
+    assert t["frameworks"] == ["pytest"] and t["edge_cases"] == ["timeouts and expiry"]
     assert [(r["directory"], r["n"]) for r in profiles.directories(files, "e", "path", 1).collect()] == [("src", 2)]
 
 
