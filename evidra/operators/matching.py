@@ -97,12 +97,15 @@ def coverage(requirements: DataFrame, requirement: str, text: str, corpora: Data
     forms = F.struct("t", F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t"))).alias("squashed"), F.when(F.endswith("t", F.lit("s")) & (F.length("t") > 3), F.regexp_replace("t", "s$", "")).alias("one"))
     listed = cut(each.select("t").distinct().select("t", forms.alias("x")))
     names = wanted.agg(F.array_sort(F.collect_list(F.struct("requirement", F.size("terms").alias("terms")))).alias("all"))
-    bodies = corpora.select(entity, F.lower(body).alias("body"), squash(F.lower(body)).alias("squashed"), F.col(weight).alias("w"))
-    held = lambda x: F.contains("body", x["t"]) | F.coalesce(F.contains("squashed", x["squashed"]), F.lit(False)) | F.coalesce(F.contains("body", x["one"]), F.lit(False))
+    bodies = corpora.select(entity, F.col(body).alias("body"), F.col(weight).alias("w"))
+    held = lambda b, x: F.contains(b["body"], x["t"]) | F.coalesce(F.contains(b["squashed"], x["squashed"]), F.lit(False)) | F.coalesce(F.contains(b["body"], x["one"]), F.lit(False))
+    # an array of one element binds a body's two forms, which would else be made anew for each term
+    both = F.array(F.struct(F.lower("body").alias("body"), squash(F.lower("body")).alias("squashed")))
+    terms = F.transform(both, lambda b: F.transform(F.filter("all", lambda x: held(b, x)), lambda x: x["t"]))[0]
     blocks, found = -(-max(1, listed.count()) // SMALL), None
     for k in range(blocks):  # terms go against all bodies in blocks of a bounded size
         lists = listed.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).agg(F.collect_list("x").alias("all"))
-        part = bodies.join(F.broadcast(lists)).select(entity, "w", F.explode(F.transform(F.filter("all", held), lambda x: x["t"])).alias("t"))  # one row
+        part = bodies.join(F.broadcast(lists)).select(entity, "w", F.explode(terms).alias("t"))  # one row
         found = part if found is None else found.union(part)
     found = found.groupBy(entity, "t").agg(F.max("w").alias("w"))
     found = found.join(small(each), "t").groupBy(entity, "requirement").agg(F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive"))

@@ -108,10 +108,14 @@ def substituted(text: Column, pattern: str, mark) -> Column:
     flags = "(?ims)" if pattern.startswith("(?im)") else "(?is)"
     inside = pattern.removeprefix("(?im)").removeprefix("(?i)")
     whole = F.lit(rf"{flags}\G(.*?)({inside})")
-    befores, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-    done = F.aggregate(F.regexp_extract_all(text, whole, F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
-    new = F.concat(F.array_join(F.zip_with(befores, hits, lambda b, h: F.concat(b, mark(h))), ""), F.substring(text, done + 1, F.length(text)))
-    return F.when(text.rlike(pattern), new).otherwise(text)
+
+    def put(t: Column) -> Column:
+        befores, hits = F.regexp_extract_all(t, whole, F.lit(1)), F.regexp_extract_all(t, whole, F.lit(2))
+        done = F.aggregate(F.regexp_extract_all(t, whole, F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
+        new = F.concat(F.array_join(F.zip_with(befores, hits, lambda b, h: F.concat(b, mark(h))), ""), F.substring(t, done + 1, F.length(t)))
+        return F.when(t.rlike(pattern), new).otherwise(t)
+
+    return F.transform(F.array(text), put)[0]  # binds the text, which is read several times
 
 
 def defang(text: Column) -> Column:
@@ -152,9 +156,11 @@ def sanitised(text: Column, budget: int, source: str = "text") -> Column:
     from evidra.functions.text import estimate_tokens
     from evidra.operators.pool import keep_lines
 
-    clean = redact(text)
-    high = sum((F.least(F.regexp_count(clean, F.lit(p)), F.lit(PER_RULE)) for _, s, p in INJECTION_RULES if s == "high"), F.lit(0))
-    safe = neutralised(clean)
-    kept = keep_lines(safe, budget, lambda line: F.greatest(F.lit(1).cast("long"), estimate_tokens(line)))["kept"]
-    short = F.array_join(F.slice(F.split(safe, "\n"), 1, kept.cast("int")), "\n")
-    return F.when(high >= 2, framed(F.lit("[withheld]"), source)).otherwise(framed(short, source))
+
+    def put(clean: Column) -> Column:
+        high = sum((F.least(F.regexp_count(clean, F.lit(p)), F.lit(PER_RULE)) for _, s, p in INJECTION_RULES if s == "high"), F.lit(0))
+        kept = lambda safe: keep_lines(safe, budget, lambda line: F.greatest(F.lit(1).cast("long"), estimate_tokens(line)))["kept"].cast("int")
+        short = F.transform(F.array(neutralised(clean)), lambda safe: F.array_join(F.slice(F.split(safe, "\n"), F.lit(1), kept(safe)), "\n"))[0]
+        return F.when(high >= 2, framed(F.lit("[withheld]"), source)).otherwise(framed(short, source))
+
+    return F.transform(F.array(redact(text)), put)[0]  # binds the text, which is read several times

@@ -69,8 +69,14 @@ def context_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requirement_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as requirements (their first content words), sources as entities, documents as corpora."""
-    rows = _documents(spark, sf_dir).select("source", "text", F.when(F.col("lang") == "en", 100).otherwise(35).alias("w"))
+    """Benchmark items as requirements (their first content words), sources as entities, documents as corpora.
+
+    Every text is searched for every term, so a table in fewer pieces than there are cores is dealt to all of them.
+    """
+    docs = _documents(spark, sf_dir)
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = docs.select("source", "text", F.when(F.col("lang") == "en", 100).otherwise(35).alias("w"))
     items = table(spark, sf_dir, "benchmark")
     return matching.coverage(items, "item_id", "text", rows, "source", "text", "w")
 
