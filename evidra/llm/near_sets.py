@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import BitFilter, cut, id_text, small_batches
+from .common import BitFilter, cut, id_text, small_batches, sweep
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates as a fraction.
 WIDTH, LEAST = 5, (4, 5)
@@ -81,12 +81,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows; an empty table gives an empty result; further columns are not read.
     """
     rows = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
-    signed = cut(shingle_sets(rows, width, least, frequent_shingles(rows, width)))
+    done = lambda df: (cut(df), sweep(df.sparkSession))[0]  # noqa: E731  # each step's shuffle files go before the next one's come
+    signed = done(shingle_sets(rows, width, least, frequent_shingles(rows, width)))
     one = cut(signed.groupBy("v").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
     tokens = signed.select("v", "n", F.posexplode("h").alias("pos", "h"))
-    keys = cut(tokens.groupBy("h").agg(F.min("v").alias("c"), F.max("v").alias("d")).filter("c <> d").select(F.col("h").alias("k"), "c"))
+    keys = done(tokens.groupBy("h").agg(F.min("v").alias("c"), F.max("v").alias("d")).filter("c <> d").select(F.col("h").alias("k"), "c"))
     some = BitFilter(keys.select(F.col("k").alias("h")), "h", bits=1 << 25).mark(tokens, "_hit").filter("_hit")
-    shared = cut(some.join(keys, F.col("h") == F.col("k")).select("h", "v", "n", "pos", "c").distinct())
+    shared = done(some.join(keys, F.col("h") == F.col("k")).select("h", "v", "n", "pos", "c").distinct())
 
     first = shared.filter("v = c").select(F.col("h").alias("k"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
@@ -96,16 +97,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = lambda x: prints.select(F.col("fp").alias(x), F.col("c").alias(f"v{x}"))
     pairs = simhash.links(prints.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.col("va").alias("c"), F.col("vb").alias("v"))
     pairs = pairs.union(one.select("fp", "v").join(prints, "fp").select("c", "v")).union(near).filter("c <> v")
-    pairs = cut(pairs.select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct())
+    pairs = done(pairs.select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct())
     found = alike(rows, one, pairs, width, least)
+    sweep(rows.sparkSession)
 
     labels = simhash.components(found).select(F.col("v").alias("w"), "label")
     apart = cut(shared.join(labels, F.col("v") == F.col("w"), "left").select("h", "v", "n", "pos", F.coalesce("label", "v").alias("label")))
     mixed = apart.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    apart = cut(apart.join(mixed, "h", "left_semi"))
+    apart = done(apart.join(mixed, "h", "left_semi"))
     other = apart.select("h", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "label")])
     more = apart.join(other, "h").filter((F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & enough)
-    more = cut(more.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = done(more.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     found = found.union(alike(rows, one, more, width, least))
 
     labels = simhash.components(found).select(F.col("v").alias("w"), "label")
