@@ -7,7 +7,8 @@ a word list that people keep; its size is looked at before it is broadcast.
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,9 @@ from pyspark.sql.window import Window
 from evidra.functions.text import compact_requirement, contains_phrase, normalise, stem_phrase, topic_or_null, words
 from evidra.operators.matching import closure, head_end, phrase_matches, primary, small, unit_priority
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def exploded(vocabulary: DataFrame, column: str, name: str) -> DataFrame:
     return vocabulary.select("id", F.explode(column).alias(name))
