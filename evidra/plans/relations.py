@@ -67,12 +67,7 @@ def _part_families(part: DataFrame) -> DataFrame:
 
 
 def family_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of size 3 or less alone, as its SQL has it, joined by sharing a name and brand, or a size, type and brand; families by the least part."""
-    return _part_families(table(spark, sf_dir, "part").filter("p_size <= 3"))
-
-
-def family_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same families over all parts."""
+    """Parts joined by sharing a name and brand, or a size, type and brand; families by the least part."""
     return _part_families(table(spark, sf_dir, "part"))
 
 
@@ -139,7 +134,7 @@ def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_copy_clusters, name_clusters, dice_similarity, fork_fold, overlapping_dependencies, version_conflicts, naming_conflicts, concurrency_models, family_components, family_components_whole, bounded_bfs,
+    exact_copy_clusters, name_clusters, dice_similarity, fork_fold, overlapping_dependencies, version_conflicts, naming_conflicts, concurrency_models, family_components, bounded_bfs,
     minimal_set, constraint_filter, alternatives_topk, verification_checks, verification_confidence, shared_selection, build_order,
 )}
 
@@ -170,12 +165,7 @@ SQL = {
     "naming_conflicts": "select p_name, count(distinct p_brand) as n_entities from part group by 1 having count(distinct p_brand) > 1 order by n_entities desc, p_name limit 12",
     "concurrency_models": """with m as (select o_custkey, case when regexp_matches(o_orderpriority, '^1-|^2-') then 'urgent' when regexp_matches(o_orderpriority, '^3-') then 'normal' when regexp_matches(o_orderpriority, '^4-|^5-') then 'none' end as model from orders)
         select model, count(distinct o_custkey) as n_entities, (select count(distinct model) > 1 from m) as conflict from m where model is not null group by 1""",
-    "family_components": """with recursive k as (select p_partkey as v, 'n|' || p_brand || '|' || p_name as k from part where p_size <= 3 union all select p_partkey, 's|' || p_size || '|' || p_type || '|' || p_brand from part where p_size <= 3),
-        e as (select distinct a.v as a, b.v as b from k a join k b on a.k = b.k),
-        r as (select v as origin, v as reached from k union select origin, b from r join e on a = reached),
-        f as (select origin, min(reached) as family from r group by 1)
-        select family, count(*) as members from f group by 1""",
-    "family_components_whole": """with recursive k as (select p_partkey as v, 'n|' || p_brand || '|' || p_name as k from part union all select p_partkey, 's|' || p_size || '|' || p_type || '|' || p_brand from part),
+    "family_components": """with recursive k as (select p_partkey as v, 'n|' || p_brand || '|' || p_name as k from part union all select p_partkey, 's|' || p_size || '|' || p_type || '|' || p_brand from part),
         e as (select distinct a.v as a, b.v as b from k a join k b on a.k = b.k),
         r as (select v as origin, v as reached from k union select origin, b from r join e on a = reached),
         f as (select origin, min(reached) as family from r group by 1)

@@ -31,5 +31,5 @@ def test_plans_stay_in_the_jvm_without_products(spark, sf_dir, name):
 
 
 def test_families_cover_all_parts(spark, sf_dir):
-    got = catalogue.QUERIES["family_components_whole"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["family_components"](spark, sf_dir).collect()
     assert sum(r["members"] for r in got) == spark.read.parquet(f"{sf_dir}/part.parquet").count()
