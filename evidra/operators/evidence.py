@@ -58,6 +58,11 @@ def rank_totals(evidence: DataFrame, entity: str, weights: dict[str, int], disab
     return sums.select(entity, weighted_half_up(F.col("s"), F.col("sw")).alias("total"), weighted_half_up(F.col("c"), F.col("sw")).alias("confidence"), "unmeasured")
 
 
+def indexed_confidence(confidence: Column, indexed: Column) -> Column:
+    """Confidence in hundredths, ten more (a hundred at most) where a code index was read."""
+    return F.least(F.lit(100), confidence + F.when(indexed, 10).otherwise(0)).cast("long")
+
+
 def gated(total: Column, gates: list[tuple[Column, int]]) -> Column:
     """total after each gate's percentage in turn, rounded half up after each; gates are (condition, percent)."""
     for test, percent in gates:

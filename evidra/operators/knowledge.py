@@ -37,6 +37,22 @@ def live(entries: DataFrame, now: Column, expires: str = "expires_at") -> DataFr
     return entries.filter(F.col(expires).isNull() | (F.col(expires) > now))
 
 
+def cleared(entries: DataFrame, namespace: str, column: str = "namespace") -> DataFrame:
+    """entries without those of a namespace."""
+    return entries.filter(~F.col(column).eqNullSafe(F.lit(namespace)))
+
+
+def deleted(entries: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """entries without those of the keys."""
+    return entries.join(keys.select(key), key, "left_anti")
+
+
+def stored(entries: DataFrame, rows: DataFrame, now: Column, ttl_seconds: Column, key: str = "key") -> DataFrame:
+    """entries with rows (key, value, namespace) put in place of those of their keys; a null time to live never expires. Of several rows of a key the greatest value stays."""
+    fresh = rows.withColumns({"stored_at": now, "expires_at": F.when(ttl_seconds.isNotNull(), F.timestamp_seconds(F.unix_timestamp(now) + ttl_seconds).cast(entries.schema["expires_at"].dataType))})
+    return upsert(entries, latest(fresh, [key], [F.col("value")]).select(*entries.columns), [key])
+
+
 def evict(entries: DataFrame, most: int, key: str, stored: str = "stored_at", expires: str = "expires_at") -> DataFrame:
     """At most that many entries: the oldest go first, those that never expire last."""
     return entries.orderBy(F.col(expires).isNull().desc(), F.col(stored).desc(), F.col(key).desc()).limit(most)

@@ -27,10 +27,12 @@ def share_pool(hits: DataFrame, query_ord: str, rank: str, entity: str, size: in
     return top.select(entity, "first_query", "n_queries", F.when(F.col("over"), "filling").otherwise("share").alias("admitted_by"), place.alias("place"))
 
 
-def round_robin(candidates: DataFrame, shape: str, shape_ord: Column, precision: Column, key: str, keep: int, rounds: int = 6) -> DataFrame:
-    """The first keep candidates, one of each shape in turn, best first within a shape."""
+def round_robin(candidates: DataFrame, shape: str, shape_ord: Column, precision: Column, key: str, keep: int, rounds: int = 6, text: str | None = None) -> DataFrame:
+    """The first keep candidates, one of each shape in turn, best first within a shape; with text what comes again without case is passed over in its turn."""
     turn = F.row_number().over(Window.partitionBy(shape).orderBy(precision.desc(), key))
-    rows = candidates.withColumn("turn", turn).filter(F.col("turn") <= min(rounds, keep)).withColumn("_o", shape_ord)
+    rows = candidates.withColumn("turn", turn).filter(F.col("turn") <= (rounds if text else min(rounds, keep))).withColumn("_o", shape_ord)
+    if text:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower(F.trim(text))).orderBy("turn", "_o", key))).filter("_n = 1").drop("_n")
     top = rows.orderBy("turn", "_o", key).limit(keep)
     return top.withColumn("place", F.row_number().over(Window.orderBy("turn", "_o", key)).cast("long")).drop("_o")
 

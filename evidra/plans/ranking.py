@@ -177,12 +177,41 @@ def quality_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_partkey", half_up(score, 1).alias("quality"))
 
 
+def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the first half as a cache, purchases as later writes, signups cleared, clicks of the first users deleted."""
+    rows = table(spark, sf_dir, "events")
+    kind = rows.schema["ts"].dataType
+    old = rows.groupBy(F.col("user_id").alias("key"), F.col("event_type").alias("namespace")).agg(F.max("event_id").alias("value"), F.max("ts").alias("stored_at")).withColumn("expires_at", F.col("stored_at") + F.expr("interval 1 day"))
+    old = old.withColumn("key", F.concat_ws(":", "namespace", "key")).select("key", "namespace", "value", "stored_at", "expires_at")
+    new = old.filter("namespace = 'purchase'").select("key", "namespace", (F.col("value") + 1).alias("value"))
+    got = knowledge.stored(old, new, F.lit("2024-02-01 00:00:00").cast(kind), F.lit(3600))
+    gone = rows.filter("user_id < 5").select(F.concat_ws(":", F.lit("click"), "user_id").alias("key"))
+    return knowledge.deleted(knowledge.cleared(got, "signup"), gone).select("key", "value", F.date_format("expires_at", "yyyy-MM-dd").alias("expires"))
+
+
+def indexed_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ev.rank_totals(supplier_evidence(spark, sf_dir), "s_suppkey", WEIGHTS)
+    return got.select("s_suppkey", ev.indexed_confidence(F.col("confidence"), F.col("s_suppkey") % 2 == 0).alias("confidence"))
+
+
+def diverse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as queries of the shape of their type, sizes as precision; a name that comes again is passed over."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_name")
+    return pool.round_robin(rows, "p_type", F.col("p_type"), F.col("p_size"), "p_partkey", 12, text="p_name").select("place", "p_partkey")
+
+
 _TIER = "case when unmeasured = '' then 0 else 1 end"
 QUERIES = {f.__name__: f for f in (
     supplier_rank_weighted, supplier_rank_confidence, rank_disabled_axis, tiered_topk, explain_top5_bottom4, axis_spread, customer_maintenance, gate_multipliers,
-    capability_all_of, sliding_request_count, ttl_and_eviction, fingerprint_upsert, cache_stats, latest_commit, commit_activity, diverse_round_robin, budget_share, quality_composite,
+    capability_all_of, sliding_request_count, ttl_and_eviction, fingerprint_upsert, cache_stats, latest_commit, commit_activity, diverse_round_robin, budget_share, quality_composite, cache_writes, indexed_confidence, diverse_queries,
 )} | {"query_share_pool": share_pool}
 SQL = {
+    "cache_writes": """with o as (select event_type || ':' || user_id as key, event_type as namespace, max(event_id) as value, max(ts) + interval 1 day as expires_at from events group by user_id, event_type)
+        select key, case namespace when 'purchase' then value + 1 else value end as value, case namespace when 'purchase' then '2024-02-01' else strftime(expires_at, '%Y-%m-%d') end as expires from o
+        where namespace <> 'signup' and not (namespace = 'click' and cast(split_part(key, ':', 2) as bigint) < 5)""",
+    "indexed_confidence": f"with {_EVIDENCE_SQL} select s_suppkey, cast(least(100, confidence + case when s_suppkey % 2 = 0 then 10 else 0 end) as bigint) as confidence from ranked",
+    "diverse_queries": """with t as (select *, row_number() over (partition by p_type order by p_size desc, p_partkey) as turn from part qualify turn <= 6), d as (select * from t qualify row_number() over (partition by lower(trim(p_name)) order by turn, p_type, p_partkey) = 1)
+        select row_number() over (order by turn, p_type, p_partkey) as place, p_partkey from d order by turn, p_type, p_partkey limit 12""",
     "supplier_rank_weighted": f"with {_EVIDENCE_SQL} select s_suppkey, total from ranked",
     "supplier_rank_confidence": f"with {_EVIDENCE_SQL} select s_suppkey, confidence, unmeasured from ranked",
     "rank_disabled_axis": f"with {_EVIDENCE_SQL} select s_suppkey, cast((2 * sum(v * w) + sum(w)) // (2 * sum(w)) as bigint) as total from weighted where axis <> 'discount' group by 1",
