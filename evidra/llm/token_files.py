@@ -63,26 +63,37 @@ class Tokens:
         self.letters = {ord(chr(b)): c for b, c in byte_letters().items()}
         self.space = self.letters[32]
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
-        self.words = BulkWordIds(self._word, self._whole, 600_000)
+        self.words = BulkWordIds(self._spaced, self._plain, self._whole, 600_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1], b"")
-        bare = word[:-1] if mark else word
-        spaced = bare[:1] == " "
-        letters = bare[1:] if spaced else bare
-        if not letters.isalpha():
-            return self._whole(word)
-        if mark and spaced and (known := self.words.words.known(letters)):
-            return known + mark
-        if not letters.isascii():
-            if max(letters) > "\u024f":
-                return self._whole(word)
-            letters = letters.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model(self.space + letters if spaced else letters)]
-        return (self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else np.array(ids, self.kind).tobytes()) + mark
+    def _letters(self, letters: str) -> str | None:
+        """As the vocabulary writes them; null if it is safer to ask the library."""
+        if letters.isascii():
+            return letters
+        return letters.encode().decode("latin-1").translate(self.letters) if max(letters) <= "\u024f" else None
+
+    def _packed(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model(letters)]
+        return self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else np.array(ids, self.kind).tobytes()
+
+    def _spaced(self, word: str) -> bytes | None:
+        """Ids of a word after a space; None if it isn't one word."""
+        mark = self.marks.get(word[-1:])
+        letters = word[:-1] if mark else word
+        if letters.isalpha():
+            if mark and (known := self.words.words.known(letters)):
+                return known + mark
+            if (written := self._letters(letters)) is not None:
+                return self._packed(self.space + written) + mark if mark else self._packed(self.space + written)
+        return self._whole(" " + word) if word.split() == [word] else None
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a word at a line's start; None if it isn't one word."""
+        if word.isalpha() and (written := self._letters(word)) is not None:
+            return self._packed(written)
+        return self._whole(word) if word.split() == [word] else None
 
     def __call__(self, texts: pa.StringArray) -> list[bytes]:
         """A text that holds an added token's string is encoded whole: the library makes it that token."""

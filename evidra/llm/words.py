@@ -83,9 +83,9 @@ class WordIds:
 class _Words(dict):
     """Packed ids of words, None where the rule doesn't hold; a new word is encoded when it is first asked for. Two generations of most words at most."""
 
-    def __init__(self, encode: Callable[[str], bytes], line_end: bytes, most: int):
+    def __init__(self, spaced: Callable[[str], bytes | None], plain: Callable[[str], bytes | None], line_end: bytes, most: int):
         super().__init__()
-        self.encode, self.line_end, self.most, self.old = encode, line_end, most, {}
+        self.spaced, self.plain, self.line_end, self.most, self.old = spaced, plain, line_end, most, {}
 
     def known(self, word: str) -> bytes | None:
         return self.get(word) or self.old.get(word)
@@ -93,9 +93,10 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes | None:
         ids = self.old.get(word)
         if ids is None:
-            bare = word[1:] if word[:1] == "\n" else word
-            if bare.split() == [bare]:
-                ids = self.encode(" " + bare) if bare is word else self.line_end + self.encode(bare)
+            if word[:1] != "\n":
+                ids = self.spaced(word)
+            elif (ids := self.plain(word[1:])) is not None:
+                ids = self.line_end + ids
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
@@ -104,11 +105,14 @@ class _Words(dict):
 
 
 class BulkWordIds:
-    """As WordIds, for Arrow arrays of texts: the library splits them and tells their distinct words, each of which is looked up once an array."""
+    """As WordIds, for Arrow arrays of texts: the library splits them and tells their distinct words, each of which is looked up once an array.
 
-    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], most: int):
-        self.word, self.whole = word, whole
-        self.words = _Words(word, whole("\n"), most)
+    spaced(word) encodes a word after a space, plain(word) one without; both give None for what isn't one word.
+    """
+
+    def __init__(self, spaced: Callable[[str], bytes | None], plain: Callable[[str], bytes | None], whole: Callable[[str], bytes], most: int):
+        self.plain, self.whole = plain, whole
+        self.words = _Words(spaced, plain, whole("\n"), most)
 
     def __call__(self, texts: pa.StringArray) -> list[bytes]:
         """A word after a line end keeps it in front, so that one look-up gives both."""
@@ -116,18 +120,21 @@ class BulkWordIds:
             return []
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         starts, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
-        ids = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
-        at = coded.indices.to_numpy()
-        odd = np.array([x is None for x in ids])[at]
-        odd[starts[:-1]] = False  # the first word has no space before it and is judged apart
-        odds = np.concatenate(([0], np.cumsum(odd)))
-        taken = pa.array([x or b"" for x in ids], pa.binary()).take(coded.indices)
+        ids = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        odds = np.zeros(len(coded) + 1, np.int64)
+        if None in ids:
+            odd = np.array([x is None for x in ids])[coded.indices.to_numpy()]
+            odd[starts[:-1]] = False  # the first word has no space before it and is judged apart
+            odds[1:] = np.cumsum(odd)
+            ids = [x or b"" for x in ids]
+        taken = pa.array(ids, pa.binary()).take(coded.indices)
         ends, data = np.frombuffer(taken.buffers()[1], np.int32), memoryview(taken.buffers()[2] or b"")
         out = []
         for k, first in enumerate(parts.values.take(pa.array(starts[:-1])).to_pylist()):
             a, b = int(starts[k]), int(starts[k + 1])
-            if odds[a] == odds[b] and first.split() == [first]:
-                out.append(self.word(first) + bytes(data[ends[a + 1] : ends[b]]))
+            head = self.plain(first) if odds[a] == odds[b] else None
+            if head is not None:
+                out.append(head + bytes(data[ends[a + 1] : ends[b]]))
             else:
                 text = texts[k].as_py()
                 out.append(self.whole(text) if text else b"")
