@@ -16,10 +16,12 @@ from .common import BitFilter, cut, id_text, small_batches, sweep
 WIDTH, LEAST = 5, (4, 5)
 #: Texts from which frequent shingles are told, the sets that hold one, and how many are told at most. Only the cost depends on these.
 SAMPLE, OFTEN, MOST = 2000, 3, 100000
+#: Bits of a set's map: two sets differ by as many hashes at least as their maps by bits.
+MAP_BITS = 1024
 
 
 def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, frequent: np.ndarray | None = None) -> DataFrame:
-    """(id, t, v, fp, n, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, and the set's hashes.
+    """(id, t, v, fp, n, m, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, a map of MAP_BITS bits, and the set's hashes.
 
     With least only the prefix: of two sets that are so similar, the first n - ceil(least * n) + 1
     hashes share one, whatever the order; frequent hashes come last in it.
@@ -31,23 +33,26 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vs, fps, ns, sets = [], [], [], []
+            vs, fps, ns, maps, sets = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = simhash.shingle_hashes(text, width)
                 own = np.unique(hashes)
                 vs.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), 7))
                 fps.append(simhash.fingerprint(hashes))
                 ns.append(len(own))
+                bits = np.zeros(MAP_BITS, bool)
+                bits[own % np.uint64(MAP_BITS)] = True
+                maps.append(np.packbits(bits).view(np.int64))
                 if least is not None and len(own):
                     late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
                     own = np.concatenate([own[~late], own[late]])[: len(own) + (-len(own) * least[0]) // least[1] + 1]
                 sets.append(own)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([np.array([], np.uint64), *sets]).astype(np.uint64).view(np.int64)
-            columns = [batch.column(0), batch.column(2), pa.array(np.array(vs, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))]
-            yield pa.record_batch(columns, names=["id", "t", "v", "fp", "n", "h"])
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(vs, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(values))]
+            yield pa.record_batch(columns, names=["id", "t", "v", "fp", "n", "m", "h"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t bigint, v bigint, fp bigint, n int, h array<bigint>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t bigint, v bigint, fp bigint, n int, m array<bigint>, h array<bigint>")
 
 
 def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
@@ -59,7 +64,15 @@ def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def alike(rows: DataFrame, one: DataFrame, pairs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) whose sets have the similarity. The sets are made again, of the texts that pairs name."""
+    """Those of pairs (a, b) whose sets have the similarity.
+
+    Sets of that similarity differ by a part of their sizes at most, so most pairs are told by their
+    maps. The sets are made again, of the texts that the other pairs name.
+    """
+    of = lambda x: one.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(apart * sum(least) <= (least[1] - least[0]) * (F.col("na") + F.col("nb")))
+    pairs = cut(near.select("a", "b"))
     wanted = cut(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
     ids = wanted.join(one.select("v", "least"), "v").select(F.col("least").alias("id"))
     texts = BitFilter(ids, "id").mark(rows, "_hit").filter("_hit").select("id", "text", "t")
@@ -83,7 +96,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     done = lambda df: (cut(df), sweep(df.sparkSession))[0]  # noqa: E731  # each step's shuffle files go before the next one's come
     signed = done(shingle_sets(rows, width, least, frequent_shingles(rows, width)))
-    one = cut(signed.groupBy("v").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
+    one = cut(signed.groupBy("v").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("m").alias("m")))
     tokens = signed.select("v", "n", F.posexplode("h").alias("pos", "h"))
     keys = done(tokens.groupBy("h").agg(F.min("v").alias("c"), F.max("v").alias("d")).filter("c <> d").select(F.col("h").alias("k"), "c"))
     some = BitFilter(keys.select(F.col("k").alias("h")), "h", bits=1 << 25).mark(tokens, "_hit").filter("_hit")
