@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Structured Streaming forms of operators."""

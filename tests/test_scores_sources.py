@@ -59,7 +59,7 @@ def test_declarations_and_imports(spark):
     assert got == {("Foo", "class", 3), ("bar", "function", 4), ("baz", "function", 8)}
     assert {r["imported"] for r in symbols.imports(files, ["path"], "content").collect()} >= {"a.b.C", "mod"}
     paths = spark.createDataFrame([("g", "src/download/Queue.kt"), ("g", "test/download/T.kt"), ("g", "README.md")], "g string, path string")
-    assert [r["path"] for r in symbols.best_files(paths, "g", "path", ["download", "queue"]).collect()] == ["src/download/Queue.kt"]
+    assert [r["path"] for r in symbols.best_files(paths, "g", "path", ["download", "queue"]).orderBy(F.desc("points")).collect()] == ["src/download/Queue.kt", "test/download/T.kt"]
 
 
 TEXT = '#MUNCH/1 tool=list\n@6=src/\n@66=@6main/\ncount=3 note="x y" __stypes=count:int __tables=t:repos:repo|symbols|loadable:str|int|bool;u:other:v:int\nt,@66App,12,T\nt,@6x,bad,F\nt,"a,""b""",,true\nu,7\nnonsense\n'
