@@ -16,12 +16,12 @@ from .common import BitFilter, cut, id_text, small_batches, sweep
 WIDTH, LEAST = 5, (4, 5)
 #: Texts from which frequent shingles are told, the sets that hold one, and how many are told at most. Only the cost depends on these.
 SAMPLE, OFTEN, MOST = 2000, 3, 100000
-#: Bits of a set's map: two sets differ by as many hashes at least as their maps by bits.
+#: Least bits of a set's map, which has two to four for each hash. Two sets differ by as many hashes at least as their maps by bits.
 MAP_BITS = 1024
 
 
 def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, frequent: np.ndarray | None = None) -> DataFrame:
-    """(id, t, v, fp, n, m, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, a map of MAP_BITS bits, and the set's hashes.
+    """(id, t, v, fp, n, m, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, a map of bits, and the set's hashes.
 
     With least only the prefix: of two sets that are so similar, the first n - ceil(least * n) + 1
     hashes share one, whatever the order; frequent hashes come last in it.
@@ -40,8 +40,8 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
                 vs.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), 7))
                 fps.append(simhash.fingerprint(hashes))
                 ns.append(len(own))
-                bits = np.zeros(MAP_BITS, bool)
-                bits[own % np.uint64(MAP_BITS)] = True
+                bits = np.zeros(max(MAP_BITS, 1 << (2 * len(own)).bit_length()), bool)
+                bits[own & np.uint64(len(bits) - 1)] = True
                 maps.append(np.packbits(bits).view(np.int64))
                 if least is not None and len(own):
                     late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
@@ -67,11 +67,17 @@ def alike(rows: DataFrame, one: DataFrame, pairs: DataFrame, width: int, least:
     """Those of pairs (a, b) whose sets have the similarity.
 
     Sets of that similarity differ by a part of their sizes at most, so most pairs are told by their
-    maps. The sets are made again, of the texts that the other pairs name.
+    maps (of two sizes, one is twice the other then; its halves are put together). The sets are
+    made again, of the texts that the other pairs name.
     """
     of = lambda x: one.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
-    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(apart * sum(least) <= (least[1] - least[0]) * (F.col("na") + F.col("nb")))
+    half = lambda m: F.floor(F.size(m) / 2).cast("int")
+    folded = lambda m, o: F.when(F.size(m) > F.size(o), F.zip_with(F.slice(m, F.lit(1), half(m)), F.slice(m, half(m) + 1, half(m)), lambda x, y: x.bitwiseOR(y))).otherwise(F.col(m))
+    apart = F.aggregate(F.zip_with(folded("ma", "mb"), folded("mb", "ma"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = one.select(F.col("v").alias("w"), F.col("n").alias("nw"))
+    sized = pairs.join(sizes.withColumnsRenamed({"w": "a", "nw": "na"}), "a").join(sizes.withColumnsRenamed({"w": "b", "nw": "nb"}), "b")
+    sized = sized.filter(least[0] * F.greatest("na", "nb") <= least[1] * F.least("na", "nb"))
+    near = sized.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter(apart * sum(least) <= (least[1] - least[0]) * (F.col("na") + F.col("nb")))
     pairs = cut(near.select("a", "b"))
     wanted = cut(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
     ids = wanted.join(one.select("v", "least"), "v").select(F.col("least").alias("id"))

@@ -44,6 +44,9 @@ def edited(seed=5):
             for _ in range(edits * len(words) // 150 + (edits > 0)):
                 copy[rng.randrange(len(copy))] = f"other{rng.random()}"
             rows.append((len(rows), " ".join(copy), "en", "s", 0))
+    for n in (500, 520, 1030, 3000):  # maps of several sizes, and sets on both sides of a step between two
+        words = [f"q{n}x{x}" for x in range(n)]
+        rows += [(len(rows) + k, " ".join(words[: n - cut] + [f"z{n}"] * add), "en", "s", 0) for k, (cut, add) in enumerate(((0, 0), (n // 20, 0), (0, 1), (n // 6, 0), (n // 3, 0)))]
     passage = " ".join(f"w{x}" for x in range(40))
     return rows + [(1000 + k, f"{passage} {R.prose(rng, 30 if k % 2 else 5)}", "en", "s", 0) for k in range(30)]
 
