@@ -147,7 +147,7 @@ def queries(tasks: DataFrame, key: str, vocabulary: DataFrame, idioms: DataFrame
     tongue = lambda q: F.concat_ws(" ", q, F.lit(language))
     made_topic = F.array_compact(F.array(topic_or_null(F.coalesce("_id", "feature"))))
     labelled = (F.lower(F.trim("feature")) == F.lower("label")) | (F.lower(F.trim("feature")) == F.replace(F.lower("_id"), F.lit("-"), F.lit(" ")))
-    vendors = F.filter(F.transform(F.slice(F.coalesce("must_mention", none), 1, 2), F.trim), lambda v: v != "")
+    vendors = F.filter(F.transform(F.slice(F.coalesce("must_mention", none), 1, 2), lambda v: F.trim(v)), lambda v: v != "")
     made = {
         "vendor-sdk": F.concat(vendors, F.transform(vendors, lambda v: F.concat(v, F.lit(" sdk")))),
         "stack-idiom": F.slice(F.coalesce("idioms", none), 1, 3),
