@@ -14,8 +14,8 @@ from .common import BitFilter, cut, id_text, small_batches, sweep
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates as a fraction.
 WIDTH, LEAST = 5, (4, 5)
-#: Texts from which frequent shingles are told, the sets that hold one, and how many are told at most. Only the cost depends on these.
-SAMPLE, OFTEN, MOST = 2000, 3, 100000
+#: One text in so many tells which shingles are frequent, in how many sets one has to be, and how many are told at most. Only the cost depends on these.
+SAMPLE, OFTEN, MOST = 8, 2, 400_000
 #: Least bits of a set's map, which has two to four for each hash. Two sets differ by as many hashes at least as their maps by bits.
 MAP_BITS = 1024
 
@@ -56,11 +56,11 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
 
 
 def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Hashes of shingles that several sets of a sample hold: a bounded list."""
-    step = max(1, rows.count() // SAMPLE)
-    sets = shingle_sets(rows.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0), width).select(F.explode("h").alias("h"))
-    top = sets.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") >= OFTEN).orderBy(F.desc("k"), "h").limit(MOST)
-    return np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64)
+    """Hashes of shingles that several different sets of a share of all texts hold: a bounded list, the most frequent ones."""
+    sets = shingle_sets(rows.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLE)) == 0), width).select("v", F.explode("h").alias("h"))
+    counted = sets.groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high")).filter((F.col("k") >= OFTEN) & (F.col("low") != F.col("high")))
+    top = counted.orderBy(F.desc("k"), "h").limit(MOST).select("h").toArrow()
+    return top["h"].to_numpy().astype(np.int64).view(np.uint64)
 
 
 def alike(rows: DataFrame, one: DataFrame, pairs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
