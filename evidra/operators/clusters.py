@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.text import bigrams, dice, plain_name
+from evidra.functions.text import bigrams, plain_name
 from evidra.operators.lineage import cut
 
 
@@ -22,27 +22,56 @@ def fork_links(rows: DataFrame, entity: str, parent: str) -> DataFrame:
     return child.join(own, "a").select("a", "b", F.lit("fork").alias("reason"))
 
 
-def dice_links(rows: DataFrame, entity: str, block: list[str], name: str, over: float = 0.85) -> DataFrame:
-    """(a, b, score): pairs of a block with like names. Distinct names are paired, not entities: a name's entities share its class.
+def piece_sets(rows: DataFrame, entity: str, block: list[str], name: str) -> DataFrame:
+    """(block, name, entity, pieces): each distinct name of a block once, with its least entity and its pieces.
 
-    Only names that share a piece of their prefix meet: two names with more than over of their n and
-    m pieces in common share more than over / (2 - over) of the longer one's, so in any one order of
-    all pieces each has a common one among its first n - ceil(n * over / (2 - over)) + 1. Pieces that
-    come again in a name are numbered, and rare ones come first by their hash.
+    Pieces are two-letter ones, numbered where they come again in a name, in order of how many names of
+    the block have them: the rarest first.
+    """
+    names = rows.groupBy(*block, F.lower(name).alias("name")).agg(F.min(entity).alias("entity")).withColumn("bare", bigrams(F.col("name")))
+    before = lambda p, i: F.size(F.filter(F.slice("bare", 1, i), lambda q: q == p))
+    numbered = F.transform("bare", lambda p, i: F.concat(p, before(p, i).cast("string")))
+    each = names.withColumn("piece", F.explode(numbered)).drop("bare")
+    often = each.groupBy(*block, "piece").agg(F.count("*").alias("often"))
+    ordered = F.array_sort(F.collect_list(F.struct("often", "piece")))
+    return each.join(often, [*block, "piece"]).groupBy(*block, "name", "entity").agg(F.transform(ordered, lambda x: x["piece"]).alias("pieces"))
+
+
+def dice_candidates(sets: DataFrame, block: list[str], over: float) -> DataFrame:
+    """(block, name, name2): pairs of a block that may be alike, from rows of piece_sets.
+
+    Two names with more than over of their n and m pieces in common share more than over / (2 - over)
+    of the longer one's. So, in an order that all names keep, each has two common ones among its first
+    n - ceil(n * over / (2 - over)) + 2: names meet under each two pieces of this prefix, the rarest
+    that they have. Names so short that one common piece may do also meet under each one. A pair
+    needs lengths near enough, and where the two pieces are the first that it shares, enough places after them.
     """
-    names = rows.groupBy(*block, F.lower(name).alias("name")).agg(F.min(entity).alias("entity"))
-    pieces = bigrams(F.col("name"))
-    numbered = F.transform(pieces, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pieces, 1, i), lambda q: q == p)).cast("string")))
-    sorted_ = F.transform(F.array_sort(F.transform(numbered, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p")))), lambda x: x["p"])
     share = over / (2 - over)
-    first = F.slice(sorted_, F.lit(1), (F.size(sorted_) - F.ceil(F.size(sorted_) * share - 1e-9) + 1).cast("int"))
-    keyed = names.withColumn("piece", F.explode(first))
-    right = keyed.withColumnsRenamed({"name": "name2", "entity": "entity2"})
-    pairs = keyed.join(right, [*block, "piece"]).filter(F.col("name") < F.col("name2")).drop("piece").distinct()
-    # |A and B| can't exceed the shorter: names of too different length are out before they are compared
-    a, b = F.length("name") - 1, F.length("name2") - 1
-    pairs = pairs.filter(2 * F.least(a, b) > over * (a + b)).withColumn("score", dice(F.col("name"), F.col("name2")))
-    return pairs.filter(F.col("score") > over)
+    n = F.size("pieces")
+    sized = sets.withColumn("n", n).withColumn("prefix", F.slice("pieces", F.lit(1), (n - F.ceil(n * share - 1e-9) + 2).cast("int")))
+    after = lambda i: F.slice("prefix", i + 2, F.size("prefix"))
+    twos = F.flatten(F.transform("prefix", lambda x, i: F.transform(after(i), lambda y, j: F.struct(F.concat_ws("|", x, y).alias("k"), (i + j + 1).alias("at"), F.lit(2).alias("shared")))))
+    ones = F.transform("prefix", lambda x, i: F.struct(x.alias("k"), i.alias("at"), F.lit(1).alias("shared")))
+    keys = F.when(F.col("n") * share <= 1, F.concat(twos, ones)).otherwise(twos)
+    keyed = sized.select(*block, "name", "n", F.inline(keys))
+    other = keyed.withColumnsRenamed({"name": "name2", "n": "n2", "at": "at2"})
+    most = F.col("shared") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
+    enough = 2 * F.least("n", "n2", most) > over * (F.col("n") + F.col("n2"))
+    return keyed.join(other, [*block, "k", "shared"]).filter((F.col("name") < F.col("name2")) & enough).select(*block, "name", "name2").distinct()
+
+
+def dice_links(rows: DataFrame, entity: str, block: list[str], name: str, over: float = 0.85) -> DataFrame:
+    """(block, name, name2, entity, entity2, score): pairs of a block with like names (Dice of their two-letter pieces above over).
+
+    Distinct names are paired, not entities: a name's entities share its class. Each name is taken apart once;
+    which pairs are compared is told by dice_candidates, and no like pair is missed.
+    """
+    sets = cut(piece_sets(rows, entity, block, name))
+    own = sets.select(*block, "name", "entity", "pieces")
+    other = own.withColumnsRenamed({"name": "name2", "entity": "entity2", "pieces": "pieces2"})
+    pairs = dice_candidates(sets, block, over).join(own, [*block, "name"]).join(other, [*block, "name2"])
+    score = 2.0 * F.size(F.array_intersect("pieces", "pieces2")) / (F.size("pieces") + F.size("pieces2"))
+    return pairs.withColumn("score", score).filter(F.col("score") > over).drop("pieces", "pieces2")
 
 
 def plain_key(name: str) -> Column:
@@ -62,7 +91,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     to their ends by halving, until no class sees a lesser one. Two rounds leave half the classes
     at most, whatever the order of ids.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct().persist()
+    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct())
     labels = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.col("x"), F.min("y")).alias("label")))
     while True:
         near = both.join(labels, F.col("y") == F.col("v")).groupBy("x").agg(F.min("label").alias("least"))
@@ -77,7 +106,6 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if not ahead.filter("end < to").limit(1).count():
                 break
         labels = cut(labels.join(hooks, "label").select("v", F.col("to").alias("label")))
-    both.unpersist()
     return labels
 
 
