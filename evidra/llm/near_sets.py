@@ -14,22 +14,24 @@ from .common import BitFilter, cut, id_text, small_batches, sweep
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates as a fraction.
 WIDTH, LEAST = 5, (4, 5)
-#: Texts from which frequent shingles are told, the sets that hold one, and how many are told at most. Only the cost depends on these.
-SAMPLE, OFTEN, MOST = 2000, 3, 100000
+#: Slots of the table that tells how many sets hold a shingle (a byte each, whatever the input's size), and those of one row of it. Only the cost depends on it.
+SLOTS, ROW_SLOTS = 1 << 25, 1 << 16
+#: Shingles that a task gathers before it hands their slots on.
+MOST_GATHERED = 1 << 22
 #: Least bits of a set's map, which has two to four for each hash. Two sets differ by as many hashes at least as their maps by bits.
 MAP_BITS = 1024
 
 
-def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, frequent: np.ndarray | None = None) -> DataFrame:
+def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, levels: np.ndarray | None = None) -> DataFrame:
     """(id, t, v, fp, n, m, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, a map of bits, and the set's hashes.
 
     With least only the prefix: of two sets that are so similar, the first n - ceil(least * n) + 1
-    hashes share one, whatever the order; frequent hashes come last in it.
+    hashes share one, whatever the order; here it is that of levels, the rarest first.
     """
     import xxhash
 
     small_batches(rows.sparkSession)
-    often = np.append(np.sort(np.array([], np.uint64) if frequent is None else frequent), np.uint64(2**64 - 1))
+    level = rows.sparkSession.sparkContext.broadcast(np.zeros(1, np.uint8) if levels is None else levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,8 +46,8 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
                 bits[own & np.uint64(len(bits) - 1)] = True
                 maps.append(np.packbits(bits).view(np.int64))
                 if least is not None and len(own):
-                    late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
-                    own = np.concatenate([own[~late], own[late]])[: len(own) + (-len(own) * least[0]) // least[1] + 1]
+                    order = np.argsort(level.value[own & np.uint64(len(level.value) - 1)], kind="stable")
+                    own = own[order][: len(own) + (-len(own) * least[0]) // least[1] + 1]
                 sets.append(own)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([np.array([], np.uint64), *sets]).astype(np.uint64).view(np.int64)
@@ -55,12 +57,57 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t bigint, v bigint, fp bigint, n int, m array<bigint>, h array<bigint>")
 
 
-def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Hashes of shingles that several sets of a sample hold: a bounded list."""
-    step = max(1, rows.count() // SAMPLE)
-    sets = shingle_sets(rows.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0), width).select(F.explode("h").alias("h"))
-    top = sets.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") >= OFTEN).orderBy(F.desc("k"), "h").limit(MOST)
-    return np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64)
+def frequency_levels(rows: DataFrame, width: int) -> np.ndarray:
+    """For each slot of a table of SLOTS, eight times the binary logarithm of the number of sets that hold a shingle of that slot.
+
+    All sets of (text) count. Tasks sort the slots that they meet and send them on as differences;
+    each row of the table is summed where they come together, one part after another. The table
+    has a fixed size, so it may go to the driver and to all tasks; in a corpus with many more
+    shingles than slots it still tells those that are far more frequent than a slot's usual load.
+    """
+    import zstandard
+
+    small_batches(rows.sparkSession)
+    slots_, row_slots, most = SLOTS, ROW_SLOTS, MOST_GATHERED
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def parts() -> pa.RecordBatch:
+            slots = np.sort(np.concatenate([np.zeros(0, np.uint32), *held]))
+            held.clear()
+            edges = np.searchsorted(slots, np.arange(0, slots_ + 1, row_slots))
+            full = np.flatnonzero(np.diff(edges)).tolist()
+            data = [pack(np.diff(slots[edges[b] : edges[b + 1]] - np.uint32(b * row_slots), prepend=np.uint32(0)).astype("<u2").tobytes()) for b in full]
+            return pa.record_batch([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["block", "slots"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append((np.unique(simhash.shingle_hashes(text, width)) & np.uint64(slots_ - 1)).astype(np.uint32))
+            if sum(map(len, held)) > most:
+                yield parts()
+        yield parts()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total, unpack = None, np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
+        row = lambda: pa.record_batch([pa.array([block], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8).tobytes()])], names=["block", "levels"])
+        for batch in batches:
+            for b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block:
+                    if block is not None:
+                        yield row()
+                    block, total = b, np.zeros(row_slots, np.int64)
+                total += np.bincount(np.cumsum(np.frombuffer(unpack(data), "<u2"), dtype=np.int64), minlength=row_slots)
+        if block is not None:
+            yield row()
+
+    met = rows.select("text").mapInArrow(gather, "block int, slots binary")
+    summed = met.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, levels binary").toArrow()
+    levels = np.zeros(slots_, np.uint8)
+    for block, data in zip(*(c.to_pylist() for c in summed.columns), strict=True):
+        levels[block * row_slots : (block + 1) * row_slots] = np.frombuffer(data, np.uint8)
+    return levels
 
 
 def alike(rows: DataFrame, one: DataFrame, pairs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
@@ -101,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     done = lambda df: (cut(df), sweep(df.sparkSession))[0]  # noqa: E731  # each step's shuffle files go before the next one's come
-    signed = done(shingle_sets(rows, width, least, frequent_shingles(rows, width)))
+    signed = done(shingle_sets(rows, width, least, frequency_levels(rows, width)))
     one = cut(signed.groupBy("v").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("m").alias("m")))
     tokens = signed.select("v", "n", F.posexplode("h").alias("pos", "h"))
     keys = done(tokens.groupBy("h").agg(F.min("v").alias("c"), F.max("v").alias("d")).filter("c <> d").select(F.col("h").alias("k"), "c"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.operators.clusters import connected
+
 from .common import cut, documents, id_text, small_batches
 
 BITS, DISTANCE, SHINGLE = 64, 3, 3
@@ -238,21 +240,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the least vertex of each vertex's component, by the least label of the neighbours and a jump to that label's own.
+    """(v, label): the least vertex of each vertex's component of (a, b).
 
-    Each round is a few joins of narrow rows; rounds grow with the logarithm of the longest path.
+    Classes hook to the least label that a neighbour has, and hooks are followed to their ends by
+    halving, so rounds grow with the logarithm of the longest path, whatever the order of vertices.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("least"))
-        lower = cut(labels.join(near, F.col("v") == F.col("a")).select("v", "label", F.least("label", "least").alias("low")))
-        own = lower.select(F.col("v").alias("w"), F.col("low").alias("jump"))
-        jumped = cut(lower.join(own, F.col("low") == F.col("w")).select("v", "label", F.least("low", "jump").alias("new")))
-        moved = jumped.filter("new < label").limit(1).count()
-        labels = jumped.select("v", F.col("new").alias("label"))
-        if not moved:
-            return labels
+    return connected(edges)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:

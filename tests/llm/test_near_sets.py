@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from evidra.llm import near_sets
+from evidra.llm import near_sets, simhash
 from tests.llm import rows as R
 
 
@@ -57,8 +59,18 @@ def test_equals_brute_force(spark):
     assert sorted(((r["id"], r["component"]) for r in got), key=str) == brute(rows)
 
 
-def test_frequent_shingles_change_no_result(spark, monkeypatch):
-    monkeypatch.setattr(near_sets, "OFTEN", 10**9)
+def test_levels_tell_frequencies(spark):
+    rows = spark.createDataFrame([("a b c d e f",), ("a b c d e g",), ("a b c d e a b c d e",), ("",), ("x",)], "text string")
+    levels = near_sets.frequency_levels(rows, 5)
+    level = lambda text: int(levels[simhash.shingle_hashes(text, 5)[0] & np.uint64(near_sets.SLOTS - 1)])
+    assert [level("a b c d e"), level("b c d e f"), level("x"), level("not there at all x")] == [16, 8, 8, 0]
+    assert np.count_nonzero(levels) == 8
+
+
+def test_a_table_of_few_slots_changes_no_result(spark, monkeypatch):
+    monkeypatch.setattr(near_sets, "SLOTS", 1 << 16)
+    monkeypatch.setattr(near_sets, "ROW_SLOTS", 1 << 10)
+    monkeypatch.setattr(near_sets, "MOST_GATHERED", 100)
     rows = edited(6)
     got = near_sets.near_duplicates(R.frame(spark, rows)).collect()
     assert sorted(((r["id"], r["component"]) for r in got), key=str) == brute(rows)
