@@ -200,7 +200,8 @@ def estimate_json_tokens(value: Column) -> Column:
 
 
 def excerpt(text: Column, at: Column, size: Column, around: int = 20, most: int = 120) -> Column:
-    piece = F.substring(text, F.greatest(F.lit(1), at - around), size + 2 * around)
+    start = F.greatest(F.lit(1), at - around)
+    piece = F.substring(text, start, at - start + size + around)
     return F.left(F.trim(F.regexp_replace(piece, r"\s+", " ")), F.lit(most))
 
 

@@ -23,8 +23,11 @@ INJECTION_RULES = (
     ("ai-directed", "high", r"(?i)\b(if\s+you\s+are\s+an?\s+(ai|llm|language\s+model|assistant|agent)|attention\s*[:：]?\s*(ai|llm|assistant|agent)|note\s+to\s+(ai|llm|assistant|agent))\b"),
     ("prompt-boundary-escape", "medium", r"(?i)(```|~~~)\s*\n?\s*(system|ignore|new\s+instruction)"),
 )
-# Characters that are not seen.
-HIDDEN = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{FEFF}\x{00AD}\x{E0000}-\x{E007F}]"
+# Characters that are not seen, those of them that spell a hidden text apart.
+_UNSEEN, _TAGS = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{FEFF}\x{00AD}", r"\x{E0000}-\x{E007F}"
+UNSEEN, HIDDEN = f"[{_UNSEEN}]", f"[{_UNSEEN}{_TAGS}]"
+#: More hidden characters than this are a grave finding.
+MANY_HIDDEN = 8
 # What is replaced, by which mark; the whole match, or all after its first group.
 REDACTIONS = (
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[PRIVATE_KEY]"),
@@ -49,37 +52,69 @@ def hidden_count(text: Column) -> Column:
 
 
 def injection_risk(high: Column, total: Column) -> Column:
-    return F.when(high >= 2, "high").when((high == 1) | (total >= 4), "medium").otherwise("low")
+    return (
+        F.when(total == 0, "none").when(high >= 2, "high").when((high == 1) | (total >= 4), "medium").otherwise("low")
+    )
+
+
+def any_rule() -> str:
+    """One pattern that tells whether any rule or hidden character is in a text."""
+    return "(?im)" + "|".join(f"(?:{_bare(p)})" for _, _, p in INJECTION_RULES) + f"|{HIDDEN}"
+
+
+def _bare(pattern: str) -> str:
+    return pattern.removeprefix("(?im)").removeprefix("(?i)")
 
 
 def scan(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, a count for each rule, hidden, n_high, n_findings, risk."""
-    counts = injection_counts(F.col(text))
+    """key, a count for each rule, hidden, n_high, n_findings, risk. All hidden characters of a text are one finding.
+
+    One look by one pattern tells the texts in which there is nothing; rules are counted in the others alone.
+    """
     severity = {n: s for n, s, _ in INJECTION_RULES}
-    col = {n: "n_" + n.replace("-", "_") for n in counts}
-    got = rows.select(key, *[c.cast("long").alias(col[n]) for n, c in counts.items()], hidden_count(F.col(text)).cast("long").alias("hidden"))
+    col = {n: "n_" + n.replace("-", "_") for n in severity}
+    some = F.col(text).rlike(any_rule())
+    found = lambda c: F.when(some, c).when(F.col(text).isNotNull(), 0).cast("long")
+    counts = injection_counts(F.col(text))
+    got = rows.select(key, *[found(c).alias(col[n]) for n, c in counts.items()], found(hidden_count(F.col(text))).alias("hidden"))
     add = lambda names: sum((F.col(col[n]) for n in names), F.lit(0).cast("long"))
-    got = got.withColumn("n_high", add([n for n in counts if severity[n] == "high"])).withColumn("n_findings", add(counts))
+    is_over = lambda least: (F.col("hidden") > least).cast("long")
+    got = got.withColumn("n_high", add([n for n in counts if severity[n] == "high"]) + is_over(MANY_HIDDEN))
+    got = got.withColumn("n_findings", add(counts) + is_over(0))
     return got.withColumn("risk", injection_risk(F.col("n_high"), F.col("n_findings")))
 
 
 def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pattern, severity, offset, excerpt) of each finding, PER_RULE of a rule at most; offsets count characters.
+    """(key, pattern, severity, offset, excerpt) of each finding, PER_RULE of a rule at most; offsets count characters from 0.
 
-    Pieces that each end with a match add up to its place, so that no Python is needed.
+    Rules are independent: a text may be found by several, at overlapping places. One look by one
+    pattern tells the texts in which any has something to find, and only these are gone through. Pieces that
+    each end with a match add up to its place. All hidden characters of a text are one
+    finding at the first of them (at -1, if all are such as spell a hidden text).
     """
+    none = F.expr("cast(array() as array<struct<at:int,size:int>>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
     out = []
     for name, severity, pattern in INJECTION_RULES:
-        inline = pattern.replace("(?i)", "").replace("(?im)", "")
-        flags = "(?ims)" if "(?im)" in pattern else "(?is)"
-        whole = F.lit(rf"{flags}\G(.*?)({inline})")
+        whole = F.lit(rf"(?{'ims' if '(?im)' in pattern else 'is'})\G(.*?)({_bare(pattern)})")
         pieces, hits = F.regexp_extract_all(text, whole, F.lit(0)), F.regexp_extract_all(text, whole, F.lit(2))
-        both = F.slice(F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h"))), 1, PER_RULE)
-        none = F.expr("cast(array() as array<struct<at:int,size:int>>)")
-        spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + x["p"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["p"] - x["h"]).alias("at"), x["h"].alias("size")))).alias("out")))["out"]
-        out.append(F.transform(F.when(F.col(text).rlike(pattern), spans).otherwise(none), _named(name, severity)))
-    found = rows.select(key, text, F.explode(F.concat(*out)).alias("f"))
-    return found.select(key, "f.pattern", "f.severity", F.col("f.at").alias("offset"), excerpt(F.col(text), F.col("f.at") + 1, F.col("f.size")).alias("excerpt"))
+        sizes = F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h")))
+        out.append(F.transform(F.aggregate(F.slice(sizes, 1, PER_RULE), start, _placed)["out"], _named(name, severity)))
+    found = rows.filter(F.col(text).rlike(any_rule())).select(key, text, F.explode(F.concat(*out)).alias("f"))
+    around = excerpt(F.col(text), F.col("f.at") + 1, F.col("f.size"))
+    found = found.select(key, "f.pattern", "f.severity", F.col("f.at").alias("offset"), around.alias("excerpt"))
+    hidden = rows.filter(F.col(text).rlike(HIDDEN)).withColumn("_n", hidden_count(F.col(text)))
+    at = F.when(F.col(text).rlike(UNSEEN), F.length(F.regexp_extract(text, rf"(?s)^(.*?){UNSEEN}", 1))).otherwise(-1)
+    severity = F.when(F.col("_n") > MANY_HIDDEN, "high").otherwise("medium")
+    said = F.concat(F.col("_n").cast("string"), F.lit(" invisible character(s)"))
+    return found.union(hidden.select(key, F.lit("hidden-unicode"), severity, at, said))
+
+
+def _placed(s: Column, x: Column) -> Column:
+    """One more match: after all pieces so far, at the end of its own."""
+    end = s["at"] + x["p"]
+    match = F.struct((end - x["h"]).alias("at"), x["h"].alias("size"))
+    return F.struct(end.alias("at"), F.concat(s["out"], F.array(match)).alias("out"))
 
 
 def _named(name: str, severity: str):
@@ -158,7 +193,7 @@ def sanitised(text: Column, budget: int, source: str = "text") -> Column:
 
 
     def put(clean: Column) -> Column:
-        high = sum((F.least(F.regexp_count(clean, F.lit(p)), F.lit(PER_RULE)) for _, s, p in INJECTION_RULES if s == "high"), F.lit(0))
+        high = sum((F.least(F.regexp_count(clean, F.lit(p)), F.lit(PER_RULE)) for _, s, p in INJECTION_RULES if s == "high"), (hidden_count(clean) > MANY_HIDDEN).cast("int"))
         kept = lambda safe: keep_lines(safe, budget, lambda line: F.greatest(F.lit(1).cast("long"), estimate_tokens(line)))["kept"].cast("int")
         short = F.transform(F.array(neutralised(clean)), lambda safe: F.array_join(F.slice(F.split(safe, "\n"), F.lit(1), kept(safe)), "\n"))[0]
         return F.when(high >= 2, framed(F.lit("[withheld]"), source)).otherwise(framed(short, source))

@@ -193,7 +193,7 @@ SQL = {
         select p_partkey, w as words, regexp_matches(lower(n), '^(test|it|should|when|given)|(test|spec)$') as test, case when c <> '' then upper(left(c, 1)) || substr(c, 2) else n end as told from c""",
     "identity_keys": f"select s_suppkey, k.keys, k.name from supplier join {values([(n, _KEYS[n], _SHORT.get(n, n.split(':')[-1])) for n in DEPENDENCIES], 'dep, keys, name').replace(' as t(', ' as k(')} on dep = {_at('s_suppkey', *DEPENDENCIES)}",
     "compact_requirements": f"""select item_id, nullif(array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOPS})), 1, 4), ' '), '') as query, true as label from benchmark""",
-    "excerpts": "select doc_id, left(trim(regexp_replace(substr(text, greatest(1, strpos(text, ',') - 20), 41), '\\s+', ' ', 'g')), 120) as around from documents where strpos(text, ',') > 0",
+    "excerpts": "select doc_id, left(trim(regexp_replace(substr(text, greatest(1, strpos(text, ',') - 20), strpos(text, ',') - greatest(1, strpos(text, ',') - 20) + 21), '\\s+', ' ', 'g')), 120) as around from documents where strpos(text, ',') > 0",
     "json_tokens": """select p_partkey, cast(greatest(1, ceil(length('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_size":' || p_size || '}') / 3.2e0)) as bigint) as tokens from part""",
     "search_keys": "select p_partkey, 'search:' || sha256(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(trim(p_type || ' ' || p_name)), '\\s+'), lambda w: w <> ''))), ' ') || chr(31) || p_brand) as key from part",
     "hidden_characters": "select conv_id || '-' || turn as key, case turn % 4 when 0 then 0 when 1 then 2 else 1 end + length(text) - length(regexp_replace(text, '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}\\x{E0000}-\\x{E007F}]', '', 'g')) as hidden from conversations",
