@@ -7,8 +7,6 @@ a word list that people keep; its size is looked at before it is broadcast.
 
 from __future__ import annotations
 
-from typing import TYPE_CHECKING
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,9 +14,6 @@ from pyspark.sql.window import Window
 from evidra.functions.text import compact_requirement, contains_phrase, normalise, stem_phrase, topic_or_null, words
 from evidra.operators.matching import closure, head_end, phrase_matches, primary, small, unit_priority
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 
 def exploded(vocabulary: DataFrame, column: str, name: str) -> DataFrame:
     return vocabulary.select("id", F.explode(column).alias(name))
@@ -101,35 +96,6 @@ def plan(units: DataFrame, key: str, vocabulary: DataFrame, total: int | None =
     return rows.select(key, "unit", "name", "strategy", "priority", share.alias("share"), F.when(F.col("w").isNotNull(), queries).alias("queries"))
 
 
-def topological(tasks: DataFrame, group: str, key: str, priority: str, needs: str) -> DataFrame:
-    """tasks with place: what a task needs stands before it, the most urgent first, cycles are broken where they close.
-
-    A depth-first walk, which no join expresses; a group is the tasks of one plan, of which there are no more than the vocabulary has entries.
-    """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([priority, key], ascending=[False, True], kind="stable")
-        needed = dict(zip(rows[key], rows[needs], strict=True))
-        done: dict = {}
-        for start in needed:
-            stack = [(start, iter(needed[start] if needed[start] is not None else ()))] if start not in done else []
-            if stack:
-                done[start] = None
-            while stack:
-                at, rest = stack[-1]
-                after = next((x for x in rest if x in needed and x not in done), None)
-                if after is None:
-                    stack.pop()
-                    done[at] = sum(v is not None for v in done.values())
-                else:
-                    done[after] = None
-                    stack.append((after, iter(needed[after] if needed[after] is not None else ())))
-        return rows.assign(place=rows[key].map(done).astype("int64"))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)
-    return tasks.groupBy(group).applyInPandas(walk, f"{fields}, place long")
-
-
 # How much a shape of query tells, in hundredths, in the order in which shapes take turns.
 SHAPES = {"vendor-sdk": 90, "stack-idiom": 95, "domain-term": 80, "topic": 70, "requirement": 60, "generic": 50}
 

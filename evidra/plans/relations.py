@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
-from evidra.operators import clusters, graph, synthesis
+from evidra.operators import clusters, graph, ordering, synthesis
 from evidra.plans import names
 from evidra.plans.ranking import _EVIDENCE_SQL, WEIGHTS, supplier_evidence
 from evidra.operators import evidence as ev
@@ -126,11 +126,9 @@ def shared_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evidra.operators.matching import build_order as ordered
-
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("priority"))
     edges = nations.select("n_nationkey", F.floor(F.col("n_nationkey") / 3).cast("int").alias("needs")).filter("n_nationkey <> needs")
-    return ordered(nations, edges, "n_nationkey", "priority", 4).select("n_nationkey", F.col("level"), "place")
+    return ordering.build_order(nations, edges, "n_nationkey", "priority").select("n_nationkey", F.col("level"), "place")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -184,7 +182,7 @@ SQL = {
         b as (select p_brand, arg_min(l_suppkey, (-n, l_suppkey)) as l_suppkey from s group by 1)
         select l_suppkey, count(distinct p_brand) as n_features from b group by 1 having count(distinct p_brand) > 1""",
     "build_order": """with recursive e as (select n_nationkey as k, cast(n_nationkey // 3 as integer) as needs from nation where n_nationkey <> n_nationkey // 3),
-        r as (select n_nationkey as k, 0 as level from nation union select e.k, r.level + 1 from r join e on e.needs = r.k where r.level < 4),
+        r as (select n_nationkey as k, 0 as level from nation union select e.k, r.level + 1 from r join e on e.needs = r.k),
         l as (select k, max(level) as level from r group by 1)
         select n_nationkey, level, row_number() over (order by level, n_regionkey desc, n_nationkey) as place from nation join l on k = n_nationkey""",
 }

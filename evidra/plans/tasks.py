@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidra.functions import text as tx
 from evidra.operators import bundling as bd
-from evidra.operators import clusters, matching, planning, verifying
+from evidra.operators import clusters, matching, ordering, planning, verifying
 from evidra.plans.literals import VOCABULARY, VOCABULARY_SQL, idioms, values, vocabulary
 from evidra.plans.names import _PLAIN, _STEMMED
 from evidra.plans.ranking import _EVIDENCE_SQL, WEIGHTS, supplier_evidence
@@ -99,11 +100,14 @@ def not_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.chosen_in_order(rows, "n_nationkey", "priority", "place", 30)[1].select("n_nationkey")
 
 
-ORDERED = ((1, "a", 10, ["b"]), (1, "b", 5, ["c", "zz"]), (1, "c", 1, ["a"]), (1, "d", 50, []), (2, "x", 1, ["y"]), (2, "y", 9, None))
-
-
 def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.topological(spark.createDataFrame(list(ORDERED), "plan int, id string, priority int, needs array<string>"), "plan", "id", "priority", "needs").select("plan", "id", F.col("place").cast("int").alias("place"))
+    """Brands as plans, their parts as tasks: each needs those at a half and a third of its own number in the brand."""
+    per = F.col("i")
+    of = Window.partitionBy("p_brand").orderBy("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.row_number().over(of).alias("i"))
+    needs = F.array_distinct(F.filter(F.array(F.floor(per / 3), F.floor(per / 2)), lambda x: x > 0))
+    got = ordering.topological(rows.withColumn("needs", needs).withColumn("i", per.cast("long")), "p_brand", "i", "p_size", "needs")
+    return got.select("p_brand", "p_partkey", "place")
 
 
 def closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +363,13 @@ SQL: dict[str, str] = {
     "declared_needs": f"select a.n_nationkey, b.n_nationkey as needed from (select n_nationkey, {_at('n_nationkey', 'NATION_1', 'NATION_2', 'nowhere')} as d from nation) a join nation b on b.n_name = a.d where a.n_nationkey <> b.n_nationkey",
     "chosen_in_order": "select n_nationkey, n_name as place from nation order by n_nationkey * 7 % 25 desc, n_nationkey limit 4",
     "not_searched": "with t as (select n_nationkey from nation order by n_nationkey * 7 % 25 desc, n_nationkey limit 20) select n_nationkey from nation where n_nationkey not in (select n_nationkey from t)",
-    "topological_order": "select cast(plan as integer) as plan, id, cast(place as integer) as place from " + values(((1, "d", 0), (1, "c", 1), (1, "b", 2), (1, "a", 3), (2, "y", 0), (2, "x", 1)), "plan, id, place"),
+    "topological_order": """with recursive t as (select p_brand, p_partkey, p_size, row_number() over (partition by p_brand order by p_partkey) as i from part),
+        e as (select p_brand, i, unnest(list_distinct(list_filter([i // 3, i // 2], lambda x: x > 0))) as needs, i // 2 as half from t),
+        w as (select p_brand, i, [-p_size, i] as walk from t
+              union all select w.p_brand, e.needs, list_append(w.walk, case when e.needs = e.half and e.half <> e.i // 3 and e.i // 3 > 0 then 1 else 0 end)
+              from w join e on e.p_brand = w.p_brand and e.i = w.i),
+        m as (select p_brand, i, min(walk) as walk from w group by 1, 2)
+        select p_brand, p_partkey, row_number() over (partition by p_brand order by list_append(walk, 2147483647)) as place from m join t using (p_brand, i)""",
     "closure_whole": """with recursive e as (select distinct n_nationkey as s, (n_nationkey * 2 + n_regionkey) % 25 as d from nation), r as (select s as origin, d as reached, 1 as steps from e union select origin, d, steps + 1 from r join e on reached = s where steps < 26)
         select origin, reached, min(steps) as steps from r group by 1, 2""",
     "declared_dependencies": f"""with n as (select n_nationkey, unnest([{_at('n_nationkey', 'com.squareup:okhttp', '@types/node', 'react')}, 'room']) as name, {_at('n_nationkey', 'okhttp', 'react-dom', 'node', 'androidx.room:room-runtime')} as lib from nation),
