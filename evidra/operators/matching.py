@@ -6,39 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.text import contains_phrase, content_terms, phrase_position, stem_phrase, topic
-from evidra.operators.lineage import cut
+from evidra.operators import containment
+from evidra.operators.lineage import SMALL, cut, small
 
 # Words that part a sentence's head from what qualifies it, and words without content.
 QUALIFIERS = ("with", "that", "which", "supporting", "support", "including", "include", "featuring", "having", "plus", "and", "or")
 STOP = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "has", "have", "its", "can", "able", "support", "supports")
 
 
-#: Tables of so many rows or fewer are broadcast.
-SMALL = 20_000
-
-
-def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
-    """rows, to be broadcast if they are few; their number is looked at."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def phrase_matches(texts: DataFrame, key: str, text: str, triggers: DataFrame, capability: str = "capability", trigger: str = "trigger") -> DataFrame:
-    """(key, capability, hits, position): triggers found as whole stemmed words; triggers is a table of a vocabulary's size.
+    """(key, capability, hits, position): triggers found as whole stemmed words.
 
-    The trigger table is a parameter. While it has few rows each text is stemmed once and compared
-    in one array column, so nothing is shuffled but the matches; beyond that, triggers meet the
-    texts that hold their first word by an equal join.
+    Each text is stemmed once; a trigger, of which there may be any number, is looked up in the texts by the
+    rarest of its words (see containment.contained).
     """
-    stems = triggers.select(F.col(capability).alias("c"), stem_phrase(F.col(trigger)).alias("t")).distinct().filter("t <> ''")
-    rows = texts.select(key, stem_phrase(F.col(text)).alias("s"))
-    if stems.limit(SMALL + 1).count() <= SMALL:
-        lists = stems.agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("all"))
-        found = F.filter("all", lambda x: contains_phrase(F.col("s"), x["t"]))
-        met = rows.join(F.broadcast(lists)).select(key, "s", F.explode(found).alias("x")).select(key, "s", "x.c", "x.t")  # one row
-    else:
-        worded = rows.select(key, "s", F.explode(F.array_distinct(F.split("s", " "))).alias("w"))
-        met = worded.join(stems.withColumn("w", F.element_at(F.split("t", " "), 1)), "w").filter(contains_phrase(F.col("s"), F.col("t")))
-    hits = met.select(key, F.col("c").alias("capability"), phrase_position(F.col("s"), F.col("t")).alias("p"))
+    stems = triggers.select(F.col(capability).alias("capability"), stem_phrase(F.col(trigger)).alias("phrase")).distinct().filter("phrase <> ''")
+    stems = cut(stems.withColumn("form", F.lit(0)))
+    rows = texts.select(F.col(key).alias("_of"), F.lit(0).alias("form"), stem_phrase(F.col(text)).alias("s"))
+    met = containment.contained(rows, stems, containment.words, contains_phrase)
+    hits = met.join(small(stems.drop("form")), "phrase").select(F.col("_of").alias(key), "capability", phrase_position(F.col("s"), F.col("phrase")).alias("p"))
     return hits.groupBy(key, "capability").agg(F.count("*").alias("hits"), F.min("p").alias("position"))
 
 
@@ -88,29 +74,32 @@ def coverage(requirements: DataFrame, requirement: str, text: str, corpora: Data
 
     weight is a corpus's reliability in hundredths. Evidenced: half the terms and a corpus of 30 or
     more, or a term of five letters in one of 85 or more. With no corpus of 55 or more what isn't
-    found is unknown, else absent. Requirements are a short list (one row); each body is read once
-    for all their terms, and only terms that it holds are dealt.
+    found is unknown, else absent. A term is in a body as it is, without separators if it has four
+    letters then, or without a plural's s. Terms, of which there may be any number, are looked up in the bodies by
+    the rarest of their three-letter pieces (see containment.contained).
     """
     wanted = requirements.select(F.col(requirement).alias("requirement"), content_terms(F.col(text), STOP).alias("terms")).filter(F.size("terms") > 0)
-    each = wanted.select("requirement", F.explode("terms").alias("t"))
+    each = cut(wanted.select("requirement", F.size("terms").alias("terms"), F.explode("terms").alias("t")))
     squash = lambda c: F.regexp_replace(c, r"[\s_.\-]+", "")
-    forms = F.struct("t", F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t"))).alias("squashed"), F.when(F.endswith("t", F.lit("s")) & (F.length("t") > 3), F.regexp_replace("t", "s$", "")).alias("one"))
-    listed = cut(each.select("t").distinct().select("t", forms.alias("x")))
-    names = wanted.agg(F.array_sort(F.collect_list(F.struct("requirement", F.size("terms").alias("terms")))).alias("all"))
-    bodies = corpora.select(entity, F.col(body).alias("body"), F.col(weight).alias("w"))
-    held = lambda b, x: F.contains(b["body"], x["t"]) | F.coalesce(F.contains(b["squashed"], x["squashed"]), F.lit(False)) | F.coalesce(F.contains(b["body"], x["one"]), F.lit(False))
-    # an array of one element binds a body's two forms, which would else be made anew for each term
-    both = F.array(F.struct(F.lower("body").alias("body"), squash(F.lower("body")).alias("squashed")))
-    terms = F.transform(both, lambda b: F.transform(F.filter("all", lambda x: held(b, x)), lambda x: x["t"]))[0]
-    blocks, found = -(-max(1, listed.count()) // SMALL), None
-    for k in range(blocks):  # terms go against all bodies in blocks of a bounded size
-        lists = listed.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).agg(F.collect_list("x").alias("all"))
-        part = bodies.join(F.broadcast(lists)).select(entity, "w", F.explode(terms).alias("t"))  # one row
-        found = part if found is None else found.union(part)
-    found = found.groupBy(entity, "t").agg(F.max("w").alias("w"))
-    found = found.join(small(each), "t").groupBy(entity, "requirement").agg(F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive"))
-    got = corpora.groupBy(entity).agg(F.max(weight).alias("reliable")).join(F.broadcast(names))  # one row
-    got = got.select(entity, "reliable", F.explode("all").alias("x")).select(entity, "reliable", "x.requirement", "x.terms").join(found, [entity, "requirement"], "left")
+    one = F.when(F.endswith("t", F.lit("s")) & (F.length("t") > 3), F.regexp_replace("t", "s$", ""))
+    forms = [(0, F.col("t")), (1, F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t")))), (0, one)]
+    of = F.inline(F.array(*[F.struct(F.lit(f).alias("form"), c.alias("phrase")) for f, c in forms]))
+    phrases = cut(each.select("t").distinct().select("t", of).filter("phrase is not null"))
+    bodies = corpora.select(F.col(entity).alias("_entity"), F.lower(body).alias("b"), F.col(weight).alias("w"))
+    texts = bodies.select("_entity", "w", F.inline(F.array(F.struct(F.lit(0).alias("form"), F.col("b").alias("s")), F.struct(F.lit(1).alias("form"), squash(F.col("b")).alias("s")))))
+    met = containment.contained(texts, phrases, containment.grams, F.contains).select("_entity", "w", F.col("form").alias("f"), F.col("phrase").alias("p"))
+    met = met.join(small(phrases), (F.col("form") == F.col("f")) & (F.col("phrase") == F.col("p")))
+    found = met.groupBy(F.col("_entity").alias(entity), "t").agg(F.max("w").alias("w"))
+    found = found.join(small(each.select("requirement", "t")), "t").groupBy(entity, "requirement").agg(F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive"))
+    # every entity is held against every requirement, in blocks of a bounded size
+    names = cut(wanted.select("requirement", F.size("terms").alias("terms")))
+    blocks, got = -(-max(1, names.count()) // SMALL), None
+    reliable = corpora.groupBy(entity).agg(F.max(weight).alias("reliable"))
+    for k in range(blocks):
+        part = names.filter(F.pmod(F.xxhash64("requirement"), F.lit(blocks)) == k).agg(F.array_sort(F.collect_list(F.struct("requirement", "terms"))).alias("all"))
+        part = reliable.join(F.broadcast(part)).select(entity, "reliable", F.inline("all"))  # one row
+        got = part if got is None else got.union(part)
+    got = got.join(found, [entity, "requirement"], "left")
     got = got.withColumns({"covered": F.coalesce("covered", F.lit(0)), "best": F.coalesce("best", F.lit(0)), "distinctive": F.coalesce("distinctive", F.lit(False))})
     seen = ((2 * F.col("covered") >= F.col("terms")) & (F.col("best") >= 30)) | F.col("distinctive")
     status = F.when(seen, "evidenced").when(F.col("reliable") < 55, "unknown").otherwise("absent")
