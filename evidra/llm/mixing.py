@@ -3,45 +3,54 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidra.operators.lineage import numbered
+
 from .common import cut, documents
 
 #: Entropy of the weights to reach, as a share of the entropy of equal weights; the most often a source may be repeated; tokens to give, as a share of all there are.
 ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE = 0.95, 4.0, 1.0
 #: Tokens of a block, and blocks of a source at most (which bounds the table of blocks).
 BLOCK_TOKENS, MAX_BLOCKS = 100_000, 4096
-#: Sources are categories: their counts are read by the driver, and more of them than this are refused.
-MAX_SOURCES = 100_000
+#: A table of more sources than this is joined by shuffle instead of broadcast.
+BROADCAST_SOURCES = 100_000
 #: A table of more block placements than this is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 200_000
 SEED = 42
 
 
-def weights_at(shares: dict[str, float], power: float) -> dict[str, float]:
+def weights_at(shares: dict, power: float, times: dict | None = None) -> dict:
+    """Normalised powers of shares; times tells how many sources have a share (one, if it isn't given)."""
     raw = {s: p**power if p > 0 else 0.0 for s, p in shares.items()}
-    total = math.fsum(raw.values()) or 1.0
+    total = math.fsum(r * _times(times, s) for s, r in raw.items()) or 1.0
     return {s: r / total for s, r in raw.items()}
 
 
-def entropy(weights: dict[str, float]) -> float:
-    return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
+def _times(times: dict | None, source) -> int:
+    return times[source] if times else 1
+
+
+def entropy(weights: dict, times: dict | None = None) -> float:
+    return -math.fsum(w * math.log(w) * _times(times, s) for s, w in weights.items() if w > 0)
 
 
-def bisect_power(shares: dict[str, float], entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_share: float = BUDGET_SHARE) -> float:
+def bisect_power(shares: dict, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_share: float = BUDGET_SHARE, times: dict | None = None) -> float:
     """The exponent in [0, 1]: 1 keeps the shares, 0 makes them equal.
 
     Entropy falls and repeats fall as the exponent rises. The greatest exponent that reaches the
     entropy is taken; if a source would be repeated more than allowed, the least that allows it.
     """
-    used = [p for p in shares.values() if p > 0]
-    if len(used) < 2:
+    used = sum(_times(times, s) for s, p in shares.items() if p > 0)
+    if used < 2:
         return 1.0
-    goal = entropy_share * math.log(len(used))
-    repeats = lambda power: max(w / shares[s] for s, w in weights_at(shares, power).items() if shares[s] > 0) * budget_share
+    goal = entropy_share * math.log(used)
+    at = lambda power: weights_at(shares, power, times)
+    repeats = lambda power: max(w / shares[s] for s, w in at(power).items() if shares[s] > 0) * budget_share
 
     def bisect(good_low) -> float:
         low, high = 0.0, 1.0
@@ -50,19 +59,56 @@ def bisect_power(shares: dict[str, float], entropy_share: float = ENTROPY_SHARE,
             low, high = (mid, high) if good_low(mid) else (low, mid)
         return (low + high) / 2
 
-    power = 1.0 if entropy(weights_at(shares, 1.0)) >= goal else bisect(lambda a: entropy(weights_at(shares, a)) >= goal)
+    power = 1.0 if entropy(at(1.0), times) >= goal else bisect(lambda a: entropy(at(a), times) >= goal)
     if repeats(power) > max_repeats:
         power = 1.0 if repeats(1.0) > max_repeats else bisect(lambda a: repeats(a) > max_repeats)
     return power
 
 
-def budgets(tokens: dict[str, int], weights: dict[str, float], total: int) -> dict[str, int]:
-    """Whole tokens for each source that sum to total: largest remainders get what is left; a source without tokens gets none."""
-    exact = {s: w * total for s, w in weights.items() if tokens[s] > 0}
-    out = {s: int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: total - sum(out.values())]:
-        out[s] += 1
-    return out
+def budgets(tokens: dict[int, int], weights: dict[int, float], total: int) -> tuple[dict[int, int], set[int], int]:
+    """(whole tokens for each source with so many, those of which some get one more, how many of these do).
+
+    tokens tells how many sources have a number of tokens. The budgets of all sources sum to total: largest remainders get
+    what is left; of equal ones the first in order of their names. A source without tokens gets none.
+    """
+    exact = {t: w * total for t, w in weights.items() if t > 0}
+    out = {t: int(x) for t, x in exact.items()}
+    left = total - sum(n * tokens[t] for t, n in out.items())
+    for _, equal in groupby(sorted(exact, key=lambda t: out[t] - exact[t]), key=lambda t: out[t] - exact[t]):
+        some = set(equal)
+        if left < sum(tokens[t] for t in some):
+            return out, some, max(0, left)
+        left -= sum(tokens[t] for t in some)
+        for t in some:
+            out[t] += 1
+    return out, set(), 0
+
+
+def planned(sources: DataFrame, entropy_share: float, max_repeats: float, budget_share: float) -> DataFrame:
+    """(_src, _weight, _blocks, full, rest) for sources (_src, t): weight, blocks, whole epochs, tokens of the last one.
+
+    Sources with the same number of tokens share weight and budget, so the exponent is bisected over the
+    distinct numbers; of n tokens in all there are sqrt(2 n) at most, however many sources there are.
+    """
+    rows = sources.groupBy("t").count().collect()
+    times = {r["t"]: r["count"] for r in rows}
+    total = sum(t * n for t, n in times.items())
+    shares = {t: t / total if total else 0.0 for t in times}
+    weights = weights_at(shares, bisect_power(shares, entropy_share, max_repeats, budget_share, times), times)
+    spend, some, more = budgets(times, weights, int(total * budget_share))
+    made = [(t, weights[t], max(1, min(MAX_BLOCKS, -(-t // BLOCK_TOKENS))), spend.get(t, 0), t in some) for t in sorted(times)]
+    known = sources.sparkSession.createDataFrame(made, "t long, _weight double, _blocks long, spend long, some boolean")
+    got = sources.join(F.broadcast(known) if len(made) <= BROADCAST_SOURCES else known, "t")
+    if more:
+        first = numbered(got.filter("some").select("_src"), [F.col("_src")], "place").filter(F.col("place") <= more).select(F.col("_src").alias("s"))
+        got = got.join(first, F.col("_src") == F.col("s"), "left").withColumn("spend", F.col("spend") + F.col("s").isNotNull().cast("long"))
+    each = F.greatest(F.lit(1), F.col("t"))
+    return cut(got.select("_src", "_weight", "_blocks", F.floor(F.col("spend") / each).cast("long").alias("full"), (F.col("spend") % each).cast("long").alias("rest")))
+
+
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """rows, to be broadcast if they are no more than that; their number is looked at."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def token_count(text: Column) -> Column:
@@ -79,7 +125,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     id and text alone.
 
     Only narrow counts are shuffled; texts stay where they are read while the table of blocks is
-    small (it has MAX_BLOCKS rows for each source and epoch at most).
+    small (it has MAX_BLOCKS rows for each source and epoch at most). There may be any number of sources.
 
     A null source is a source of its own; null texts have no tokens, and documents without tokens
     come with the block that they are in; null ids are kept; rows with the same id and text are
@@ -96,17 +142,8 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     src = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     placed = docs.withColumn("_src", src).withColumn("_u", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("_tokens", token_count(F.col(text_col)))
     narrow = cut(placed.select("_src", "_u", "_tokens"))
-    rows = narrow.groupBy("_src").agg(F.sum("_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    tokens = {r["_src"]: r["t"] for r in rows}
-    total = sum(tokens.values())
-    shares = {s: t / total if total else 0.0 for s, t in tokens.items()}
-    weights = weights_at(shares, bisect_power(shares, entropy_share, max_repeats, budget_share))
-    spend = budgets(tokens, weights, int(total * budget_share))
-    plan = [(s, weights[s], max(1, min(MAX_BLOCKS, -(-tokens[s] // BLOCK_TOKENS))), spend.get(s, 0) // max(1, tokens[s]), spend.get(s, 0) % max(1, tokens[s])) for s in sorted(tokens)]
-    spark = docs.sparkSession
-    sources = F.broadcast(spark.createDataFrame(plan, "_src string, _weight double, _blocks long, full long, rest long"))
+    sources = planned(cut(narrow.groupBy("_src").agg(F.sum("_tokens").alias("t"))), entropy_share, max_repeats, budget_share)
+    sources = few(sources, BROADCAST_SOURCES)
 
     block = F.pmod("_u", "_blocks")
     sized = narrow.join(sources, "_src").withColumn("_block", block)
@@ -118,13 +155,13 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     room = F.col("rest") - (F.col("upto") - F.col("t"))
     taken = ranked.withColumn("room", F.when(last & (F.col("upto") > F.col("rest")), room)).filter(whole | (last & (room > 0)))
     taken = cut(taken.select("_src", "_block", "_weight", "_epoch", "_slot", "room"))
-    parts = taken.filter("room is not null").select("_src", "_block", "room")  # one block for each source
+    parts = few(taken.filter("room is not null").select("_src", "_block", "room"), BROADCAST_SOURCES)  # one block for each source
     inside = Window.partitionBy("_src", "_block").orderBy("_u")
-    running = sized.select("_src", "_block", "_u", "_tokens").join(F.broadcast(parts), ["_src", "_block"]).withColumn("upto", F.sum("_tokens").over(inside))
+    running = sized.select("_src", "_block", "_u", "_tokens").join(parts, ["_src", "_block"]).withColumn("upto", F.sum("_tokens").over(inside))
     ends = running.filter("upto <= room").groupBy("_src", "_block").agg(F.max("_u").alias("end"))
     least = F.lit(-(2**63)).cast("long")
-    table = cut(taken.join(F.broadcast(ends), ["_src", "_block"], "left").withColumn("end", F.when(F.col("room").isNotNull(), F.coalesce("end", least))))
-    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    table = cut(taken.join(few(cut(ends), BROADCAST_SOURCES), ["_src", "_block"], "left").withColumn("end", F.when(F.col("room").isNotNull(), F.coalesce("end", least))))
+    table = few(table, BROADCAST_ROWS)
     counts = sources.select("_src", "_blocks")
     got = placed.join(counts, "_src").withColumn("_block", block).drop("_blocks").join(table, ["_src", "_block"])
     got = got.filter(F.col("end").isNull() | ((F.col("_u") <= F.col("end")) & (F.col("end") > least)))
