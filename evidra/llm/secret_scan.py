@@ -13,7 +13,6 @@ KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ASSIGN_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 _ACCESS = r"AKIA[A-Z0-9]+"
-_HEX = r"[0-9a-f]+"
 #: Runs of 20 or more characters of keys, with a digit and a letter among them.
 _CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 #: Character class of a candidate (the first that fits), window length, least bits per character.

@@ -140,10 +140,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterato
         some.append(batch)
         held += batch.nbytes
         if held >= size:
-            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
             some, held = [], 0
     if held:
-        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
 # ---------------------------------------------------------------- the coder
