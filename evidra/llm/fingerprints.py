@@ -92,10 +92,15 @@ def next_in_order(keys: DataFrame) -> DataFrame:
     return led.select(*keys.columns, F.when(here, F.col("next.id")).otherwise(F.col("end_id")).alias("next_id"), F.when(here, F.col("next.h")).otherwise(F.col("end_h")).alias("next_h"))
 
 
+def _zero(rows: DataFrame) -> Column:
+    """What stands for a null id: 0 as an id of that type."""
+    return F.lit(0).cast(rows.schema["id"].dataType)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id0, none, h, text): the id with 0 for null, whether it is null, the text's hash; null text is empty."""
+    """(id0, none, h, text): the id (a number or a string) with 0 for null, whether it is null, the text's hash; null text is empty."""
     rows = id_text(docs, id_col, text_col)
-    return rows.select(F.coalesce("id", F.lit(0)).alias("id0"), F.col("id").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
+    return rows.select(F.coalesce("id", _zero(rows)).alias("id0"), F.col("id").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
 
 
 KEY = ["id0", "none", "h"]
@@ -131,7 +136,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = cut(rows.groupBy(*KEY).agg(F.min(quarter).alias("quarter"), F.count("*").cast("int").alias("copies")))
     repeats = keys.filter("copies > 1").limit(1).count() > 0
     ordered = next_in_order(keys.withColumn("id", F.when(~F.col("none"), F.col("id0"))))
-    after = cut(ordered.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "quarter", "copies", F.coalesce("next_id", F.lit(0)).alias("next0"), F.col("next_id").isNull().alias("next_none"), "next_h"))
+    after = cut(ordered.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "quarter", "copies", F.coalesce("next_id", _zero(ordered)).alias("next0"), F.col("next_id").isNull().alias("next_none"), "next_h"))
     heads = rows.join(after, (F.col("id0") == F.col("next0")) & (F.col("none") == F.col("next_none")) & (F.col("h") == F.col("next_h")))
     heads = heads.select(*[f"of_{k}" for k in KEY], "quarter", "copies", "next0", "next_none", "next_h", F.expr("left(text, quarter)").alias("head"))
     if repeats:

@@ -166,13 +166,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """An ensemble from the labelled rows that aren't held out.
 
     Of those with a label, MAX_TRAINING_ROWS at most are taken, in order of a hash of their id: that
-    bounds what is broadcast to find their texts and what the driver gets. Null labels and labels of
+    bounds what is broadcast to find their texts; so many distinct rows at most reach the driver. Null labels and labels of
     unknown ids teach nothing; with no label every text scores 0.5.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
     chosen = cut(known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(MAX_TRAINING_ROWS))
     texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-    rows = measured(texts, "text").select("id", "_y", "_s.*").collect()
+    # rows that are the same teach once, and there are no more of them than labels, whatever rows an id has
+    distinct = measured(texts, "text").select("id", "_y", "_s.*").distinct()
+    rows = distinct.orderBy(F.xxhash64(*distinct.columns), *distinct.columns).limit(MAX_TRAINING_ROWS).collect()
     data = np.array(sorted(tuple(r) for r in rows), float).reshape(len(rows), 2 + len(STATISTICS))
     return RuleEnsemble.fit(data[:, 2:], data[:, 1])
 

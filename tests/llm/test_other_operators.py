@@ -49,6 +49,22 @@ def secret_texts():
     return out + ["x" * 50000 + " secret=" + key(16) + " " + "y" * 50000]
 
 
+def test_budgets_of_many_sources_are_those_of_each(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)  # all joins by shuffle
+    rng = random.Random(4)
+    have = {f"=s{k}": rng.choice((0, 1, 7, 7, 50, 1000)) for k in range(200)}
+    total = sum(have.values())
+    shares = {s: n / total for s, n in have.items()}
+    weights = mixing.weights_at(shares, mixing.bisect_power(shares, 0.97, 3.0, 0.7))
+    exact = {s: w * int(total * 0.7) for s, w in weights.items() if have[s]}
+    spend = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (round(spend[s] - exact[s], 9), s))[: int(total * 0.7) - sum(spend.values())]:
+        spend[s] += 1
+    got = mixing.planned(spark.createDataFrame(list(have.items()), "_src string, t long"), 0.97, 3.0, 0.7).collect()
+    assert {r["_src"]: r["full"] * max(1, have[r["_src"]]) + r["rest"] for r in got} == {s: spend.get(s, 0) for s in have}
+    assert sum(spend.values()) == int(total * 0.7)
+
+
 def test_secrets_equal_plain_python(spark):
     texts = secret_texts()
     rows = [(k, t, None, None, 0) for k, t in enumerate(texts)] + [(998, None, None, None, None), (998, None, None, None, None)]
@@ -138,6 +154,10 @@ def test_fingerprints_of_awkward_rows(spark):
     edits = fingerprints.with_edits(R.clashing(R.frame(spark, rows))).agg(F.sum("copies")).first()[0]
     assert edits >= len(rows)
     assert fingerprints.fingerprints(R.frame(spark, [])).count() == 0
+    named = R.frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    by_name = fingerprints.fingerprints(named, low=0.02, high=0.9).collect()
+    assert sorted((str(r["id"]), tuple(r["fingerprint"])) for r in by_name) == sorted((f"d{r['id']}" if r["id"] is not None else "None", tuple(r["fingerprint"])) for r in got)
+    assert fingerprints.with_edits(named).count() == fingerprints.with_edits(R.frame(spark, rows)).count()
 
 
 def test_next_in_order_wraps(spark):
@@ -210,7 +230,10 @@ def plain_mix(rows, share, repeats, budget):
     total = sum(have.values())
     shares = {s: n / total for s, n in have.items()}
     weights = mixing.weights_at(shares, mixing.bisect_power(shares, share, repeats, budget))
-    spend = mixing.budgets(dict(have), weights, int(total * budget))
+    exact = {s: w * int(total * budget) for s, w in weights.items() if have[s] > 0}
+    spend = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (spend[s] - exact[s], s))[: int(total * budget) - sum(spend.values())]:
+        spend[s] += 1
     out = []
     for s, n in have.items():
         blocks, full, rest = max(1, -(-n // mixing.BLOCK_TOKENS)), spend[s] // n, spend[s] % n
