@@ -9,7 +9,7 @@ from evidra.functions import text as tx
 from evidra.operators import matching, pool, profiles, safety
 from evidra.plans.literals import values
 from evidra.plans.reads import _at, _pick
-from evidra.sources import manifests, symbols
+from evidra.sources import symbols
 from evidra.sources.tables import table
 
 
@@ -81,85 +81,6 @@ def relaxed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.relaxed(rows, "query").select("p_partkey", F.col("drop"), "variant")
 
 
-# Project files, one of each kind; and what they declare.
-FILES = (
-    ("r", 0, "node_modules/x/package.json", '{"dependencies":{"hidden":"1"}}'),
-    ("r", 1, "package.json", '{"dependencies":{"react":"^18.0.0"},"devDependencies":{"vitest":"^2"},"peerDependencies":{"typescript":"*"},"optionalDependencies":{"fsevents":"2"}}'),
-    ("r", 2, "app/build.gradle.kts", 'dependencies {\n  implementation("com.squareup.okhttp3:okhttp:4.12.0")\n  testImplementation("junit:junit:4.13.2")\n  ksp("androidx.room:room-compiler:2.6.1")\n  implementation("androidx.room:room-runtime:$room")\n  implementation(libs.okio)\n classpath("com.android.tools.build:gradle:8.9.0")\n}'),
-    ("r", 3, "gradle/libs.versions.toml", '[libraries]\nokio = { module = "com.squareup.okio:okio", version = "3.9" }\nwork = { group = "androidx.work", name = "work-runtime", version.ref = "work" }\n'),
-    ("r", 4, "pom.xml", "<dependency><groupId>org.slf4j</groupId><artifactId>slf4j-api</artifactId><version>2.0.9</version></dependency>\n<dependency><groupId>junit</groupId><artifactId>junit</artifactId><version>${junit.version}</version><scope>test</scope></dependency>"),
-    ("r", 5, "requirements-dev.txt", "requests>=2.31\n# comment\n-e .\nflask==3.0.0 ; python_version > '3'\n"),
-    ("r", 6, "pyproject.toml", '[project]\ndependencies = ["httpx>=0.27", "pydantic"]\n[tool.poetry.dependencies]\npython = "^3.11"\nrich = "13"\n[tool.x]\ny = "1"\n'),
-    ("r", 7, "setup.py", "setup(install_requires=['six', \"attrs>=20\"])"),
-    ("r", 8, "Pipfile", '[packages]\nnumpy = "*"\n'),
-    ("s", 0, "Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = { version = "1.0", features = ["derive"] }\nrand = "0.8"\n[dev-dependencies]\ncriterion = "0.5"\n[build-dependencies]\ncc = "1"\n'),
-    ("s", 1, "go.mod", "module m\nrequire (\n\tgithub.com/gin-gonic/gin v1.9.1\n\tgolang.org/x/sync v0.5.0 // indirect\n)\nrequire github.com/a/b v0.1.0\n"),
-    ("s", 2, "composer.json", '{"require":{"php":">=8","monolog/monolog":"^3"},"require-dev":{"phpunit/phpunit":"^10"}}'),
-    ("s", 3, "Gemfile", "gem 'rails', '~> 7.0'\ngem \"puma\"\n"),
-    ("s", 4, "Package.swift", '.package(url: "https://example.com/Alamofire/Alamofire.git", from: "5.8.0")'),
-    ("s", 5, "Podfile", "pod 'AFNetworking', '~> 4.0'\n"),
-    ("s", 6, "x.csproj", '<PackageReference Include="Newtonsoft.Json" Version="13.0.1" />'),
-    ("s", 7, "bad/package.json", "{not json"),
-    ("s", 8, "deep/a/b/c/package.json", '{"dependencies":{"deep":"1"}}'),
-)
-DECLARED = (
-    ("r", "npm", "react", "^18.0.0", "runtime", False), ("r", "npm", "vitest", "^2", "dev", False), ("r", "npm", "typescript", "*", "peer", False), ("r", "npm", "fsevents", "2", "optional", False),
-    ("r", "gradle", "com.squareup.okhttp3:okhttp", "4.12.0", "runtime", False), ("r", "gradle", "junit:junit", "4.13.2", "test", False), ("r", "gradle", "androidx.room:room-compiler", "2.6.1", "build", False),
-    ("r", "gradle", "androidx.room:room-runtime", None, "runtime", True), ("r", "gradle", "libs.okio", None, "runtime", True), ("r", "gradle", "com.android.tools.build:gradle", "8.9.0", "build", False),
-    ("r", "gradle", "com.squareup.okio:okio", "3.9", "runtime", False), ("r", "gradle", "androidx.work:work-runtime", "work", "runtime", False),
-    ("r", "maven", "org.slf4j:slf4j-api", "2.0.9", "runtime", False), ("r", "maven", "junit:junit", "${junit.version}", "test", True),
-    ("r", "pypi", "requests", ">=2.31", "dev", False), ("r", "pypi", "flask", "==3.0.0", "dev", False), ("r", "pypi", "httpx", ">=0.27", "runtime", False), ("r", "pypi", "pydantic", None, "runtime", False), ("r", "pypi", "rich", "13", "runtime", False),
-    ("r", "pypi", "six", None, "runtime", False), ("r", "pypi", "attrs", ">=20", "runtime", False), ("r", "pypi", "numpy", "*", "runtime", False),
-    ("s", "cargo", "serde", "1.0", "runtime", False), ("s", "cargo", "rand", "0.8", "runtime", False), ("s", "cargo", "criterion", "0.5", "dev", False), ("s", "cargo", "cc", "1", "build", False),
-    ("s", "go", "github.com/gin-gonic/gin", "v1.9.1", "runtime", False), ("s", "go", "golang.org/x/sync", "v0.5.0", "optional", False), ("s", "go", "github.com/a/b", "v0.1.0", "runtime", False),
-    ("s", "composer", "monolog/monolog", "^3", "runtime", False), ("s", "composer", "phpunit/phpunit", "^10", "dev", False), ("s", "gem", "rails", "~> 7.0", "runtime", False), ("s", "gem", "puma", None, "runtime", False),
-    ("s", "swiftpm", "Alamofire/Alamofire", "5.8.0", "runtime", False), ("s", "cocoapods", "AFNetworking", "~> 4.0", "runtime", False), ("s", "nuget", "Newtonsoft.Json", "13.0.1", "runtime", False),
-)
-
-
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FILES), "repo string, ord int, path string, content string")
-
-
-def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the project files are manifests to read, shallow ones first."""
-    return manifests.find_manifests(_files(spark), "repo", "path", "ord").select("repo", "path", "ecosystem", "place")
-
-
-def manifest_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = manifests.find_manifests(_files(spark), "repo", "path", "ord").select("repo", "path", "content")
-    return manifests.dependencies(found, "path", "content").select("repo", "ecosystem", "name", "version", "scope", "inferred")
-
-
-def runtime_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best declaration of each dependency, and of these what runs."""
-    best = manifests.best_declaration(manifest_dependencies(spark, sf_dir).withColumn("depth", F.lit(1)).withColumn("low", F.lower("name")), ["repo", "ecosystem", "low"], "depth")
-    return best.filter(manifests.runs(F.col("scope"))).select("repo", "name")
-
-
-SOURCE = (
-    ("a.kt", "package x\nimport kotlinx.coroutines.flow\nclass DownloadManager {\n  fun resume() {}\n}\nclass DownloadManager2\ninterface Queue\nenum class State { A }\nsuspend fun retry_all() {}\n"),
-    ("b.ts", "import { x } from './lib'\nimport 'side'\nexport class Worker {}\nexport type Id = string\nexport async function run() {}\nfunction run() {}\n"),
-    ("c.py", "import os\nfrom a.b import c\nclass Thing:\n    def go(self):\n        pass\ndef go():\n    pass\n"),
-    ("d.rs", "use std::io\npub struct Item\nimpl Item\ntrait Shape\n"),
-    ("e.go", "func (s *T) Serve() {}\nfunc main() {}\n"),
-)
-SYMBOLS = (
-    ("a.kt", "DownloadManager", "class", 3), ("a.kt", "DownloadManager2", "class", 6), ("a.kt", "Queue", "interface", 7), ("a.kt", "State", "enum", 8), ("a.kt", "resume", "function", 4), ("a.kt", "retry_all", "function", 9),
-    ("b.ts", "Worker", "class", 3), ("b.ts", "Id", "type", 4), ("b.ts", "run", "function", 5), ("c.py", "Thing", "class", 3), ("c.py", "go", "function", 4), ("d.rs", "Item", "struct", 2), ("d.rs", "Shape", "struct", 4),
-    ("e.go", "Serve", "function", 1), ("e.go", "main", "function", 2),
-)
-IMPORTED = (("a.kt", "kotlinx.coroutines.flow"), ("b.ts", "./lib"), ("b.ts", "side"), ("c.py", "os"), ("c.py", "a.b"), ("d.rs", "std::io"))
-
-
-def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.declarations(spark.createDataFrame(list(SOURCE), "path string, content string"), ["path"], "content").select("path", "name", "kind", F.col("line").cast("int"))
-
-
-def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.imports(spark.createDataFrame(list(SOURCE), "path string, content string"), ["path"], "content")
-
-
 def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     path = F.concat(_pick(key, "src/", "test/", "demo/", "src/data/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".py"))
@@ -169,7 +90,7 @@ def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     plain_names, feature_slugs, identifier_words, identity_keys, compact_requirements, excerpts, json_tokens, search_keys, hidden_characters, head_clauses, mean_depths, truncated_texts, relaxed_queries,
-    manifest_files, manifest_dependencies, runtime_dependencies, source_symbols, source_imports, file_scores,
+    file_scores,
 )}
 
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '[-_.]', '', 'g'), '^(awesome|simple|easy|my|the|go|py|js|ts|kt)', ''), '(lib|library|sdk|kit|android|ios|js|ts|kt|py|go|java|swift|demo|example|sample|clone|fork|mirror)$', '')"
@@ -207,12 +128,6 @@ SQL = {
         select doc_id, case when length(text) = 0 or whole <= 50 then text else coalesce(kept, left(text, 200)) || chr(10) || '… [truncated]' end as text from t left join k using (doc_id)""",
     "relaxed_queries": f"""with q as (select p_partkey, lower(p_name) || ' ' || {_at('p_partkey', 'one two', 'topic:x', 'three')} as q from part), d as (select p_partkey, q, string_split(q, ' ') as parts, cast(unnest([0, 1, 2]) as integer) as "drop" from q)
         select p_partkey, "drop", array_to_string(list_slice(parts, 1, len(parts) - "drop"), ' ') as variant from d where "drop" = 0 or (len(parts) - "drop" >= 2 and not contains(q, ':'))""",
-    "manifest_files": "select repo, path, ecosystem, cast(place as integer) as place from " + values([(r, p, e, n) for r, rows in (("r", (("package.json", "npm"), ("pom.xml", "maven"), ("requirements-dev.txt", "pypi"), ("pyproject.toml", "pypi"), ("setup.py", "pypi"), ("Pipfile", "pypi"), ("app/build.gradle.kts", "gradle"), ("gradle/libs.versions.toml", "gradle"))),
-        ("s", (("Cargo.toml", "cargo"), ("go.mod", "go"), ("composer.json", "composer"), ("Gemfile", "gem"), ("Package.swift", "swiftpm"), ("Podfile", "cocoapods"), ("x.csproj", "nuget"), ("bad/package.json", "npm")))) for n, (p, e) in enumerate(rows, 1)], "repo, path, ecosystem, place"),
-    "manifest_dependencies": "select * from " + values(DECLARED, "repo, ecosystem, name, version, scope, inferred"),
-    "runtime_dependencies": "select repo, name from " + values(DECLARED, "repo, ecosystem, name, version, scope, inferred") + " where scope in ('runtime', 'peer')",
-    "source_symbols": "select path, name, kind, cast(line as integer) as line from " + values(SYMBOLS, "path, name, kind, line"),
-    "source_imports": "select * from " + values(IMPORTED, "path, imported"),
     "file_scores": f"""with p as (select p_partkey, {_at('p_partkey', 'src/', 'test/', 'demo/', 'src/data/')} || replace(lower(p_name), ' ', '_') || '.py' as path from part), f as (select *, string_split(path, '/')[-1] as file from p),
         s as (select p_partkey, path, {' + '.join(f"case when contains(file, '{t}') then 4 when contains(path, '{t}') then 2 else 0 end" for t in ('data', 'red', 'small'))} as s from f)
         select p_partkey, cast(case when starts_with(path, 'test/') then s * 4 when starts_with(path, 'demo/') then s * 3 else s * 10 end as bigint) as tenths from s""",
