@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,28 +11,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import BitFilter, cut, id_text, small_batches, sweep
+from .common import BitFilter, cut, id_text, shared_dir, small_batches, sweep
+from .token_files import _place
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates as a fraction.
 WIDTH, LEAST = 5, (4, 5)
-#: Slots of the table that tells how many sets hold a shingle (a byte each, whatever the input's size), and those of one row of it. Only the cost depends on it.
-SLOTS, ROW_SLOTS = 1 << 25, 1 << 16
+#: Slots of the table that tells how many sets hold a shingle (half a byte each, whatever the input's size), and those of one row of it. Only the cost depends on it.
+SLOTS, ROW_SLOTS = 1 << 27, 1 << 16
+#: Least number of sets of each level of frequency.
+LEVELS = (0, 1, 2, 3, 4, 6, 9, 14, 24, 48, 96, 192, 512, 2048, 8192, 65536)
 #: Shingles that a task gathers before it hands their slots on.
 MOST_GATHERED = 1 << 22
 #: Least bits of a set's map, which has two to four for each hash. Two sets differ by as many hashes at least as their maps by bits.
 MAP_BITS = 1024
 
 
-def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, levels: np.ndarray | None = None) -> DataFrame:
+def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = None, levels: str | None = None) -> DataFrame:
     """(id, t, v, fp, n, m, h) for every row of (id, text, t): hash and size of the set of shingles, SimHash, a map of bits, and the set's hashes.
 
     With least only the prefix: of two sets that are so similar, the first n - ceil(least * n) + 1
-    hashes share one, whatever the order; here it is that of levels, the rarest first.
+    hashes share one, whatever the order; here it is that of levels (a folder of frequency_levels), the rarest first.
     """
     import xxhash
 
     small_batches(rows.sparkSession)
-    level = rows.sparkSession.sparkContext.broadcast(np.zeros(1, np.uint8) if levels is None else levels)
+    slots = SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,8 +50,9 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
                 bits[own & np.uint64(len(bits) - 1)] = True
                 maps.append(np.packbits(bits).view(np.int64))
                 if least is not None and len(own):
-                    order = np.argsort(level.value[own & np.uint64(len(level.value) - 1)], kind="stable")
-                    own = own[order][: len(own) + (-len(own) * least[0]) // least[1] + 1]
+                    if levels is not None:
+                        own = own[np.argsort(_levels(levels, slots).of(own), kind="stable")]
+                    own = own[: len(own) + (-len(own) * least[0]) // least[1] + 1]
                 sets.append(own)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([np.array([], np.uint64), *sets]).astype(np.uint64).view(np.int64)
@@ -57,13 +62,41 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t bigint, v bigint, fp bigint, n int, m array<bigint>, h array<bigint>")
 
 
-def frequency_levels(rows: DataFrame, width: int) -> np.ndarray:
-    """For each slot of a table of SLOTS, eight times the binary logarithm of the number of sets that hold a shingle of that slot.
+class Levels:
+    """The table of frequency_levels, as a Python worker reads it from the shared folder."""
+
+    def __init__(self, folder: str, slots: int):
+        import pyarrow.dataset as ds
+
+        system, path = _place(folder)
+        self.table = np.zeros(slots // 2, np.uint8)
+        for batch in ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False).to_batches(batch_size=64):
+            for block, data in zip(*(batch.column(c).to_pylist() for c in ("block", "levels")), strict=True):
+                self.table[block * len(data) : (block + 1) * len(data)] = np.frombuffer(data, np.uint8)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & np.uint64(2 * len(self.table) - 1)
+        return (self.table[(slot >> np.uint64(1)).astype(np.int64)] >> ((slot & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
+
+
+_made: dict[str, Levels] = {}
+
+
+def _levels(folder: str, slots: int) -> Levels:
+    """One table for each Python worker, the one asked for last."""
+    if folder not in _made:
+        _made.clear()
+        _made[folder] = Levels(folder, slots)
+    return _made[folder]
+
+
+def frequency_levels(rows: DataFrame, width: int) -> str:
+    """A folder of the shared one with a table of SLOTS levels: how many sets hold a shingle of a slot (see LEVELS).
 
     All sets of (text) count. Tasks sort the slots that they meet and send them on as differences;
     each row of the table is summed where they come together, one part after another. The table
-    has a fixed size, so it may go to the driver and to all tasks; in a corpus with many more
-    shingles than slots it still tells those that are far more frequent than a slot's usual load.
+    has a fixed size (64 MB), which each Python worker reads once, so nothing of it passes through the driver; in a
+    corpus with many more shingles than slots it still tells those that are far more frequent than a slot's usual load.
     """
     import zstandard
 
@@ -91,7 +124,11 @@ def frequency_levels(rows: DataFrame, width: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total, unpack = None, np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
-        row = lambda: pa.record_batch([pa.array([block], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8).tobytes()])], names=["block", "levels"])
+
+        def row() -> pa.RecordBatch:
+            level = (np.searchsorted(LEVELS, total, side="right") - 1).astype(np.uint8)
+            return pa.record_batch([pa.array([block], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()])], names=["block", "levels"])
+
         for batch in batches:
             for b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != block:
@@ -103,11 +140,9 @@ def frequency_levels(rows: DataFrame, width: int) -> np.ndarray:
             yield row()
 
     met = rows.select("text").mapInArrow(gather, "block int, slots binary")
-    summed = met.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, levels binary").toArrow()
-    levels = np.zeros(slots_, np.uint8)
-    for block, data in zip(*(c.to_pylist() for c in summed.columns), strict=True):
-        levels[block * row_slots : (block + 1) * row_slots] = np.frombuffer(data, np.uint8)
-    return levels
+    folder = f"{shared_dir(rows.sparkSession)}/levels-{uuid.uuid4().hex}"
+    met.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, levels binary").write.parquet(folder)
+    return folder
 
 
 def alike(rows: DataFrame, one: DataFrame, pairs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
@@ -148,7 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     done = lambda df: (cut(df), sweep(df.sparkSession))[0]  # noqa: E731  # each step's shuffle files go before the next one's come
-    signed = done(shingle_sets(rows, width, least, frequency_levels(rows, width)))
+    levels = frequency_levels(rows, width)
+    signed = done(shingle_sets(rows, width, least, levels))
+    system, path = _place(levels)
+    system.delete_dir(path)
     one = cut(signed.groupBy("v").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("m").alias("m")))
     tokens = signed.select("v", "n", F.posexplode("h").alias("pos", "h"))
     keys = done(tokens.groupBy("h").agg(F.min("v").alias("c"), F.max("v").alias("d")).filter("c <> d").select(F.col("h").alias("k"), "c"))

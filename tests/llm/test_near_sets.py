@@ -61,10 +61,10 @@ def test_equals_brute_force(spark):
 
 def test_levels_tell_frequencies(spark):
     rows = spark.createDataFrame([("a b c d e f",), ("a b c d e g",), ("a b c d e a b c d e",), ("",), ("x",)], "text string")
-    levels = near_sets.frequency_levels(rows, 5)
-    level = lambda text: int(levels[simhash.shingle_hashes(text, 5)[0] & np.uint64(near_sets.SLOTS - 1)])
-    assert [level("a b c d e"), level("b c d e f"), level("x"), level("not there at all x")] == [16, 8, 8, 0]
-    assert np.count_nonzero(levels) == 8
+    levels = near_sets.Levels(near_sets.frequency_levels(rows, 5), near_sets.SLOTS)
+    level = lambda text: int(levels.of(simhash.shingle_hashes(text, 5)[:1])[0])
+    assert [level("a b c d e"), level("b c d e f"), level("x"), level("not there at all x")] == [3, 1, 1, 0]
+    assert np.count_nonzero(levels.table) == 8
 
 
 def test_a_table_of_few_slots_changes_no_result(spark, monkeypatch):
