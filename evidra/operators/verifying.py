@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.text import dependency_name, half_up
+from evidra.operators.containment import contained, grams
+from evidra.operators.lineage import cut
 
 # Patterns of test files and of files that name their authors and terms.
 TEST_FILE = r"(?i)(^|/)(test|tests|spec|__tests__)/|\.(test|spec)\.\w+$"
@@ -36,14 +38,22 @@ def traced(haystack: Column, cases: Column) -> Column:
 
 
 def declared(required: DataFrame, entity: str, name: str, have: DataFrame, other: str) -> DataFrame:
-    """(entity, name, present): required dependencies, and whether the entity declares one that is equal or holds the other's name; first by equal join, the rest within the entity."""
-    want = required.select(entity, name, dependency_name(F.col(name)).alias("n")).distinct()
-    own = have.select(F.col(entity).alias("_e"), dependency_name(F.col(other)).alias("t")).filter("t <> ''").distinct()
-    equal = want.join(own, (F.col(entity) == F.col("_e")) & (F.col("n") == F.col("t")), "left_semi").withColumn("present", F.lit(True))
-    left = want.join(equal, [entity, name], "left_anti")
-    lists = own.groupBy("_e").agg(F.collect_list("t").alias("ts"))  # the declarations of one project
-    rest = left.join(lists, F.col(entity) == F.col("_e"), "left").withColumn("present", F.coalesce(F.exists("ts", lambda t: F.contains(t, F.col("n")) | F.contains(F.col("n"), t)), F.lit(False)))
-    return equal.select(entity, name, "present").union(rest.select(entity, name, "present"))
+    """(entity, name, present): required dependencies, and whether the entity declares one that is equal or holds the other's name.
+
+    First by an equal join; what is left is looked up within its entity, in both directions, by the rarest of the
+    shorter name's three-letter pieces (see containment.contained), so an entity may have any number of names.
+    """
+    want = cut(required.select(entity, name, dependency_name(F.col(name)).alias("_need")).distinct())
+    own = cut(have.select(F.col(entity).alias("_e"), dependency_name(F.col(other)).alias("_have")).filter("_have <> ''").distinct())
+    equal = want.join(own, (F.col(entity) == F.col("_e")) & (F.col("_need") == F.col("_have")), "left_semi")
+    left = cut(want.join(equal, [entity, name], "left_anti"))
+    asked, there = left.select(F.col(entity).alias("form"), F.col("_need")).distinct(), own.select(F.col("_e").alias("form"), "_have")
+    longer = contained(there.withColumnRenamed("_have", "s"), asked.withColumnRenamed("_need", "phrase"), grams, F.contains).select("form", F.col("phrase").alias("_need"))
+    shorter = contained(asked.withColumnRenamed("_need", "s"), there.withColumnRenamed("_have", "phrase"), grams, F.contains).select("form", F.col("s").alias("_need"))
+    met = longer.union(shorter).distinct().select(F.col("form").alias("_e"), F.col("_need").alias("_met_need"), F.lit(True).alias("_met"))
+    rest = left.join(met, (F.col(entity) == F.col("_e")) & (F.col("_need") == F.col("_met_need")), "left")
+    present = F.coalesce("_met", F.lit(False)).alias("present")
+    return equal.select(entity, name, F.lit(True).alias("present")).union(rest.select(entity, name, present))
 
 
 def verify(plans: DataFrame, key: str) -> DataFrame:

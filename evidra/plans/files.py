@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidra.plans.literals import values
-from evidra.sources import manifests, modules, symbols
+from evidra.sources import manifests, modules, symbols, table_text
 from evidra.sources.tables import table
 
 # What is filled in: {a} the name with dashes, {c} in camel case, {u} with underscores, {b} the type, {v} and {w} versions.
@@ -166,7 +166,21 @@ def file_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.importers(import_targets(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (manifest_files, manifest_dependencies, runtime_dependencies, source_symbols, source_imports, symbol_sources, import_targets, file_importers)}
+#: Table text of a part: interned names, scalars, quoted and missing values, a value that isn't of its kind.
+TABLES = (
+    "#MUNCH/1 tool=list\n@6={b}/\n@66=@6main/\ncount={v} __tables=t:repos:repo|symbols|loadable:str|int|bool;u:others:x:str\n"
+    't,@66{c},{s},T\nu,hidden\nt,"{a},x",,F\nt,@6{u},bad,true\nnothing\n'
+)
+
+
+def table_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", _filled(F.replace(F.lit(TABLES), F.lit("{s}"), F.col("p_size").cast("string"))).alias("text"))
+    cells = table_text.from_column(rows, ["p_partkey"], "text")
+    got = table_text.typed(cells, "repos", {"repo": "str", "symbols": "int", "loadable": "bool"}, ["p_partkey", "row"])
+    return got.select("p_partkey", "row", "repo", F.col("symbols").cast("int").alias("symbols"), "loadable")
+
+
+QUERIES = {f.__name__: f for f in (manifest_files, manifest_dependencies, runtime_dependencies, source_symbols, source_imports, symbol_sources, import_targets, file_importers, table_text_rows)}
 
 
 def _manifests_sql() -> str:
@@ -211,4 +225,6 @@ SQL = {
         select repo, name, array_to_string(lines[line:line + size - 1], chr(10)) as source from n""",
     "import_targets": f"with {_LINKED} select repo, path, imported, target from g",
     "file_importers": f"with {_LINKED} select repo, target, count(distinct path) as n, min(path) as first from g where target is not null group by 1, 2",
+    "table_text_rows": f"""select p_partkey, cast(r.n as integer) as row, case r.n when 0 then {_FILLS['{b}']} || '/main/' || {_FILLS['{c}']} when 1 then {_FILLS['{a}']} || ',x' else {_FILLS['{b}']} || '/' || {_FILLS['{u}']} end as repo,
+        case when r.n = 0 then p_size end as symbols, r.n <> 1 as loadable from part, (values (0), (1), (2)) as r(n)""",
 }

@@ -20,7 +20,11 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterator
+from itertools import chain
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -91,43 +95,104 @@ def python_counts(text: Column) -> Column:
     return F.when(F.size(names) > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))))
 
 
+#: Cells of a file, or of a text in a column.
+CELLS = "table string, row int, column string, value string, kind string"
+#: Files that one task reads.
+FILES_A_TASK = 64
+
+
+class _Files(InputPartition):
+    """Some of the files, in order of their paths."""
+
+
+#: Columns on which a reader of a folder may be asked for one value, or (file alone) for a prefix.
+ASKED = ("file", "table", "row", "column", "file_prefix")
+
+
 class _Reader(DataSourceReader):
+    """Lists a folder once, on the driver, and reads its files by ranges. What is asked of a file leaves out whole files, what is asked of the others cells.
+
+    Filters come as options of the relation, not by pushFilters: readers that it is called for are kept with the
+    relation, so that a plan that scans one relation twice, under different filters, would read with the last ones.
+    """
+
     def __init__(self, options):
-        self.text = options.get("text", "")
+        self.text, self.path = options.get("text"), options.get("path")
+        self.each = int(options.get("filesPerTask", FILES_A_TASK))
+        self.asked = {c: options[c] for c in ASKED if options.get(c) is not None}
+
+    def _fits(self, name: str, value) -> bool:
+        return str(value) == self.asked.get(name, str(value))
+
+    def _opens(self, file: str) -> bool:
+        return self._fits("file", file) and file.startswith(self.asked.get("file_prefix", ""))
 
     def partitions(self):
-        return [InputPartition(self.text)]
+        if self.path is None:
+            return [_Files([])]
+        system, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        found = system.get_file_info(pafs.FileSelector(root, recursive=True))
+        files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith((".", "_")) and self._opens(f.path))
+        return [_Files(files[k : k + self.each]) for k in range(0, len(files), self.each)] or [_Files([])]
 
     def read(self, partition):
-        yield from rows_of(partition.value)
+        texts = [("", self.text)] if self.path is None and self.text is not None and self._opens("") else []
+        system = pafs.FileSystem.from_uri(self.path)[0] if self.path and "://" in self.path else pafs.LocalFileSystem()
+        for file, text in chain(texts, ((f, None) for f in partition.value)):
+            if text is None:
+                with system.open_input_stream(file) as stream:
+                    text = stream.read().decode("utf-8", "replace")
+            for cell in rows_of(text):
+                if self._fits("table", cell[0]) and self._fits("row", cell[1]) and self._fits("column", cell[2]):
+                    yield (*cell, file)
 
 
 class TableText(DataSource):
-    """spark.dataSource.register(TableText); spark.read.format("table_text").option("text", ...).load()"""
+    """spark.dataSource.register(TableText); spark.read.format("table_text").load(folder), or .option("text", ...).load().
+
+    A folder is read by FILES_A_TASK files a task (option filesPerTask); the options of ASKED leave out files and cells.
+    """
 
     @classmethod
     def name(cls):
         return "table_text"
 
     def schema(self):
-        return "table string, row int, column string, value string, kind string"
+        return CELLS + ", file string"
 
     def reader(self, schema):
         return _Reader(self.options)
 
 
-def from_files(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all files under path, by whatever file system Spark reads."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    cells = F.udtf(_Cells, returnType="table string, row int, column string, value string, kind string")
-    spark.udtf.register("table_text_cells", cells)
-    files.createOrReplaceTempView("_table_text_files")
-    return spark.sql("select f.file, c.* from _table_text_files f, lateral table_text_cells(f.value) c")
+def folder(spark: SparkSession, path: str, files_a_task: int = FILES_A_TASK, **asked: object) -> DataFrame:
+    """Cells of the files of a folder, with their file, read by ranges of files; asked names columns of ASKED and what they have to be.
+
+    The source looks at it: a file that isn't asked for is not opened.
+    """
+    spark.dataSource.register(TableText)
+    if left := set(asked) - set(ASKED):
+        raise ValueError(f"can't be asked for: {sorted(left)}")
+    return spark.read.format(TableText.name()).options(filesPerTask=files_a_task, **asked).load(path)
+
 
+def from_column(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, cells): the cells of texts that are in a column; a text without the head (or null) has none."""
 
-class _Cells:
-    def eval(self, text: str):
-        yield from rows_of(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *cell) for k, t in enumerate(batch.column(len(key)).to_pylist()) if t for cell in rows_of(t)]
+            at = pa.array([x[0] for x in found], pa.int64())
+            cells = [pa.array([x[n + 1] for x in found], kind) for n, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+            yield pa.record_batch([*[batch.column(k).take(at) for k in range(len(key))], *cells], names=[*key, "table", "row", "column", "value", "kind"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    return rows.select(*key, text).mapInArrow(run, f"{fields}, {CELLS}")
+
+
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all files under path, with their file, by whatever file system Spark reads."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return from_column(files, ["file"], "value")
 
 
 def typed(cells: DataFrame, table: str, columns: dict[str, str], key: list[str] = ("row",)) -> DataFrame:

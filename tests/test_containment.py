@@ -42,3 +42,14 @@ def test_no_phrases_and_no_texts(spark):
     some = spark.createDataFrame([(0, "abc", 1)], texts)
     assert containment.contained(some, empty(phrases), containment.grams, F.contains).count() == 0
     assert containment.contained(empty(texts), spark.createDataFrame([(0, "abc")], phrases), containment.grams, F.contains).count() == 0
+
+
+def test_names_within_names_of_an_entity_with_many(spark):
+    from evidra.operators import verifying
+
+    rng = random.Random(8)
+    names = [(1, "".join(rng.choices("abcdefghij", k=rng.randint(4, 12)))) for _ in range(10_000)] + [(2, "room"), (2, "x")]
+    wanted = [(1, names[5][1]), (1, names[6][1][1:4]), (1, names[7][1] + "-more"), (1, "zzzzz"), (2, "room-ktx"), (2, "hex"), (2, "abc"), (3, "room")]
+    got = verifying.declared(spark.createDataFrame(wanted, "e int, n string"), "e", "n", spark.createDataFrame(names, "e int, t string"), "t").collect()
+    want = {(e, n): any(n in t or t in n for f, t in names if f == e) for e, n in wanted}
+    assert {(r["e"], r["n"]): r["present"] for r in got} == want

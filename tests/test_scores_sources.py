@@ -75,3 +75,19 @@ def test_table_text(spark, tmp_path):
     files = table_text.from_files(spark, str(tmp_path))
     assert table_text.typed(files, "other", {"v": "int"}, ["file", "row"]).first()["v"] == 7
     assert spark.read.format("table_text").option("text", "a,b\n").load().count() == 0
+
+
+def test_table_text_is_read_by_ranges_of_files_and_what_is_asked_leaves_out_files(spark, tmp_path):
+    for k in range(10):
+        (tmp_path / f"f{k}.txt").write_text(f"#MUNCH/1\ncount={k} __tables=t:repos:repo|n:str|int;u:other:x:str\nt,a{k},{k}\nt,b,2\nu,z\n")
+    whole = table_text.folder(spark, str(tmp_path), 3)
+    assert whole.rdd.getNumPartitions() == 4 and whole.count() == 60
+    cells = table_text.folder(spark, str(tmp_path), 3, table="repos", file=f"{tmp_path}/f3.txt")
+    assert cells.rdd.getNumPartitions() == 1 and cells.count() == 4
+    some = table_text.folder(spark, str(tmp_path), 1, row=0, column="n", file_prefix=f"{tmp_path}/f")
+    assert some.rdd.getNumPartitions() == 10 and cells.union(some).count() == 14
+    (tmp_path / "f3.txt").write_bytes(b"")  # files that aren't asked for are not opened
+    assert table_text.folder(spark, str(tmp_path), file_prefix=f"{tmp_path}/f4").count() == 6
+    assert {tuple(r) for r in table_text.from_files(spark, str(tmp_path)).drop("file").collect()} == {tuple(r) for r in whole.drop("file").collect()}
+    with pytest.raises(ValueError):
+        table_text.folder(spark, str(tmp_path), value="x")
