@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.operators.lineage import cut, small
+from evidra.operators.membership import Members
 
 #: Letters of a key of texts that are searched for parts of words.
 GRAM = 3
-#: Bits of the filter that tells which keys of a text any phrase needs; its size is fixed.
-FILTER_BITS = 1 << 20
 
 
 def grams(text: Column) -> Column:
@@ -24,26 +23,11 @@ def words(text: Column) -> Column:
     return F.split(text, " ")
 
 
-class KeyFilter:
-    """A filter of FILTER_BITS bits over keys (form, key), as one row that goes to all tasks. It passes all keys and few others."""
-
-    def __init__(self, keys: DataFrame):
-        slot = self._slot(F.col("form"), F.col("key"))
-        rows = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-        bits = [0] * (FILTER_BITS // 64)
-        for r in rows.collect():  # FILTER_BITS / 64 rows at most
-            bits[r["at"]] = r["bits"]
-        self.row = F.broadcast(keys.sparkSession.createDataFrame([(bits,)], "_bits array<bigint>"))
-
-    @staticmethod
-    def _slot(form: Column, key: Column) -> Column:
-        return F.pmod(F.xxhash64(form, key), F.lit(FILTER_BITS))
-
-    def passing(self, texts: DataFrame, keys: Column) -> DataFrame:
-        """texts (form, ...) with key: each distinct one of keys that may be in the filter."""
-        hit = lambda k: F.getbit(F.get("_bits", F.floor(self._slot(F.col("form"), k) / 64).cast("int")), (self._slot(F.col("form"), k) % 64).cast("int")) == 1
-        met = texts.join(self.row).withColumn("key", F.explode(F.array_distinct(F.filter(keys, hit))))
-        return met.drop("_bits")
+def _passing(wanted: DataFrame, texts: DataFrame, keys: Column) -> DataFrame:
+    """texts (form, ...) with key: each distinct one of keys that may be in wanted (form, key)."""
+    members = Members(wanted, "form", "key")
+    some = F.filter(keys, lambda k: members.hit(F.col("form"), k))
+    return texts.join(members.row).withColumn("key", F.explode(F.array_distinct(some))).drop("_bits")
 
 
 def contained(texts: DataFrame, phrases: DataFrame, keys: Callable[[Column], Column], inside: Callable[[Column, Column], Column]) -> DataFrame:
@@ -56,12 +40,12 @@ def contained(texts: DataFrame, phrases: DataFrame, keys: Callable[[Column], Col
     """
     wanted = cut(phrases.select("form", "phrase").distinct().withColumn("keys", F.array_distinct(keys(F.col("phrase")))))
     some = wanted.select("form", "phrase", F.explode("keys").alias("key"))
-    met = KeyFilter(some.select("form", "key")).passing(texts.select("form", "s"), keys(F.col("s")))
+    met = _passing(some.select("form", "key"), texts.select("form", "s"), keys(F.col("s")))
     often = met.groupBy("form", "key").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("m")
     chosen = some.join(often, ["form", "key"], "left").groupBy("form", "phrase").agg(rarest).filter("m.n > 0")
     chosen = cut(chosen.select(F.col("form").alias("_form"), "phrase", F.col("m.key").alias("_key")))
-    near = KeyFilter(chosen.select(F.col("_form").alias("form"), F.col("_key").alias("key"))).passing(texts, keys(F.col("s")))
+    near = _passing(chosen.select(F.col("_form").alias("form"), F.col("_key").alias("key")), texts, keys(F.col("s")))
     found = near.join(small(chosen), (F.col("form") == F.col("_form")) & (F.col("key") == F.col("_key"))).drop("key", "_form", "_key")
     short = wanted.filter(F.size("keys") == 0).select(F.col("form").alias("_form"), "phrase")
     everywhere = texts.join(small(short), F.col("form") == F.col("_form")).drop("_form")

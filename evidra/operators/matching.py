@@ -69,41 +69,47 @@ def unit_priority(foundational: Column, reuse: Column, implied: Column, hits: Co
     return F.greatest(F.lit(0), F.least(F.lit(100), value))
 
 
-def coverage(requirements: DataFrame, requirement: str, text: str, corpora: DataFrame, entity: str, body: str, weight: str) -> DataFrame:
+def coverage(requirements: DataFrame, requirement: str, text: str, corpora: DataFrame, entity: str, body: str, weight: str, group: str | None = None) -> DataFrame:
     """(entity, requirement, covered, terms, coverage, best, status): each requirement's terms held against each entity's corpora.
 
     weight is a corpus's reliability in hundredths. Evidenced: half the terms and a corpus of 30 or
     more, or a term of five letters in one of 85 or more. With no corpus of 55 or more what isn't
     found is unknown, else absent. A term is in a body as it is, without separators if it has four
     letters then, or without a plural's s. Terms, of which there may be any number, are looked up in the bodies by
-    the rarest of their three-letter pieces (see containment.contained).
+    the rarest of their three-letter pieces (see containment.contained). With group, a column of both
+    tables, an entity is held against the requirements of its own group alone.
     """
-    wanted = requirements.select(F.col(requirement).alias("requirement"), content_terms(F.col(text), STOP).alias("terms")).filter(F.size("terms") > 0)
-    each = cut(wanted.select("requirement", F.size("terms").alias("terms"), F.explode("terms").alias("t")))
+    of_group = (F.col(group).cast("string") if group else F.lit("")).alias("_group")
+    wanted = requirements.select(of_group, F.col(requirement).alias("requirement"), content_terms(F.col(text), STOP).alias("terms")).filter(F.size("terms") > 0)
+    each = cut(wanted.select("_group", "requirement", F.size("terms").alias("terms"), F.explode("terms").alias("t")))
     squash = lambda c: F.regexp_replace(c, r"[\s_.\-]+", "")
     one = F.when(F.endswith("t", F.lit("s")) & (F.length("t") > 3), F.regexp_replace("t", "s$", ""))
-    forms = [(0, F.col("t")), (1, F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t")))), (0, one)]
-    of = F.inline(F.array(*[F.struct(F.lit(f).alias("form"), c.alias("phrase")) for f, c in forms]))
-    phrases = cut(each.select("t").distinct().select("t", of).filter("phrase is not null"))
-    bodies = corpora.select(F.col(entity).alias("_entity"), F.lower(body).alias("b"), F.col(weight).alias("w"))
-    texts = bodies.select("_entity", "w", F.inline(F.array(F.struct(F.lit(0).alias("form"), F.col("b").alias("s")), F.struct(F.lit(1).alias("form"), squash(F.col("b")).alias("s")))))
+    forms = [("0", F.col("t")), ("1", F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t")))), ("0", one)]
+    form = lambda f: F.concat_ws("|", F.lit(f), "_group").alias("form")
+    listed = F.inline(F.array(*[F.struct(form(f), c.alias("phrase")) for f, c in forms]))
+    phrases = cut(each.select("_group", "t").distinct().select("t", listed).filter("phrase is not null"))
+    bodies = corpora.select(of_group, F.col(entity).alias("_entity"), F.lower(body).alias("b"), F.col(weight).alias("w"))
+    texts = bodies.select("_entity", "w", F.inline(F.array(F.struct(form("0"), F.col("b").alias("s")), F.struct(form("1"), squash(F.col("b")).alias("s")))))
     met = containment.contained(texts, phrases, containment.grams, F.contains).select("_entity", "w", F.col("form").alias("f"), F.col("phrase").alias("p"))
     met = met.join(small(phrases), (F.col("form") == F.col("f")) & (F.col("phrase") == F.col("p")))
-    found = met.groupBy(F.col("_entity").alias(entity), "t").agg(F.max("w").alias("w"))
-    found = found.join(small(each.select("requirement", "t")), "t").groupBy(entity, "requirement").agg(F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive"))
-    # every entity is held against every requirement, in blocks of a bounded size
-    names = cut(wanted.select("requirement", F.size("terms").alias("terms")))
+    found = met.groupBy("_entity", F.expr("substring(f, 3)").alias("_group"), "t").agg(F.max("w").alias("w"))
+    best = [F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive")]
+    found = found.join(small(each.select("_group", "requirement", "t")), ["_group", "t"]).groupBy("_entity", "_group", "requirement").agg(*best)
+    # every entity is held against every requirement of its group, in blocks of a bounded size
+    names = cut(wanted.select("_group", "requirement", F.size("terms").alias("terms")))
     blocks, got = -(-max(1, names.count()) // SMALL), None
-    reliable = corpora.groupBy(entity).agg(F.max(weight).alias("reliable"))
+    reliable = bodies.groupBy("_entity", "_group").agg(F.max("w").alias("reliable"))
     for k in range(blocks):
-        part = names.filter(F.pmod(F.xxhash64("requirement"), F.lit(blocks)) == k).agg(F.array_sort(F.collect_list(F.struct("requirement", "terms"))).alias("all"))
-        part = reliable.join(F.broadcast(part)).select(entity, "reliable", F.inline("all"))  # one row
+        part = names.filter(F.pmod(F.xxhash64("requirement"), F.lit(blocks)) == k)
+        part = part.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("requirement", "terms"))).alias("all"))
+        part = reliable.join(small(part), "_group").select("_entity", "_group", "reliable", F.inline("all"))
         got = part if got is None else got.union(part)
-    got = got.join(found, [entity, "requirement"], "left")
+    got = got.join(found, ["_entity", "_group", "requirement"], "left")
     got = got.withColumns({"covered": F.coalesce("covered", F.lit(0)), "best": F.coalesce("best", F.lit(0)), "distinctive": F.coalesce("distinctive", F.lit(False))})
     seen = ((2 * F.col("covered") >= F.col("terms")) & (F.col("best") >= 30)) | F.col("distinctive")
     status = F.when(seen, "evidenced").when(F.col("reliable") < 55, "unknown").otherwise("absent")
-    return got.select(entity, "requirement", F.col("covered").cast("long").alias("covered"), F.col("terms").cast("long").alias("terms"), F.col("best").cast("long").alias("best"), status.alias("status"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("covered", "terms", "best")]
+    return got.select(F.col("_entity").alias(entity), "requirement", *whole, status.alias("status"))
 
 
 def completeness(items: DataFrame, entity: str) -> DataFrame:
