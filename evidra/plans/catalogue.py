@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.plans import axes, content, files, names, ranking, reads, relations, tasks
+from evidra.plans import axes, content, files, finding, names, ranking, reads, relations, tasks
 
-QUERIES: dict = {**ranking.QUERIES, **content.QUERIES, **relations.QUERIES, **reads.QUERIES, **names.QUERIES, **files.QUERIES, **axes.QUERIES, **tasks.QUERIES}
+QUERIES: dict = {**ranking.QUERIES, **content.QUERIES, **relations.QUERIES, **reads.QUERIES, **names.QUERIES, **files.QUERIES, **finding.QUERIES, **axes.QUERIES, **tasks.QUERIES}
 SQL: dict[str, str] = {**ranking.SQL, **content.SQL, **relations.SQL, **reads.SQL, **names.SQL, **files.SQL, **axes.SQL, **tasks.SQL}
