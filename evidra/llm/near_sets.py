@@ -38,7 +38,10 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
     slots = SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
         for batch in batches:
+            if table is None and levels is not None:
+                table = Levels(levels, slots)
             vs, fps, ns, maps, sets = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = simhash.shingle_hashes(text, width)
@@ -50,8 +53,8 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
                 bits[own & np.uint64(len(bits) - 1)] = True
                 maps.append(np.packbits(bits).view(np.int64))
                 if least is not None and len(own):
-                    if levels is not None:
-                        own = own[np.argsort(_levels(levels, slots).of(own), kind="stable")]
+                    if table is not None:
+                        own = own[np.argsort(table.of(own), kind="stable")]
                     own = own[: len(own) + (-len(own) * least[0]) // least[1] + 1]
                 sets.append(own)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -63,7 +66,7 @@ def shingle_sets(rows: DataFrame, width: int, least: tuple[int, int] | None = No
 
 
 class Levels:
-    """The table of frequency_levels, as a Python worker reads it from the shared folder."""
+    """The table of frequency_levels, as a task reads it from the shared folder; it goes with the task."""
 
     def __init__(self, folder: str, slots: int):
         import pyarrow.dataset as ds
@@ -73,29 +76,19 @@ class Levels:
         for batch in ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False).to_batches(batch_size=64):
             for block, data in zip(*(batch.column(c).to_pylist() for c in ("block", "levels")), strict=True):
                 self.table[block * len(data) : (block + 1) * len(data)] = np.frombuffer(data, np.uint8)
+        pa.default_memory_pool().release_unused()
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         slot = hashes & np.uint64(2 * len(self.table) - 1)
         return (self.table[(slot >> np.uint64(1)).astype(np.int64)] >> ((slot & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
 
 
-_made: dict[str, Levels] = {}
-
-
-def _levels(folder: str, slots: int) -> Levels:
-    """One table for each Python worker, the one asked for last."""
-    if folder not in _made:
-        _made.clear()
-        _made[folder] = Levels(folder, slots)
-    return _made[folder]
-
-
 def frequency_levels(rows: DataFrame, width: int) -> str:
     """A folder of the shared one with a table of SLOTS levels: how many sets hold a shingle of a slot (see LEVELS).
 
     All sets of (text) count. Tasks sort the slots that they meet and send them on as differences;
     each row of the table is summed where they come together, one part after another. The table
-    has a fixed size (64 MB), which each Python worker reads once, so nothing of it passes through the driver; in a
+    has a fixed size (64 MB), which each task reads, so nothing of it passes through the driver; in a
     corpus with many more shingles than slots it still tells those that are far more frequent than a slot's usual load.
     """
     import zstandard
