@@ -211,8 +211,9 @@ NOISE_PATHS = (
     (r"(?i)(^|/)(node_modules|vendor|third_party|dist|build|target|\.venv)/", "vendored or generated code"),
     (r"(?i)(^|/)(sample|samples|sampleapp|demo|demos|example|examples|playground)([A-Z]|/|$)", "sample or demo module, not the library"),
     (r"(?i)(^|/)[A-Za-z]*(Strings|Constants?|Consts?|Messages|ErrorCodes|Keys|Defaults)\.\w+$", "string/constant table, not behaviour"),
-    (TEST_PLACE, "test file — retrieved separately as test evidence"),
+    (TEST_PLACE, "a test"),
 )
+CONSTANT = "a constant: it names something and does nothing"
 NOISE_NAMES = (
     (r"(?i)\b(logger|logging|log)\b", "logging infrastructure"), (r"(?i)\b(analytics|telemetry|tracking|metrics)\b", "analytics/telemetry"), (r"(?i)\b(mapper|converter|adapter|dto|transformer)\b", "data mapping boilerplate"),
     (r"(?i)\b(constants?|config|settings|properties)\b", "configuration constants"), (r"(?i)\b(util|utils|helper|helpers|extensions?)\b", "generic utilities"), (r"(?i)\b(exception|error)\b", "error type"),
@@ -236,7 +237,7 @@ def noise(name: Column, path: Column, kind: Column) -> Column:
     constant = kind.isin("constant", "enum") | name.rlike("^[A-Z0-9_]{6,}$")
     return F.coalesce(
         *[F.when(path.rlike(p), why) for p, why in NOISE_PATHS],
-        F.when(constant & ~_role(name), "constant or enum value — names a thing, does not implement one"),
+        F.when(constant & ~_role(name), CONSTANT),
         F.when(~_role(name) | always, named),
     )
 

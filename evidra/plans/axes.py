@@ -89,11 +89,6 @@ JUDGED = (
 )
 
 
-def symbol_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(SYMBOLS), "name string, path string, kind string, purpose string, signature string")
-    score = sc.symbol_score(F.array(F.lit("download"), F.lit("resume")), F.col("name"), F.col("purpose"), F.col("path"), F.col("signature"), F.col("kind"))
-    return rows.select("name", sc.noise(F.col("name"), F.col("path"), F.col("kind")).alias("reason"), _whole(score).cast("int").alias("score"))
-
 
 PROJECTS = (
     ("queue", ["src/JobQueue.kt", "src/retry/Backoff.kt"], ["download queue", "upload worker", "task store"], "react-native-queue", ["queue"], "A react native job queue", ["react-native"], "Kotlin"),
@@ -128,21 +123,12 @@ TARGETS = (
 TARGETED = (("web", "Next.js,React", "ky", "Prisma", "Zustand", "MVVM / layered"), ("phone", "Android", "OkHttp", "Room", None, "clean architecture (domain / data / presentation)"), ("py", "Django", "requests", "SQLAlchemy", None, "Django MTV"), ("empty", "", None, None, None, "flat / single-module"))
 
 
-def target_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(TARGETS), "id string, deps array<string>, files array<string>, dirs array<struct<path:string,role:string>>")
-    rows = rows.select("id", profiles.project(F.col("deps"), F.col("files"), F.col("dirs")).alias("p"))
-    return rows.select("id", F.array_join("p.frameworks", ",").alias("frameworks"), "p.network", "p.database", "p.state", "p.architecture")
-
 
 TESTED = (("a", "tests/test_retry.py", "import pytest\ndef test_timeout_and_empty(): pass"), ("a", "src/a.py", "jest"), ("a", "src/__tests__/x.test.ts", "vitest  mocha offline"), ("b", "src/b.py", "junit"), ("c", "FooTest.kt", "junit mockk unicode conflict"))
 
 
-def test_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = profiles.tests(spark.createDataFrame(list(TESTED), "e string, path string, content string"), "e", "path", "content")
-    return got.select("e", F.col("test_files").cast("int").alias("test_files"), F.array_join("frameworks", ",").alias("frameworks"), F.array_join("edge_cases", ",").alias("edge_cases"))
-
 
-QUERIES = {f.__name__: f for f in (quality_axes, surface_axes, relevance_axis, stack_axis, reuse_verdicts, quality_scores, fit_scores, symbol_noise, project_kinds, target_profiles, test_profiles)}
+QUERIES = {f.__name__: f for f in (quality_axes, surface_axes, relevance_axis, stack_axis, reuse_verdicts, quality_scores, fit_scores, project_kinds)}
 
 
 def _c(x: str) -> str:
@@ -193,8 +179,5 @@ SQL = {
         d as (select *, len(list_filter(['steel', 'brown', 'tiny', 'qqqq'], lambda t: len(list_filter(low, lambda n: contains(n, t))) > 0)) as covered, len(list_filter(low, lambda n: regexp_matches(n, '\\b(manager|queue)\\b'))) as structured, len(list_filter(['steel', 'brown', 'tiny', 'qqqq'], lambda t: contains(text, t))) as met from c)
         select p_brand, {_w("floor(least(1e0, covered / 4e0 * 0.7e0 + least(1e0, structured / greatest(3e0, len(names) * 0.2e0)) * 0.3e0) * 100e0 + 0.5e0) / 100e0")} as fit,
                {_w("floor(least(1e0, met / 4e0 * case when len(names) % 3 > 0 then 1e0 else 0.7e0 end + case when met > 0 then 0.15e0 else 0e0 end) * 100e0 + 0.5e0) / 100e0")} as tests from d""",
-    "symbol_noise": "select name, reason, cast(score as integer) as score from " + values(JUDGED, "name, reason, score"),
     "project_kinds": "select id, pattern, cast(score as integer) as score, host, side, cast(sure as integer) as sure, cast(kept as integer) as kept from " + values(PROFILED, "id, pattern, score, host, side, sure, kept"),
-    "target_profiles": "select * from " + values(TARGETED, "id, frameworks, network, database, state, architecture"),
-    "test_profiles": "select e, cast(test_files as integer) as test_files, frameworks, edge_cases from " + values((("a", 2, "Mocha,Vitest,pytest", "empty/null input,network failure,timeouts and expiry"), ("c", 1, "JUnit,MockK", "conflict handling,encoding and unicode")), "e, test_files, frameworks, edge_cases"),
 }

@@ -96,9 +96,6 @@ def phrase_trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.phrase_matches(_documents(spark, sf_dir), "doc_id", "text", _triggers(spark))
 
 
-def implication_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.closure(spark.createDataFrame(list(NEEDS), "s string, d string"), "s", "d", 6)
-
 
 def language_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _documents(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"))
@@ -137,7 +134,7 @@ def rejection_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     license_identify, license_strictest_by_source, license_conflicts, secret_pii_redact, injection_scan, injection_findings, token_estimate, truncate_to_budget, context_reduction, requirement_coverage,
-    completeness_ratio, phrase_trigger_match, implication_closure, language_mode, directory_top_k, manifest_parse, stem_words, query_normal_form, rejection_parse,
+    completeness_ratio, phrase_trigger_match, language_mode, directory_top_k, manifest_parse, stem_words, query_normal_form, rejection_parse,
 )}
 
 
@@ -286,9 +283,6 @@ SQL = {
         t as (select distinct c, {_stemmed('t')} as t from (values {_TRIGGER_ROWS}) v(c, t)),
         h as (select doc_id, c, strpos(s, ' ' || t || ' ') as place, s from d, t where contains(s, ' ' || t || ' '))
         select doc_id, c as capability, count(*) as hits, min(cast(length(substr(s, 1, place)) - length(replace(substr(s, 1, place), ' ', '')) - 1 as integer)) as position from h group by all""",
-    "implication_closure": f"""with recursive e as (select * from (values {", ".join(f"('{a}', '{b}')" for a, b in NEEDS)}) v(s, d)),
-        c as (select s as origin, d as reached, 1 as steps from e union select origin, d, steps + 1 from c join e on reached = s where steps < 6)
-        select origin, reached, cast(min(steps) as bigint) as steps from c group by all""",
     "language_mode": "with g as (select source, lang, count(*) as n from documents group by all) select source, arg_min(lang, (-n, lang)) as lang, max(n) as n from g group by 1",
     "directory_top_k": "with d as (select nullif(regexp_extract(url, '://[^/]+/([^/?#]*)', 1), '') as directory from pages) select directory, count(*) as n from d where directory is not null group by 1 order by n desc, directory limit 10",
     "manifest_parse": "select event_id, unnest(json_keys(props)) as name, json_extract_string(props, unnest(json_keys(props))) as version from events",

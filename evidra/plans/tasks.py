@@ -33,10 +33,6 @@ FRAGMENTED = ((1, "Build the of downloads, csv import with retry and a plain que
 LEFT_OVER = ((1, "csv import"), (1, "retry"), (2, "internationalisation"))
 
 
-def unrecognised_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(FRAGMENTED), "id int, text string")
-    return planning.decompose(rows, "id", "text", vocabulary(spark))[2]
-
 
 def implementation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each document's units is worth a search, and its share of queries."""
@@ -146,10 +142,6 @@ def verification_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 MENTIONED = (("ResumeHandler", "src/downloadresumer.kt", True), ("resume_handler", "x/resumeservice.ts", True), ("Foo", "src/foo.py", True), ("Foo", "src/bar.py", False), ("CacheEvictionPolicy", "src/policy.py", False), ("VeryDistinctiveThingHere", "distinctive.py", True), ("tokens", "a/token.py", True))
 
 
-def identifier_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in MENTIONED], "name string, haystack string")
-    return rows.select("name", "haystack", verifying.mentions_identifier(F.col("haystack"), F.col("name")).alias("there"))
-
 
 CANDIDATES = (
     ("license-incompatible", "gpl", "ADAPT", "strong-copyleft", "GPL-3.0", [], 1.0, "low", False, 3, [], "licence GPL-3.0 is strong-copyleft"), ("license-incompatible", "mit", "ADAPT", "permissive", "MIT", [], 1.0, "low", False, 3, [], "also MIT"),
@@ -160,10 +152,6 @@ CANDIDATES = (
 )
 
 
-def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *r[:-1]) for k, r in enumerate(CANDIDATES)], "id int, kind string, subject string, reuse_mode string, license_category string, license_spdx string, dependencies array<string>, stack_match double, difficulty string, archived boolean, days_since_push int, items array<struct<requirement:string,status:string>>")
-    return rows.select("id", verifying.violates(F.col("kind"), F.col("subject")).alias("violation"), verifying.described(F.col("kind"), F.col("subject")).alias("constraint"))
-
 
 def excluded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -180,10 +168,6 @@ ROLE_CASES = (("DownloadManager", "orchestration"), ("UploadWorker", "execution"
 FOLDERS = (("src", "source root"), ("Models", "domain model"), ("db", "data access"), ("views", "presentation"), ("api", "networking"), ("di", "dependency injection"), ("utils", "shared utilities"), ("jobs", "background work"), ("usecase", "business logic"), ("settings", "configuration"), ("spec", "tests"), ("zzz", None))
 
 
-def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([r[:1] for r in ROLE_CASES], "name string").select("name", bd.symbol_role(F.col("name"), F.array(F.lit("Cache layer"))).alias("role"))
-    return own.union(spark.createDataFrame([r[:1] for r in FOLDERS], "name string").select("name", bd.directory_role(F.col("name"))))
-
 
 def alternatives_when(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
@@ -194,9 +178,6 @@ def alternatives_when(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEPS = (("r1", "com.squareup.okhttp3:okhttp"), ("r1", "com.squareup.retrofit2:retrofit"), ("r2", "io.ktor:ktor-client-core"), ("r1", "org.slf4j:slf4j-api"), ("r2", "ch.qos.logback:logback-classic"), ("r3", "androidx.room:room-runtime"), ("r3", "androidx.room:room-ktx"), ("r2", "io.realm:realm"))
 
 
-def duplicate_abstractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bd.duplicate_abstractions(spark.createDataFrame(list(DEPS), "repo string, name string"), "repo", "name")
-
 
 ADAPTED = (
     (1, 0.2, "Kotlin", ["x:realm", "g:gson"], ["androidx.room:room"], "queue worker pattern", "layered queue worker"), (2, 0.9, None, ["okhttp"], ["ktor"], "state machine", "clean domain data"), (3, 0.5, "Go", [], None, None, None),
@@ -207,10 +188,6 @@ ADAPTATIONS = (
 )
 
 
-def adaptation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([tuple(r) for r in ADAPTED], "id int, stack_match double, language string, dependencies array<string>, target_libraries array<string>, pattern string, target_pattern string")
-    return bd.adaptation(rows, "id").select("id", F.col("step").cast("int").alias("step"), "action", "effort")
-
 
 def adaptation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
@@ -279,8 +256,8 @@ def folded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    requirement_units, primary_capability, unrecognised_fragments, implementation_plan, task_queries, feature_matches, enriched_features, products_and_exclusions, stack_idioms, composite_tasks, declared_needs, chosen_in_order, not_searched, topological_order,
-    closure_whole, declared_dependencies, plan_verification, verification_reports, identifier_mentions, constraint_violations, excluded_entities, integration_points, roles, alternatives_when, duplicate_abstractions, adaptation_steps, adaptation_bands, comparison,
+    requirement_units, primary_capability, implementation_plan, task_queries, feature_matches, enriched_features, products_and_exclusions, stack_idioms, composite_tasks, declared_needs, chosen_in_order, not_searched, topological_order,
+    closure_whole, declared_dependencies, plan_verification, verification_reports, excluded_entities, integration_points, alternatives_when, adaptation_bands, comparison,
     bundle_parts, build_steps, strategy_lines, degradation_rows, budget_breakdown, score_reports, folded_clusters,
 )}
 
@@ -332,7 +309,6 @@ SQL: dict[str, str] = {
         c as (select cluster, arg_min(id, (-score, id)) as representative, count(*) as members from s group by 1) select id, representative, members, id = representative as kept from s join c using (cluster)""",
     "requirement_units": f"with recursive {_UNITS_SQL} select doc_id, unit, name, implied, hits, priority, place from placed",
     "primary_capability": f"with {_TRIGGERS_SQL}, {_FOUND_SQL}, {_PRIMARY_SQL} select doc_id, capability from main",
-    "unrecognised_fragments": "select cast(id as integer) as id, fragment from " + values(LEFT_OVER, "id, fragment"),
     "implementation_plan": f"""with recursive {_UNITS_SQL}, c as (select *, case when reuse = 'low' then 'build-from-scratch' when unit = 'greeting' then 'reuse-library' when unit = 'question' then 'study-reference' else 'reuse-pattern' end as strategy from units),
         w as (select *, case strategy when 'build-from-scratch' then null else greatest(50, priority * case strategy when 'reuse-library' then 13 when 'study-reference' then 8 else 11 end) end as w from c), s as (select *, sum(w) over (partition by doc_id) as total from w)
         select doc_id, unit, strategy, cast((200 * w + total) // (2 * total) as bigint) as share, cast(greatest(1, (2 * w * 12 + total) // (2 * total)) as bigint) * case when w is not null then 1 end as queries from s""",
@@ -374,16 +350,12 @@ SQL: dict[str, str] = {
         select origin, reached, min(steps) as steps from r group by 1, 2""",
     "declared_dependencies": f"""with n as (select n_nationkey, unnest([{_at('n_nationkey', 'com.squareup:okhttp', '@types/node', 'react')}, 'room']) as name, {_at('n_nationkey', 'okhttp', 'react-dom', 'node', 'androidx.room:room-runtime')} as lib from nation),
         s as (select n_nationkey, name, case name when 'com.squareup:okhttp' then 'okhttp' when '@types/node' then 'node' else name end as n, case lib when 'androidx.room:room-runtime' then 'room-runtime' else lib end as t from n) select n_nationkey, name, contains(t, n) or contains(n, t) as present from s""",
-    "identifier_mentions": "select * from " + values(MENTIONED, "name, haystack, there"),
     "excluded_entities": "select n_nationkey, n_name from nation where n_nationkey >= 5",
     "integration_points": f"""select s_suppkey, component, coalesce(location, '.') as location, location is not null as found from supplier, {values((("Queue", "app/jobs"), ("Persistence", "app/data"), ("HTTP client", "app/net"), ("Screens", None)), "component, location")} where not (component = 'Queue' and s_suppkey % 2 = 0)
         union all select s_suppkey, 'Worker', 'app/jobs', true from supplier where s_suppkey % 2 = 0""",
-    "roles": "select * from " + values(ROLE_CASES + FOLDERS, "name, role"),
     "alternatives_when": f"""with s as (select p_partkey, list_filter([case when p_size * 2 >= 85 then 'you need active maintenance' end, case when p_size * 3 % 101 >= 80 then 'you want the smallest integration surface' end, case when p_size > 10 and p_size * 5 % 101 >= 80 then 'requirement coverage matters most' end,
         case when p_size * 7 % 101 >= 85 then 'you want the strongest test evidence' end, case when p_size % 3 = 0 then 'you need to vendor code directly' end], lambda x: x is not null) as said from part)
         select p_partkey, case when len(said) > 0 then array_to_string(said[1:2], ', or ') else 'if the recommendation does not fit your constraints' end as "when" from s""",
-    "duplicate_abstractions": "select concept, cast(families as bigint) as families, cast(entities as bigint) as entities from " + values((("HTTP client", 3, 2), ("local database", 2, 2)), "concept, families, entities"),
-    "adaptation_steps": "select cast(id as integer) as id, cast(step as integer) as step, action, effort from " + values(ADAPTATIONS, "id, step, action, effort"),
     "adaptation_bands": """with t as (select p_partkey, 2 * (p_size % 5) + 4 * (p_size % 3) + 1 + case when p_size / 50e0 < 0.35e0 then 4 when p_size / 50e0 < 0.7e0 then 2 else 0 end as t from part)
         select p_partkey, case when t <= 2 then 'trivial' when t <= 4 then 'low' when t <= 8 then 'medium' when t <= 13 then 'high' else 'very-high' end as difficulty from t""",
     "comparison": f"with {_COMPARE_SQL} select feature, best as recommendation, blockers, coalesce(differentiators, '') as differentiators, coalesce(tied, '') as tied, coalesce(switch_if, '') as switch_if from w left join d using (feature) left join t using (feature) left join s using (feature)",
@@ -397,5 +369,4 @@ SQL: dict[str, str] = {
         select source, lang, tokens, row_number() over (partition by source order by tokens desc, lang) as place from t""",
     "score_reports": f"""with {_EVIDENCE_SQL}, f as (select s_suppkey, axis, row_number() over (partition by s_suppkey order by value * w desc, axis) as rank from weighted where value >= 75), r as (select s_suppkey, string_agg('- ' || axis, chr(10) order by rank) as lines from f where rank <= 5 group by 1)
         select s_suppkey, 'SCORE ' || total || '/100  confidence ' || confidence || '%' || chr(10) || coalesce(lines, '') as report from ranked left join r using (s_suppkey)""",
-    "constraint_violations": "select cast(id as integer) as id, violation, \"constraint\" from " + values([(k, r[-1], verifying.CONSTRAINTS[r[0]] + (f" ({r[1]})" if r[1] else "")) for k, r in enumerate(CANDIDATES)], 'id, violation, "constraint"'),
 }
