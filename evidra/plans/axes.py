@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import scores as sc
-from evidra.operators import profiles, verifying
-from evidra.plans.literals import values
+from evidra.operators import verifying
 from evidra.plans.reads import _at, _pick
 from evidra.sources.tables import table
 
@@ -16,7 +15,6 @@ def _n() -> Column:
     return F.col("p_size")
 
 
-
 def _whole(c: Column) -> Column:
     return F.floor(c * 100 + 0.5).cast("long")
 
@@ -77,58 +75,8 @@ def fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_brand", _whole(verifying.architecture_fit(F.col("names"), terms)).alias("fit"), _whole(verifying.feature_test_confidence(terms, F.size("names") % 3, F.slice("names", 1, 4), F.array_join("names", " "))).alias("tests"))
 
 
-SYMBOLS = (
-    ("DownloadManager", "src/net/DownloadManager.kt", "class", None, None), ("resumeDownload", "src/net/Download.kt", "function", "continues a download", None), ("HttpLogger", "src/log/HttpLogger.kt", "class", None, None),
-    ("DownloadStoreBuilder", "src/DownloadStoreBuilder.kt", "class", None, None), ("getName", "src/a.kt", "function", None, "fun getName()"), ("test_resume", "tests/test_resume.py", "function", None, None), ("MAX_RETRIES", "src/a.kt", "constant", None, None),
-    ("name", ".github/workflows/ci.yml", "constant", None, None), ("DownloadClient", "sample/App.kt", "class", None, None), ("ErrorMapper", "src/x.kt", "class", None, None), ("RetryPolicy", "src/resume/RetryPolicy.kt", "interface", None, None), ("AnalyticsService", "src/s.kt", "class", None, None),
-)
-# By the rules, worked out by hand: reason, score against (download, resume) in hundredths.
-JUDGED = (
-    ("DownloadManager", None, 60), ("resumeDownload", None, 70), ("HttpLogger", "logging infrastructure", 10), ("DownloadStoreBuilder", None, 60), ("getName", "accessor", 0), ("test_resume", "test file — retrieved separately as test evidence", 0),
-    ("MAX_RETRIES", "constant or enum value — names a thing, does not implement one", 0), ("name", "CI configuration, not implementation", 0), ("DownloadClient", "documentation or example, not implementation", 25), ("ErrorMapper", "data mapping boilerplate", 10), ("RetryPolicy", None, 35), ("AnalyticsService", "analytics/telemetry", 25),
-)
-
-
-
-PROJECTS = (
-    ("queue", ["src/JobQueue.kt", "src/retry/Backoff.kt"], ["download queue", "upload worker", "task store"], "react-native-queue", ["queue"], "A react native job queue", ["react-native"], "Kotlin"),
-    ("clean", ["app/domain/a.kt", "app/data/b.kt", "app/ui/c.kt", "app/src/main/AndroidManifest.xml"], ["get user use case"], "clean-app", ["android", "kotlin"], "android library for clean code", ["androidx.core:core"], "Kotlin"),
-    ("server", ["src/main/resources/application.yml"], ["user service", "user controller", "user model"], "backend-kit", ["backend"], "server-side kit", ["org.springframework:spring-web", "org.postgresql:postgresql"], "Java"),
-    ("bare", ["x.py"], ["thing"], "thing", [], "", [], None),
-    ("both", ["pubspec.yaml", "lib/a.dart"], ["event bus", "event listener"], "flutter_bus", ["flutter"], "bus", ["express", "vue"], "Dart"),
-)
-# By the rules, worked out by hand.
-PROFILED = (
-    ("queue", "queue + worker + persistent state", 150, "react-native", "client", 70, 55), ("clean", "clean architecture (domain / data / presentation)", 125, "native", "client", 90, 100), ("server", "layered service architecture", 125, "native", "server", 90, 100),
-    ("bare", None, None, "unknown", "unknown", 10, 100), ("both", "event-driven / observer", 125, "flutter", "universal", 50, 55),
-)
-_PROJECT = "id string, paths array<string>, names array<string>, name string, topics array<string>, description string, dependencies array<string>, language string"
-
-
-def project_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([tuple(r) for r in PROJECTS], _PROJECT)
-    shape = profiles.architecture(F.col("paths"), F.col("names"))
-    host = profiles.host(F.col("name"), F.col("topics"), F.col("description"), F.col("dependencies"), F.col("paths"), F.col("language"))
-    side = profiles.deployment(F.concat_ws(" ", "name", "description"), F.col("topics"), F.col("dependencies"), F.col("paths"))
-    rows = rows.select("id", shape.alias("a"), host.alias("h"), side.alias("d"))
-    return rows.select("id", F.col("a.pattern").alias("pattern"), _whole(F.col("a.score")).cast("int").alias("score"), F.col("h.framework").alias("host"), F.col("d.target").alias("side"), _whole(F.col("d.confidence")).cast("int").alias("sure"), _whole(profiles.host_multiplier(F.col("h.framework"), F.lit("some phone"))).cast("int").alias("kept"))
-
-
-TARGETS = (
-    ("web", ["next", "react", "@prisma/client", "ky", "zustand"], ["next.config.js", "src/index.ts"], [("app", "presentation"), ("lib", "source root"), ("db", "data access"), ("x", "2 files")]),
-    ("phone", ["androidx.room:room", "com.squareup.okhttp3:okhttp"], ["app/src/main/AndroidManifest.xml"], [("domain", "domain model"), ("data", "data access"), ("ui", "presentation")]),
-    ("py", ["Django", "requests", "SQLAlchemy"], ["manage.py"], [("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")]),
-    ("empty", [], [], []),
-)
-TARGETED = (("web", "Next.js,React", "ky", "Prisma", "Zustand", "MVVM / layered"), ("phone", "Android", "OkHttp", "Room", None, "clean architecture (domain / data / presentation)"), ("py", "Django", "requests", "SQLAlchemy", None, "Django MTV"), ("empty", "", None, None, None, "flat / single-module"))
-
-
-
-TESTED = (("a", "tests/test_retry.py", "import pytest\ndef test_timeout_and_empty(): pass"), ("a", "src/a.py", "jest"), ("a", "src/__tests__/x.test.ts", "vitest  mocha offline"), ("b", "src/b.py", "junit"), ("c", "FooTest.kt", "junit mockk unicode conflict"))
-
-
 
-QUERIES = {f.__name__: f for f in (quality_axes, surface_axes, relevance_axis, stack_axis, reuse_verdicts, quality_scores, fit_scores, project_kinds)}
+QUERIES = {f.__name__: f for f in (quality_axes, surface_axes, relevance_axis, stack_axis, reuse_verdicts, quality_scores, fit_scores)}
 
 
 def _c(x: str) -> str:
@@ -179,5 +127,4 @@ SQL = {
         d as (select *, len(list_filter(['steel', 'brown', 'tiny', 'qqqq'], lambda t: len(list_filter(low, lambda n: contains(n, t))) > 0)) as covered, len(list_filter(low, lambda n: regexp_matches(n, '\\b(manager|queue)\\b'))) as structured, len(list_filter(['steel', 'brown', 'tiny', 'qqqq'], lambda t: contains(text, t))) as met from c)
         select p_brand, {_w("floor(least(1e0, covered / 4e0 * 0.7e0 + least(1e0, structured / greatest(3e0, len(names) * 0.2e0)) * 0.3e0) * 100e0 + 0.5e0) / 100e0")} as fit,
                {_w("floor(least(1e0, met / 4e0 * case when len(names) % 3 > 0 then 1e0 else 0.7e0 end + case when met > 0 then 0.15e0 else 0e0 end) * 100e0 + 0.5e0) / 100e0")} as tests from d""",
-    "project_kinds": "select id, pattern, cast(score as integer) as score, host, side, cast(sure as integer) as sure, cast(kept as integer) as kept from " + values(PROFILED, "id, pattern, score, host, side, sure, kept"),
 }

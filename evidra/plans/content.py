@@ -12,7 +12,6 @@ from evidra.sources.tables import table
 # A small vocabulary of our own for the driver's invented prose; a real one is a table that callers pass.
 TRIGGERS = (("greeting", "the of"), ("greeting", "and that"), ("question", "is the"), ("place", "in the"), ("place", "on the"), ("order", "for the"), ("french", "de la"), ("french", "les des"), ("german", "der die"), ("german", "und nicht"), ("spanish", "de los"), ("spanish", "en el"))
 NARROWS = (("question", "greeting"), ("order", "place"))
-NEEDS = (("order", "place"), ("place", "question"), ("question", "greeting"), ("greeting", "place"), ("french", "order"), ("german", "french"))
 REDACTED = tuple(n for n, _, _ in safety.REDACTIONS)
 
 
@@ -96,7 +95,6 @@ def phrase_trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.phrase_matches(_documents(spark, sf_dir), "doc_id", "text", _triggers(spark))
 
 
-
 def language_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _documents(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"))
     best = got.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("lang").alias("lang"))).alias("m"))

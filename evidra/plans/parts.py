@@ -144,8 +144,31 @@ def unrecognised_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.decompose(rows, "p_partkey", "text", vocabulary(spark))[2]
 
 
+#: What a project is made of: paths, names of symbols in words, its own name, topics, description, dependencies and language.
+PROJECT_PATHS = ("src/JobQueue.kt", "app/domain/{u}.kt", "app/src/main/AndroidManifest.xml", "src/main/resources/application.yml", "pubspec.yaml", "lib/{u}.dart", "app/data/{b}.kt")
+PROJECT_NAMES = ("download queue", "upload worker", "user service", "user controller", "event bus", "event listener", "{a} store", "state machine", "plugin registry")
+PROJECT_SAID = ("{a}", "react-native-{a}", "flutter_{u}", "electron-{a}", "backend for {b}", "an android library for {b}")
+PROJECT_TOPICS = ("{b}", "android", "backend", "react-native", "flutter")
+PROJECT_DEPENDENCIES = ("androidx.core:core", "org.springframework:spring-web", "org.postgresql:postgresql", "react-native", "vue", "{a}")
+
+
+def project_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as projects: the architecture that their names and paths show, what they are made for, and on which side of the wire."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    put = lambda k, items: _filled(_pick(k, *items))
+    rows = _part(spark, sf_dir).select(
+        "p_partkey", F.array(put(key, PROJECT_PATHS), put(key + size, PROJECT_PATHS)).alias("paths"), F.array(put(size, PROJECT_NAMES), put(size + key, PROJECT_NAMES)).alias("names"), put(size, PROJECT_SAID).alias("name"),
+        F.array(put(key, PROJECT_TOPICS)).alias("topics"), put(key, PROJECT_SAID).alias("description"), F.array(put(size + key, PROJECT_DEPENDENCIES)).alias("dependencies"), _pick(key, "Kotlin", None).alias("language"),
+    )
+    host = profiles.host(F.col("name"), F.col("topics"), F.col("description"), F.col("dependencies"), F.col("paths"), F.col("language"))
+    side = profiles.deployment(F.concat_ws(" ", "name", "description"), F.col("topics"), F.col("dependencies"), F.col("paths"))
+    rows = rows.select("p_partkey", profiles.architecture(F.col("paths"), F.col("names")).alias("a"), host.alias("h"), side.alias("d"))
+    whole = lambda c: F.floor(c * 100 + 0.5).cast("int")
+    return rows.select("p_partkey", F.col("a.pattern").alias("pattern"), whole(F.col("a.score")).alias("score"), F.col("h.framework").alias("host"), F.col("d.target").alias("side"), whole(F.col("d.confidence")).alias("sure"))
+
+
 QUERIES = {f.__name__: f for f in (
-    implication_closure, roles, identifier_mentions, constraint_violations, duplicate_abstractions, adaptation_steps, symbol_noise, test_profiles, target_profiles, unrecognised_fragments,
+    project_kinds, implication_closure, roles, identifier_mentions, constraint_violations, duplicate_abstractions, adaptation_steps, symbol_noise, test_profiles, target_profiles, unrecognised_fragments,
 )}
 
 
@@ -191,6 +214,16 @@ def _some(items: str, pattern: str | None) -> str:
 
 _FRAMEWORKS_SQL = "list_filter([" + ", ".join(f"case when {_some('deps', d)} or {_some('files', f)} then '{n}' end" for n, d, f in profiles.FRAMEWORKS) + "], lambda x: x is not null)"
 _MARK_SQL = {kind: "case " + " ".join(f"when {_some('deps', p)} then '{n}'" for p, n in marks) + " end" for kind, marks in profiles.MARKERS.items()}
+_put = lambda key, items: _filled_sql(_dealt(f"({key})", items))
+_KINDS_SQL = f"""p as (select p_partkey, [{_put('p_partkey', PROJECT_PATHS)}, {_put('p_partkey + p_size', PROJECT_PATHS)}] as files, [{_put('p_size', PROJECT_NAMES)}, {_put('p_size + p_partkey', PROJECT_NAMES)}] as names, {_put('p_size', PROJECT_SAID)} as name,
+        {_put('p_partkey', PROJECT_TOPICS)} as topic, {_put('p_partkey', PROJECT_SAID)} as said, [{_put('p_size + p_partkey', PROJECT_DEPENDENCIES)}] as deps, p_partkey % 2 = 0 as known from part)"""
+_SHAPE_TEXT = "lower(array_to_string(files, chr(10))) || chr(10) || lower(array_to_string(names, ' '))"
+_fits = lambda p: f"regexp_matches(text, {_quote('(?im)' + p)})"
+_SHAPE_SQL = "[" + ", ".join(f"case when {' and '.join(map(_fits, needs))} then [{' + '.join(['100', *[f'25 * cast({_fits(x)} as int)' for x in more]])}, {-k}] end" for k, (_, needs, more) in enumerate(profiles.ARCHITECTURES)) + "]"
+_when = lambda test, n: f"case when {test} then {n} else 0 end"
+_like = lambda column, p: f"regexp_matches(lower({column}), {_quote('(?i)' + p)})"
+_HOST_SQL = "[" + ", ".join("[" + " + ".join([_when(_like("name", a), 30), _when(_like("topic", b), 20), _when(_like("said", b), 15), _when(_some("deps", d and "(?i)" + d), 20), _when(_some("files", f and "(?i)" + f), 20)]) + f", {-k}]" for k, (_, a, b, d, f, _) in enumerate(profiles.HOSTS)) + "]"
+_SIDE_SQL = {n: " + ".join([_when(_some("deps", "(?i)" + x["deps"]), 3), _when(_some("files", "(?i)" + x["files"]), 2), _when(f"regexp_matches(name || ' ' || said, {_quote('(?i)' + x['phrases'])})", 2), _when(f"regexp_matches(topic, {_quote('(?i)' + x['topics'])})", 1)]) for n, x in (("c", profiles.CLIENT), ("s", profiles.SERVER))}
 _ASKED = [(k, n, f) for k, (_, found) in enumerate(ASKS) for n, f in enumerate(found)]
 SQL = {
     "implication_closure": """with recursive e as (select n_nationkey as s, unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) as d from nation),
@@ -234,4 +267,9 @@ SQL = {
                     when list_has_all(roles, ['data access', 'presentation']) then 'MVVM / layered' when list_contains(fs, 'Next.js') then 'Next.js app structure' when list_contains(fs, 'Django') then 'Django MTV' when list_contains(fs, 'Rails') then 'Rails MVC'
                     when len(roles) <= 3 then 'flat / single-module' end as architecture from f""",
     "unrecognised_fragments": f"select p_partkey, {_filled_sql('f')} as fragment from part join {values(_ASKED, 'k, n, f')} on k = p_partkey % {len(ASKS)}",
+    "project_kinds": f"""with {_KINDS_SQL}, t as (select *, {_SHAPE_TEXT} as text from p),
+        r as (select *, list_sort(list_filter({_SHAPE_SQL}, lambda x: x is not null), 'DESC')[1] as a, list_sort({_HOST_SQL}, 'DESC')[1] as h, {_SIDE_SQL['c']} as c, {_SIDE_SQL['s']} as s from t)
+        select p_partkey, [{', '.join(_quote(n) for n, _, _ in profiles.ARCHITECTURES)}][1 - a[2]] as pattern, a[1] as score, case when h[1] >= 20 then [{', '.join(_quote(x[0]) for x in profiles.HOSTS)}][1 - h[2]] when known then 'native' else 'unknown' end as host,
+               case when c + s = 0 then 'unknown' when c >= 3 and s >= 3 then 'universal' when c >= 2 * s and c >= 2 then 'client' when s >= 2 * c and s >= 2 then 'server' else 'unknown' end as side,
+               case when c + s = 0 then 10 when c >= 3 and s >= 3 then 50 when c >= 2 * s and c >= 2 then least(90, 40 + 10 * c) when s >= 2 * c and s >= 2 then least(90, 40 + 10 * s) else 20 end as sure from r""",
 }

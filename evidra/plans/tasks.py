@@ -29,11 +29,6 @@ def primary_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _units(spark, sf_dir)[1]
 
 
-FRAGMENTED = ((1, "Build the of downloads, csv import with retry and a plain question"), (2, "it is; internationalisation · say where it is"), (3, "Short question and that, 99 bottles"))
-LEFT_OVER = ((1, "csv import"), (1, "retry"), (2, "internationalisation"))
-
-
-
 def implementation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each document's units is worth a search, and its share of queries."""
     return planning.plan(requirement_units(spark, sf_dir), "doc_id", vocabulary(spark), 12, ("greeting",), ("question",)).select("doc_id", "unit", "strategy", "share", "queries")
@@ -139,20 +134,6 @@ def verification_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bd.verification_report(plan_verification(spark, sf_dir), "s_suppkey")
 
 
-MENTIONED = (("ResumeHandler", "src/downloadresumer.kt", True), ("resume_handler", "x/resumeservice.ts", True), ("Foo", "src/foo.py", True), ("Foo", "src/bar.py", False), ("CacheEvictionPolicy", "src/policy.py", False), ("VeryDistinctiveThingHere", "distinctive.py", True), ("tokens", "a/token.py", True))
-
-
-
-CANDIDATES = (
-    ("license-incompatible", "gpl", "ADAPT", "strong-copyleft", "GPL-3.0", [], 1.0, "low", False, 3, [], "licence GPL-3.0 is strong-copyleft"), ("license-incompatible", "mit", "ADAPT", "permissive", "MIT", [], 1.0, "low", False, 3, [], "also MIT"),
-    ("license-incompatible", None, "DO_NOT_USE", "unknown", None, [], 1.0, "low", False, 3, [], "licence unknown is incompatible"), ("dependency-incompatible", "OkHttp", "ADAPT", "permissive", "MIT", ["x:okhttp"], 1.0, "low", False, 3, [], "also depends on x:okhttp"),
-    ("dependency-incompatible", None, "ADAPT", "permissive", "MIT", ["x:okhttp"], 1.0, "low", False, 3, [], None), ("stack-mismatch", None, "ADAPT", "permissive", "MIT", [], 0.42, "low", False, 3, [], "stack match is only 42%"), ("too-complex", None, "ADAPT", "permissive", "MIT", [], 1.0, "very-high", False, 3, [], "integration difficulty is very-high"),
-    ("unmaintained", None, "ADAPT", "permissive", "MIT", [], 1.0, "low", True, 3, [], "also archived"), ("unmaintained", None, "ADAPT", "permissive", "MIT", [], 1.0, "low", False, 400, [], "also stale (last activity 400d ago)"),
-    ("missing-capability", "retry support", "ADAPT", "permissive", "MIT", [], 1.0, "low", False, 3, [("has a retry policy", "absent")], 'also lacks "has a retry policy"'), ("missing-capability", "retry", "ADAPT", "permissive", "MIT", [], 1.0, "low", False, 3, [("retry", "evidenced")], None), ("other", "x", "DO_NOT_USE", "unknown", None, [], 0.1, "high", True, 999, [], None),
-)
-
-
-
 def excluded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return verifying.without(rows, "n_name", rows.filter("n_nationkey < 5").select(F.lower("n_name").alias("name")), "name")
@@ -164,31 +145,12 @@ def integration_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bd.integration_points(parts, "s_suppkey", "component", "ord", dirs, "path", "role", "ord")
 
 
-ROLE_CASES = (("DownloadManager", "orchestration"), ("UploadWorker", "execution"), ("JobQueue", "work scheduling"), ("RetryHandler", "behaviour policy"), ("UserStore", "persistence"), ("HttpAdapter", "external interface"), ("Thing", "core implementation"), ("CacheThing", "Cache layer"))
-FOLDERS = (("src", "source root"), ("Models", "domain model"), ("db", "data access"), ("views", "presentation"), ("api", "networking"), ("di", "dependency injection"), ("utils", "shared utilities"), ("jobs", "background work"), ("usecase", "business logic"), ("settings", "configuration"), ("spec", "tests"), ("zzz", None))
-
-
-
 def alternatives_when(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
     axes = {"maintenance": n * 2, "integrationSurface": n * 3 % 101, "completeness": F.when(n > 10, n * 5 % 101), "testEvidence": n * 7 % 101}
     return table(spark, sf_dir, "part").select("p_partkey", bd.choose_when(axes, _pick(n, "DIRECT_REUSE", "ADAPT", "REFERENCE_ONLY")).alias("when"))
 
 
-DEPS = (("r1", "com.squareup.okhttp3:okhttp"), ("r1", "com.squareup.retrofit2:retrofit"), ("r2", "io.ktor:ktor-client-core"), ("r1", "org.slf4j:slf4j-api"), ("r2", "ch.qos.logback:logback-classic"), ("r3", "androidx.room:room-runtime"), ("r3", "androidx.room:room-ktx"), ("r2", "io.realm:realm"))
-
-
-
-ADAPTED = (
-    (1, 0.2, "Kotlin", ["x:realm", "g:gson"], ["androidx.room:room"], "queue worker pattern", "layered queue worker"), (2, 0.9, None, ["okhttp"], ["ktor"], "state machine", "clean domain data"), (3, 0.5, "Go", [], None, None, None),
-)
-ADAPTATIONS = (
-    (1, 1, "port into Kotlin", "large"), (1, 2, "replace local database", "medium"), (1, 3, "decide on serialisation", "medium"), (1, 4, "test what was adapted", "small"), (2, 1, "replace HTTP client", "medium"), (2, 2, "reshape into clean domain data", "medium"),
-    (2, 3, "test what was adapted", "small"), (3, 1, "test what was adapted", "small"),
-)
-
-
-
 def adaptation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
     efforts = F.flatten(F.array(F.array_repeat(F.lit("medium"), n % 5), F.array_repeat(F.lit("large"), n % 3), F.array(F.lit("small"))))
