@@ -20,7 +20,7 @@ def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.left("text", F.lit(90))).alias("slug"), tx.topic_or_null(F.left("text", F.lit(30))).alias("topic"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"), tx.topic_or_null(F.col("text")).alias("topic"))
 
 
 def identifier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ _KEYS = {"libs.okhttp": "okhttp", "libs.androidx.core.ktx": "androidx|androidx.c
 _SHORT = {"@types/node": "node", "date-fns": "date-fns", "axios": "axios", "libs.okhttp": "libs.okhttp", "libs.androidx.core.ktx": "libs.androidx.core.ktx"}
 SQL = {
     "plain_names": f"select p_partkey, {_PLAIN.format(_at('p_partkey', 'awesome-', 'my', '', 'go_') + chr(32) + '|| replace(p_name, chr(32), chr(45)) ||' + _at('p_partkey', '-android', 'lib', '.js', '', '-sdk'))} as plain from part",
-    "feature_slugs": f"""with f as (select doc_id, replace({_NORM.format('left(text, 90)')}, ' ', '-') as f, replace({_NORM.format('left(text, 30)')}, ' ', '-') as t from documents),
+    "feature_slugs": f"""with f as (select doc_id, replace({_NORM.format('text')}, ' ', '-') as f, replace({_NORM.format('text')}, ' ', '-') as t from documents),
         c as (select *, regexp_replace(case when contains(left(f, 32), '-') then regexp_extract(left(f, 32), '^(.*)-', 1) else left(f, 32) end, '-+$', '') as head from f)
         select doc_id, case when f = '' then 'feature' when length(f) <= 40 then f else case when head = '' then left(f, 32) else head end || '-' || left(lower(to_base({_FNV.format('f')}, 36)), 6) end as slug,
                case when length(t) between 3 and 35 then t end as topic from c""",

@@ -45,8 +45,8 @@ def task_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capability that explains most words of a conversation's turn."""
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.concat_ws(" ", F.left("text", F.lit(12)), _pick(F.col("turn"), "french", "order for the", "short question", "de la german")).alias("name"))
+    """The capability that explains most words of what a part is called."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_name", _pick(F.col("p_partkey"), "french", "order for the", "short question", "de la german")).alias("name"))
     return planning.best_capability(rows, "key", "name", vocabulary(spark))
 
 
@@ -283,7 +283,7 @@ SQL: dict[str, str] = {
         p as (select *, row_number() over (partition by item_id order by turn, o) as place from d)
         select shape, count(*) as n, cast(sum(place) as bigint) as places, min(query) as first from p where place <= greatest(1, lim) group by 1""",
     "feature_matches": f"""with {VOCABULARY_SQL}, own as (select distinct id, unnest({_CONTENT.format('text')}) as w from (select id, unnest(list_append(triggers, label)) as text from vocabulary)),
-        f as (select conv_id || '-' || turn as key, left(text, 12) || ' ' || {_at('turn', 'french', 'order for the', 'short question', 'de la german')} as name from conversations), t as (select key, {_CONTENT.format('name')} as ws from f), e as (select key, len(ws) as n, unnest(ws) as w from t),
+        f as (select p_partkey as key, p_name || ' ' || {_at('p_partkey', 'french', 'order for the', 'short question', 'de la german')} as name from part), t as (select key, {_CONTENT.format('name')} as ws from f), e as (select key, len(ws) as n, unnest(ws) as w from t),
         g as (select key, id, n, count(*) as explained, count(*) / cast(n as double) as coverage from e join own using (w) group by 1, 2, 3 having count(*) / cast(n as double) >= 0.4e0), tied as (select *, max(coverage) over (partition by key) as top from g qualify top - coverage < 0.01e0),
         x as (select t.*, exists (select 1 from (select id, unnest(narrows) as wide from vocabulary) v join tied o on o.id = v.wide where v.id = t.id and o.key = t.key) as narrow from tied t)
         select key, arg_min(id, (not narrow, -coverage, -explained, id)) as capability, cast(floor(arg_min(coverage, (not narrow, -coverage, -explained, id)) * 100e0 + 0.5e0) as bigint) as coverage from x group by 1""",
