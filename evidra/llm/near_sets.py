@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = done(some.join(keys, F.col("h") == F.col("k")).select("h", "v", "n", "pos", "c").distinct())
 
     first = shared.filter("v = c").select(F.col("h").alias("k"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    enough = most * sum(least) >= least[0] * (F.col("n") + F.col("n2"))  # what two sets share at most, by the places of one hash
+    # two sets share no hash before the first that they share, and no more after it than either has left: a pair meets under that one
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    enough = most * sum(least) >= least[0] * (F.col("n") + F.col("n2"))
     near = shared.join(first, F.col("h") == F.col("k")).filter(enough).select("c", "v")
     prints = cut(one.groupBy("fp").agg(F.min("v").alias("c")))
     named = lambda x: prints.select(F.col("fp").alias(x), F.col("c").alias(f"v{x}"))
