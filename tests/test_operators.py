@@ -239,7 +239,7 @@ def test_minimal_sets_equal_plain_steps(spark):
 
 FILES = [
     ("package.json", '{"dependencies": {"a": "^1.0"}, "devDependencies": {"b": "2"}}'), ("x/package.json", "{broken"),
-    ("build.gradle", 'implementation "com.sq:okhttp:4.9"\ntestImplementation("j:unit:5")\nclasspath "g:p:$v"\n'), ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${x}</version><scope>test</scope></dependency>"),
+    ("build.gradle", 'implementation "com.sq:okhttp:4.9"\ntestImplementation("j:unit:5")\nclasspath "g:p:$v"\n'), ("pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${x}</version><scope>test</scope></dependency></dependencies></project>"),
     ("requirements.txt", "flask==2.0\n# note\nnumpy>=1.2\n"), ("go.mod", "module m\nrequire github.com/a/b v1.2.0\nrequire (\n github.com/c/d v0.1.0 // indirect\n)\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\n[dev-dependencies]\nx = { version = "0.2" }\n'),
     ("readme.md", "nothing"), ("pyproject.toml", '[project]\ndependencies = [\n "httpx>=0.2",\n "rich"\n]\n'),
 ]
