@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BitFilter, cut, documents, sweep
+from .common import BitFilter, cut, documents
 
 #: A run counts as repeated if it has this many words.
 MIN_WORDS = 10
-#: After so many rounds what they left is swept out.
-SWEEP = 3
 #: A document: nulls last, then id, then hash of the text.
 KEY = ["none", "id", "h"]
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -70,27 +68,28 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(classes.hint("merge"), match).select(*[c for c in rows.columns if c not in by], F.col("low").alias("r"))
 
 
-def prefix_doubling(lines: DataFrame) -> list[DataFrame]:
+def prefix_doubling(lines: DataFrame, depth: int) -> list[DataFrame]:
     """Level k holds (p, d, n, r) for each suffix p that shares its first n = 2**k lines with another: r is the first such suffix.
 
     Suffixes of one rank are one interval of the suffix array. A round pairs each suffix's rank
-    with that of the suffix n lines on and ranks the pairs; the last level is the first without an
-    interval, so runs of any length are ranked. Lengths are columns: every round is the same
-    plan, whose code is made once.
+    with that of the suffix n lines on and ranks the pairs. The lengths of all levels together are depth
+    lines or more, unless an earlier level is the last with an interval. Lengths are columns: every
+    round is the same plan, whose code is made once.
     """
     levels = [lines.withColumn("n", F.lit(1).cast("long"))]
     step = Window.partitionBy("d", F.col("p") % F.col("n")).orderBy("p")
-    while not levels[-1].isEmpty():
+    while (1 << len(levels)) - 1 < depth:
+        if levels[-1].isEmpty():
+            return levels[:-1] or levels
         paired = levels[-1].select("p", "d", (2 * F.col("n")).alias("n"), (F.lead("p").over(step) == F.col("p") + F.col("n")).alias("near"), F.col("r").alias("x"), F.lead("r").over(step).alias("y"))
         levels.append(cut(ranked(paired.filter("near").drop("near"), ["x", "y"])))
-        if len(levels) % SWEEP == 0:
-            sweep(lines.sparkSession)
-    return levels[:-1] or levels
+    return levels
 
 
 def longest_copies(levels: list[DataFrame]) -> DataFrame:
-    """(p, d, first, size): each suffix that shares lines with an earlier one, with the most lines that it so shares and the
-    earliest suffix that shares them. Rows of one (first, size) are, with first, an interval of that longest common prefix.
+    """(p, d, first, size): each suffix that shares lines with an earlier one, with the most lines that it so shares (of as many as
+    the levels' lengths make together) and the earliest suffix that shares them. Rows of one (first, size) are, with first, an
+    interval of that longest common prefix.
 
     A suffix starts in the longest interval of n lines of which it isn't the first. A round, with
     n falling by half, parts each longer interval by the rank of what follows the common prefix:
@@ -102,9 +101,7 @@ def longest_copies(levels: list[DataFrame]) -> DataFrame:
         some = level.filter("r <> p").select("p", F.struct(F.col("n").alias("size"), F.col("r").alias("first"), "d").alias("top"))
         later = some if later is None else later.union(some)
     rows = cut(later.groupBy("p").agg(F.max("top").alias("top")).select("p", "top.d", "top.first", "top.size", F.lit(1 << len(levels)).cast("long").alias("n")))
-    for k, level in enumerate(reversed(levels[:-1]), 1):
-        if k % SWEEP == 0:
-            sweep(rows.sparkSession)
+    for level in reversed(levels[:-1]):
         rows = rows.withColumn("n", F.shiftright("n", 1))  # twice the level's n: intervals of so many lines or more are parted
         live, rest = rows.filter(F.col("size") >= F.col("n")), rows.filter(F.col("size") < F.col("n"))
         firsts = live.select("first", "size", "n").distinct().select(F.col("first").alias("p"), F.lit(-1).cast("long").alias("d"), "first", "size", "n")
@@ -124,6 +121,10 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of all runs of whole lines that occur before (in order of key, then place) those are taken
     that no longer one holds; they count if they have min_words. Runs that meet are one.
+
+    A line that isn't blank has a word, so min_words lines always count: suffixes are ranked by that many lines or a few more,
+    and a longer run is what its stretches of so many lines, each a later copy too, make together. So rounds
+    don't grow with the length of runs.
     """
     rows = cut(sequences(docs, id_col, text_col))
     often = rows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
@@ -133,7 +134,7 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = rows.join(places.hint("merge"), KEY).select((F.col("d") + F.col("i")).alias("p"), "d", "a", "b", "words")
     ordered = Window.partitionBy("d").orderBy("p")
     lines = cut(ranked(lines, ["a", "b"]).withColumn("upto", F.sum("words").over(ordered)))
-    copies = longest_copies(prefix_doubling(lines.select("p", "d", "r")))
+    copies = longest_copies(prefix_doubling(lines.select("p", "d", "r"), min_words))
 
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     runs = copies.select("p", "d", (F.col("p") + F.col("size")).alias("stop"))

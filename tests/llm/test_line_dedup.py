@@ -86,3 +86,16 @@ def test_passages_of_short_lines_in_repeated_rows(spark):
     got = line_dedup.dedup_lines(R.frame(spark, rows)).collect()
     assert sorted((r["doc_id"], r["text"], r["_removed"]) for r in got) == brute(rows, 10)
     assert [r["_removed"] for r in got if r["doc_id"] == 2] == [15] * 3
+
+
+def test_rounds_do_not_grow_with_the_length_of_runs(spark):
+    jobs = []
+    for size in (20, 700):
+        passage = "\n".join(f"line {k} of a passage" for k in range(size))
+        rows = [(1, passage + "\nend of one", None, "s", 0), (2, "start of two\n" + passage, None, "s", 0)]
+        spark.sparkContext.setJobGroup(f"runs-{size}", "")
+        got = line_dedup.dedup_lines(R.frame(spark, rows)).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"runs-{size}")))
+        assert sorted((r["doc_id"], r["text"], r["_removed"]) for r in got) == [rows[0][:2] + (0,), (2, "start of two", size)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] > 0 and jobs[1] <= jobs[0] + 2
