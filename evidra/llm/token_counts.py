@@ -295,7 +295,18 @@ def token_counts(
     summed = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, known bigint, open array<struct<piece: string, n: bigint>>")
     # rows are numbered as they are written, and keep that number from then on
     summed = cut(summed.select(F.monotonically_increasing_id().alias("row"), "*"))
-    added = summed.select("row", F.inline("open")).join(rare, "piece").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
+    # what the table doesn't know is a pre-token of one document alone that the filter takes for another
+    met = summed.select("row", F.inline("open")).join(rare, "piece", "left").withColumn("lone", F.when(F.col("tokens").isNull(), F.col("piece")))
+    met = met.groupBy("row", "lone").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("tokens")).alias("more"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _pre_tokens(shared.value)
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("lone", "n", "more"))
+            more = [m if w is None else n * made.tokens(w) for w, n, m in zip(*columns, strict=True)]
+            yield pa.record_batch([batch.column("row"), pa.array(more, pa.int64())], names=["row", "more"])
+
+    added = met.mapInArrow(told, "row bigint, more bigint").groupBy("row").agg(F.sum("more").alias("more"))
     total = F.col("known") + F.coalesce("more", F.lit(0))
     return summed.drop("open").join(added, "row", "left").select("id", "n_bytes", total.alias("n_tokens"))
 

@@ -32,6 +32,17 @@ def test_equals_the_library(spark, hot_bytes, filter_bits):
     assert sorted((tuple(r) for r in got.collect()), key=str) == expected(rows)
 
 
+def test_words_that_the_filter_takes_for_others_are_counted(spark):
+    import public_tokenizers as P
+
+    word = lambda k: str(k).translate({48 + d: c for d, c in enumerate("qwrtpsdfgh")})  # noqa: E731  letters alone: one pre-token
+    shared = [" ".join(word(k) for k in range(at, at + 500)) for at in range(0, 10_000, 500)]
+    texts = [t for s in shared for t in (s, s + " end")] + [" ".join("lone" + word(k) for k in range(at, at + 50)) for at in range(0, 1000, 50)]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    got = token_counts.token_counts(R.frame(spark, rows), P.path("byte_bpe_50k.json"), hot_bytes=0, filter_bits=1 << 15)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == expected(rows)
+
+
 def test_a_tokenizer_with_a_normalizer(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
