@@ -9,11 +9,16 @@ from evidra.functions.text import bigrams, plain_name
 from evidra.operators.lineage import cut
 
 
+def wide(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by a shuffle however small they look when compressed: a broadcast of millions of short rows is built in the driver's memory."""
+    return rows.hint("merge")
+
+
 def star_links(rows: DataFrame, key: Column, entity: str, reason: str) -> DataFrame:
     """(a, b, reason): each entity that shares a key with the least entity of that key. Linear in the key's size, however hot."""
     keyed = rows.select(F.col(entity).alias("b"), key.alias("k")).filter("k is not null")
     least = keyed.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(least, "k").filter(F.col("a") != F.col("b")).select("a", "b", F.lit(reason).alias("reason"))
+    return keyed.join(wide(least), "k").filter(F.col("a") != F.col("b")).select("a", "b", F.lit(reason).alias("reason"))
 
 
 def fork_links(rows: DataFrame, entity: str, parent: str) -> DataFrame:
@@ -37,14 +42,13 @@ def piece_sets(rows: DataFrame, entity: str, block: list[str], name: str) -> Dat
     return each.join(often, [*block, "piece"]).groupBy(*block, "name", "entity").agg(F.transform(ordered, lambda x: x["piece"]).alias("pieces"))
 
 
-def dice_candidates(sets: DataFrame, block: list[str], over: float) -> DataFrame:
-    """(block, name, name2): pairs of a block that may be alike, from rows of piece_sets.
+def dice_keys(sets: DataFrame, block: list[str], over: float, *more: str) -> DataFrame:
+    """(block, name, n, more, k, at, shared): keys of each name, from rows of piece_sets; two like names have one in common.
 
     Two names with more than over of their n and m pieces in common share more than over / (2 - over)
     of the longer one's. So, in an order that all names keep, each has two common ones among its first
     n - ceil(n * over / (2 - over)) + 2: names meet under each two pieces of this prefix, the rarest
-    that they have. Names so short that one common piece may do also meet under each one. A pair
-    needs lengths near enough, and where the two pieces are the first that it shares, enough places after them.
+    that they have. Names so short that one common piece may do also meet under each one.
     """
     share = over / (2 - over)
     n = F.size("pieces")
@@ -53,11 +57,28 @@ def dice_candidates(sets: DataFrame, block: list[str], over: float) -> DataFrame
     twos = F.flatten(F.transform("prefix", lambda x, i: F.transform(after(i), lambda y, j: F.struct(F.concat_ws("|", x, y).alias("k"), (i + j + 1).alias("at"), F.lit(2).alias("shared")))))
     ones = F.transform("prefix", lambda x, i: F.struct(x.alias("k"), i.alias("at"), F.lit(1).alias("shared")))
     keys = F.when(F.col("n") * share <= 1, F.concat(twos, ones)).otherwise(twos)
-    keyed = sized.select(*block, "name", "n", F.inline(keys))
-    other = keyed.withColumnsRenamed({"name": "name2", "n": "n2", "at": "at2"})
+    return sized.select(*block, "name", "n", *more, F.inline(keys))
+
+
+def _enough(over: float) -> Column:
+    """Whether two rows of dice_keys under one key may be alike: a pair needs lengths near enough, and where the key is the first that it shares, enough places after it."""
     most = F.col("shared") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
-    enough = 2 * F.least("n", "n2", most) > over * (F.col("n") + F.col("n2"))
-    return keyed.join(other, [*block, "k", "shared"]).filter((F.col("name") < F.col("name2")) & enough).select(*block, "name", "name2").distinct()
+    return 2 * F.least("n", "n2", most) > over * (F.col("n") + F.col("n2"))
+
+
+def dice_candidates(sets: DataFrame, block: list[str], over: float) -> DataFrame:
+    """(block, name, name2): pairs of a block that may be alike, from rows of piece_sets (see dice_keys)."""
+    keyed = dice_keys(sets, block, over)
+    other = keyed.withColumnsRenamed({"name": "name2", "n": "n2", "at": "at2"})
+    return keyed.join(wide(other), [*block, "k", "shared"]).filter((F.col("name") < F.col("name2")) & _enough(over)).select(*block, "name", "name2").distinct()
+
+
+def _alike(pairs: DataFrame, own: DataFrame, block: list[str], over: float) -> DataFrame:
+    """Those of pairs (block, name, name2) that are alike, with their score and what else own (block, name, pieces) says of both."""
+    other = own.withColumnsRenamed({c: f"{c}2" for c in own.columns if c not in block})
+    both = pairs.join(wide(own), [*block, "name"]).join(wide(other), [*block, "name2"])
+    score = 2.0 * F.size(F.array_intersect("pieces", "pieces2")) / (F.size("pieces") + F.size("pieces2"))
+    return both.withColumn("score", score).filter(F.col("score") > over).drop("pieces", "pieces2")
 
 
 def dice_links(rows: DataFrame, entity: str, block: list[str], name: str, over: float = 0.85) -> DataFrame:
@@ -67,11 +88,34 @@ def dice_links(rows: DataFrame, entity: str, block: list[str], name: str, over:
     which pairs are compared is told by dice_candidates, and no like pair is missed.
     """
     sets = cut(piece_sets(rows, entity, block, name))
-    own = sets.select(*block, "name", "entity", "pieces")
-    other = own.withColumnsRenamed({"name": "name2", "entity": "entity2", "pieces": "pieces2"})
-    pairs = dice_candidates(sets, block, over).join(own, [*block, "name"]).join(other, [*block, "name2"])
-    score = 2.0 * F.size(F.array_intersect("pieces", "pieces2")) / (F.size("pieces") + F.size("pieces2"))
-    return pairs.withColumn("score", score).filter(F.col("score") > over).drop("pieces", "pieces2")
+    found = _alike(dice_candidates(sets, block, over), sets.select(*block, "name", "entity", "pieces"), block, over)
+    return found.select(*block, "name", "name2", "entity", "entity2", "score")
+
+
+def dice_classes(sets: DataFrame, block: list[str], over: float) -> DataFrame:
+    """(a, b): classes that like names join, from rows of piece_sets with the class (label) that each name is in already.
+
+    Names of one class are never compared, so names that are all alike don't give all their pairs. First each
+    name meets the least one of its keys; what these join is one class. Then, under keys with several classes left,
+    every name outside the key's largest class meets all names of other classes: no join of classes is missed.
+    """
+    own, key = sets.select(*block, "name", "label", "pieces"), [*block, "k", "shared"]
+    of = lambda rows: rows.withColumnsRenamed({"name": "name2", "n": "n2", "at": "at2", "label": "label2"})
+    pair = [F.least("name", "name2").alias("name"), F.greatest("name", "name2").alias("name2")]
+    joined = lambda near: cut(_alike(near.filter(_enough(over)).select(*block, *pair).distinct(), own, block, over).select(F.col("label").alias("a"), F.col("label2").alias("b")).filter("a <> b").distinct())
+    keyed = dice_keys(sets, block, over, "label")
+    least = keyed.groupBy(*key).agg(F.min(F.struct("name", "n", "at", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    keyed = cut(keyed.join(wide(least), key).select(*keyed.columns, "m"))
+    centre = [F.col(f"m.{c}").alias(f"{c}2") for c in ("name", "n", "at", "label")]
+    links = joined(keyed.select(*keyed.columns[:-1], *centre).filter("label <> label2"))
+    classes = connected(links).select(F.col("v").alias("_v"), F.col("label").alias("_to"))
+    left = cut(keyed.drop("m").join(wide(classes), F.col("label") == F.col("_v"), "left").withColumn("label", F.coalesce("_to", "label")).drop("_v", "_to"))
+    sizes = left.groupBy(*key, "label").agg(F.count("*").alias("size"))
+    top = sizes.groupBy(*key).agg(F.max(F.struct("size", "label"))["label"].alias("top"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+    left = cut(left.join(wide(top), key))
+    once = (F.col("label2") == F.col("top")) | (F.col("name") < F.col("name2"))
+    near = left.filter("label <> top").join(wide(of(left.drop("top"))), key).filter((F.col("label") != F.col("label2")) & once)
+    return links.union(joined(near))
 
 
 def plain_key(name: str) -> Column:
@@ -94,18 +138,18 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct())
     labels = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.col("x"), F.min("y")).alias("label")))
     while True:
-        near = both.join(labels, F.col("y") == F.col("v")).groupBy("x").agg(F.min("label").alias("least"))
-        seen = labels.join(near, F.col("v") == F.col("x")).groupBy("label").agg(F.min(F.least("label", "least")).alias("to"))
+        near = both.join(wide(labels), F.col("y") == F.col("v")).groupBy("x").agg(F.min("label").alias("least"))
+        seen = labels.join(wide(near), F.col("v") == F.col("x")).groupBy("label").agg(F.min(F.least("label", "least")).alias("to"))
         hooks = cut(seen)
         if not hooks.filter("to < label").limit(1).count():
             break
         while True:
             ends = hooks.select(F.col("label").alias("w"), F.col("to").alias("end"))
-            ahead = cut(hooks.join(ends, F.col("to") == F.col("w")).select("label", "to", "end"))
+            ahead = cut(hooks.join(wide(ends), F.col("to") == F.col("w")).select("label", "to", "end"))
             hooks = ahead.select("label", F.col("end").alias("to"))
             if not ahead.filter("end < to").limit(1).count():
                 break
-        labels = cut(labels.join(hooks, "label").select("v", F.col("to").alias("label")))
+        labels = cut(labels.join(wide(hooks), "label").select("v", F.col("to").alias("label")))
     return labels
 
 
@@ -133,17 +177,26 @@ def folded(rows: DataFrame, over: float = 0.85, block: str | None = None) -> Dat
     blocks = [block] if block else []
     within = lambda key: F.when(key.isNotNull(), F.concat_ws("|", *blocks, key))
     links = _forks(rows).union(star_links(rows, within(F.col("name")), "id", "copy")).union(star_links(rows, within(plain_key("name")), "id", "name")).union(star_links(rows, within(description_key("description")), "id", "description"))
-    own = rows.groupBy(*blocks, "owner", "name").agg(F.min("id").alias("entity"))
-    alike = dice_links(own, "entity", [*blocks, "owner"], "name", over)
-    links = cut(links.union(alike.select(F.col("entity").alias("a"), F.col("entity2").alias("b"), F.lit("owner").alias("reason"))))
-    named = connected(links).select(F.col("v").alias("id"), F.col("label").alias("cluster"))
+    named = cut(_labelled(rows.select("id", *blocks, "owner", "name"), connected(links)))
+    # like names join classes: blocks within one class have nothing to compare
+    of = [*blocks, "owner"]
+    mixed = named.groupBy(*of).agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo <> hi").select(*of)
+    own = named.join(wide(mixed), of, "left_semi").groupBy(*of, "name").agg(F.min("id").alias("entity"))
+    sets = piece_sets(own, "entity", of, "name").join(wide(named.select(F.col("id").alias("entity"), F.col("cluster").alias("label")).distinct()), "entity")
+    joined = connected(dice_classes(cut(sets), of, over)).select(F.col("v").alias("_v"), F.col("label").alias("_to"))
+    named = named.join(wide(joined), F.col("cluster") == F.col("_v"), "left").select("id", F.coalesce("_to", "cluster").alias("cluster"))
     score = representative_score(F.col("archived"), F.coalesce("days", F.lit(3650)), F.col("stars"), F.col("is_fork"))
-    scored = cut(rows.join(named, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"), score.alias("score")))
+    scored = cut(rows.join(wide(named.distinct()), "id").select("id", "cluster", score.alias("score")))
     best = representatives(scored, "cluster", "id", "score")
-    return scored.join(best, "cluster").select("id", "cluster", "representative", "members", (F.col("id") == F.col("representative")).alias("kept"))
+    return scored.join(wide(best), "cluster").select("id", "cluster", "representative", "members", (F.col("id") == F.col("representative")).alias("kept"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (id, ...) with cluster: the label (v, label) of an id, itself without one."""
+    return rows.join(wide(labels), F.col("id") == F.col("v"), "left").withColumn("cluster", F.coalesce("label", "id")).drop("v", "label")
 
 
 def _forks(rows: DataFrame) -> DataFrame:
     """(a, b, reason): forks whose parent is there."""
     forks = rows.filter(F.col("is_fork") & F.col("parent").isNotNull()).select(F.col("parent").alias("a"), F.col("id").alias("b"))
-    return forks.join(rows.select(F.col("id").alias("a")), "a").filter("a <> b").select("a", "b", F.lit("fork").alias("reason"))
+    return forks.join(wide(rows.select(F.col("id").alias("a"))), "a").filter("a <> b").select("a", "b", F.lit("fork").alias("reason"))

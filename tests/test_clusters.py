@@ -49,6 +49,37 @@ def test_few_pairs_are_compared(spark):
     assert 50 <= compared < len(rows) * (len(rows) - 1) // 2 // 20
 
 
+def least_members(n, edges):
+    label = list(range(n))
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("over", [0.4, 0.6, 0.85])
+def test_classes_join_as_by_all_like_pairs(spark, over):
+    made = sorted({n.lower() for n in names() if n})
+    rng = random.Random(9)
+    rows = [(k, rng.choice("xyz"), n, rng.randint(0, k) if rng.random() < 0.3 else k) for k, n in enumerate(made)]
+    sets = clusters.piece_sets(spark.createDataFrame(rows, "id int, owner string, name string, of int"), "id", ["owner"], "name")
+    sets = sets.join(spark.createDataFrame([(k, of) for k, _, _, of in rows], "entity int, label int"), "entity")
+    got = [tuple(r) for r in clusters.dice_classes(sets, ["owner"], over).collect()]
+    alike = [(p[3], q[3]) for p, q in combinations(rows, 2) if p[1] == q[1] and dice(p[2], q[2]) > over]
+    assert least_members(len(rows), got) == least_members(len(rows), alike)
+    assert any(a != b for a, b in alike)
+
+
+def test_names_that_are_all_alike_give_few_links(spark, monkeypatch):
+    """300 names of one owner, all alike: their pairs, 44850, are not what is joined."""
+    met = []
+    monkeypatch.setattr(clusters, "connected", lambda links, *more, connected=clusters.connected: (met.append(links.count()), connected(links, *more))[1])
+    rows = [(k, "o", f"a-remarkably-long-project-name-{k:03d}", None, False, False, k, k, None) for k in range(300)] + [(900, "o", "other", None, False, False, 1, 1, None), (901, "p", "a-remarkably-long-project-name", None, False, False, 1, 1, None)]
+    got = clusters.folded(spark.createDataFrame(rows, "id int, owner string, name string, parent int, is_fork boolean, archived boolean, days int, stars int, description string")).collect()
+    assert {(r["id"], r["cluster"], r["members"]) for r in got} == {(k, 0, 300) for k in range(300)} | {(900, 900, 1), (901, 901, 1)}
+    assert sum(met) < 3000
+
+
 def path(n):
     """1-2-...-n-0: the least vertex is at the far end."""
     return [(k, k + 1) for k in range(1, n)] + [(n, 0)]
