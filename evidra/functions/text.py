@@ -42,7 +42,10 @@ def stem(word: Column) -> Column:
 
 
 def stem_phrase(text: Column) -> Column:
-    return F.array_join(F.transform(words(text), stem), " ")
+    """The stem of each word (see stem), with a space between. Endings go in the whole text at once: in texts of normalise a word is a run of letters and digits."""
+    y = F.regexp_replace(normalise(text), r"(?<=[a-z0-9]{2})ies\b", "y")  # no further ending fits what ends in y
+    short = F.regexp_replace(y, r"(?<=[a-z0-9]{4})(?:ings|ing|ers|er|ed|es|s)\b", "")
+    return F.regexp_replace(short, r"(?<=[a-z0-9]{4})e\b", "")
 
 
 def contains_phrase(stemmed_text: Column, stemmed_phrase: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from evidra.operators.lineage import cut, small
 from evidra.operators.membership import Members
 
+#: So many phrases or fewer aren't looked up by keys.
+FEW = 32
 #: Letters of a key of texts that are searched for parts of words.
 GRAM = 3
 
@@ -36,9 +38,13 @@ def contained(texts: DataFrame, phrases: DataFrame, keys: Callable[[Column], Col
     keys(s) are a text's keys and keys(phrase) those of which the text must have all: words, or grams.
     A phrase is looked up by the one of its keys that fewest texts have, so a text meets no more phrases
     than share its rare keys, whatever their number; a phrase with a key that no text has meets none.
-    What meets is decided by inside(s, phrase). Phrases without a key meet all texts of their form.
+    What meets is decided by inside(s, phrase). FEW phrases or less are held against each text of their form, which is
+    read once then. Phrases without a key meet all texts of their form.
     """
     wanted = cut(phrases.select("form", "phrase").distinct().withColumn("keys", F.array_distinct(keys(F.col("phrase")))))
+    if wanted.limit(FEW + 1).count() <= FEW:
+        listed = wanted.groupBy("form").agg(F.collect_list("phrase").alias("_all"))
+        return texts.join(F.broadcast(listed), "form").withColumn("phrase", F.explode(F.filter("_all", lambda p: inside(F.col("s"), p)))).drop("_all")
     some = wanted.select("form", "phrase", F.explode("keys").alias("key"))
     met = _passing(some.select("form", "key"), texts.select("form", "s"), keys(F.col("s")))
     often = met.groupBy("form", "key").agg(F.count("*").alias("n"))

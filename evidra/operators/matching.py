@@ -14,25 +14,30 @@ QUALIFIERS = ("with", "that", "which", "supporting", "support", "including", "in
 STOP = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "has", "have", "its", "can", "able", "support", "supports")
 
 
-def phrase_matches(texts: DataFrame, key: str, text: str, triggers: DataFrame, capability: str = "capability", trigger: str = "trigger") -> DataFrame:
-    """(key, capability, hits, position): triggers found as whole stemmed words.
+def phrase_matches(texts: DataFrame, key: str, text: str, triggers: DataFrame, capability: str = "capability", trigger: str = "trigger", head: bool = False) -> DataFrame:
+    """(key, capability, hits, position): triggers found as whole stemmed words. With head also head_end of the text.
 
-    Each text is stemmed once; a trigger, of which there may be any number, is looked up in the texts by the
+    A trigger, of which there may be any number, is looked up in the texts by the
     rarest of its words (see containment.contained).
     """
     stems = triggers.select(F.col(capability).alias("capability"), stem_phrase(F.col(trigger)).alias("phrase")).distinct().filter("phrase <> ''")
     stems = cut(stems.withColumn("form", F.lit(0)))
     rows = texts.select(F.col(key).alias("_of"), F.lit(0).alias("form"), stem_phrase(F.col(text)).alias("s"))
     met = containment.contained(rows, stems, containment.words, contains_phrase)
-    hits = met.join(small(stems.drop("form")), "phrase").select(F.col("_of").alias(key), "capability", phrase_position(F.col("s"), F.col("phrase")).alias("p"))
-    return hits.groupBy(key, "capability").agg(F.count("*").alias("hits"), F.min("p").alias("position"))
+    end = [stemmed_head_end(F.col("s")).alias("head_end")] if head else []
+    hits = met.join(small(stems.drop("form")), "phrase").select(F.col("_of").alias(key), "capability", phrase_position(F.col("s"), F.col("phrase")).alias("p"), *end)
+    return hits.groupBy(key, "capability").agg(F.count("*").alias("hits"), F.min("p").alias("position"), *([F.max("head_end").alias("head_end")] if head else []))
 
 
 def head_end(text: Column) -> Column:
     """Number of words before the first qualifier."""
-    ws = F.split(stem_phrase(text), " ")
-    at = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(*QUALIFIERS), i)), lambda i: i.isNotNull())
-    return F.coalesce(F.get(at, F.lit(0)), F.size(ws))
+    return stemmed_head_end(stem_phrase(text))
+
+
+def stemmed_head_end(s: Column) -> Column:
+    """head_end of a text that is stemmed already."""
+    head = F.regexp_replace(s, rf"\b(?:{'|'.join(QUALIFIERS)})\b.*$", "")
+    return F.length(head) - F.length(F.replace(head, F.lit(" "))) + F.when(F.length(head) == F.length(s), 1).otherwise(0)
 
 
 def closure(edges: DataFrame, src: str, dst: str, depth: int | None = None) -> DataFrame:
@@ -50,13 +55,13 @@ def closure(edges: DataFrame, src: str, dst: str, depth: int | None = None) -> D
     return out
 
 
-def primary(matches: DataFrame, key: str, narrows: DataFrame, head: DataFrame) -> DataFrame:
+def primary(matches: DataFrame, key: str, narrows: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """(key, capability): the main capability of each text.
 
     Those in the head clause count, if there are any; a capability that a matching one narrows is
-    out; the last one named wins, then the one with most hits. head is (key, head_end), narrows (narrow, wide).
+    out; the last one named wins, then the one with most hits. head is (key, head_end), if matches don't hold head_end; narrows (narrow, wide).
     """
-    rows = matches.join(head, key).withColumn("inside", F.col("position") < F.col("head_end"))
+    rows = (matches if head is None else matches.join(head, key)).withColumn("inside", F.col("position") < F.col("head_end"))
     some = rows.groupBy(key).agg(F.max("inside").alias("any"))
     rows = rows.join(some, key).filter("inside or not any")
     wide = rows.select(key, F.col("capability").alias("narrow")).join(small(narrows), "narrow").select(key, F.col("wide").alias("capability"))

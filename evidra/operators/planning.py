@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidra.functions.text import compact_requirement, contains_phrase, normalise, stem_phrase, topic_or_null, words
-from evidra.operators.matching import closure, head_end, phrase_matches, primary, small, unit_priority
+from evidra.operators.lineage import cut
+from evidra.operators.matching import closure, phrase_matches, primary, small, unit_priority
 
 
 def exploded(vocabulary: DataFrame, column: str, name: str) -> DataFrame:
@@ -47,8 +48,14 @@ def decompose(requirements: DataFrame, key: str, text: str, vocabulary: DataFram
     text, and all that these imply, however far; the most urgent first, then by name. primary
     (key, capability) is what the text is mainly about, unrecognised (key, fragment) what nothing covers.
     """
+    units, main = recognised(requirements, key, text, vocabulary)
+    return units, main, unrecognised(requirements, key, text, units.select(F.col(key).alias("_key"), "unit"), vocabulary)
+
+
+def recognised(requirements: DataFrame, key: str, text: str, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, primary) of decompose. Texts are read and stemmed once; all else is made from what was found in them."""
     triggers = exploded(vocabulary, "triggers", "trigger").withColumnRenamed("id", "capability")
-    found = phrase_matches(requirements, key, text, triggers)
+    found = cut(phrase_matches(requirements, key, text, triggers, head=True))
     reach = closure(exploded(vocabulary, "implies", "needs"), "id", "needs").select(F.col("origin").alias("capability"), "reached")
     implied = found.select(key, "capability").join(small(reach), "capability").select(key, F.col("reached").alias("capability")).distinct().join(found.select(key, "capability"), [key, "capability"], "left_anti")
     units = found.select(key, F.col("capability").alias("unit"), F.lit(False).alias("implied"), "hits").union(implied.select(key, "capability", F.lit(True), F.lit(0).cast("long")))
@@ -56,8 +63,7 @@ def decompose(requirements: DataFrame, key: str, text: str, vocabulary: DataFram
     units = units.join(small(facts), "unit").withColumn("priority", unit_priority(F.col("foundational"), F.col("reuse"), F.col("implied"), F.col("hits")).cast("long"))
     units = units.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("priority"), "name")).cast("long")).select(key, "unit", "name", "implied", "hits", "priority", "place")
     narrows = exploded(vocabulary, "narrows", "wide").select(F.col("id").alias("narrow"), "wide")
-    main = primary(found, key, narrows, requirements.select(key, head_end(F.col(text)).alias("head_end")))
-    return units, main, unrecognised(requirements, key, text, units.select(F.col(key).alias("_key"), "unit"), vocabulary)
+    return units, primary(found, key, narrows)
 
 
 # Capabilities that libraries solve, and those whose approach is to be studied.

@@ -18,7 +18,7 @@ from evidra.sources.tables import table
 
 
 def _units(spark: SparkSession, sf_dir: str):
-    return planning.decompose(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", vocabulary(spark))
+    return planning.recognised(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", vocabulary(spark))
 
 
 def requirement_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def stack_idioms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, main, _ = _units(spark, sf_dir)
+    units, main = _units(spark, sf_dir)
     got = planning.composite(units, "doc_id", main, vocabulary(spark), 6, 1)
     return got.groupBy("id").agg(F.count("*").alias("n"), F.max(F.size("checklist")).cast("long").alias("most"), F.min(F.array_join(F.slice("checklist", 1, 1), "")).alias("head"))
 

@@ -125,3 +125,11 @@ def test_adaptations(spark):
 def test_fragments(spark):
     rows = spark.createDataFrame(list(FRAGMENTED), "id int, text string")
     assert sorted(map(tuple, planning.decompose(rows, "id", "text", vocabulary(spark))[2].collect())) == sorted(LEFT_OVER)
+
+
+def test_texts_are_read_once_for_what_is_recognised(spark):
+    rows = spark.createDataFrame([(1, "It is the place for the reader, with the rest in the other"), (2, "nothing"), (3, "for the and in the")], "id int, text string")
+    units, main, _ = planning.decompose(rows, "id", "text", vocabulary(spark))
+    for made in (units, main):
+        assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["id"], r["capability"]) for r in main.collect()} == {(1, "order"), (3, "order")}

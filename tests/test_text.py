@@ -86,3 +86,12 @@ def test_names_slugs_and_keys(spark):
     assert value(spark, tx.identity_keys(F.col("n")), n="@scope/core-utils") == ["@scope"]
     assert value(spark, tx.loosely_in(F.lit("retries"), F.col("n")), n="does retry") is False
     assert value(spark, tx.loosely_in(F.lit("web socket"), F.col("n")), n="uses websocket") is True
+
+
+def test_phrases_are_stemmed_as_their_words(spark):
+    import itertools
+
+    made = ["".join(p) + e for p in ("a", "ab", "abc", "abcd", "abcde", "sses", "ing1") for e in ("", "e", "s", "es", "ies", "ed", "er", "ers", "ing", "ings", "ees", "ingse", "eses", "erings")]
+    rows = spark.createDataFrame([(" ".join(ws) + "! É-",) for ws in itertools.batched(made * 2, 7)], "t string")
+    one = F.array_join(F.transform(tx.words(F.col("t")), tx.stem), " ")
+    assert rows.filter(~tx.stem_phrase(F.col("t")).eqNullSafe(one)).count() == 0
