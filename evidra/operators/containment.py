@@ -14,6 +14,8 @@ from evidra.operators.membership import Members
 FEW = 32
 #: Letters of a key of texts that are searched for parts of words.
 GRAM = 3
+#: What parts words, and is left out where words are read as one.
+SEPARATORS = r"[\s_.\-]+"
 
 
 def grams(text: Column) -> Column:
@@ -28,8 +30,8 @@ def words(text: Column) -> Column:
 def _passing(wanted: DataFrame, texts: DataFrame, keys: Column) -> DataFrame:
     """texts (form, ...) with key: each distinct one of keys that may be in wanted (form, key)."""
     members = Members(wanted, "form", "key")
-    some = F.filter(keys, lambda k: members.hit(F.col("form"), k))
-    return texts.join(members.row).withColumn("key", F.explode(F.array_distinct(some))).drop("_bits")
+    each = texts.join(members.row).withColumn("key", F.explode_outer(F.array_distinct(keys)))  # not a filter of the array: that isn't compiled, and copies the bits for each text
+    return each.filter(F.col("key").isNotNull() & members.hit(F.col("form"), F.col("key"))).drop("_bits")
 
 
 def contained(texts: DataFrame, phrases: DataFrame, keys: Callable[[Column], Column], inside: Callable[[Column, Column], Column]) -> DataFrame:
@@ -56,3 +58,45 @@ def contained(texts: DataFrame, phrases: DataFrame, keys: Callable[[Column], Col
     short = wanted.filter(F.size("keys") == 0).select(F.col("form").alias("_form"), "phrase")
     everywhere = texts.join(small(short), F.col("form") == F.col("_form")).drop("_form")
     return found.unionByName(everywhere).filter(inside(F.col("s"), F.col("phrase")))
+
+
+#: So many keys of seams or fewer are broadcast: their rows are a word long.
+SEAMS = 100_000
+
+
+def across(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts (form, s, further columns) without s, with phrase: each phrase (form, phrase) that is in a text of its form once SEPARATORS are left out, but not within a word.
+
+    Phrases have no separators and four characters or more. Such a phrase starts in one word, whose end is the phrase's head, and
+    goes on in the next ones. Up to three characters before the seam and up to three of the next word (a space stands
+    for its end) are a key. Seams whose key a phrase may have, by a filter of fixed size, meet the phrases of that key; head and tail decide.
+    A text gives a row or more for each seam at which a phrase is found.
+    """
+    size = F.length("phrase")
+    parts = phrases.select("form", "phrase", F.explode(F.sequence(F.lit(1), size - 1)).alias("at"))
+    parts = parts.select("form", "phrase", F.left("phrase", F.col("at")).alias("_head"), F.substring("phrase", F.col("at") + 1, size).alias("_tail"))
+    behind = F.least(F.length("_tail"), F.lit(3))
+    parts = parts.withColumns({"_behind": behind, "_before": F.least(F.length("_head"), F.when(behind < 3, 3).otherwise(2))})
+    # the next word has so many characters of the tail, or is shorter and ends there
+    begins = F.transform(F.sequence(F.lit(1), F.col("_behind")), lambda n: F.concat(F.left("_tail", n), F.when(n < F.col("_behind"), " ").otherwise("")))
+    parts = parts.withColumns({"_left": F.right("_head", F.col("_before")), "_right": F.explode(begins)})
+    parts = cut(parts.withColumn("_key", F.concat_ws("|", "form", "_left", "_right")))
+    shapes = parts.select("_before", "_behind").distinct().collect()  # (1, 3), (2, 2), (2, 3), (3, 1), (3, 2) at most
+    if not shapes:
+        return texts.join(phrases.select("form", "phrase").limit(0), "form").drop("s")
+    most = parts.agg(F.max(F.length("phrase"))).first()[0] - 1  # characters on either side of a seam
+    members = Members(parts, "form", "_left", "_right")
+    kept = [c for c in texts.columns if c != "s"]
+    rows = texts.select(*kept, F.split("s", SEPARATORS, -1).alias("_words")).join(members.row)
+    # outer, as Spark would split once more to leave out empty ones; one hit a row, as much code in one step isn't compiled by the JVM
+    rows = rows.select(*kept, "_bits", "_words", F.posexplode_outer("_words").alias("_at", "_word")).filter(F.col("_at") < F.size("_words") - 1)
+    word, then, three = F.col("_word"), F.get("_words", F.col("_at") + 1), F.lit(3)
+    rows = rows.select("*", F.right(word, three).alias("_left"), F.left(F.concat(then, F.lit(" ")), three).alias("_right"))
+    slots = F.array(*[members.slot(F.col("form"), F.right("_left", F.lit(b)), F.left("_right", F.lit(a))) for b, a in shapes])
+    rows = rows.select("*", F.posexplode_outer(slots).alias("_shape", "_slot")).filter(members.marked(F.col("_slot")))
+    before, behind = (F.get(F.array(*map(F.lit, x)), F.col("_shape")) for x in zip(*shapes))
+    key = F.concat_ws("|", "form", F.right("_left", before), F.left("_right", behind))
+    rest = F.when(F.length(then) >= most, then).otherwise(F.array_join(F.slice("_words", F.col("_at") + 2, F.lit(most)), ""))
+    rows = rows.select(*kept, key.alias("_key"), F.right(word, F.lit(most)).alias("_word"), F.left(rest, F.lit(most)).alias("_rest"))
+    found = rows.join(small(parts.select("_key", "_head", "_tail", "phrase"), SEAMS), "_key")
+    return found.filter(F.endswith("_word", "_head") & F.startswith("_rest", "_tail")).select(*kept, "phrase")

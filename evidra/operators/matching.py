@@ -80,30 +80,38 @@ def coverage(requirements: DataFrame, requirement: str, text: str, corpora: Data
     weight is a corpus's reliability in hundredths. Evidenced: half the terms and a corpus of 30 or
     more, or a term of five letters in one of 85 or more. With no corpus of 55 or more what isn't
     found is unknown, else absent. A term is in a body as it is, without separators if it has four
-    letters then, or without a plural's s. Terms, of which there may be any number, are looked up in the bodies by
-    the rarest of their three-letter pieces (see containment.contained). With group, a column of both
-    tables, an entity is held against the requirements of its own group alone.
+    letters then, or without a plural's s. Terms, of which there may be any number, are letters and digits: they are looked up in
+    the entities' distinct words by the rarest of their three-letter pieces (see containment.contained), and where words meet by the four letters about
+    the seam (see containment.across). With group, a column of both tables, an entity is held against the requirements of its own group alone.
     """
     of_group = (F.col(group).cast("string") if group else F.lit("")).alias("_group")
     wanted = requirements.select(of_group, F.col(requirement).alias("requirement"), content_terms(F.col(text), STOP).alias("terms")).filter(F.size("terms") > 0)
     each = cut(wanted.select("_group", "requirement", F.size("terms").alias("terms"), F.explode("terms").alias("t")))
-    squash = lambda c: F.regexp_replace(c, r"[\s_.\-]+", "")
     one = F.when(F.endswith("t", F.lit("s")) & (F.length("t") > 3), F.regexp_replace("t", "s$", ""))
-    forms = [("0", F.col("t")), ("1", F.when(F.length(squash(F.col("t"))) >= 4, squash(F.col("t")))), ("0", one)]
+    forms = [("0", F.col("t")), ("1", F.when(F.length("t") >= 4, F.col("t"))), ("0", one)]
     form = lambda f: F.concat_ws("|", F.lit(f), "_group").alias("form")
     listed = F.inline(F.array(*[F.struct(form(f), c.alias("phrase")) for f, c in forms]))
     phrases = cut(each.select("_group", "t").distinct().select("t", listed).filter("phrase is not null"))
     bodies = corpora.select(of_group, F.col(entity).alias("_entity"), F.lower(body).alias("b"), F.col(weight).alias("w"))
-    texts = bodies.select("_entity", "w", F.inline(F.array(F.struct(form("0"), F.col("b").alias("s")), F.struct(form("1"), squash(F.col("b")).alias("s")))))
-    met = containment.contained(texts, phrases, containment.grams, F.contains).select("_entity", "w", F.col("form").alias("f"), F.col("phrase").alias("p"))
-    met = met.join(small(phrases), (F.col("form") == F.col("f")) & (F.col("phrase") == F.col("p")))
-    found = met.groupBy("_entity", F.expr("substring(f, 3)").alias("_group"), "t").agg(F.max("w").alias("w"))
+    reliable = cut(bodies.groupBy("_entity", "_group").agg(F.max("w").alias("reliable")))
+    known = lambda met: met.join(small(phrases), ["form", "phrase"]).groupBy("_entity", F.expr("substring(form, 3)").alias("_group"), "t").agg(F.max("w").alias("w"))
+    # letters and digits lie within runs of these, which entities have few of; those of two words and more lie about a seam
+    runs = bodies.select("_entity", "w", form("0"), F.explode_outer(F.split("b", "[^a-z0-9]+")).alias("s")).filter(F.length("s") > 2)
+    runs = cut(runs.groupBy("form", "_entity", "s").agg(F.max("w").alias("w")))
+    met = containment.contained(cut(runs.select("form", "s").distinct()), phrases.filter(F.startswith("form", F.lit("0"))), containment.grams, F.contains)
+    plain = cut(known(runs.join(met, ["form", "s"])))
+    # a term that every entity of the group has in a corpus of its highest weight isn't looked for about seams
+    most = reliable.groupBy("_group").agg(F.count("*").alias("entities"))
+    sure = plain.join(reliable, ["_entity", "_group"]).filter(F.col("w") >= F.col("reliable")).groupBy("_group", "t").agg(F.count("*").alias("n"))
+    sure = sure.join(most, "_group").filter(F.col("n") == F.col("entities")).select(form("1"), F.col("t").alias("phrase"))
+    seams = cut(phrases.filter(F.startswith("form", F.lit("1"))).join(sure, ["form", "phrase"], "left_anti"))
+    about = cut(known(containment.across(bodies.select("_entity", "w", form("1"), F.col("b").alias("s")), seams)))
+    found = plain.unionByName(about).groupBy("_entity", "_group", "t").agg(F.max("w").alias("w"))
     best = [F.count("*").alias("covered"), F.max("w").alias("best"), F.max((F.length("t") >= 5) & (F.col("w") >= 85)).alias("distinctive")]
     found = found.join(small(each.select("_group", "requirement", "t")), ["_group", "t"]).groupBy("_entity", "_group", "requirement").agg(*best)
     # every entity is held against every requirement of its group, in blocks of a bounded size
     names = cut(wanted.select("_group", "requirement", F.size("terms").alias("terms")))
     blocks, got = -(-max(1, names.count()) // SMALL), None
-    reliable = bodies.groupBy("_entity", "_group").agg(F.max("w").alias("reliable"))
     for k in range(blocks):
         part = names.filter(F.pmod(F.xxhash64("requirement"), F.lit(blocks)) == k)
         part = part.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("requirement", "terms"))).alias("all"))

@@ -14,20 +14,23 @@ class Members:
 
     def __init__(self, keys: DataFrame, *cols: str, bits: int = BITS):
         self.bits = bits
-        slot = keys.select(self._slot(*map(F.col, cols)).alias("slot")).filter("slot is not null")
+        slot = keys.select(self.slot(*map(F.col, cols)).alias("slot")).filter("slot is not null")
         rows = slot.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
         words = [0] * (bits // 64)
         for r in rows.collect():  # bits / 64 rows at most
             words[r["at"]] = r["bits"]
         self.row = F.broadcast(keys.sparkSession.createDataFrame([(words,)], "_bits array<bigint>"))
 
-    def _slot(self, *cols: Column) -> Column:
+    def slot(self, *cols: Column) -> Column:
         return F.pmod(F.xxhash64(*cols), F.lit(self.bits))
 
     def hit(self, *cols: Column) -> Column:
         """Whether columns may be a key, in rows that have been joined with row."""
-        slot = self._slot(*cols)
-        return F.getbit(F.get("_bits", F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
+        return self.marked(self.slot(*cols))
+
+    def marked(self, slot: Column) -> Column:
+        """hit, for the slot of some columns."""
+        return F.getbit(F.get("_bits", F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
 
     def passing(self, rows: DataFrame, *cols: str) -> DataFrame:
         """The rows that may be a key's."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -53,3 +55,21 @@ def test_names_within_names_of_an_entity_with_many(spark):
     got = verifying.declared(spark.createDataFrame(wanted, "e int, n string"), "e", "n", spark.createDataFrame(names, "e int, t string"), "t").collect()
     want = {(e, n): any(n in t or t in n for f, t in names if f == e) for e, n in wanted}
     assert {(r["e"], r["n"]): r["present"] for r in got} == want
+
+
+def test_across_words(spark):
+    rng = random.Random(5)
+    parts = ("a", "b", "ab", "ba", "abc", "é", "aé,b", ",", "cab", "bcaba")
+    texts = [(k % 2, "".join(rng.choice(parts) + rng.choice((" ", "_", ". -", "\n", "")) for _ in range(rng.choice((0, 1, 3, 40)))), k) for k in range(60)] + [(0, None, 99), (1, " ab - c a b ", 100)]
+    phrases = sorted({(f, "".join(rng.choices("abc", k=rng.randint(4, 9)))) for f in (0, 1) for _ in range(150)})
+    got = containment.across(spark.createDataFrame(texts, "form int, s string, k int"), spark.createDataFrame(phrases, "form int, phrase string"))
+    squash = re.compile(r"[\s_.\-]+")
+
+    def over(s, p):  # some place of p in the text without separators goes over the end of a word
+        ends = set(itertools.accumulate(len(w) for w in squash.split(s)))
+        whole = squash.sub("", s)
+        return any(whole.startswith(p, i) and any(i < e < i + len(p) for e in ends) for i in range(len(whole)))
+
+    want = {(k, f, p) for f, s, k in texts for g, p in phrases if f == g and s is not None and over(s, p)}
+    assert {(r["k"], r["form"], r["phrase"]) for r in got.collect()} == want and len(want) > 100
+    assert containment.across(spark.createDataFrame(texts, "form int, s string, k int"), spark.createDataFrame(phrases, "form int, phrase string").limit(0)).count() == 0
