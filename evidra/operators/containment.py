@@ -90,13 +90,15 @@ def across(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     rows = texts.select(*kept, F.split("s", SEPARATORS, -1).alias("_words")).join(members.row)
     # outer, as Spark would split once more to leave out empty ones; one hit a row, as much code in one step isn't compiled by the JVM
     rows = rows.select(*kept, "_bits", "_words", F.posexplode_outer("_words").alias("_at", "_word")).filter(F.col("_at") < F.size("_words") - 1)
-    word, then, three = F.col("_word"), F.get("_words", F.col("_at") + 1), F.lit(3)
-    rows = rows.select("*", F.right(word, three).alias("_left"), F.left(F.concat(then, F.lit(" ")), three).alias("_right"))
-    slots = F.array(*[members.slot(F.col("form"), F.right("_left", F.lit(b)), F.left("_right", F.lit(a))) for b, a in shapes])
+    # pieces are columns of their own, so that each is taken once
+    ended = F.concat(F.get("_words", F.col("_at") + 1), F.lit(" "))
+    rows = rows.select("*", *[F.right("_word", F.lit(n)).alias(f"_l{n}") for n in (1, 2, 3)], *[F.left(ended, F.lit(n)).alias(f"_r{n}") for n in (1, 2, 3)])
+    slots = F.array(*[members.slot(F.col("form"), F.col(f"_l{b}"), F.col(f"_r{a}")) for b, a in shapes])
     rows = rows.select("*", F.posexplode_outer(slots).alias("_shape", "_slot")).filter(members.marked(F.col("_slot")))
-    before, behind = (F.get(F.array(*map(F.lit, x)), F.col("_shape")) for x in zip(*shapes))
-    key = F.concat_ws("|", "form", F.right("_left", before), F.left("_right", behind))
-    rest = F.when(F.length(then) >= most, then).otherwise(F.array_join(F.slice("_words", F.col("_at") + 2, F.lit(most)), ""))
-    rows = rows.select(*kept, key.alias("_key"), F.right(word, F.lit(most)).alias("_word"), F.left(rest, F.lit(most)).alias("_rest"))
+    of = lambda names: F.get(F.array(*names), F.col("_shape"))
+    key = F.concat_ws("|", "form", of([f"_l{b}" for b, _ in shapes]), of([f"_r{a}" for _, a in shapes]))
+    rows = rows.select(*kept, key.alias("_key"), F.right("_word", F.lit(most)).alias("_word"), F.slice("_words", F.col("_at") + 2, F.lit(most)).alias("_next"))
     found = rows.join(small(parts.select("_key", "_head", "_tail", "phrase"), SEAMS), "_key")
-    return found.filter(F.endswith("_word", "_head") & F.startswith("_rest", "_tail")).select(*kept, "phrase")
+    then = F.get("_next", F.lit(0))
+    goes_on = F.startswith(then, F.col("_tail")) | (F.startswith(F.col("_tail"), then) & F.startswith(F.array_join("_next", ""), F.col("_tail")))
+    return found.filter(F.endswith("_word", "_head") & goes_on).select(*kept, "phrase")
