@@ -133,3 +133,26 @@ def test_texts_are_read_once_for_what_is_recognised(spark):
     for made in (units, main):
         assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["id"], r["capability"]) for r in main.collect()} == {(1, "order"), (3, "order")}
+
+
+def test_coverage_looks_up_words_not_texts(spark, monkeypatch):
+    """Copies of texts don't grow what terms are looked up in, and seams of words, plurals and weights count as in a look at each pair."""
+    import re
+
+    from evidra.operators import containment, matching
+
+    seen, plain = [], containment.contained
+    monkeypatch.setattr(containment, "contained", lambda texts, *more: seen.append(texts.count()) or plain(texts, *more))
+    items = [(1, "login cache retries"), (2, "offline storage engine"), (3, "tokens walks")]
+    bodies = [("a", "log_in of-fl.ine xcachex", 100), ("a", "re tr ies; stor,age token", 35), ("b", "en\ngi  ne LOGIN walk", 35), ("b", None, 90), ("c", "cache login", 30)] * 40
+    items_, bodies_ = spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(bodies, "entity string, body string, w int")
+    got = matching.coverage(items_, "item", "text", bodies_, "entity", "body", "w").collect()
+    squash = lambda s: re.sub(r"[\s_.\-]+", "", s)
+    inside = lambda t, b: t in b or (len(t) >= 4 and t in squash(b)) or (t[-1] == "s" and len(t) > 3 and t[:-1] in b)
+    want = set()
+    for e in "abc":
+        for item, text in items:
+            ws = [[w for x, b, w in bodies if x == e and b and inside(t, b.lower())] for t in text.split()]
+            want.add((e, item, sum(map(bool, ws)), len(ws), max(map(max, filter(None, ws)), default=0)))
+    assert {(r["entity"], r["requirement"], r["covered"], r["terms"], r["best"]) for r in got} == want and len(got) == 9
+    assert max(seen) < 40
